@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe
+from strandline.llm import bpe, exact_dedup, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.public_path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_packing": op10_packing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": exact_dedup.ORACLE,
+}
