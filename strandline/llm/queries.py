@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, exact_dedup, packing, token_counts, toxicity
+from strandline.llm import ann, bpe, exact_dedup, packing, token_counts, toxicity
 from strandline.llm.storage import Scratch
 
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -42,9 +46,11 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op6_nearest": op6_nearest,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_nearest": ann.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
