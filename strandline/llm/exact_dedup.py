@@ -34,6 +34,8 @@ def _merge(batches):
     """Merges neighbours that are equal in a sorted partition; holds one batch and one entry."""
     carry = None
     for batch in batches:
+        schema = batch.schema if carry is None else schema
+        batch = pa.RecordBatch.from_arrays(batch.columns, schema=schema)
         t = pa.Table.from_batches([batch] if carry is None else [carry, batch]).combine_chunks()
         n = t.num_rows
         if not n:
@@ -46,7 +48,7 @@ def _merge(batches):
         at = np.flatnonzero(new)
         copies = np.add.reduceat(np.asarray(t.column("copies")), at)
         t = t.take(pa.array(at)).set_column(RUN.index("copies"), "copies", pa.array(copies, pa.int64()))
-        out = t.combine_chunks().to_batches()[0]
+        out = pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.columns], schema=schema)
         yield out.slice(0, len(at) - 1)
         carry = out.slice(len(at) - 1)
     if carry is not None:
