@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann, bpe, exact_dedup, packing, token_counts, toxicity
+from strandline.llm import ann, bpe, exact_dedup, licenses, line_dedup, packing, token_counts, toxicity
 from strandline.llm.storage import Scratch
 
 
@@ -17,6 +17,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_50k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, report=True)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as flat token files, scanned for the end-of-document identifier."""
     folder = Scratch(spark, "token-files").path("flat")
@@ -34,6 +39,10 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -44,13 +53,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_nearest": op6_nearest,
+    "op7_licenses": op7_licenses,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op6_nearest": ann.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
