@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann, bpe, exact_dedup, licenses, line_dedup, packing, token_counts, toxicity
+from strandline.llm import ann, bpe, exact_dedup, licenses, line_dedup, ngram_join, packing, token_counts, toxicity
 from strandline.llm.storage import Scratch
 
 
@@ -22,6 +22,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, report=True)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as flat token files, scanned for the end-of-document identifier."""
     folder = Scratch(spark, "token-files").path("flat")
@@ -54,6 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_nearest": op6_nearest,
@@ -63,6 +68,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
     "op6_nearest": ann.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
