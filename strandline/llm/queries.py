@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ann, bpe, exact_dedup, licenses, line_dedup, ngram_join, packing, token_counts, toxicity
+from strandline.llm import ann, bpe, exact_dedup, licenses, line_dedup, ngram_join, packing, suffix_dedup, token_counts, toxicity
 from strandline.llm.storage import Scratch
 
 
@@ -47,6 +47,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_nearest": op6_nearest,
     "op7_licenses": op7_licenses,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
