@@ -29,9 +29,9 @@ from strandline.llm import vectext as V
 NONE = np.int32(2**31 - 1)
 FEW = 12
 #: Symbols hashed at once, and symbols gathered before unseen words are merged.
-CHUNK, BUFFER = 1 << 20, 12 << 20
+CHUNK, BUFFER = 1 << 19, 6 << 20
 #: A worker forgets its words beyond this many.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 
 
 @lru_cache(maxsize=1)

@@ -25,7 +25,7 @@ from strandline.llm import vectext as V
 NAME = r"stream-(\d+)-block-(\d+)\.bin$"
 
 
-def write_stream(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def write_stream(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Tokenises each partition into a stream of blocks under `path`, a folder that executors share.
     Returns stream, ordinal and key of every document; a repeated task writes the same blocks again."""
     kind = df.schema[key].dataType.simpleString()
@@ -110,7 +110,7 @@ def scan(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
     return ended.unionByName(rest)
 
 
-def count_documents(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def count_documents(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Writes the documents as flat token files, scans these and returns key and n_tokens of every row."""
     from strandline.llm.storage import Scratch
 
