@@ -215,9 +215,10 @@ def _counted(threshold: float, size: int):
     return work
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, with_hash: bool = False) -> DataFrame:
     """One row per input row: key, class_id (the smallest key of all rows joined by links), n_links (rows
-    other than itself with similarity of the threshold or more), n_shingles, kept (one per class)."""
+    other than itself with similarity of the threshold or more), n_shingles, kept (one per class); with
+    `with_hash` also text_hash, xxhash64 of the text."""
     tmp = Scratch(df.sparkSession, "ngram-join")
 
     def embed(batches):
@@ -253,11 +254,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     linked = components(exact.select(F.col("uid").alias("a"), F.col("root").alias("b")), tmp)
     told = groups.join(exact.groupBy(F.col("uid").alias("rep")).agg(F.sum("links").alias("links")), "rep", "left").join(linked.select(F.col("id").alias("rep"), "root"), "rep", "left")
     told = tmp.save(told.select(*alike, F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links")), "told")
-    rows = sets.where("n > 0").select("id", "uid", *alike).join(told, alike).select("id", "uid", "n", "root", "n_links")
-    rows = tmp.save(rows.unionByName(sets.where("n = 0").select("id", "uid", "n", F.col("uid").alias("root"), F.lit(0).cast("long").alias("n_links"))), "rows")
+    rows = sets.where("n > 0").select("id", "uid", "th", *alike).join(told, alike).select("id", "uid", "th", "n", "root", "n_links")
+    rows = tmp.save(rows.unionByName(sets.where("n = 0").select("id", "uid", "th", "n", F.col("uid").alias("root"), F.lit(0).cast("long").alias("n_links"))), "rows")
     heads = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("head"))
     return rows.join(heads, "root").select(
-        F.col("id").alias(key), F.col("head.id").alias("class_id"), "n_links", F.col("n").alias("n_shingles"), (F.col("uid") == F.col("head.uid")).alias("kept"),
+        F.col("id").alias(key), F.col("head.id").alias("class_id"), "n_links", F.col("n").alias("n_shingles"), *([F.col("th").alias("text_hash")] * with_hash), (F.col("uid") == F.col("head.uid")).alias("kept"),
     )
 
 

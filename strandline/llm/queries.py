@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strandline.llm import ann, bpe, exact_dedup, licenses, line_dedup, ngram_join, packing, suffix_dedup, token_counts, toxicity
 from strandline.llm.storage import Scratch
 
@@ -70,6 +71,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,

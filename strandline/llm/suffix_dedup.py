@@ -223,11 +223,14 @@ def _contexts(data, off, rows, lists, length: int):
     return row, m, first, last - first + 1, flat, size
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
-    """One row per input row: key, n_bytes, n_removed, n_spans, kept_sha256, and what is left if asked for."""
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: key, n_bytes, n_removed, n_spans, kept_sha256, what is left if asked for,
+    and the columns named in `carry`."""
     tmp = Scratch(df.sparkSession, "suffix-dedup")
     kind = df.schema[key].dataType.simpleString()
-    base = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    more = [f"c{k}" for k in range(len(carry))]
+    base = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(x) for c, x in zip(carry, more, strict=True)))
+    base = base.withColumn("th", F.xxhash64("text")).select("id", "text", "th", *more)
 
     def find(batches):
         for batch in batches:
@@ -237,13 +240,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 at = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(m.view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(twice)], ["id", "th", "m", "first", "last", "twice"])
 
-    runs = tmp.save(base.where(F.octet_length("text") >= length).mapInArrow(find, f"id {kind}, th long, m long, first int, last int, twice boolean"), "runs")
+    runs = tmp.save(base.select("id", "text", "th").where(F.octet_length("text") >= length).mapInArrow(find, f"id {kind}, th long, m long, first int, last int, twice boolean"), "runs")
     often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice").select("m", "n")
     lists = runs.select("id", "th", "m", "first", "last").join(often, "m").groupBy("id", "th").agg(F.collect_set(F.struct("m", "first", "last", "n")).alias("runs"))
     lists = lists.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "runs")
     joined = base.join(lists, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left")
     sha = F.when(F.col("runs").isNull(), F.sha2("text", 256))
-    held = joined.select("id", "th", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"), (F.col("text") if with_text else F.when(F.col("runs").isNotNull(), F.col("text"))).alias("text"), "runs")
+    held = joined.select("id", "th", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"), (F.col("text") if with_text else F.when(F.col("runs").isNotNull(), F.col("text"))).alias("text"), "runs", *more)
     held = tmp.save(held, "held")
     tmp.drop(runs)
     some = held.where("runs IS NOT NULL")
@@ -319,7 +322,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     found = tmp.save(blocks.mapInArrow(search, "m long, dg long, a int, b int"), "found")
     hits = places.join(found, ["m", "dg"]).select("id", "th", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     hits = hits.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "spans")
-    marked = some.select("id", "th", "text").join(hits, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").select("id", "text", "spans")
+    marked = some.select("id", "th", "text", *more).join(hits, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").select("id", "text", "spans", *more)
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def apply(batches):
@@ -340,10 +343,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 row = [len(raw), int(gone.sum()), len(_spans(gone)[0]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")]
                 for c, x in zip(out, row, strict=False):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:]), *batch.columns[3:]], [*names, *more])
 
-    done = marked.mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    done = marked.mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + "".join(f", {x} {base.schema[x].dataType.simpleString()}" for x in more))
     zero = F.lit(0).cast("long")
-    rest = held.where("runs IS NULL").select("id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), *([F.col("text").alias("kept")] * with_text))
-    return done.unionByName(rest).withColumnRenamed("id", key)
+    rest = held.where("runs IS NULL").select("id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), *([F.col("text").alias("kept")] * with_text), *more)
+    return done.unionByName(rest).withColumnsRenamed({"id": key, **dict(zip(more, carry, strict=True))})
 
