@@ -1,6 +1,651 @@
-"""Every registered query with the SQL that checks it."""
+"""Every registered query with the SQL that checks it. Doubles are rounded to six places on both sides,
+since regressions differ in the last place between engines."""
 
 from __future__ import annotations
 
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandline.functions import kernels as K
+from strandline.functions import symbols as S
+from strandline.operators import fractal, graphs, spectra, stats, windows
+from strandline.operators import tiles as T
+from strandline.plans import features
+from strandline.plans.config import Config
+from strandline.sources import records
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+SEQ = r"""seq AS (SELECT name, accession, organism_type, string_agg(s, '' ORDER BY doc_id) AS sequence, CAST(sum(n) AS BIGINT) AS raw_length
+  FROM (SELECT concat_ws('_', lang, source, CAST(doc_id // 2000 AS VARCHAR)) AS name, source AS accession, lang AS organism_type, doc_id, length(text) AS n,
+        regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGT]', '', 'g') AS s FROM documents)
+  GROUP BY name, accession, organism_type HAVING length(string_agg(s, '')) > 0)"""
+SYM = "sym AS (SELECT name, unnest(range(length(sequence))) AS pos, unnest(string_split(sequence, '')) AS base FROM seq)"
+WIN = 1000
+
+
+def kmer_sql(k: int, table: str = "seq", keys: str = "name") -> str:
+    return f"SELECT {keys}, substr(sequence, CAST(i AS BIGINT), {k}) AS kmer FROM (SELECT {keys}, sequence, unnest(range(1, length(sequence) - {k} + 2)) AS i FROM {table})"
+
+
+def with_(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def query(name: str, sql: str | None = None, doubles: str = ""):
+    """Registers a function of (spark, sf_dir) and its SQL; `doubles` names the SQL's double columns."""
+
+    def add(fn):
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        if sql is not None:
+            cols = doubles.split()
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}' for c in cols)}) FROM ({sql})" if cols else sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.sequences_from_documents(table(spark, sf_dir, "documents"))
+
+
+# --- sources, encodings, scalar functions -------------------------------------------------------------
+
+
+@query("sequence_manifest", with_(SEQ) + "SELECT name, accession, organism_type, length(sequence) AS length_bp, raw_length, 100.0 * length(sequence) / raw_length AS retained_pct, sha256(sequence) AS sha256 FROM seq", "retained_pct")
+def _(spark, sf):
+    return records.manifest(seqs(spark, sf))
+
+
+@query("clean_documents", "SELECT doc_id, s AS sequence, length(s) AS length_bp FROM (SELECT doc_id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGT]', '', 'g') AS s FROM documents)")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", S.clean(F.col("text")).alias("sequence")).withColumn("length_bp", F.length("sequence").cast("long"))
+
+
+@query("encode_codes", "SELECT doc_id, translate(s, 'ACGT', '0123') AS codes, translate(reverse(s), 'ACGT', 'TGCA') AS revcomp FROM (SELECT doc_id, regexp_replace(replace(upper(text), 'U', 'T'), '[^ACGT]', '', 'g') AS s FROM documents)")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", S.clean(F.col("text")).alias("s"))
+    return d.select("doc_id", S.codes(F.col("s")).alias("codes"), S.revcomp(F.col("s")).alias("revcomp"))
+
+
+_SIG = {"re": "CASE base WHEN 'A' THEN 1 WHEN 'G' THEN -1 ELSE 0 END", "im": "CASE base WHEN 'C' THEN 1 WHEN 'T' THEN -1 ELSE 0 END", "code": "CASE base WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END", "purine": "CASE WHEN base IN ('A','G') THEN 1 ELSE -1 END", "keto": "CASE WHEN base IN ('C','G') THEN 1 ELSE -1 END", "gc": "CASE WHEN base IN ('C','G') THEN 1 ELSE -1 END", "weak_strong": "CASE WHEN base IN ('C','G') THEN 1 ELSE -1 END"}
+
+
+@query("signal_moments", with_(SEQ, SYM) + "SELECT name, " + ", ".join(f"CAST(sum(({e}) * (pos % 7)) AS DOUBLE) AS {n}" for n, e in _SIG.items()) + " FROM sym GROUP BY name", " ".join(_SIG))
+def _(spark, sf):
+    return T.symbols(seqs(spark, sf)).groupBy("name").agg(*(F.sum(S.signal(F.col("base"), n) * (F.col("pos") % 7)).alias(n) for n in _SIG))
+
+
+@query("base_counts", with_(SEQ) + "SELECT name, " + ", ".join(f"length(sequence) - length(replace(sequence, '{b}', '')) AS {b.lower()}_count" for b in "ACGT") + ", 100.0 * length(regexp_replace(sequence, '[AT]', '', 'g')) / length(sequence) AS gc_pct FROM seq", "gc_pct")
+def _(spark, sf):
+    return seqs(spark, sf).select("name", *(S.count_of(F.col("sequence"), b).alias(f"{b.lower()}_count") for b in "ACGT"), S.gc_pct(F.col("sequence")).alias("gc_pct"))
+
+
+_RULES_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(name), {chr(39)}{x}{chr(39)})' for x in needles)} THEN '{t}'" for t, needles in S.TYPE_RULES) + " ELSE 'unknown' END"
+
+
+@query("organism_types", f"SELECT name, {_RULES_SQL} AS organism_type FROM (SELECT p_name AS name FROM part UNION ALL SELECT s_name FROM supplier UNION ALL SELECT n_name FROM nation)")
+def _(spark, sf):
+    names = table(spark, sf, "part").select(F.col("p_name").alias("name")).union(table(spark, sf, "supplier").select("s_name")).union(table(spark, sf, "nation").select("n_name"))
+    return names.select("name", S.organism_type(F.col("name")).alias("organism_type"))
+
+
+def _catalog_sql() -> str:
+    rows = {n: (a, t) for t, tier in enumerate(records.LEVELS["mega"]) for n, a in records.TIERS[tier].items()}
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{a}', {t}, '{S.NAMED_TYPES[n]}')" for n, (a, t) in rows.items()) + ") AS v(name, accession, tier, organism_type)"
+
+
+@query("accession_catalog", _catalog_sql())
+def _(spark, sf):
+    return records.catalog(spark, "mega")
+
+
+@query("all_kmers", "SELECT CAST(a.i * 64 + b.i * 16 + c.i * 4 + d.i AS BIGINT) AS code, substr('ACGT', a.i + 1, 1) || substr('ACGT', b.i + 1, 1) || substr('ACGT', c.i + 1, 1) || substr('ACGT', d.i + 1, 1) AS kmer FROM (SELECT unnest(range(4)) AS i) a, (SELECT unnest(range(4)) AS i) b, (SELECT unnest(range(4)) AS i) c, (SELECT unnest(range(4)) AS i) d")
+def _(spark, sf):
+    return spark.range(256).select(F.col("id").alias("code"), S.code_to_kmer(F.col("id"), 4).alias("kmer"))
+
+
+@query("adaptive_prefix", with_(SEQ) + "SELECT name, least(200000, length(sequence) // 10) AS prefix_length, sha256(substr(sequence, 1, least(200000, length(sequence) // 10))) AS prefix_sha FROM seq")
+def _(spark, sf):
+    n = S.adaptive_length(F.col("sequence"))
+    return seqs(spark, sf).select("name", n.cast("long").alias("prefix_length"), F.sha2(F.substring(F.col("sequence"), F.lit(1), n), 256).alias("prefix_sha"))
+
+
+@query("finite_values", "SELECT event_type, count(*) AS n, count(v) AS n_finite, avg(v) AS mean FROM (SELECT event_type, CASE WHEN isfinite(x) THEN x END AS v FROM (SELECT event_type, try_cast(CASE WHEN event_id % 5 = 0 THEN 'nan' WHEN event_id % 7 = 0 THEN 'none' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS x FROM events)) GROUP BY event_type", "mean")
+def _(spark, sf):
+    text = F.when(F.col("event_id") % 5 == 0, "NaN").when(F.col("event_id") % 7 == 0, "none").otherwise(F.col("value").cast("string"))
+    return table(spark, sf, "events").select("event_type", S.to_number(text).alias("v")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_finite"), F.avg("v").alias("mean"))
+
+
+# --- windows, tiles, controls ---------------------------------------------------------------------------
+
+
+@query("window_edges", with_(SEQ) + f"SELECT name AS organism, CASE WHEN length(sequence) <= {WIN} THEN 0 ELSE length(sequence) - {WIN} END AS last_start, CAST(0 AS BIGINT) AS first_start, length(sequence) AS last_end FROM seq")
+def _(spark, sf):
+    w = windows.observed(seqs(spark, sf), WIN, 8, 100)
+    return w.groupBy("organism").agg(F.max("start").alias("last_start"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+
+
+@query("windows_with_controls")
+def _(spark, sf):
+    w = windows.observed(seqs(spark, sf), WIN, 8, 100)
+    return windows.with_controls(w, ("shuffle", "markov0", "markov1", "markov2", "markov3", "block-shuffle", "revcomp"))
+
+
+_INV = f"SELECT name, CASE WHEN length(sequence) <= {WIN} THEN sequence ELSE substr(sequence, 1, {WIN}) END AS s FROM seq"
+
+
+@query("control_composition", with_(SEQ) + f"SELECT name AS organism, source, {', '.join(f'length(s) - length(replace(s, {chr(39)}{b}{chr(39)}, {chr(39)}{chr(39)})) AS {b.lower()}' for b in 'ACGT')} FROM ({_INV}), (SELECT unnest(['observed', 'shuffle', 'block_shuffle']) AS source)")
+def _(spark, sf):
+    w = windows.with_controls(windows.observed(seqs(spark, sf), WIN, 8, 100).where("replicate = 0"), ("shuffle", "block_shuffle"))
+    return w.select("organism", "source", *(S.count_of(F.col("sequence"), b).alias(b.lower()) for b in "ACGT"))
+
+
+@query("control_lengths", with_(SEQ) + f"SELECT name AS organism, source, length(s) AS n, 0 AS n_odd FROM ({_INV}), (SELECT unnest(['observed', 'markov0', 'markov1', 'markov2', 'markov3']) AS source)")
+def _(spark, sf):
+    w = windows.with_controls(windows.observed(seqs(spark, sf), WIN, 8, 100).where("replicate = 0"), ("markov0", "markov1", "markov2", "markov3"))
+    return w.select("organism", "source", F.length("sequence").cast("long").alias("n"), F.length(F.regexp_replace("sequence", "[ACGT]", "")).alias("n_odd"))
+
+
+_EVEN = f"""ev AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY start) - 1 AS replicate, start, least(start + {WIN}, length(sequence)) AS "end", substr(sequence, start + 1, {WIN}) AS sequence
+  FROM (SELECT DISTINCT name, sequence, CAST(floor(i * greatest(length(sequence) - {WIN}, 0) / 7.0) AS BIGINT) AS start FROM seq, (SELECT unnest(range(8)) AS i)))"""
+
+
+@query("even_windows", with_(SEQ, _EVEN) + 'SELECT name, CAST(replicate AS INTEGER) AS replicate, start, "end", sequence FROM ev')
+def _(spark, sf):
+    return windows.even_windows(seqs(spark, sf), WIN, 8)
+
+
+@query("skew_tiles", with_(SEQ) + "SELECT name, start // w AS tile, start, substr(sequence, start + 1, w) AS piece FROM (SELECT name, sequence, w, unnest(range(0, length(sequence) - w + 1, w)) AS start FROM (SELECT *, greatest(100, length(sequence) // 32) AS w FROM seq))")
+def _(spark, sf):
+    return T.tiles(seqs(spark, sf), T.skew_size(F.length("sequence")), T.skew_size(F.length("sequence"))).withColumn("tile", F.col("tile").cast("long"))
+
+
+@query("grammar_blocks", with_(SEQ) + """, b AS (SELECT name, sequence, n, w, list_filter(list_transform(range(0, n, w), lambda s: substr(sequence, s + 1, w)), lambda p: length(p) >= 32) AS cut FROM (SELECT *, length(sequence) AS n, greatest(64, length(sequence) // 4) AS w FROM seq)),
+ c AS (SELECT name, CASE WHEN len(cut) < 2 THEN [substr(sequence, 1, n // 2), substr(sequence, n // 2 + 1, n)] ELSE cut END AS l FROM b)
+SELECT name, CAST(unnest(range(len(l))) AS INTEGER) AS block, unnest(l) AS piece FROM c""")
+def _(spark, sf):
+    return T.grammar_blocks(seqs(spark, sf))
+
+
+@query("phase_blocks", with_(SEQ) + "SELECT name, CAST(b AS INTEGER) AS block, substr(sequence, b * length(sequence) // 4 + 1, (b + 1) * length(sequence) // 4 - b * length(sequence) // 4) AS piece FROM seq, (SELECT unnest(range(4)) AS b)")
+def _(spark, sf):
+    return T.phase_blocks(seqs(spark, sf))
+
+
+@query("row_reshape", with_(SEQ, SYM) + "SELECT name, pos // 64 AS row, sum((CASE base WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END) * (pos % 64))::DOUBLE AS moment FROM sym WHERE (pos // 64 + 1) * 64 <= (SELECT length(sequence) FROM seq WHERE seq.name = sym.name) GROUP BY ALL", "moment")
+def _(spark, sf):
+    t = T.tiles(seqs(spark, sf), 64).select(F.col("name"), F.col("tile").cast("long").alias("row"), F.posexplode(F.split("piece", "")).alias("i", "base")).where("base <> ''")
+    return t.groupBy("name", "row").agg(F.sum(S.signal(F.col("base"), "code") * F.col("i")).alias("moment"))
+
+
+@query("linspace_sample", with_(SEQ) + "SELECT name, count(*) AS n, CAST(sum(place) AS BIGINT) AS total FROM (SELECT name, CAST(round_even(i * (length(sequence) - 1) / 399.0, 0) AS BIGINT) AS place FROM seq, (SELECT unnest(range(400)) AS i)) GROUP BY name")
+def _(spark, sf):
+    at = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: F.bround(i * (F.length("sequence") - 1) / F.lit(399.0), 0).cast("long"))
+    return seqs(spark, sf).select("name", F.explode(at).alias("at")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("at").alias("total"))
+
+
+# --- k-mer spectra --------------------------------------------------------------------------------------
+
+
+@query("kmer_counts", with_(SEQ) + f"SELECT name, kmer, count(*) AS cnt FROM ({kmer_sql(3)}) GROUP BY name, kmer")
+def _(spark, sf):
+    return T.kmer_counts(seqs(spark, sf), 3)
+
+
+@query("kmer_counts_long", with_(SEQ) + f"SELECT kmer, count(*) AS cnt FROM ({kmer_sql(11)}) GROUP BY kmer HAVING count(*) > 1")
+def _(spark, sf):
+    return T.kmers(seqs(spark, sf), 11).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+
+
+@query("kmer_entropy", with_(SEQ) + f"SELECT name, -sum(p * log2(p)) AS entropy_bits, -sum(p * log2(p)) / 14 AS entropy_norm, count(*) / 16384.0 AS occupancy FROM (SELECT name, c / sum(c) OVER (PARTITION BY name) AS p FROM (SELECT name, kmer, count(*) AS c FROM ({kmer_sql(7)}) GROUP BY ALL)) GROUP BY name", "entropy_bits entropy_norm occupancy")
+def _(spark, sf):
+    return spectra.kmer_entropy(seqs(spark, sf), 7)
+
+
+def _vec(k: int, t: str = "seq", keys: str = "name") -> str:
+    words = "||".join(f"substr('ACGT', (i // {4 ** (k - 1 - j)}) % 4 + 1, 1)" for j in range(k))
+    return f"""SELECT {', '.join(f'k.{x}' for x in keys.split(', '))}, k.kmer, CASE WHEN sum(coalesce(c, 0)) OVER w > 0 THEN coalesce(c, 0) / sum(coalesce(c, 0)) OVER w ELSE 1.0 / {4**k} END AS p
+ FROM (SELECT {keys}, {words} AS kmer FROM (SELECT DISTINCT {keys} FROM {t}), (SELECT unnest(range({4**k})) AS i)) k
+ LEFT JOIN (SELECT {keys}, kmer, count(*) AS c FROM ({kmer_sql(k, t, keys)}) GROUP BY ALL) n USING ({keys}, kmer) WINDOW w AS (PARTITION BY {', '.join(f'k.{x}' for x in keys.split(', '))})"""
+
+
+@query("kmer_vectors", with_(SEQ) + _vec(3), "p")
+def _(spark, sf):
+    return spectra.kmer_vectors(seqs(spark, sf), 3)
+
+
+_FR = "2 * acos(greatest(0, least(1, sum(sqrt(p * q)) / sqrt((sum(p) + 1e-15) * (sum(q) + 1e-15)))))"
+
+
+@query("fisher_to_uniform", with_(SEQ) + f"SELECT name, {_FR.replace('q', '0.0625').replace('s0.0625rt', 'sqrt')} AS fisher_to_uniform FROM ({_vec(2)}) GROUP BY name", "fisher_to_uniform")
+def _(spark, sf):
+    return spectra.fisher_to_uniform(seqs(spark, sf))
+
+
+@query("fisher_to_centroid", with_(SEQ, f"v AS ({_vec(2)})", "m AS (SELECT kmer, avg(p) AS a FROM v GROUP BY kmer)", "c AS (SELECT kmer, a / (SELECT sum(a) FROM m) AS q FROM m)") + f"SELECT name, {_FR} AS fisher_to_centroid FROM v JOIN c USING (kmer) GROUP BY name", "fisher_to_centroid")
+def _(spark, sf):
+    return spectra.fisher_to_centroid(seqs(spark, sf))
+
+
+@query("fisher_rao_matrix", with_(SEQ, f"v AS (SELECT name, kmer, c / sum(c) OVER (PARTITION BY name) AS p FROM (SELECT name, kmer, count(*) AS c FROM ({kmer_sql(3)}) GROUP BY ALL))") + "SELECT a.name AS a, b.name AS b, 2 * acos(greatest(-1, least(1, sum(sqrt(a.p * b.p))))) AS distance FROM v a JOIN v b USING (kmer) WHERE a.name < b.name GROUP BY ALL", "distance")
+def _(spark, sf):
+    return spectra.fisher_matrix(seqs(spark, sf))
+
+
+def _jaccard_sql(k: int) -> str:
+    return with_(SEQ, f"w AS (SELECT DISTINCT name, kmer FROM ({kmer_sql(k)}))", "n AS (SELECT name, count(*) AS n FROM w GROUP BY name)") + "SELECT a.name AS a, b.name AS b, count(*) AS shared, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS jaccard FROM w a JOIN w b USING (kmer) JOIN n x ON x.name = a.name JOIN n y ON y.name = b.name WHERE a.name < b.name GROUP BY ALL"
+
+
+@query("kmer_jaccard", _jaccard_sql(7), "jaccard")
+def _(spark, sf):
+    return spectra.jaccard(seqs(spark, sf), 7)
+
+
+@query("kmer_jaccard_k4", _jaccard_sql(4), "jaccard")
+def _(spark, sf):
+    return spectra.jaccard(seqs(spark, sf), 4)
+
+
+_RHO = (
+    SEQ, "mono AS (SELECT name, length(sequence) AS n, " + ", ".join(f"length(sequence) - length(replace(sequence, '{b}', '')) AS {b}" for b in "ACGT") + " FROM seq)",
+    f"di AS (SELECT name, kmer, count(*) AS c FROM ({kmer_sql(2)}) GROUP BY ALL)",
+    "g AS (SELECT name, n, substr('ACGT', i // 4 + 1, 1) || substr('ACGT', i % 4 + 1, 1) AS pair, [A, C, G, T][i // 4 + 1] AS x, [A, C, G, T][i % 4 + 1] AS y, A + C + G + T + 1e-15 AS s FROM mono, (SELECT unnest(range(16)) AS i))",
+    "r AS (SELECT g.name, pair, (coalesce(c, 0) / (sum(coalesce(c, 0)) OVER (PARTITION BY g.name) + 1e-15)) / (x / s * (y / s) + 1e-15) AS rho, CASE WHEN x > 0 AND y > 0 THEN (coalesce(c, 0) / greatest(n - 1, 1)) / ((x / n) * (y / n)) END AS rho_exact FROM g LEFT JOIN di ON di.name = g.name AND di.kmer = g.pair)",
+)
+
+
+@query("dinucleotide_rho", with_(*_RHO) + "SELECT name, pair, rho, rho_exact FROM r", "rho rho_exact")
+def _(spark, sf):
+    return spectra.dinucleotide_rho(seqs(spark, sf)).select("name", "pair", "rho", F.when(F.col("present"), F.col("rho_exact")).alias("rho_exact"))
+
+
+@query("dinucleotide_summary", with_(*_RHO) + "SELECT name, avg(abs(rho_exact - 1)) AS dinu_rho_dev, avg(abs(rho - 1)) AS rho_mean_deviation, first(pair ORDER BY rho DESC, pair) AS most_over, first(pair ORDER BY rho, pair) AS most_under FROM r GROUP BY name", "dinu_rho_dev rho_mean_deviation")
+def _(spark, sf):
+    return spectra.rho_summary(seqs(spark, sf))
+
+
+_SKEW = "length(piece) - length(replace(piece, '{}', ''))"
+
+
+@query("gc_skew", with_(SEQ, "t AS (SELECT name, substr(sequence, start + 1, w) AS piece FROM (SELECT name, sequence, w, unnest(range(0, length(sequence) - w + 1, w)) AS start FROM (SELECT *, greatest(100, length(sequence) // 32) AS w FROM seq WHERE length(sequence) >= 1000)))", f"v AS (SELECT name, (g - c) / greatest(g + c, 1) AS v FROM (SELECT name, {_SKEW.format('G')} AS g, {_SKEW.format('C')} AS c FROM t))") + "SELECT seq.name, avg(v) AS gc_skew_mean, stddev_pop(v) AS gc_skew_std, max(abs(v)) AS gc_skew_max_abs FROM seq LEFT JOIN v USING (name) GROUP BY seq.name", "gc_skew_mean gc_skew_std gc_skew_max_abs")
+def _(spark, sf):
+    return spectra.gc_skew(seqs(spark, sf))
+
+
+@query("skew_analysis", with_(SEQ, "t AS (SELECT name, substr(sequence, start + 1, 2000) AS piece FROM (SELECT name, sequence, unnest(range(0, length(sequence) - 2000 + 1, 1000)) AS start FROM seq))", f"v AS (SELECT name, CASE WHEN g + c > 0 THEN (g - c) / (g + c) END AS gc, CASE WHEN a + t > 0 THEN (a - t) / (a + t) END AS \"at\" FROM (SELECT name, {', '.join(_SKEW.format(b) + ' AS ' + b.lower() for b in 'ACGT')} FROM t))") + "SELECT seq.name, avg(gc) AS gc_skew_mean, stddev_pop(gc) AS gc_skew_std, max(abs(gc)) AS gc_skew_max_abs, avg(\"at\") AS at_skew_mean FROM seq LEFT JOIN v USING (name) GROUP BY seq.name", "gc_skew_mean gc_skew_std gc_skew_max_abs at_skew_mean")
+def _(spark, sf):
+    return spectra.skew_analysis(seqs(spark, sf), 2000)
+
+
+@query("phase3", with_(SEQ, SYM, "m AS (SELECT name, pos % 3 AS phase, avg(CASE WHEN base IN ('C', 'G') THEN 1.0 ELSE 0.0 END) AS m FROM sym WHERE name IN (SELECT name FROM seq WHERE length(sequence) >= 90) GROUP BY ALL)", "p AS (SELECT *, m / (sum(m) OVER (PARTITION BY name) + 1e-15) AS p FROM m)") + "SELECT seq.name, stddev_pop(m) AS phase3_strength, coalesce(sum(CASE WHEN p > 0 THEN -p * log2(p) END), CASE WHEN count(m) > 0 THEN 0 END) / log2(3) AS phase3_entropy, max(m) - min(m) AS phase3_gc_delta FROM seq LEFT JOIN p USING (name) GROUP BY seq.name", "phase3_strength phase3_entropy phase3_gc_delta")
+def _(spark, sf):
+    return spectra.phase3(seqs(spark, sf))
+
+
+_PATCH = "pt AS (SELECT name, start // w AS tile, substr(sequence, start + 1, w) AS sequence FROM (SELECT name, sequence, w, unnest(range(0, length(sequence) - w + 1, w)) AS start FROM (SELECT *, CASE WHEN length(sequence) < 6000 THEN greatest(200, length(sequence) // 4) ELSE 3000 END AS w FROM seq)))"
+
+
+@query("patch_inconsistency", with_(SEQ, _PATCH, f"l AS ({_vec(3, 'pt', 'name, tile')})", f"g AS ({_vec(3)})", "d AS (SELECT l.name, tile, sqrt(sum(pow(sqrt(l.p) - sqrt(g.p), 2)) / 2) AS d FROM l JOIN g USING (name, kmer) GROUP BY ALL)") + "SELECT seq.name, avg(d) AS patch_kmer_inconsistency FROM seq LEFT JOIN d USING (name) GROUP BY seq.name", "patch_kmer_inconsistency")
+def _(spark, sf):
+    return spectra.patch_inconsistency(seqs(spark, sf))
+
+
+def _triple_sql(size: str, step: str) -> str:
+    dot = "list_dot_product({0}, {1})"
+    cos = lambda x, y: f"{dot.format(x, y)} / (sqrt({dot.format(x, x)}) * sqrt({dot.format(y, y)}) + 1e-15)"
+    return with_(
+        SEQ, f"pt AS (SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY start) AS BIGINT) AS tile, substr(sequence, start + 1, w) AS sequence FROM (SELECT name, sequence, w, unnest(range(0, length(sequence) - w + 1, st)) AS start FROM (SELECT *, {size} AS w, {step} AS st FROM seq) WHERE w > 0))",
+        "k AS (SELECT name, tile, i, substr(sequence, CAST(i AS BIGINT), 3) AS kmer FROM (SELECT name, tile, sequence, unnest(range(1, length(sequence) - 1)) AS i FROM pt))",
+        "c AS (SELECT name, tile, kmer, count(*)::DOUBLE AS c, min(i) AS i FROM k GROUP BY ALL)", "v AS (SELECT name, tile, list(c ORDER BY i) AS v FROM c GROUP BY ALL)",
+        "t AS (SELECT name, tile, v AS a, lead(v, 1) OVER w AS b, lead(v, 2) OVER w AS c, lead(tile, 2) OVER w AS t2 FROM v WINDOW w AS (PARTITION BY name ORDER BY tile))",
+        "s AS (SELECT name, a[1:n] AS a, b[1:n] AS b, c[1:n] AS c FROM (SELECT *, least(len(a), len(b), len(c)) AS n FROM t WHERE t2 = tile + 2))",
+    ) + f"SELECT seq.name, avg(abs({cos('a', 'b')} * ({cos('b', 'c')}) - {cos('a', 'c')})) AS h1_obstruction FROM seq LEFT JOIN s USING (name) GROUP BY seq.name"
+
+
+@query("triple_obstruction", _triple_sql("least(200, length(sequence) // 50)", "least(200, length(sequence) // 50) - least(200, length(sequence) // 50) // 2"), "h1_obstruction")
+def _(spark, sf):
+    return spectra.triple_obstruction(seqs(spark, sf))
+
+
+@query("triple_obstruction_fixed", _triple_sql("100", "50"), "h1_obstruction")
+def _(spark, sf):
+    return spectra.triple_obstruction(seqs(spark, sf), 100, 50)
+
+
+@query("degree_entropy", with_(SEQ, "d AS (SELECT name, length(rtrim(substr(sequence, start + 1, 60), 'A')) - 1 AS degree FROM (SELECT name, sequence, unnest(range(0, length(sequence) - 59, 60)) AS start FROM seq))", "p AS (SELECT name, count(*) / sum(count(*)) OVER (PARTITION BY name) AS p FROM d WHERE degree >= 0 GROUP BY name, degree)") + "SELECT seq.name, -sum(p * log2(p)) AS gf4_entropy FROM seq LEFT JOIN p USING (name) GROUP BY seq.name", "gf4_entropy")
+def _(spark, sf):
+    return spectra.degree_entropy(seqs(spark, sf))
+
+
+_LAG_LIST = "[1, 2, 3, 6, 9, 12, 30, 100, 300, 1000, 3000, 10000]"
+_MI = (
+    SEQ, SYM, f"pr AS (SELECT x.name, lag, x.base AS a, y.base AS b, count(*) AS c FROM (SELECT name, base, lag, pos + lag AS place FROM sym, (SELECT unnest({_LAG_LIST}) AS lag)) x JOIN sym y ON y.name = x.name AND y.pos = x.place WHERE x.name IN (SELECT name FROM seq WHERE length(sequence) >= 4) GROUP BY ALL)",
+    "mi AS (SELECT name, lag, sum(c / n * log2(c * n / (ca * cb))) AS mi FROM (SELECT *, sum(c) OVER (PARTITION BY name, lag) AS n, sum(c) OVER (PARTITION BY name, lag, a) AS ca, sum(c) OVER (PARTITION BY name, lag, b) AS cb FROM pr) GROUP BY ALL)",
+)
+
+
+@query("mutual_information", with_(*_MI) + "SELECT name, CAST(lag AS INTEGER) AS lag, mi FROM mi", "mi")
+def _(spark, sf):
+    return spectra.mutual_information(seqs(spark, sf))
+
+
+@query("dependency_summary", with_(*_MI, "t AS (SELECT *, (ln(1 + lag) - lag(ln(1 + lag)) OVER w) * (mi + lag(mi) OVER w) / 2 AS area FROM mi WINDOW w AS (PARTITION BY name ORDER BY lag))") + "SELECT name, CASE WHEN count(*) >= 3 THEN regr_slope(ln(mi + 1e-12), ln(lag)) END AS mi_decay_slope, CASE WHEN count(*) >= 3 THEN sum(area) END AS mi_decay_auc, max(mi) FILTER (lag = 3) - avg(mi) FILTER (lag IN (2, 4, 6)) AS mi_period3_excess, avg(mi) FILTER (lag <= 12) AS mi_short_range_mean, avg(mi) FILTER (lag >= 100) AS mi_long_range_mean FROM t GROUP BY name", "mi_decay_slope mi_decay_auc mi_period3_excess mi_short_range_mean mi_long_range_mean")
+def _(spark, sf):
+    return spectra.dependency_summary(spectra.mutual_information(seqs(spark, sf)))
+
+
+# --- walks, fluctuation ---------------------------------------------------------------------------------
+
+_WALK = "wk AS (SELECT name, pos, sum(CASE WHEN base IN ('A', 'G') THEN 1 ELSE -1 END) OVER w AS x, sum(CASE WHEN base IN ({0}) THEN 1 ELSE -1 END) OVER w AS y, count(*) OVER (PARTITION BY name) AS len FROM {1} WINDOW w AS (PARTITION BY name ORDER BY pos))"
+
+
+@query("running_walk", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym")) + "SELECT name, CAST(max(x) AS DOUBLE) AS top, CAST(min(y) AS DOUBLE) AS low, CAST(sum(x * y) AS DOUBLE) AS moment FROM wk GROUP BY name", "top low moment")
+def _(spark, sf):
+    w = fractal.walk(seqs(spark, sf), {"x": S.signal(F.col("base"), "purine"), "y": S.signal(F.col("base"), "keto")})
+    return w.groupBy("name").agg(F.max("x").alias("top"), F.min("y").alias("low"), F.sum(F.col("x") * F.col("y")).alias("moment"))
+
+
+@query("box_dimension", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym"), "b AS (SELECT DISTINCT name, e, floor((x - x0) / pow(2, e)) AS bx, floor((y - y0) / pow(2, e)) AS yb FROM (SELECT *, min(x) OVER (PARTITION BY name) AS x0, min(y) OVER (PARTITION BY name) AS y0, greatest(4, CAST(floor(log2(len)) AS INTEGER) - 2) AS top FROM wk WHERE len >= 500), (SELECT unnest(range(3, 30)) AS e) WHERE e < top AND top - 3 >= 3)", "n AS (SELECT name, e, count(*) AS n FROM b GROUP BY ALL HAVING count(*) > 1)") + "SELECT seq.name, CASE WHEN count(n) >= 3 THEN regr_slope(ln(n), ln(1 / pow(2, e))) END AS chaos_walk_box_dim_proxy FROM seq LEFT JOIN n USING (name) GROUP BY seq.name", "chaos_walk_box_dim_proxy")
+def _(spark, sf):
+    return fractal.box_dimension(seqs(spark, sf))
+
+
+@query("walk_dimension", with_(SEQ, "pre AS (SELECT name, unnest(range(least(200000, length(sequence) // 10))) AS pos, unnest(string_split(substr(sequence, 1, least(200000, length(sequence) // 10)), '')) AS base FROM seq WHERE length(sequence) >= 500)", _WALK.format("'A', 'T'", "pre"), "b AS (SELECT DISTINCT name, e, CAST(trunc(x / pow(2, e)) AS BIGINT) AS bx, CAST(trunc(y / pow(2, e)) AS BIGINT) AS yb FROM (SELECT *, CAST(floor(log2(len)) AS INTEGER) - 2 AS top FROM wk), (SELECT unnest(range(3, 30)) AS e) WHERE e < top)", "n AS (SELECT name, e, count(*) AS n FROM b GROUP BY ALL)") + "SELECT seq.name, round(regr_slope(ln(n), ln(1 / pow(2, e))), 4) AS fractal_dim FROM seq LEFT JOIN n USING (name) GROUP BY seq.name", "fractal_dim")
+def _(spark, sf):
+    return fractal.walk_dimension(seqs(spark, sf))
+
+
+_SCALES = [16, 24, 36, 54, 80, 120]
+
+
+def _profile(df: DataFrame) -> DataFrame:
+    w = fractal.walk(df, {"x": S.signal(F.col("base"), "purine")})
+    n = df.select("name", F.length("sequence").cast("long").alias("len"))
+    last = w.groupBy("name").agg(F.max_by("x", "pos").alias("total"))
+    return w.join(last.join(n, "name"), "name").select("name", "pos", "len", (F.col("x") - F.col("total") / F.col("len") * (F.col("pos") + 1)).alias("y"))
+
+
+@query("fluctuation_hurst", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym"), "pf AS (SELECT name, pos, len, x - last_value(x) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / len * (pos + 1) AS y FROM wk)", f"v AS (SELECT name, scale, pos // scale AS seg, sqrt(greatest(0, regr_syy(y, (pos % scale)::DOUBLE) - pow(regr_sxy(y, (pos % scale)::DOUBLE), 2) / regr_sxx(y, (pos % scale)::DOUBLE)) / count(*)) + 1e-12 AS r FROM pf, (SELECT unnest({_SCALES}) AS scale) WHERE (pos // scale + 1) * scale <= len GROUP BY ALL)", "f AS (SELECT name, scale, q, CASE WHEN q = 0 THEN exp(avg(ln(r))) ELSE pow(avg(pow(r, q)), 1.0 / nullif(q, 0)) END AS f FROM v, (SELECT unnest([0.0, 2.0, 4.0]) AS q) GROUP BY ALL)") + "SELECT name, CAST(q AS DOUBLE) AS q, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(scale)) END AS h FROM f GROUP BY name, q", "q h")
+def _(spark, sf):
+    v = fractal.fluctuation(_profile(seqs(spark, sf)), _SCALES)
+    return fractal.generalised_hurst(v, [0, 2, 4], 1e-12)
+
+
+# --- kernels (rows only, but for the spectrum) ------------------------------------------------------------
+
+
+@query("spectrum_tiles", with_(SEQ, "t AS (SELECT name, start // 64 AS tile, substr(sequence, start + 1, 64) AS piece FROM (SELECT name, sequence, unnest(range(0, length(sequence) - 63, 64)) AS start FROM seq))", "s AS (SELECT name, tile, unnest(range(64)) AS i, unnest(string_split(piece, '')) AS base FROM t)", f"z AS (SELECT name, tile, i, re - avg(re) OVER w AS re, im - avg(im) OVER w AS im FROM (SELECT name, tile, i, {_SIG['re']} AS re, {_SIG['im']} AS im FROM s) WINDOW w AS (PARTITION BY name, tile))", "f AS (SELECT name, tile, k, sum(re * cos(2 * pi() * i * k / 64) + im * sin(2 * pi() * i * k / 64)) AS a, sum(im * cos(2 * pi() * i * k / 64) - re * sin(2 * pi() * i * k / 64)) AS b FROM z, (SELECT unnest(range(32)) AS k) GROUP BY ALL)", "p AS (SELECT name, tile, k, CASE WHEN k = 0 THEN 0 ELSE a * a + b * b END AS p, abs(k / 64.0 - 1.0 / 3) < 0.015 AS band FROM f)") + "SELECT name, CAST(tile AS BIGINT) AS tile, max(p) / (avg(p) + 1e-15) AS fft_peak_ratio, coalesce(sum(p) FILTER (band), 0) / (sum(p) + 1e-15) AS fft_codon_band, (avg(p) FILTER (band) - avg(p) FILTER (NOT band)) / (stddev_pop(p) FILTER (NOT band) + 1e-15) AS fft_codon_z FROM p GROUP BY name, tile", "fft_peak_ratio fft_codon_band fft_codon_z")
+def _(spark, sf):
+    t = T.tiles(seqs(spark, sf), 64).select("name", F.col("tile").cast("long").alias("tile"), F.col("piece").alias("sequence"))
+    got = windows.kernel_features(t, ["fft"], Config(), ["name", "tile"])
+    return got.select("name", "tile", "fft_peak_ratio", "fft_codon_band", "fft_codon_z")
+
+
+@query("spectral_features")
+def _(spark, sf):
+    return windows.kernel_features(seqs(spark, sf), list(windows.GROUPS), Config(), ["name"])
+
+
+@query("prefix_spectrum")
+def _(spark, sf):
+    return windows.per_record(seqs(spark, sf), "name string, dominant_freq double, amplitude_ratio double, codon_power_ratio double", K.prefix_spectrum)
+
+
+@query("prefix_spectrum_fixed")
+def _(spark, sf):
+    return windows.per_record(seqs(spark, sf), "name string, dominant_freq double, amplitude_ratio double", lambda s: {k: v for k, v in K.prefix_spectrum(s, 60_000, None).items() if k[0] != "c"})
+
+
+@query("whole_spectrum")
+def _(spark, sf):
+    return windows.per_record(seqs(spark, sf), "name string, dominant_freq double", lambda s: {"dominant_freq": K.prefix_spectrum(s, 0, None, True)["dominant_freq"]})
+
+
+@query("hankel_entropy")
+def _(spark, sf):
+    return windows.per_record(seqs(spark, sf), "name string, adaptive double, fixed double", lambda s: {"adaptive": K.hankel_entropy(s), "fixed": K.hankel_entropy(s, 256, 128, 8000, False)})
+
+
+@query("wavelet")
+def _(spark, sf):
+    return windows.per_record(seqs(spark, sf), "name string, dominant_scale_bp long, codon_scale_ratio double, helix_scale_ratio double, fixed_scale_bp long", lambda s: {**K.wavelet(s), "fixed_scale_bp": K.wavelet_old(s)})
+
+
+@query("homology")
+def _(spark, sf):
+    def both(s):
+        old = K.homology(s, 300, 5, False)
+        return {**K.homology(s), "coarse_betti_0": old["betti_0"]}
+
+    return windows.per_record(seqs(spark, sf), "name string, betti_0 long, betti_1 long, method string, coarse_betti_0 long", both)
+
+
+@query("multifractal")
+def _(spark, sf):
+    def both(s):
+        old = K.multifractal(s, 20_000, 0)
+        return {**K.multifractal(s), "fixed_alpha": old["alpha_mean"], "fixed_width": old["spectrum_width"]}
+
+    return windows.per_record(seqs(spark, sf), "name string, alpha_mean double, spectrum_width double, fixed_alpha double, fixed_width double", both)
+
+
+@query("zlib_ratio")
+def _(spark, sf):
+    return windows.per_record(seqs(spark, sf), "name string, lz_ratio double", lambda s: {"lz_ratio": K.zlib_ratio(s)})
+
+
+# --- statistics -----------------------------------------------------------------------------------------
+
+
+@query("group_summary", "SELECT l_returnflag, count(*) AS n_windows, " + ", ".join(f"avg({c}) AS {c}_mean, coalesce(stddev_samp({c}), 0) AS {c}_sd, 1.96 * coalesce(stddev_samp({c}), 0) / sqrt(count({c})) AS {c}_ci95" for c in ("l_quantity", "l_extendedprice", "l_discount")) + " FROM lineitem GROUP BY l_returnflag", " ".join(f"{c}_{s}" for c in ("l_quantity", "l_extendedprice", "l_discount") for s in ("mean", "sd", "ci95")))
+def _(spark, sf):
+    return stats.summary(table(spark, sf, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+_PAIRS = (SEQ, _EVEN, f"""f AS (SELECT name, replicate, 'observed' AS source, sequence AS s FROM ev UNION ALL SELECT name, replicate, 'revcomp', translate(reverse(sequence), 'ACGT', 'TGCA') FROM ev)""",
+          "v AS (UNPIVOT (SELECT name, replicate, source, (length(s) - length(replace(s, 'A', '')))::DOUBLE AS a_count, (length(s) - length(replace(s, 'G', '')))::DOUBLE AS g_count FROM f) ON a_count, g_count INTO NAME feature VALUE value)",
+          "pr AS (SELECT o.feature, c.source AS control, o.value AS o, c.value AS c FROM v o JOIN v c ON o.name = c.name AND o.replicate = c.replicate AND o.feature = c.feature WHERE o.source = 'observed' AND c.source <> 'observed')")
+
+
+def _pair_values(spark, sf):
+    w = windows.even_windows(seqs(spark, sf), WIN, 8).withColumn("source", F.lit("observed"))
+    both = w.unionByName(w.withColumns({"source": F.lit("revcomp"), "sequence": S.revcomp(F.col("sequence"))}))
+    feats = both.select("name", "replicate", "source", S.count_of(F.col("sequence"), "A").cast("double").alias("a_count"), S.count_of(F.col("sequence"), "G").cast("double").alias("g_count"))
+    return stats.long_form(feats, ["name", "replicate", "source"])
+
+
+@query("paired_stats", with_(*_PAIRS) + "SELECT feature, control, count(*) AS n_pairs, avg(c) AS null_mean, stddev_samp(c) AS null_sd, avg(o - c) AS delta_mean_paired, stddev_samp(o - c) AS delta_sd_paired, avg(o - c) / (sqrt((var_samp(o) + var_samp(c)) / 2) + 1e-15) AS cohens_d_pooled, avg(o - c) / (stddev_samp(o - c) + 1e-15) AS paired_standardized_mean FROM pr GROUP BY feature, control HAVING count(*) >= 2", "null_mean null_sd delta_mean_paired delta_sd_paired cohens_d_pooled paired_standardized_mean")
+def _(spark, sf):
+    return stats.paired_stats(stats.paired(_pair_values(spark, sf), ["name", "replicate"]))
+
+
+@query("permutation_tests")
+def _(spark, sf):
+    return stats.permutation_tests(stats.paired(_pair_values(spark, sf), ["name", "replicate"]), 199)
+
+
+@query("unpaired_stats", with_(*_PAIRS, "o AS (SELECT feature, avg(value) AS om, var_samp(value) AS ov FROM v WHERE source = 'observed' GROUP BY feature HAVING count(*) >= 3)", "n AS (SELECT feature, source AS control, avg(value) AS nm, var_samp(value) AS nv, count(*) AS nn FROM v WHERE source <> 'observed' GROUP BY ALL HAVING count(*) >= 3)") + "SELECT n.feature, control, nm AS null_mean, sqrt(nv) AS null_sd, om - nm AS delta, (om - nm) / (sqrt((ov + nv) / 2) + 1e-15) AS cohens_d, ((SELECT count(*) FROM v WHERE v.feature = n.feature AND v.source = control AND abs(value - nm) >= abs(om - nm)) + 1) / (nn + 1) AS empirical_p_rough FROM n JOIN o USING (feature)", "null_mean null_sd delta cohens_d empirical_p_rough")
+def _(spark, sf):
+    return stats.unpaired_stats(_pair_values(spark, sf))
+
+
+@query("benjamini_hochberg", "SELECT c_custkey, p, CASE WHEN p IS NULL THEN 1.0 ELSE min(least(1.0, coalesce(p * m / rn, 1.0))) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS q FROM (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, c_custkey) AS rn, count(*) OVER () AS m FROM (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE abs(c_acctbal) / 20000 END AS p FROM customer))", "p q")
+def _(spark, sf):
+    d = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 11 != 0, F.abs("c_acctbal") / 20000).alias("p"))
+    return stats.benjamini_hochberg(d, "p", ["c_custkey"], "q")
+
+
+@query("correlations", "SELECT feature, count(*) AS n, corr(value, t) AS r FROM (UNPIVOT (SELECT l_extendedprice AS t, l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount, l_tax::DOUBLE AS l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME feature VALUE value) GROUP BY feature HAVING count(*) >= 4", "r")
+def _(spark, sf):
+    return stats.correlations(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+
+
+_COR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("correlation_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({a}, {b}) AS r FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a in _COR for b in _COR), "r")
+def _(spark, sf):
+    return stats.correlation_matrix(table(spark, sf, "lineitem"), list(_COR))
+
+
+@query("radar", "SELECT p_brand, avg((p_size - lo1) / (hi1 - lo1 + 1e-10)) AS p_size, avg(1 - (p_retailprice - lo2) / (hi2 - lo2 + 1e-10)) AS p_retailprice FROM part, (SELECT min(p_size) AS lo1, max(p_size) AS hi1, min(p_retailprice) AS lo2, max(p_retailprice) AS hi2 FROM part) GROUP BY p_brand", "p_size p_retailprice")
+def _(spark, sf):
+    return stats.radar(table(spark, sf, "part"), "p_brand", ["p_size", "p_retailprice"], ["p_retailprice"])
+
+
+@query("projection_score", with_("v AS (SELECT s_suppkey AS k, list_filter([CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END, s_nationkey::DOUBLE, s_suppkey::DOUBLE], lambda x: x IS NOT NULL) AS v FROM supplier)", "u AS (SELECT k, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v)") + "SELECT avg(list_dot_product(a.u[1:least(len(a.u), len(b.u))], b.u[1:least(len(a.u), len(b.u))])) AS score FROM u a JOIN u b ON a.k < b.k", "score")
+def _(spark, sf):
+    d = table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("x"), F.col("s_nationkey").cast("double").alias("y"), F.col("s_suppkey").cast("double").alias("z"))
+    return stats.projection_score(d, "s_suppkey", ["x", "y", "z"])
+
+
+@query("nan_rates", "SELECT feature, count(*) AS n, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS nan_rate FROM (SELECT 'quality' AS feature, l.quality AS v FROM documents d LEFT JOIN labels l USING (doc_id) UNION ALL SELECT 'toxic', l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY feature", "nan_rate")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    return stats.quality(d, ["quality", "toxic"], ["doc_id"])
+
+
+@query("source_totals", with_(SEQ) + "SELECT organism_type, count(*) AS n, CAST(sum(length(sequence)) AS BIGINT) AS clean_bp, CAST(sum(raw_length) AS BIGINT) AS raw_bp, avg(100.0 * length(sequence) / raw_length) AS mean_retained_pct FROM seq GROUP BY organism_type", "mean_retained_pct")
+def _(spark, sf):
+    s = seqs(spark, sf)
+    return s.groupBy("organism_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sequence").cast("long")).alias("clean_bp"), F.sum("raw_length").alias("raw_bp"), F.avg(100.0 * F.length("sequence") / F.col("raw_length")).alias("mean_retained_pct"))
+
+
+@query("top_effects", "SELECT o_orderpriority AS feature, max(abs(o_totalprice - 100000)) AS max_abs_d FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3", "max_abs_d")
+def _(spark, sf):
+    return stats.top_effects(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("feature"), (F.col("o_totalprice") - 100000).alias("cohens_d_pooled")), 3)
+
+
+@query("arg_extrema", "SELECT o_custkey, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS peak, first(o_orderkey ORDER BY o_totalprice, o_orderkey) AS low FROM orders GROUP BY o_custkey")
+def _(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", stats.first_wins(F.col("o_totalprice"), F.col("o_orderkey"))).alias("peak"), F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("low"))
+
+
+@query("percentiles", "SELECT event_type, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.05) AS p5 FROM events GROUP BY event_type", "p10 p5")
+def _(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", 0.1).alias("p10"), F.percentile("value", 0.05).alias("p5"))
+
+
+@query("steps_and_ranks", "SELECT user_id, event_id, value - lag(value) OVER w AS step, CAST(row_number() OVER w AS INTEGER) - 1 AS replicate, value - avg(value) OVER (PARTITION BY user_id) AS centred FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", "step centred")
+def _(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf, "events").select("user_id", "event_id", (F.col("value") - F.lag("value").over(w)).alias("step"), (F.row_number().over(w) - 1).alias("replicate"), (F.col("value") - F.avg("value").over(Window.partitionBy("user_id"))).alias("centred"))
+
+
+@query("presence_matrix", with_(SEQ, f"w AS (SELECT DISTINCT name, kmer FROM ({kmer_sql(4)}))", "u AS (SELECT kmer FROM (SELECT DISTINCT kmer FROM w) ORDER BY kmer LIMIT 50)") + "SELECT seq.name, u.kmer, CASE WHEN w.kmer IS NULL THEN 0 ELSE 1 END AS present FROM seq CROSS JOIN u LEFT JOIN w ON w.name = seq.name AND w.kmer = u.kmer")
+def _(spark, sf):
+    s = seqs(spark, sf)
+    words = T.kmers(s, 4).select("name", "kmer").distinct()
+    top = words.select("kmer").distinct().orderBy("kmer").limit(50)
+    return s.select("name").crossJoin(F.broadcast(top)).join(words.withColumn("present", F.lit(1)), ["name", "kmer"], "left").fillna(0, ["present"])
+
+
+# --- graphs ---------------------------------------------------------------------------------------------
+
+_E = f"e AS (SELECT substr(kmer, 1, 3) AS src, substr(kmer, 2, 3) AS dst, count(*) AS weight FROM ({kmer_sql(4)}) GROUP BY ALL)"
+
+
+def _edges(spark, sf) -> DataFrame:
+    return graphs.edges(seqs(spark, sf), 4)
+
+
+@query("graph_edges", with_(SEQ, _E) + "SELECT src, dst, weight FROM e")
+def _(spark, sf):
+    return _edges(spark, sf)
+
+
+@query("graph_stats", with_(SEQ, f"e AS (SELECT name, substr(kmer, 1, 3) AS src, substr(kmer, 2, 3) AS dst, count(*) AS weight FROM ({kmer_sql(4)}) GROUP BY ALL)", "n AS (SELECT name, count(*) AS nodes FROM (SELECT name, src FROM e UNION SELECT name, dst FROM e) GROUP BY name)") + "SELECT name, any_value(nodes) AS nodes, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS total_weight, any_value(nodes) / 64.0 AS node_occupancy, count(*) / 256.0 AS edge_occupancy, coalesce(count(*) / nullif(any_value(nodes) * (any_value(nodes) - 1), 0), 0) AS density FROM e JOIN n USING (name) GROUP BY name", "node_occupancy edge_occupancy density")
+def _(spark, sf):
+    return graphs.stats(graphs.edges(seqs(spark, sf), 4, ("name",)), 4, ("name",))
+
+
+_PR = "WITH RECURSIVE " + ",\n".join((SEQ, _E, "nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e)", "fl AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e)", "cnt AS (SELECT count(*) AS n FROM nd)", "sink AS (SELECT node FROM nd WHERE node NOT IN (SELECT src FROM e))",
+    "pr AS (SELECT 0 AS it, node, 1.0 / n AS rank FROM nd, cnt UNION ALL SELECT it + 1, nd.node, 0.85 * (coalesce((SELECT sum(p.rank * fl.share) FROM pr p JOIN fl ON fl.src = p.node WHERE fl.dst = nd.node), 0) + coalesce((SELECT sum(rank) FROM pr p WHERE p.node IN (SELECT node FROM sink)), 0) / n) + 0.15 / n FROM nd, cnt, (SELECT max(it) AS it FROM pr) WHERE it < 40)"))
+
+
+@query("pagerank", _PR + "\nSELECT node, rank FROM pr WHERE it = 40", "rank")
+def _(spark, sf):
+    return graphs.pagerank(_edges(spark, sf), rounds=40, tol=0)
+
+
+@query("pagerank_frame", _PR + "\nSELECT node, rank FROM pr WHERE it = 10", "rank")
+def _(spark, sf):
+    return graphs.pagerank_frame(_edges(spark, sf), rounds=10)
+
+
+@query("top_pagerank", _PR + "\nSELECT node, rank FROM pr WHERE it = 40 ORDER BY round(rank, 9) DESC, node LIMIT 10", "rank")
+def _(spark, sf):
+    return graphs.pagerank(_edges(spark, sf), rounds=40, tol=0).orderBy(F.desc(F.round("rank", 9)), "node").limit(10)
+
+
+@query("strong_components", "WITH RECURSIVE " + ",\n".join((SEQ, _E, "r AS (SELECT src AS a, src AS b FROM e UNION SELECT dst, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)")) + "\nSELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def _(spark, sf):
+    return graphs.strong_components(_edges(spark, sf))
+
+
+@query("node_degrees", with_(SEQ, _E, "d AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e)") + "SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree FROM d GROUP BY node")
+def _(spark, sf):
+    return graphs.degrees(_edges(spark, sf))
+
+
+@query("degree_histogram", with_(SEQ, _E, "d AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node)") + "SELECT 'in' AS kind, CAST(i AS BIGINT) AS degree, count(*) AS n FROM d GROUP BY i UNION ALL SELECT 'out', CAST(o AS BIGINT), count(*) FROM d GROUP BY o")
+def _(spark, sf):
+    return graphs.degree_histogram(_edges(spark, sf))
+
+
+@query("clustering", with_(SEQ, _E, "u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst)", "n AS (SELECT node, count(*) AS d FROM (SELECT a AS node FROM u UNION ALL SELECT b FROM u) GROUP BY node)", "t AS (SELECT unnest([x.a, x.b, y.b]) AS node FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b)", "nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e)") + "SELECT node, coalesce(d, 0) AS degree, coalesce(tr, 0) AS triangles, CASE WHEN d > 1 THEN 2.0 * coalesce(tr, 0) / (d * (d - 1)) ELSE 0 END AS coefficient FROM nd LEFT JOIN n USING (node) LEFT JOIN (SELECT node, count(*) AS tr FROM t GROUP BY node) USING (node)", "coefficient")
+def _(spark, sf):
+    return graphs.clustering(_edges(spark, sf))
+
+
+@query("graph_communities")
+def _(spark, sf):
+    parts, score = graphs.communities(_edges(spark, sf))
+    return parts.withColumn("modularity", F.lit(score))
+
+
+@query("community_logos")
+def _(spark, sf):
+    e = _edges(spark, sf)
+    return graphs.logos(e, graphs.communities(e)[0])
+
+
+@query("graph_centrality")
+def _(spark, sf):
+    e = _edges(spark, sf)
+    return graphs.betweenness(e).join(graphs.eigenvector(e), "node").withColumn("clustering_z", F.lit(graphs.clustering_z(e)))
+
+
+# --- whole plans ----------------------------------------------------------------------------------------
+
+
+@cache
+def _small() -> Config:
+    return Config(window=WIN, windows_per_genome=4, min_window=100, permutations=99)
+
+
+def _features(spark, sf) -> DataFrame:
+    w = windows.observed(seqs(spark, sf), _small().window, _small().windows_per_genome, _small().min_window)
+    return features.build(windows.with_controls(w, _small().controls), _small())
+
+
+@query("window_features")
+def _(spark, sf):
+    return _features(spark, sf)
+
+
+@query("feature_summary")
+def _(spark, sf):
+    return features.summary(_features(spark, sf))
