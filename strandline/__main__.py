@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from strandline.operators import graphs, windows
-from strandline.plans import features
+from strandline.plans import battery, features
 from strandline.plans.config import FAST, GROUPS, Config
 from strandline.sources import records, sinks
 
@@ -39,6 +39,7 @@ def parse(argv=None) -> argparse.Namespace:
     p.add_argument("--sketch-dim", type=int, default=512)
     p.add_argument("--levels", type=int, default=4)
     p.add_argument("--no-graph", action="store_true")
+    p.add_argument("--battery", action="store_true", help="whole-record invariants instead of windows")
     return p.parse_args(argv)
 
 
@@ -72,6 +73,11 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
         log.error("no sequences")
         return 2
     sinks.write_json(out / "manifest.json", [r.asDict() for r in records.manifest(recs).collect()])
+    if a.battery:
+        table = battery.summary(recs)
+        sinks.write_csv(table, str(out / "summary"), one_file=True)
+        sinks.write_csv(battery.pairwise(recs, a.jaccard_k), str(out / "pairs"))
+        return 0
     wins = windows.with_controls(windows.observed(recs, cfg.window, cfg.windows_per_genome, cfg.min_window, cfg.seed, cfg.shared_rng), cfg.controls, cfg.seed, cfg.block_size)
     feats = features.build(wins, cfg)
     sinks.write_csv(feats, str(out / "features"))

@@ -129,6 +129,16 @@ def pearson_p(r: float, n: int) -> float | None:
     return _betainc((n - 2) / 2, 0.5, 1 - r * r)
 
 
+def with_pearson_p(df: DataFrame) -> DataFrame:
+    """Rows of feature, n, r with their two-sided p; one row per feature."""
+
+    def work(batches):
+        for pdf in batches:
+            yield pdf.assign(p=[pearson_p(None if r is None or r != r else r, int(n)) for r, n in zip(pdf.r, pdf.n, strict=True)])
+
+    return df.mapInPandas(work, T.StructType([*df.schema.fields, T.StructField("p", T.DoubleType())]))
+
+
 def _betainc(a: float, b: float, x: float) -> float:
     if x in (0.0, 1.0):
         return x

@@ -12,7 +12,7 @@ from strandline.functions import kernels as K
 from strandline.functions import symbols as S
 from strandline.operators import fractal, graphs, spectra, stats, windows
 from strandline.operators import tiles as T
-from strandline.plans import features
+from strandline.plans import battery, features
 from strandline.plans.config import Config
 from strandline.sources import records
 
@@ -377,7 +377,7 @@ def _profile(df: DataFrame) -> DataFrame:
     return w.join(last.join(n, "name"), "name").select("name", "pos", "len", (F.col("x") - F.col("total") / F.col("len") * (F.col("pos") + 1)).alias("y"))
 
 
-@query("fluctuation_hurst", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym"), "pf AS (SELECT name, pos, len, x - last_value(x) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / len * (pos + 1) AS y FROM wk)", f"v AS (SELECT name, scale, pos // scale AS seg, sqrt(greatest(0, regr_syy(y, (pos % scale)::DOUBLE) - pow(regr_sxy(y, (pos % scale)::DOUBLE), 2) / regr_sxx(y, (pos % scale)::DOUBLE)) / count(*)) + 1e-12 AS r FROM pf, (SELECT unnest({_SCALES}) AS scale) WHERE (pos // scale + 1) * scale <= len GROUP BY ALL)", "f AS (SELECT name, scale, q, CASE WHEN q = 0 THEN exp(avg(ln(r))) ELSE pow(avg(pow(r, q)), 1.0 / nullif(q, 0)) END AS f FROM v, (SELECT unnest([0.0, 2.0, 4.0]) AS q) GROUP BY ALL)") + "SELECT name, CAST(q AS DOUBLE) AS q, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(scale)) END AS h FROM f GROUP BY name, q", "q h")
+@query("fluctuation_hurst", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym"), "pf AS (SELECT name, pos, len, x - last_value(x) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / len * (pos + 1) AS y FROM wk)", f"v AS (SELECT name, scale, pos // scale AS seg, sqrt(greatest(0, regr_syy(y, (pos % scale)::DOUBLE) - pow(regr_sxy(y, (pos % scale)::DOUBLE), 2) / regr_sxx(y, (pos % scale)::DOUBLE)) / count(*)) + 1e-12 AS r FROM pf, (SELECT unnest({_SCALES}) AS scale) WHERE (pos // scale + 1) * scale <= len GROUP BY name, scale, pos // scale)", "f AS (SELECT name, scale, q, CASE WHEN q = 0 THEN exp(avg(ln(r))) ELSE pow(avg(pow(r, q)), 1.0 / nullif(q, 0)) END AS f FROM v, (SELECT unnest([0.0, 2.0, 4.0]) AS q) GROUP BY name, scale, q)") + "SELECT name, CAST(q AS DOUBLE) AS q, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(scale)) END AS h FROM f GROUP BY name, q", "q h")
 def _(spark, sf):
     v = fractal.fluctuation(_profile(seqs(spark, sf)), _SCALES)
     return fractal.generalised_hurst(v, [0, 2, 4], 1e-12)
@@ -481,9 +481,9 @@ def _(spark, sf):
     return stats.unpaired_stats(_pair_values(spark, sf))
 
 
-@query("benjamini_hochberg", "SELECT c_custkey, p, CASE WHEN p IS NULL THEN 1.0 ELSE min(least(1.0, coalesce(p * m / rn, 1.0))) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS q FROM (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, c_custkey) AS rn, count(*) OVER () AS m FROM (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE abs(c_acctbal) / 20000 END AS p FROM customer))", "p q")
+@query("benjamini_hochberg", "SELECT c_custkey, p, CASE WHEN p IS NULL THEN 1.0 ELSE min(least(1.0, coalesce(p * m / rn, 1.0))) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS q FROM (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, c_custkey) AS rn, count(*) OVER () AS m FROM (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE abs(c_acctbal) / 19997 END AS p FROM customer))", "p q")
 def _(spark, sf):
-    d = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 11 != 0, F.abs("c_acctbal") / 20000).alias("p"))
+    d = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 11 != 0, F.abs("c_acctbal") / 19997).alias("p"))
     return stats.benjamini_hochberg(d, "p", ["c_custkey"], "q")
 
 
@@ -538,10 +538,10 @@ def _(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", 0.1).alias("p10"), F.percentile("value", 0.05).alias("p5"))
 
 
-@query("steps_and_ranks", "SELECT user_id, event_id, value - lag(value) OVER w AS step, CAST(row_number() OVER w AS INTEGER) - 1 AS replicate, value - avg(value) OVER (PARTITION BY user_id) AS centred FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", "step centred")
+@query("steps_and_ranks", "SELECT user_id, event_id, value - lag(value) OVER w AS step, CAST(row_number() OVER w AS INTEGER) - 1 AS replicate, value / (avg(value) OVER (PARTITION BY user_id) + 0.123) AS relative FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", "step relative")
 def _(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("user_id", "event_id", (F.col("value") - F.lag("value").over(w)).alias("step"), (F.row_number().over(w) - 1).alias("replicate"), (F.col("value") - F.avg("value").over(Window.partitionBy("user_id"))).alias("centred"))
+    return table(spark, sf, "events").select("user_id", "event_id", (F.col("value") - F.lag("value").over(w)).alias("step"), (F.row_number().over(w) - 1).alias("replicate"), (F.col("value") / (F.avg("value").over(Window.partitionBy("user_id")) + 0.123)).alias("relative"))
 
 
 @query("presence_matrix", with_(SEQ, f"w AS (SELECT DISTINCT name, kmer FROM ({kmer_sql(4)}))", "u AS (SELECT kmer FROM (SELECT DISTINCT kmer FROM w) ORDER BY kmer LIMIT 50)") + "SELECT seq.name, u.kmer, CASE WHEN w.kmer IS NULL THEN 0 ELSE 1 END AS present FROM seq CROSS JOIN u LEFT JOIN w ON w.name = seq.name AND w.kmer = u.kmer")
@@ -649,3 +649,23 @@ def _(spark, sf):
 @query("feature_summary")
 def _(spark, sf):
     return features.summary(_features(spark, sf))
+
+
+@query("record_battery")
+def _(spark, sf):
+    return battery.summary(seqs(spark, sf), 2000)
+
+
+@query("record_pairs", with_(SEQ, f"v AS (SELECT name, kmer, c / sum(c) OVER (PARTITION BY name) AS p FROM (SELECT name, kmer, count(*) AS c FROM ({kmer_sql(3)}) GROUP BY ALL))", f"w AS (SELECT DISTINCT name, kmer FROM ({kmer_sql(7)}))", "n AS (SELECT name, count(*) AS n FROM w GROUP BY name)", "f AS (SELECT a.name AS a, b.name AS b, 2 * acos(greatest(-1, least(1, sum(sqrt(a.p * b.p))))) AS d FROM v a JOIN v b USING (kmer) WHERE a.name < b.name GROUP BY ALL)", "j AS (SELECT a.name AS a, b.name AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS j FROM w a JOIN w b USING (kmer) JOIN n x ON x.name = a.name JOIN n y ON y.name = b.name WHERE a.name < b.name GROUP BY ALL)") + "SELECT a, b, coalesce(j, 0) AS jaccard, d AS fisher_rao FROM f LEFT JOIN j USING (a, b)", "jaccard fisher_rao")
+def _(spark, sf):
+    return battery.pairwise(seqs(spark, sf))
+
+
+@query("gc_correlations")
+def _(spark, sf):
+    return battery.gc_correlations(battery.summary(seqs(spark, sf), 2000))
+
+
+@query("hypothesis_tests")
+def _(spark, sf):
+    return features.hypothesis(_features(spark, sf), _small())

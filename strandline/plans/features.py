@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.symbols import count_of, gc_pct
 from strandline.operators import fractal, graphs, spectra, stats, windows
 from strandline.plans.config import Config
+from strandline.sources.shared import checkpointed
 
 KEY = ["organism", "replicate", "start", "end", "source"]
 
@@ -18,8 +19,9 @@ def build(wins: DataFrame, cfg: Config) -> DataFrame:
     """Identity columns, length_bp and a double column for every feature of the enabled groups.
 
     Rows are known by one hash key, so that every relational group is an equi-join on a long. Exploded
-    places never leave their stage but as per-key counts."""
-    wins = wins.withColumn("name", F.xxhash64(*KEY))
+    places never leave their stage but as per-key counts. Windows are checkpointed first: every group
+    reads them, and controls are drawn once."""
+    wins = checkpointed(wins.withColumn("name", F.xxhash64(*KEY)))
     seq = F.col("sequence")
     identity = ["name", *KEY[:1], "accession", "organism_type", "source", "replicate", "start", "end"]
     base = [F.length(seq).cast("long").alias("length_bp")]
