@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from strandline.llm import vectext as V
 from strandline.llm.storage import Scratch
 
-GRAM, CHUNK, BLOCK = 32, 1 << 20, 1 << 20
+GRAM, CHUNK, BLOCK = 32, 1 << 20, 3 << 17
 #: Runs of one minimum from which it is split again, and by about how much a split divides.
 HOT, DIVIDES = 20_000, 64
 STOP = 0xFF  # no byte of UTF-8
@@ -236,12 +236,16 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         for batch in batches:
             data, off = V.column_bytes(batch.column(1))
             for a, b in V.chunks(off, CHUNK):
-                row, m, first, last, twice = window_runs(data[off[a] : off[b]], off[a : b + 1] - off[a], length)
+                part, inner = data[off[a] : off[b]], off[a : b + 1] - off[a]
+                row, m, first, last, twice = window_runs(part, inner, length)
+                dg = V.span_hashes(part, inner[row] + first, inner[row] + last + length) if len(row) else m
                 at = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(m.view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(twice)], ["id", "th", "m", "first", "last", "twice"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(m.view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(dg.view(np.int64)), pa.array(twice)], ["id", "th", "m", "first", "last", "dg", "twice"])
 
-    runs = tmp.save(base.select("id", "text", "th").where(F.octet_length("text") >= length).mapInArrow(find, f"id {kind}, th long, m long, first int, last int, twice boolean"), "runs")
-    often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice").select("m", "n")
+    runs = tmp.save(base.select("id", "text", "th").where(F.octet_length("text") >= length).mapInArrow(find, f"id {kind}, th long, m long, first int, last int, dg long, twice boolean"), "runs")
+    # Where all contexts of a minimum are equal, and there are several, they repeat as a whole (n = 0).
+    often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min("dg").alias("lo"), F.max("dg").alias("hi")).where("n > 1 OR twice")
+    often = often.select("m", F.when((F.col("n") > 1) & (F.col("lo") == F.col("hi")), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n"))
     lists = runs.select("id", "th", "m", "first", "last").join(often, "m").groupBy("id", "th").agg(F.collect_set(F.struct("m", "first", "last", "n")).alias("runs"))
     lists = lists.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "runs")
     joined = base.join(lists, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left")
@@ -261,7 +265,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 for a, b in V.chunks(off, CHUNK):
                     x, y = at[a], at[b]
                     rows = np.repeat(np.arange(a, b), np.diff(at[a : b + 1]))
-                    row, m, first, windows, flat, size = _contexts(data, off, rows, [f[x:y].astype(np.int64) for f in fields], length)
+                    mixed = fields[3][x:y] > 0
+                    row, m, first, windows, flat, size = _contexts(data, off, rows[mixed], [f[x:y][mixed].astype(np.int64) for f in fields], length)
                     ends = np.concatenate(([0], np.cumsum(size)))
                     dg = V.span_hashes(flat, ends[:-1], ends[1:]).view(np.int64) if len(row) else np.zeros(0, np.int64)
                     if bodies:
@@ -284,12 +289,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             body = t.column("body").combine_chunks()
             data, off = V.column_bytes(body.cast(pa.binary()))
             size = np.diff(off)
-            where = np.arange(len(data)) + np.repeat(np.arange(len(size)), size)
-            joined_ = np.full(len(data) + len(size), STOP, np.uint8)
-            joined_[where] = data
-            hit = repeated_places(joined_, length)[where]
             many = np.asarray(t.column("n")) > 1
-            hit |= np.repeat(many, size)
+            m = np.asarray(t.column("m"))
+            edge = np.concatenate(([True], m[1:] != m[:-1], [True]))
+            # One context that stands alone and occurs more than once repeats as a whole.
+            alone = edge[:-1] & edge[1:] & many
+            part = V.ragged(off[:-1][~alone], size[~alone])
+            where = np.arange(len(part)) + np.repeat(np.arange(int((~alone).sum())), size[~alone])
+            joined_ = np.full(len(part) + int((~alone).sum()), STOP, np.uint8)
+            joined_[where] = data[part]
+            hit = np.repeat(many, size)
+            if len(part):
+                hit[part] |= repeated_places(joined_, length)[where]
             last = np.repeat(off[1:], size) - np.arange(len(data)) >= length
             a, b = V.runs(hit & last, off)
             owner = np.searchsorted(off, a, "right") - 1
@@ -322,7 +333,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     found = tmp.save(blocks.mapInArrow(search, "m long, dg long, a int, b int"), "found")
     hits = places.join(found, ["m", "dg"]).select("id", "th", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     hits = hits.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "spans")
-    marked = some.select("id", "th", "text", *more).join(hits, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").select("id", "text", "spans", *more)
+    marked = some.select("id", "th", "text", "runs", *more).join(hits, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").select("id", "text", "spans", F.filter("runs", lambda r: r["n"] == 0).alias("whole"), *more)
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def apply(batches):
@@ -338,12 +349,15 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                     v = own.values
                     np.add.at(edge, np.asarray(v.field(0)), 1)
                     np.add.at(edge, np.asarray(v.field(1)) + length - 1, -1)
+                v = batch.column(3)[k].values
+                np.add.at(edge, np.asarray(v.field(1)), 1)
+                np.add.at(edge, np.asarray(v.field(2)) + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = raw[~gone].tobytes()
                 row = [len(raw), int(gone.sum()), len(_spans(gone)[0]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")]
                 for c, x in zip(out, row, strict=False):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:]), *batch.columns[3:]], [*names, *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:]), *batch.columns[4:]], [*names, *more])
 
     done = marked.mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + "".join(f", {x} {base.schema[x].dataType.simpleString()}" for x in more))
     zero = F.lit(0).cast("long")
