@@ -46,6 +46,7 @@ class Scratch:
     def drop(self, *saved: DataFrame) -> None:
         for df in saved:
             self._delete(df._scratch_path)  # type: ignore[attr-defined]
+        self.spark.sparkContext._jvm.System.gc()  # shuffle files of finished steps go with their plans
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -247,12 +247,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min("dg").alias("lo"), F.max("dg").alias("hi")).where("n > 1 OR twice")
     often = often.select("m", F.when((F.col("n") > 1) & (F.col("lo") == F.col("hi")), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n"))
     lists = runs.select("id", "th", "m", "first", "last").join(often, "m").groupBy("id", "th").agg(F.collect_set(F.struct("m", "first", "last", "n")).alias("runs"))
-    lists = lists.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "runs")
+    # Saved on its own, so that the shuffles of all runs are gone before texts move.
+    lists = tmp.save(lists.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "runs"), "lists")
+    tmp.drop(runs)
     joined = base.join(lists, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left")
     sha = F.when(F.col("runs").isNull(), F.sha2("text", 256))
     held = joined.select("id", "th", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"), (F.col("text") if with_text else F.when(F.col("runs").isNotNull(), F.col("text"))).alias("text"), "runs", *more)
     held = tmp.save(held, "held")
-    tmp.drop(runs)
+    tmp.drop(lists)
     some = held.where("runs IS NOT NULL")
 
     def cut(bodies: bool):
