@@ -187,5 +187,36 @@ def digest(scanned: DataFrame, key: str = "doc_id", n_base: int = len(BASE)) ->
     labels = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
     return scanned.select(
         key, "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        labels(base).alias("base_labels"), labels(F.col("hits")).alias("labels"), F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)).alias("score"),
+        labels(base).alias("base_labels"), labels(F.col("hits")).alias("labels"), F.round(F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)), 6).alias("score"),
     )
+
+
+def oracle(templates=TEMPLATES, n_base: int = len(BASE)) -> str:
+    """The same as SQL over `documents`."""
+    rows = []
+    for n, t in enumerate(templates):
+        words = t.text.split()
+        keys = set()
+        for k in (k.split() for k in t.keys):
+            at = next(p for p in range(len(words)) if words[p : p + len(k)] == k)
+            keys |= set(range(at, at + len(k)))
+        rows += [f"({n}, '{t.label}', {p}, '{w}', {p in keys}, {t.whole}, {t.threshold}, {t.anchors})" for p, w in enumerate(words)]
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+     t AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(n, label, pos, word, is_key, whole, threshold, anchors)),
+     p AS (SELECT doc_id, i - 1 AS pos, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) WHERE ws[i] IN (SELECT word FROM t)),
+     f AS (SELECT word, count(DISTINCT doc_id) AS df FROM p GROUP BY word),
+     x AS (SELECT t.*, greatest(ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 0.5)), 0.001) AS idf FROM t LEFT JOIN f USING (word)),
+     y AS (SELECT *, idf / sum(idf) OVER (PARTITION BY n) AS share, row_number() OVER (PARTITION BY n ORDER BY idf DESC, pos) <= anchors AS anchor FROM x),
+     c AS (SELECT DISTINCT doc_id, n, p.pos - y.pos AS start FROM p JOIN y USING (word) WHERE anchor),
+     m AS (SELECT c.doc_id, c.n, c.start, label, whole, threshold, sum(CASE WHEN p.word IS NOT NULL THEN share ELSE 0 END) AS score,
+                  bool_and(p.word IS NOT NULL) AS every, bool_and(p.word IS NOT NULL OR NOT is_key) AS keys
+           FROM c JOIN y USING (n) LEFT JOIN p ON p.doc_id = c.doc_id AND p.pos = c.start + y.pos AND p.word = y.word
+           GROUP BY c.doc_id, c.n, c.start, label, whole, threshold),
+     a AS (SELECT * FROM m WHERE keys AND CASE WHEN whole THEN every ELSE score >= threshold END)
+SELECT w.doc_id, len(any_value(ws)) AS n_words, count(*) FILTER (a.n < {n_base}) AS n_base, min(a.start) FILTER (a.n < {n_base}) AS first_word,
+       max(a.start) FILTER (a.n < {n_base}) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (a.n < {n_base}), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, round(coalesce(max(least(a.score, 1.0)) FILTER (a.n IS NOT NULL), 0.0), 6) AS score
+FROM w LEFT JOIN a ON a.doc_id = w.doc_id GROUP BY w.doc_id
+"""

@@ -77,5 +77,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_ngram_join": ngram_join.ORACLE,
     "op6_nearest": ann.ORACLE,
+    "op7_licenses": licenses.oracle(),
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
