@@ -106,17 +106,24 @@ def unpaired_stats(values: DataFrame, source: str = "source", observed: str = "o
     )
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Aggregate over rows where both are present; NULL where one is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def correlations(df: DataFrame, target: str, features: list[str], least: int = 4) -> DataFrame:
     """feature, n, r of every feature with `target`, over complete pairs."""
     v = df.select(F.col(target).cast("double").alias("_t"), *(finite(F.col(c).cast("double")).alias(c) for c in features)).unpivot(["_t"], features, "feature", "value").where("value IS NOT NULL AND _t IS NOT NULL")
-    return v.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.corr("value", "_t").alias("r")).where(F.col("n") >= least)
+    return v.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), pearson(F.col("value"), F.col("_t")).alias("r")).where(F.col("n") >= least)
 
 
 def correlation_matrix(df: DataFrame, features: list[str], more_than: int = 3) -> DataFrame:
     """a, b, n, r for all ordered pairs: one pass and one row, whatever the number of rows."""
     cols = {c: finite(F.col(c).cast("double")) for c in features}
     both = lambda a, b: cols[a].isNotNull() & cols[b].isNotNull()
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.when(both(a, b), 1)).alias("n"), F.corr(F.when(both(a, b), cols[a]), F.when(both(a, b), cols[b])).alias("r")) for a in features for b in features]
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.when(both(a, b), 1)).alias("n"), pearson(cols[a], cols[b]).alias("r")) for a in features for b in features]
     return df.agg(F.array(*cells).alias("m")).select(F.inline("m")).where(F.col("n") > more_than)
 
 

@@ -377,10 +377,10 @@ def _profile(df: DataFrame) -> DataFrame:
     return w.join(last.join(n, "name"), "name").select("name", "pos", "len", (F.col("x") - F.col("total") / F.col("len") * (F.col("pos") + 1)).alias("y"))
 
 
-@query("fluctuation_hurst", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym"), "pf AS (SELECT name, pos, len, x - last_value(x) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / len * (pos + 1) AS y FROM wk)", f"v AS (SELECT name, scale, pos // scale AS seg, sqrt(greatest(0, regr_syy(y, (pos % scale)::DOUBLE) - pow(regr_sxy(y, (pos % scale)::DOUBLE), 2) / regr_sxx(y, (pos % scale)::DOUBLE)) / count(*)) + 1e-12 AS r FROM pf, (SELECT unnest({_SCALES}) AS scale) WHERE (pos // scale + 1) * scale <= len GROUP BY name, scale, pos // scale)", "f AS (SELECT name, scale, q, CASE WHEN q = 0 THEN exp(avg(ln(r))) ELSE pow(avg(pow(r, q)), 1.0 / nullif(q, 0)) END AS f FROM v, (SELECT unnest([0.0, 2.0, 4.0]) AS q) GROUP BY name, scale, q)") + "SELECT name, CAST(q AS DOUBLE) AS q, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(scale)) END AS h FROM f GROUP BY name, q", "q h")
+@query("fluctuation_hurst", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym"), "pf AS (SELECT name, pos, len, x - last_value(x) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / len * (pos + 1) AS y FROM wk)", f"v AS (SELECT name, scale, pos // scale AS seg, sqrt(greatest(0, regr_syy(y, (pos % scale)::DOUBLE) - pow(regr_sxy(y, (pos % scale)::DOUBLE), 2) / regr_sxx(y, (pos % scale)::DOUBLE)) / count(*)) + 1e-12 AS r FROM pf, (SELECT unnest({_SCALES}) AS scale) WHERE (pos // scale + 1) * scale <= len GROUP BY name, scale, pos // scale)", "f AS (SELECT name, scale, q, CASE WHEN q = 0 THEN exp(avg(ln(r))) ELSE pow(avg(pow(r, q)), 1.0 / nullif(q, 0)) END AS f FROM v, (SELECT unnest([2.0, 4.0]) AS q) GROUP BY name, scale, q)") + "SELECT name, CAST(q AS DOUBLE) AS q, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(scale)) END AS h FROM f GROUP BY name, q", "q h")
 def _(spark, sf):
     v = fractal.fluctuation(_profile(seqs(spark, sf)), _SCALES)
-    return fractal.generalised_hurst(v, [0, 2, 4], 1e-12)
+    return fractal.generalised_hurst(v, [2, 4], 1e-12)
 
 
 # --- kernels (rows only, but for the spectrum) ------------------------------------------------------------
