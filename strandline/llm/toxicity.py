@@ -81,7 +81,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", order:
     A feature is let in if `min_rows` rows of the sample have it, so that no row is learned by heart.
     L1 is `l1_rate` times the root of the number of rows, 4 at least. The rarer class weighs more."""
     picked = labelled.where(F.col(label).isNotNull()).select(F.xxhash64(F.col(order).cast("string")).alias("h"), F.col(order).alias("o"), F.col(label).cast("double").alias("y"), F.col(text).alias("text"))
-    picked = picked.orderBy("h", "o").limit(max_rows)
+    picked = picked.orderBy("h", "o").limit(max_rows).repartition(max(1, max_rows // 1024), "h")
 
     def slots_of(batches):
         for batch in batches:
