@@ -29,9 +29,9 @@ from strandline.llm import vectext as V
 NONE = np.int32(2**31 - 1)
 FEW = 12
 #: Symbols hashed at once, and symbols gathered before unseen words are merged.
-CHUNK, BUFFER = 1 << 19, 6 << 20
+CHUNK, BUFFER = 1 << 19, 8 << 20
 #: A worker forgets its words beyond this many.
-MOST_WORDS = 500_000
+MOST_WORDS = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -350,13 +350,13 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> list[byte
     return [data[a:b].decode("utf-8", "replace").encode() for a, b in zip(at, at[1:], strict=False)]
 
 
-def encoded(batches: Iterable[pa.RecordBatch], text: str, path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, ids, offsets) of every batch, in slices of about BUFFER bytes of text."""
+def encoded(batches: Iterable[pa.RecordBatch], text: str, path: str, buffer: int = BUFFER) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, offsets) of every batch, in slices of about `buffer` bytes of text."""
     enc = encoder(path)
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         _, off = V.column_bytes(col)
-        for a, b in V.chunks(off, BUFFER):
+        for a, b in V.chunks(off, buffer):
             texts = [t or "" for t in col.slice(a, b - a).to_pylist()]
             yield batch.slice(a, b - a), *enc.encode(texts)
 

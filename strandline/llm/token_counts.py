@@ -45,7 +45,7 @@ def write_stream(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key
                 f.write(ids.tobytes())
             block += 1
 
-        for rows, flat, off in bpe.encoded(batches, "text", tokenizer_path):
+        for rows, flat, off in bpe.encoded(batches, "text", tokenizer_path, 3 << 20):
             if not rows.num_rows:
                 continue
             if stream is None:
