@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1024
+CHUNK, CELL = 1024, 64
 
 
 def starts(length: Column, size: Column | int, step: Column | int) -> Column:
@@ -34,9 +34,12 @@ def chunks(df: DataFrame, overlap: int, seq: str = "sequence", keep: tuple[str,
 
 def kmers(df: DataFrame, k: int, seq: str = "sequence", keep: tuple[str, ...] = ("name",)) -> DataFrame:
     """keep..., pos (from 0), kmer: every place, words with other symbols than A, C, G, T left out."""
-    n = F.least(F.length("chunk") - (k - 1), F.lit(CHUNK))
-    words = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("chunk"), i, F.lit(k)))
-    out = chunks(df, k - 1, seq, keep).where(F.length("chunk") >= k).select(*keep, "base", F.posexplode(words).alias("i", "kmer"))
+    cells = chunks(df, k - 1, seq, keep).where(F.length("chunk") >= k)
+    at = F.explode(F.sequence(F.lit(0), F.least(F.length("chunk") - k, F.lit(CHUNK - 1)), F.lit(CELL))).alias("at")
+    cells = cells.select(*keep, "base", "chunk", at).select(*keep, (F.col("base") + F.col("at")).alias("base"), F.substring("chunk", F.col("at") + 1, F.lit(CELL + k - 1)).alias("cell"))
+    n = F.least(F.length("cell") - (k - 1), F.lit(CELL))
+    words = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("cell"), i, F.lit(k)))
+    out = cells.select(*keep, "base", F.posexplode(words).alias("i", "kmer"))
     return out.where(F.col("kmer").rlike("^[ACGT]+$")).select(*keep, (F.col("base") + F.col("i")).cast("long").alias("pos"), "kmer")
 
 
