@@ -6,6 +6,9 @@ identifier with vector operations and returns its interior counts, the ids befor
 and those behind its last. A prefix scan over the blocks, native in Spark, then numbers the documents
 and stitches those that cross blocks. Blocks are small rows, so the scan moves no tokens.
 
+A text may hold the end identifier itself, as the string of a special token. Inside a text it is written
+as the first id beyond the vocabulary and counts as one token, so an end identifier always ends a document.
+
 Empty documents count 0 tokens. Ids behind the last separator of a stream form an unended document,
 which is returned with ended = false. An empty block is allowed anywhere.
 """
@@ -25,12 +28,17 @@ from strandline.llm import vectext as V
 NAME = r"stream-(\d+)-block-(\d+)\.bin$"
 
 
+def layout(tokenizer_path: str, end_id: int) -> tuple[int, str]:
+    """The id that stands for `end_id` inside a text, and the type that holds all ids of a flat file."""
+    inside = max(bpe.vocabulary(tokenizer_path).size, end_id + 1)
+    return inside, "<u4" if inside >= 1 << 16 else "<u2"
+
+
 def write_stream(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Tokenises each partition into a stream of blocks under `path`, a folder that executors share.
     Returns stream, ordinal and key of every document; a repeated task writes the same blocks again."""
     kind = df.schema[key].dataType.simpleString()
-    wide = bpe.vocabulary(tokenizer_path).size > 1 << 16 or end_id >= 1 << 16
-    dtype = "<u4" if wide else "<u2"
+    inside, dtype = layout(tokenizer_path, end_id)
 
     def work(batches):
         from pyarrow import fs
@@ -52,7 +60,7 @@ def write_stream(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key
                 stream = rows.column(2)[0].as_py()
                 store, folder = fs.FileSystem.from_uri(path)
                 store.create_dir(folder)
-            ids = np.insert(flat, off[1:], end_id).astype(dtype)
+            ids = np.insert(np.where(flat == end_id, inside, flat), off[1:], end_id).astype(dtype)
             waiting.append(ids)
             if sum(map(len, waiting)) >= step:
                 ids = np.concatenate(waiting)
@@ -117,7 +125,7 @@ def count_documents(df: DataFrame, tokenizer_path: str, end_id: int, folder: str
     spark = df.sparkSession
     tmp = Scratch(spark, "token-counts")
     owners = tmp.save(write_stream(df, folder, tokenizer_path, end_id, key, text, block_bytes), "owners")
-    dtype = "<u4" if max(bpe.vocabulary(tokenizer_path).size, end_id + 1) > 1 << 16 else "<u2"
+    _, dtype = layout(tokenizer_path, end_id)
     if not owners.head(1):
         return owners.select(key, F.lit(0).cast("long").alias("n_tokens"))
     found = scan(read_blocks(spark, folder), end_id, dtype)

@@ -36,3 +36,12 @@ def test_documents(spark, tmp_path):
     out = {r.doc_id: r.n_tokens for r in token_counts.count_documents(df, PATH, 50256, f"file://{tmp_path}/a", block_bytes=64).collect()}
     assert out == {**{k: len(tk.encode(t or "").ids) for k, t in enumerate(texts)}, None: len(tk.encode("z").ids)}
     assert token_counts.count_documents(df.limit(0), PATH, 50256, f"file://{tmp_path}/b").count() == 0
+
+
+def test_end_identifier_in_texts(spark, tmp_path):
+    texts = ["plain", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> c", "", "last one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tk = Tokenizer.from_file(PATH)
+    for name, end in (("special", 50256), ("word", tk.encode("plain").ids[0])):
+        out = [(r.doc_id, r.n_tokens) for r in token_counts.count_documents(df, PATH, end, f"file://{tmp_path}/{name}", block_bytes=8).collect()]
+        assert sorted(out) == [(k, len(tk.encode(t).ids)) for k, t in enumerate(texts)]
