@@ -3,8 +3,6 @@ since regressions differ in the last place between engines."""
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +58,10 @@ def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.sequences_from_documents(table(spark, sf_dir, "documents"))
 
 
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.observed(seqs(spark, sf_dir), Config().window, Config().windows_per_genome, Config().min_window)
+
+
 # --- sources, encodings, scalar functions -------------------------------------------------------------
 
 
@@ -139,8 +141,7 @@ def _(spark, sf):
 
 @query("windows_with_controls")
 def _(spark, sf):
-    w = windows.observed(seqs(spark, sf), WIN, 8, 100)
-    return windows.with_controls(w, ("shuffle", "markov0", "markov1", "markov2", "markov3", "block-shuffle", "revcomp"))
+    return windows.with_controls(_windows(spark, sf), ("shuffle", "markov0", "markov1", "markov2", "markov3", "block-shuffle", "revcomp"))
 
 
 _INV = f"SELECT name, CASE WHEN length(sequence) <= {WIN} THEN sequence ELSE substr(sequence, 1, {WIN}) END AS s FROM seq"
@@ -473,7 +474,7 @@ def _(spark, sf):
 
 @query("permutation_tests")
 def _(spark, sf):
-    return stats.permutation_tests(stats.paired(_pair_values(spark, sf), ["name", "replicate"]), 199)
+    return stats.permutation_tests(stats.paired(_pair_values(spark, sf), ["name", "replicate"]), Config().permutations)
 
 
 @query("unpaired_stats", with_(*_PAIRS, "o AS (SELECT feature, avg(value) AS om, var_samp(value) AS ov FROM v WHERE source = 'observed' GROUP BY feature HAVING count(*) >= 3)", "n AS (SELECT feature, source AS control, avg(value) AS nm, var_samp(value) AS nv, count(*) AS nn FROM v WHERE source <> 'observed' GROUP BY ALL HAVING count(*) >= 3)") + "SELECT n.feature, control, nm AS null_mean, sqrt(nv) AS null_sd, om - nm AS delta, (om - nm) / (sqrt((ov + nv) / 2) + 1e-15) AS cohens_d, ((SELECT count(*) FROM v WHERE v.feature = n.feature AND v.source = control AND abs(value - nm) >= abs(om - nm)) + 1) / (nn + 1) AS empirical_p_rough FROM n JOIN o USING (feature)", "null_mean null_sd delta cohens_d empirical_p_rough")
@@ -631,14 +632,8 @@ def _(spark, sf):
 # --- whole plans ----------------------------------------------------------------------------------------
 
 
-@cache
-def _small() -> Config:
-    return Config(window=WIN, windows_per_genome=4, min_window=100, permutations=99)
-
-
 def _features(spark, sf) -> DataFrame:
-    w = windows.observed(seqs(spark, sf), _small().window, _small().windows_per_genome, _small().min_window)
-    return features.build(windows.with_controls(w, _small().controls), _small())
+    return features.build(windows.with_controls(_windows(spark, sf), Config().controls), Config())
 
 
 @query("window_features")
@@ -668,4 +663,4 @@ def _(spark, sf):
 
 @query("hypothesis_tests")
 def _(spark, sf):
-    return features.hypothesis(_features(spark, sf), _small())
+    return features.hypothesis(_features(spark, sf), Config())
