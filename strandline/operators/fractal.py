@@ -5,6 +5,8 @@ window functions sort chunks of bounded length and one row per chunk, never whol
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +59,27 @@ def walk_dimension(df: DataFrame) -> DataFrame:
     return df.select("name").join(got.select("name", F.round("dim", 4).alias("fractal_dim")), "name", "left")
 
 
-def fluctuation(profile: DataFrame, scales: list[int], keep: tuple[str, ...] = ("name",)) -> DataFrame:
+def log_scales(n: int) -> list[int]:
+    """Up to ten scales from 16 to n / 8, as kernels.dfa_scales; the C library's power is the same on every processor."""
+    low, high = math.log10(16), math.log10(max(32, n // 8))
+    return sorted({int(math.pow(10, high if i == 9 else low + i * ((high - low) / 9))) for i in range(10)})
+
+
+def fluctuation(walk: DataFrame, scales: Column, keep: tuple[str, ...] = ("name",)) -> DataFrame:
     """keep..., scale, seg, var: variance around the straight line of every whole segment.
 
-    `profile` has keep..., pos, y, len. One pass: regression sums per (key, scale, segment)."""
-    s = profile.withColumn("scale", F.explode(F.array(*(F.lit(x) for x in scales)))).where(F.col("len") >= F.col("scale"))
+    `walk` has keep..., pos, len and x in whole numbers; `scales` is an array. The straight lines that make a
+    profile of a walk vanish with a segment's own, so the walk itself is taken: its sums are exact, and a
+    straight segment has variance 0. One pass: sums per (key, scale, segment)."""
+    s = walk.withColumn("scale", F.explode(scales)).where(F.col("len") >= F.col("scale"))
     s = s.withColumn("seg", F.floor(F.col("pos") / F.col("scale"))).where((F.col("seg") + 1) * F.col("scale") <= F.col("len"))
-    t = (F.col("pos") % F.col("scale")).cast("double")
-    return s.groupBy(*keep, "scale", "seg").agg(((F.regr_syy("y", t) - F.coalesce(F.pow(F.regr_sxy("y", t), 2) / F.nullif(F.regr_sxx("y", t), F.lit(0.0)), F.lit(0.0))) / F.count(F.lit(1))).alias("var"))
+    x, t = F.col("x").cast("long"), F.col("pos") % F.col("scale")
+    sums = s.groupBy(*keep, "scale", "seg").agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(t * x).alias("stx"))
+    n, sx, sxx, stx = (F.col(c).cast("decimal(20,0)") for c in ("scale", "sx", "sxx", "stx"))
+    k = F.col("scale").cast("long")
+    st, stt = (F.floor(v).cast("decimal(20,0)") for v in (n * (n - 1) / 2, n * n * (n * n - 1) / 12))
+    syy, sty = n * sxx - sx * sx, n * stx - st * sx
+    return sums.select(*keep, "scale", "seg", ((syy * stt - sty * sty).cast("double") / (stt.cast("double") * k * k)).alias("var"))
 
 
 def generalised_hurst(var: DataFrame, qs: list[float], floor: float, keep: tuple[str, ...] = ("name",)) -> DataFrame:

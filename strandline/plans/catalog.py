@@ -371,19 +371,34 @@ def _(spark, sf):
 _SCALES = [16, 24, 36, 54, 80, 120]
 
 
-def _profile(df: DataFrame) -> DataFrame:
-    w = fractal.walk(df, {"x": S.signal(F.col("base"), "purine")})
-    n = df.select("name", F.length("sequence").cast("long").alias("len"))
-    last = w.groupBy("name").agg(F.max_by("x", "pos").alias("total"))
-    return w.join(last.join(n, "name"), "name").select("name", "pos", "len", (F.col("x") - F.col("total") / F.col("len") * (F.col("pos") + 1)).alias("y"))
+def _purine_walk(df: DataFrame) -> DataFrame:
+    return fractal.walk(df.withColumn("len", F.length("sequence").cast("long")), {"x": S.signal(F.col("base"), "purine")}, ("name", "len"))
 
 
 @query("fluctuation_hurst", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym"), "pf AS (SELECT name, pos, len, x - last_value(x) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / len * (pos + 1) AS y FROM wk)", f"v AS (SELECT name, scale, pos // scale AS seg, sqrt(greatest(0, regr_syy(y, (pos % scale)::DOUBLE) - pow(regr_sxy(y, (pos % scale)::DOUBLE), 2) / regr_sxx(y, (pos % scale)::DOUBLE)) / count(*)) + 1e-12 AS r FROM pf, (SELECT unnest({_SCALES}) AS scale) WHERE (pos // scale + 1) * scale <= len GROUP BY name, scale, pos // scale)", "f AS (SELECT name, scale, q, CASE WHEN q = 0 THEN exp(avg(ln(r))) ELSE pow(avg(pow(r, q)), 1.0 / nullif(q, 0)) END AS f FROM v, (SELECT unnest([2.0, 4.0]) AS q) GROUP BY name, scale, q)") + "SELECT name, CAST(q AS DOUBLE) AS q, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(scale)) END AS h FROM f GROUP BY name, q", "q h")
 def _(spark, sf):
-    v = fractal.fluctuation(_profile(seqs(spark, sf)), _SCALES)
+    v = fractal.fluctuation(_purine_walk(seqs(spark, sf)), F.array(*map(F.lit, _SCALES)))
     return fractal.generalised_hurst(v, [2, 4], 1e-12)
 
 
+# Whole numbers throughout: a straight segment's variance is 0, where sums of doubles leave some 1e-13, which orders of 0 and less magnify.
+_LINES = ("pu AS (SELECT name, pos, len, CAST(x AS HUGEINT) AS x FROM wk WHERE len >= 4096)",
+    "sc AS (SELECT DISTINCT name, len, CAST(floor(pow(10, CASE i WHEN 9 THEN log10(greatest(32, len // 8)) ELSE log10(16) + i * ((log10(greatest(32, len // 8)) - log10(16)) / 9) END)) AS HUGEINT) AS s FROM (SELECT DISTINCT name, len FROM pu), (SELECT unnest(range(10)) AS i))",
+    "g AS (SELECT name, s, s * sum(x * x) - sum(x) * sum(x) AS a, s * sum(x * (pos % s)) - s * (s - 1) // 2 * sum(x) AS b, s * s * (s * s - 1) // 12 AS d FROM pu JOIN sc USING (name, len) WHERE (pos // s + 1) * s <= len GROUP BY name, s, pos // s)",
+    "v AS (SELECT name, s, sqrt(CAST(CAST(a AS HUGEINT) * d - CAST(b AS HUGEINT) * CAST(b AS HUGEINT) AS DOUBLE) / (CAST(d AS DOUBLE) * CAST(s AS DOUBLE) * CAST(s AS DOUBLE))) + 1e-12 AS r FROM g)",
+    "f AS (SELECT name, s, q, CASE WHEN q = 0 THEN exp(avg(ln(r))) ELSE pow(avg(pow(r, q)), 1.0 / nullif(q, 0)) END AS f FROM v, (SELECT unnest([-4.0, -2.0, 0.0, 2.0, 4.0]) AS q) GROUP BY name, s, q)",
+    "h AS (SELECT name, q, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(CAST(s AS DOUBLE))) END AS h FROM f GROUP BY name, q)")
+
+
+@query("fluctuation_orders", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym"), *_LINES) + "SELECT name, CAST(q AS DOUBLE) AS q, h FROM seq CROSS JOIN (SELECT unnest([-4.0, -2.0, 0.0, 2.0, 4.0]) AS q) LEFT JOIN h USING (name, q)", "q h")
+def _(spark, sf):
+    """All orders over scales that follow the record's length; NULL below 4,096 symbols."""
+    s, qs = seqs(spark, sf), [-4.0, -2.0, 0.0, 2.0, 4.0]
+    scales = s.select("name", F.length("sequence").cast("int").alias("n")).where("n >= 4096").select("name", F.udf(fractal.log_scales, "array<int>")("n").alias("scales"))
+    v = fractal.fluctuation(_purine_walk(s.where(F.length("sequence") >= 4096)).join(scales, "name"), F.col("scales"))
+    return s.select("name", F.explode(F.array(*map(F.lit, qs))).alias("q")).join(fractal.generalised_hurst(v, qs, 1e-12), ["name", "q"], "left")
+
+
 # --- kernels (rows only, but for the spectrum) ------------------------------------------------------------
 
 

@@ -1,8 +1,13 @@
 """Registered plans read whole records: what each query must return over the smallest tables."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions import kernels
+from strandline.operators import fractal
 from strandline.plans import catalog
 
 from .conftest import SF
@@ -26,3 +31,31 @@ def test_controls_of_whole_records(spark, lengths):
     rows = catalog.QUERIES["windows_with_controls"](spark, SF).collect()
     assert len(rows) == 8 * len(lengths)
     assert all(len(r.sequence) == lengths[r.organism] for r in rows)
+
+
+def test_all_orders_of_the_fluctuation(spark, lengths):
+    seqs = {r.name: r.sequence for r in catalog.seqs(spark, SF).collect()}
+    got = {}
+    for r in catalog.QUERIES["fluctuation_orders"](spark, SF).collect():
+        got.setdefault(r.name, {})[r.q] = r.h
+    assert got.keys() == lengths.keys() and any(n >= 4096 for n in lengths.values())
+    for name, h in got.items():
+        assert sorted(h) == [-4, -2, 0, 2, 4]
+        assert all((x is None) == (lengths[name] < 4096) for x in h.values())
+        if lengths[name] >= 4096 and not re.search("[AG]{15}|[CT]{15}", seqs[name]):
+            k = kernels.dfa(seqs[name])
+            assert sum(h.values()) / 5 == pytest.approx(k["dfa_proxy_alpha_mean"], abs=1e-5)
+            assert max(h.values()) - min(h.values()) == pytest.approx(k["dfa_proxy_width"], abs=1e-5)
+
+
+def test_straight_segments_have_no_variance(spark):
+    steps = "AAAAACAGTC" * 40 + "G" * 320 + "T" * 80
+    df = spark.createDataFrame([("s", steps)], "name string, sequence string")
+    rows = fractal.fluctuation(catalog._purine_walk(df), F.array(F.lit(16), F.lit(20))).collect()
+    x = np.cumsum([1.0 if b in "AG" else -1.0 for b in steps])
+    for r in rows:
+        y = x[r.seg * r.scale : (r.seg + 1) * r.scale]
+        t = np.arange(r.scale)
+        assert r["var"] == pytest.approx(np.mean((y - np.polyval(np.polyfit(t, y, 1), t)) ** 2), abs=1e-9)
+        assert (r["var"] == 0) == (abs(y[-1] - y[0]) == r.scale - 1)
+    assert len(rows) == 50 + 40 and sum(r["var"] == 0 for r in rows) >= 40
