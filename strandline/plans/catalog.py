@@ -159,6 +159,23 @@ def _(spark, sf):
     return w.select("organism", "source", F.length("sequence").cast("long").alias("n"), F.length(F.regexp_replace("sequence", "[ACGT]", "")).alias("n_odd"))
 
 
+_KINDS = ("observed", "shuffle", "block_shuffle", "markov0", "markov1", "markov2", "markov3", "revcomp")
+
+
+@query("control_invariants", with_(SEQ) + f"SELECT name AS organism, source, CASE WHEN length(sequence) <= {WIN} THEN 1 ELSE least(8, length(sequence) - {WIN} + 1) END AS n_windows, CAST(CASE WHEN length(sequence) <= {WIN} THEN length(sequence) ELSE {WIN} * least(8, length(sequence) - {WIN} + 1) END AS BIGINT) AS n_symbols, CAST(0 AS BIGINT) AS n_unlike FROM seq, (SELECT unnest({list(_KINDS)}) AS source)")
+def _(spark, sf):
+    """Over all windows: those whose control has another length, or other counts of A, C, G and T where its kind keeps them (a reverse complement swaps them)."""
+    w = windows.with_controls(windows.observed(seqs(spark, sf), WIN, 8, 100), _KINDS[1:])
+    counts = w.select("organism", "replicate", "source", F.length("sequence").alias("n"), *(S.count_of(F.col("sequence"), b).alias(b) for b in "ACGT"))
+    of = Window.partitionBy("organism", "replicate")
+    seen = {c: F.max(F.when(F.col("source") == "observed", F.col(c))).over(of) for c in ("n", *"ACGT")}
+    same = lambda pairs: F.forall(F.array(*(F.col(a) == seen[b] for a, b in pairs)), lambda x: x)
+    odd = F.col("n") != F.col("A") + F.col("C") + F.col("G") + F.col("T")
+    kept = F.when(F.col("source") == "revcomp", same(zip("ACGT", "TGCA", strict=True))).when(F.col("source").startswith("markov"), F.lit(True)).otherwise(same(zip("ACGT", "ACGT", strict=True)))
+    marked = counts.withColumn("unlike", (odd | (F.col("n") != seen["n"]) | ~kept).cast("long"))
+    return marked.groupBy("organism", "source").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.col("n").cast("long")).alias("n_symbols"), F.sum("unlike").alias("n_unlike"))
+
+
 _EVEN = f"""ev AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY start) - 1 AS replicate, start, least(start + {WIN}, length(sequence)) AS "end", substr(sequence, start + 1, {WIN}) AS sequence
   FROM (SELECT DISTINCT name, sequence, CAST(floor(i * greatest(length(sequence) - {WIN}, 0) / 7.0) AS BIGINT) AS start FROM seq, (SELECT unnest(range(8)) AS i)))"""
 

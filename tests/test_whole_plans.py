@@ -1,13 +1,14 @@
 """Registered plans read whole records: what each query must return over the smallest tables."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
-from strandline.operators import fractal
+from strandline.operators import fractal, windows
 from strandline.plans import catalog
 
 from .conftest import SF
@@ -59,3 +60,32 @@ def test_straight_segments_have_no_variance(spark):
         assert r["var"] == pytest.approx(np.mean((y - np.polyval(np.polyfit(t, y, 1), t)) ** 2), abs=1e-9)
         assert (r["var"] == 0) == (abs(y[-1] - y[0]) == r.scale - 1)
     assert len(rows) == 50 + 40 and sum(r["var"] == 0 for r in rows) >= 40
+
+
+def test_controls_of_every_window(spark, lengths):
+    """By brute force over all replicates, with the windows that the query reads."""
+    seqs = {r.name: r.sequence for r in catalog.seqs(spark, SF).collect()}
+    rows = windows.with_controls(windows.observed(catalog.seqs(spark, SF), catalog.WIN, 8, 100), catalog._KINDS[1:]).collect()
+    found = {}
+    for r in rows:
+        found.setdefault((r.organism, r.replicate), {})[r.source] = r
+    swap = str.maketrans("ACGT", "TGCA")
+    for (name, _), kinds in found.items():
+        own = kinds["observed"]
+        assert sorted(kinds) == sorted(catalog._KINDS)
+        assert own.sequence == seqs[name][own.start : own.end] and len(own.sequence) == min(catalog.WIN, lengths[name])
+        assert all(len(r.sequence) == len(own.sequence) and set(r.sequence) <= set("ACGT") for r in kinds.values())
+        assert Counter(own.sequence) == Counter(kinds["shuffle"].sequence) == Counter(kinds["block_shuffle"].sequence)
+        assert kinds["revcomp"].sequence == own.sequence.translate(swap)[::-1]
+    per = Counter(name for name, _ in found)
+    assert per == {n: 1 if size <= catalog.WIN else min(8, size - catalog.WIN + 1) for n, size in lengths.items()}
+    got = {(r.organism, r.source): (r.n_windows, r.n_unlike) for r in catalog.QUERIES["control_invariants"](spark, SF).collect()}
+    assert got == {(n, k): (per[n], 0) for n in lengths for k in catalog._KINDS}
+
+
+def test_control_invariants_see_a_fault(spark, monkeypatch):
+    real = windows.with_controls
+    late = (F.col("replicate") == 3) & (F.col("source") == "shuffle")
+    monkeypatch.setattr(windows, "with_controls", lambda *a: real(*a).withColumn("sequence", F.when(late, F.translate("sequence", "A", "C")).otherwise(F.col("sequence"))))
+    rows = catalog.QUERIES["control_invariants"](spark, SF).collect()
+    assert sum(r.n_unlike for r in rows) > 0 and all(r.n_unlike == 0 for r in rows if r.source != "shuffle")
