@@ -227,6 +227,12 @@ def _(spark, sf):
     return T.kmers(seqs(spark, sf), 11).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
 
 
+@query("kmer_counts_11", with_(SEQ) + f"SELECT kmer, count(*) AS cnt FROM ({kmer_sql(11)}) GROUP BY kmer")
+def _(spark, sf):
+    """All words of 11 symbols; kmer_counts_long has the repeated ones."""
+    return T.kmers(seqs(spark, sf), 11).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 @query("kmer_entropy", with_(SEQ) + f"SELECT name, -sum(p * log2(p)) AS entropy_bits, -sum(p * log2(p)) / 14 AS entropy_norm, count(*) / 16384.0 AS occupancy FROM (SELECT name, c / sum(c) OVER (PARTITION BY name) AS p FROM (SELECT name, kmer, count(*) AS c FROM ({kmer_sql(7)}) GROUP BY ALL)) GROUP BY name", "entropy_bits entropy_norm occupancy")
 def _(spark, sf):
     return spectra.kmer_entropy(seqs(spark, sf), 7)

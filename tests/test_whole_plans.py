@@ -89,3 +89,9 @@ def test_control_invariants_see_a_fault(spark, monkeypatch):
     monkeypatch.setattr(windows, "with_controls", lambda *a: real(*a).withColumn("sequence", F.when(late, F.translate("sequence", "A", "C")).otherwise(F.col("sequence"))))
     rows = catalog.QUERIES["control_invariants"](spark, SF).collect()
     assert sum(r.n_unlike for r in rows) > 0 and all(r.n_unlike == 0 for r in rows if r.source != "shuffle")
+
+
+def test_words_that_occur_once(spark):
+    seqs = [r.sequence for r in catalog.seqs(spark, SF).collect()]
+    want = Counter(s[i : i + 11] for s in seqs for i in range(len(s) - 10))
+    assert {r.kmer: r.cnt for r in catalog.QUERIES["kmer_counts_11"](spark, SF).collect()} == want and 1 in want.values()
