@@ -567,6 +567,11 @@ def _(spark, sf):
     return stats.top_effects(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("feature"), (F.col("o_totalprice") - 100000).alias("cohens_d_pooled")), 3)
 
 
+@query("top_effects_20", "SELECT o_orderpriority AS feature, max(abs(o_totalprice - 100000)) AS max_abs_d FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "max_abs_d")
+def _(spark, sf):
+    return stats.top_effects(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("feature"), (F.col("o_totalprice") - 100000).alias("cohens_d_pooled")))
+
+
 @query("arg_extrema", "SELECT o_custkey, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS peak, first(o_orderkey ORDER BY o_totalprice, o_orderkey) AS low FROM orders GROUP BY o_custkey")
 def _(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", stats.first_wins(F.col("o_totalprice"), F.col("o_orderkey"))).alias("peak"), F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("low"))
@@ -624,6 +629,11 @@ def _(spark, sf):
     return graphs.pagerank_frame(_edges(spark, sf), rounds=10)
 
 
+@query("pagerank_frame_20", _PR + "\nSELECT node, rank FROM pr WHERE it = 20", "rank")
+def _(spark, sf):
+    return graphs.pagerank_frame(_edges(spark, sf))
+
+
 @query("top_pagerank", _PR + "\nSELECT node, rank FROM pr WHERE it = 40 ORDER BY round(rank, 9) DESC, node LIMIT 10", "rank")
 def _(spark, sf):
     return graphs.pagerank(_edges(spark, sf), rounds=40, tol=0).orderBy(F.desc(F.round("rank", 9)), "node").limit(10)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels
-from strandline.operators import fractal, windows
+from strandline.operators import fractal, graphs, windows
 from strandline.plans import catalog
 
 from .conftest import SF
@@ -95,3 +95,11 @@ def test_words_that_occur_once(spark):
     seqs = [r.sequence for r in catalog.seqs(spark, SF).collect()]
     want = Counter(s[i : i + 11] for s in seqs for i in range(len(s) - 10))
     assert {r.kmer: r.cnt for r in catalog.QUERIES["kmer_counts_11"](spark, SF).collect()} == want and 1 in want.values()
+
+
+def test_default_rounds_and_effects(spark):
+    ranks = {r.node: r["rank"] for r in catalog.QUERIES["pagerank_frame_20"](spark, SF).collect()}
+    want = {r.node: r["rank"] for r in graphs.pagerank(catalog._edges(spark, SF), rounds=20, tol=0).collect()}
+    assert ranks == pytest.approx(want, abs=1e-6)
+    features = catalog.table(spark, SF, "orders").select("o_orderpriority").distinct().count()
+    assert catalog.QUERIES["top_effects_20"](spark, SF).count() == min(20, features) > 3
