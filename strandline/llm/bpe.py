@@ -3,10 +3,15 @@
 All distinct unseen words of a partition's buffer are laid out as one symbol array. An index maps
 each adjacent pair (by its merge rank) to all its positions; active ranks are applied in ascending
 order at all their positions at once, and only the lists of the neighbouring pairs are updated.
-Words repeat, so each distinct word is merged once per worker and found again by its 64-bit hash.
-
-Results are those of the tokenizers library with add_special_tokens=False. Null and empty texts
-give no ids. A special token's string in a text becomes its id, as there.
+Words repeat, so each distinct word is merged once per worker and found again by its 64-bit hash; its
+symbols are compared each time, and should two words ever share a hash, another hash function is taken.
+
+Results are those of the tokenizers library with add_special_tokens=False; classes of characters are
+asked of the library, and texts with characters newer than Unicode 3.2 are normalised by it, since tables
+of other libraries differ there. Null and empty texts give no ids. A special token's string in a text
+becomes its id, as there. Repeated rows are encoded each, an empty table gives an empty table. A very
+long text is one buffer of its worker, in memory some forty bytes a symbol; no text is cut. Extra columns
+are passed on by encode() and decode(), but for one with the name of the new column, which it replaces.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from strandline.llm import vectext as V
 
@@ -53,6 +59,7 @@ class Vocabulary:
         model = spec["model"]
         vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         self.lowercase = spec["normalizer"] is not None
+        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str if self.lowercase else None
         symbols = byte_symbols()
         first = [vocab[c] for c in symbols]
         self.first = np.array(first, np.int32)
@@ -174,7 +181,7 @@ def merge_words(sym: np.ndarray, v: Vocabulary) -> np.ndarray:
 def gpt_tokens(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pieces that byte-level pre-tokenisation cuts code points into."""
     n = len(cp)
-    kind = V.letter_classes()[cp]
+    kind = V.kinds(cp)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     start = np.ones(n, bool)
@@ -217,7 +224,7 @@ def _contractions(cp, kind, cut, start, s, e, is_joined) -> None:
 def clip_tokens(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same for lower-cased words: white space is dropped, each number character stands alone."""
     n = len(cp)
-    kind = V.letter_classes()[cp]
+    kind = V.kinds(cp)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     start = np.ones(n, bool)
@@ -236,9 +243,11 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
+        self.salt = 0
         self._forget()
 
     def _forget(self) -> None:
+        self.points, self.word_at, self.word_len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.known = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.len = np.zeros(0, np.int32)
@@ -246,12 +255,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, n + 1 offsets) of the texts."""
-        v = self.v
+        v, raw = self.v, texts
         special = [k for k, t in enumerate(texts) if any(x in t for x in v.special)]
         if special:
             return self._with_specials(texts, set(special))
         if v.lowercase:
-            texts = [unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for t in texts]
+            texts = [v.normalize(t) if V.any_newer(t) else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for t in texts]
         words, docs, met = [], [], {}
         counts = [np.zeros(1, np.int64)]
         at = np.cumsum([0, *map(len, texts)])
@@ -259,13 +268,22 @@ class Encoder:
             cp = np.frombuffer("".join(texts[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32)
             off = at[a : b + 1] - at[a]
             s, e = (clip_tokens if v.lowercase else gpt_tokens)(cp, off)
-            h = V.span_hashes(cp, s, e)
+            h = V.span_hashes(cp, s, e, self.salt)
             counts.append(np.diff(V.rows_of(s, off)))
             uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            new = np.flatnonzero(~self._has(uniq))
+            size = e - s
+            known, place = self._find(uniq)
+            old, mine = place[known], first[known]
+            alike = V.same_spans(cp, s, size, cp, s[first][inverse], size[first][inverse])
+            alike = alike and V.same_spans(cp, s[mine], size[mine], self.points, self.word_at[old], self.word_len[old])
+            new = np.flatnonzero(~known)
             for u, x, y in zip(uniq[new].tolist(), s[first[new]].tolist(), e[first[new]].tolist(), strict=True):
-                if u not in met:
-                    met[u] = cp[x:y].tobytes()
+                word = cp[x:y].tobytes()
+                alike = alike and met.setdefault(u, word) == word
+            if not alike:  # two words with one hash
+                self.salt += 1
+                self._forget()
+                return self.encode(raw)
             words.append(uniq)
             docs.append(inverse.astype(np.int32))
         if met:
@@ -283,17 +301,21 @@ class Encoder:
             self._forget()
         return ids, ends[per_doc]
 
-    def _has(self, h: np.ndarray) -> np.ndarray:
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is known, and its place."""
         if not len(self.known):
-            return np.zeros(len(h), bool)
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
         k = np.searchsorted(self.known, h)
         k[k == len(self.known)] = 0
-        return self.known[k] == h
+        return self.known[k] == h, k
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         v = self.v
         points = np.frombuffer(b"".join(words), np.uint32)
         ends = np.cumsum([len(w) // 4 for w in words])
+        symbols = np.diff(ends, prepend=0)
+        word_at = np.concatenate((self.word_at, ends - symbols + len(self.points)))
+        self.points = np.concatenate((self.points, points))
         data = np.frombuffer(points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
         wide = np.concatenate(([0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))))
         ends = wide[ends]
@@ -310,7 +332,7 @@ class Encoder:
         self.pool = np.concatenate((self.pool, out[out >= 0]))
         known = np.concatenate((self.known, hashes))
         order = np.argsort(known)
-        self.known = known[order]
+        self.known, self.word_at, self.word_len = known[order], word_at[order], np.concatenate((self.word_len, symbols))[order]
         self.at = np.concatenate((self.at, begin))[order]
         self.len = np.concatenate((self.len, length))[order]
 

@@ -3,6 +3,7 @@ per row or word. A word is known by the 64-bit hash of its symbols."""
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -60,15 +61,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of symbols[s:e] for each span."""
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of symbols[s:e] for each span; another `salt` is another hash function."""
     n = len(symbols)
     p, q = powers(n + 1)
     acc = np.zeros(n + 1, U64)
-    np.cumsum((symbols.astype(U64) + U64(1)) * p[:n], out=acc[1:])
+    wide = symbols.astype(U64) + U64(1)
+    np.cumsum((mix(wide + U64(salt << 32)) if salt else wide) * p[:n], out=acc[1:])
     return mix((acc[ends] - acc[starts]) * q[starts] + (ends - starts).astype(U64))
 
 
+def same_spans(x: np.ndarray, a: np.ndarray, a_len: np.ndarray, y: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> bool:
+    """Whether x[a:a + a_len] and y[b:b + b_len] hold the same symbols for every pair of spans."""
+    if not np.array_equal(a_len, b_len):
+        return False
+    return bool((x[ragged(a, a_len)] == y[ragged(b, b_len)]).all())
+
+
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of True that don't cross row offsets."""
     n = len(mask)
@@ -97,18 +106,59 @@ def ragged(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (ends - length), length) + np.arange(total)
 
 
+class Classes:
+    """Kind of every code point as the tokenizers library's own engine sees it, and whether it is newer
+    than Unicode 3.2 (tables of later characters differ between libraries). Blocks are filled when met."""
+
+    BITS = 14
+
+    def __init__(self):
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.newer = np.zeros(0x110000, bool)
+        self.filled = np.zeros(0x110000 >> self.BITS, bool)
+
+    def fill(self, cp: np.ndarray) -> None:
+        if not len(cp) or (cp.max() >> self.BITS == 0 and self.filled[0]):
+            return
+        met = np.unique(cp >> self.BITS)
+        for block in met[~self.filled[met]].tolist():
+            self._fill_block(block)
+            self.filled[block] = True
+
+    def _fill_block(self, block: int) -> None:
+        from tokenizers import Regex
+        from tokenizers.pre_tokenizers import Split
+
+        lo, hi = block << self.BITS, (block + 1) << self.BITS
+        points = [c for c in range(lo, hi) if not 0xD800 <= c < 0xE000]
+        text, at = "".join(map(chr, points)), np.array(points, np.int64)
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for _, (x, y) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+                self.kind[at[x:y]] = kind
+        old = unicodedata.ucd_3_2_0.category
+        self.newer[at] = [old(c) == "Cn" for c in text]
+
+
 @lru_cache(maxsize=1)
-def letter_classes() -> np.ndarray:
-    """OTHER, LETTER, NUMBER or SPACE of every code point."""
-    import regex
-
-    table = np.zeros(0x110000, np.uint8)
-    for lo, hi in ((0, 0xD800), (0xE000, 0x110000)):
-        text = "".join(map(chr, range(lo, hi)))
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-            for m in regex.finditer(pattern, text):
-                table[lo + m.start() : lo + m.end()] = kind
-    return table
+def _classes() -> Classes:
+    return Classes()
+
+
+def kinds(cp: np.ndarray) -> np.ndarray:
+    """OTHER, LETTER, NUMBER or SPACE of each code point."""
+    table = _classes()
+    table.fill(cp)
+    return table.kind[cp]
+
+
+def any_newer(text: str) -> bool:
+    """Whether a text holds characters that Unicode 3.2 had not assigned."""
+    if text.isascii():
+        return False
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = _classes()
+    table.fill(cp)
+    return bool(table.newer[cp].any())
 
 
 @lru_cache(maxsize=1)
