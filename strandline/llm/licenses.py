@@ -1,15 +1,20 @@
 """Licence scans by a positional index of rare words.
 
 Templates are word sequences with a label and mandatory key phrases. A first pass counts in how many
-documents of the corpus each licence word occurs; each template is then indexed under its rarest words
-(highest inverse document frequency), with their positions. A scan looks up the licence words of a
-file, intersects the postings by relative position (word position less position in the template gives
-a start), scores the alignment by the share of the template's IDF that agrees, and verifies the key
-phrases word by word inside it. A template of one phrase that must match whole is found at all its
-places, since each place holds its rarest word.
-
-Words: A-Z is folded; runs of digits, letters and all bytes from 0x80 up. Null texts count as empty
-and hold no words. Repeated rows are scanned each; extra columns are passed on.
+documents of the corpus each licence word occurs. The index maps words to postings (template, position);
+a template stands under the rarest word (highest inverse document frequency) of its key phrases, which
+every accepted copy holds at that position, so no copy is missed. A scan looks up a file's words there;
+the position of a word less that in the template gives a start, the template's other words are
+intersected by relative position, the alignment scores the share of the template's IDF that agrees, and
+the key phrases are verified word by word. A template that must match whole is found at all its places.
+
+The corpus is read twice and not written in between: in English prose the places of licence words would
+come to a third of the text.
+
+Words: A-Z is folded; runs of digits, letters and all bytes from 0x80 up. Null and empty texts hold no
+words, no hits and score 0. Very long texts are scanned whole. Repeated rows are scanned each, an empty
+table gives an empty table. Alignments that overlap or tie are all returned, in order of template and
+start. Extra columns are passed on, but for `n_words` and `hits`, which are replaced.
 """
 
 from __future__ import annotations
@@ -34,14 +39,13 @@ class Template:
     keys: tuple[str, ...]
     whole: bool = False
     threshold: float = 0.6
-    anchors: int = 3
 
 
 # The base phrases, each of which must match whole.
 BASE = (
-    Template("cc-by", "cc by", ("cc by",), True, anchors=1),
-    Template("gpl", "general public license", ("general public license",), True, anchors=1),
-    Template("reserved", "all rights reserved", ("all rights reserved",), True, anchors=1),
+    Template("cc-by", "cc by", ("cc by",), True),
+    Template("gpl", "general public license", ("general public license",), True),
+    Template("reserved", "all rights reserved", ("all rights reserved",), True),
 )
 
 # Openings of public licence texts and the usual notices.
@@ -104,53 +108,61 @@ def document_frequencies(df: DataFrame, text: str, templates=TEMPLATES) -> tuple
 
 
 class Index:
-    """Templates as word numbers with their postings."""
+    """Templates as word numbers, and the postings of rare words."""
 
     def __init__(self, templates, n_docs: int, df: dict[str, int]):
+        self.templates = templates
         self.words, self.known, self.number = vocabulary(templates)
         at = {w: k for k, w in enumerate(self.words)}
         idf = np.array([np.log((n_docs + 1) / (df.get(w, 0) + 0.5)) for w in self.words])
         idf = np.maximum(idf, 1e-3)
-        self.entries = []
-        for t in templates:
-            ids = np.array([at[w] for w in t.text.split()])
-            keys = []
-            for phrase in t.keys:
-                k = [at[w] for w in phrase.split()]
-                where = [p for p in range(len(ids)) if ids[p : p + len(k)].tolist() == k]
-                keys.append(slice(where[0], where[0] + len(k)))
-            rare = sorted(range(len(ids)), key=lambda p: (-idf[ids[p]], p))[: t.anchors]
-            self.entries.append((t, ids, idf[ids] / idf[ids].sum(), keys, rare))
+        ids = [np.array([at[w] for w in t.text.split()]) for t in templates]
+        self.size = np.array([len(x) for x in ids])
+        self.begin = np.cumsum(self.size) - self.size
+        self.ids = np.concatenate(ids)
+        self.share = np.concatenate([idf[x] / idf[x].sum() for x in ids])
+        self.is_key = np.concatenate([_key_places(t) for t in templates])
+        postings = []
+        for n, x in enumerate(ids):
+            p = max(np.flatnonzero(self.is_key[self.begin[n] :][: len(x)]).tolist(), key=lambda p: (idf[x[p]], -p))
+            postings.append((int(x[p]), n, p))
+        postings.sort()
+        word, self.post_template, self.post_place = (np.array(c) for c in zip(*postings, strict=True))
+        self.post_at = np.searchsorted(word, np.arange(len(self.words) + 1))
+        self.whole = np.array([t.whole for t in templates])
+        self.threshold = np.array([t.threshold for t in templates])
 
     def matches(self, ids: np.ndarray, row_at: np.ndarray):
-        """(template number, row, start, score) of all accepted alignments."""
+        """(template, row, start, score) of all accepted alignments, by template, row and start."""
         hits = np.flatnonzero(ids >= 0)
-        out = []
-        if not len(hits):
-            return out
-        hit_ids = ids[hits]
-        row_of = np.searchsorted(row_at, hits, "right") - 1
-        n = len(ids)
-        for number, (t, words, share, keys, rare) in enumerate(self.entries):
-            starts, rows = [], []
-            for p in rare:
-                own = hit_ids == words[p]
-                starts.append(hits[own] - p)
-                rows.append(row_of[own])
-            start, first = np.unique(np.concatenate(starts), return_index=True)
-            row = np.concatenate(rows)[first]
-            if not len(start):
-                continue
-            place = start[:, None] + np.arange(len(words))
-            inside = (place >= row_at[row][:, None]) & (place < row_at[row + 1][:, None])
-            agrees = inside & (ids[np.clip(place, 0, n - 1)] == words)
-            score = agrees @ share
-            good = agrees.all(1) if t.whole else score >= t.threshold
-            for k in keys:
-                good &= agrees[:, k].all(1)
-            if good.any():
-                out.append((number, row[good], start[good] - row_at[row[good]], np.minimum(score[good], 1.0)))
-        return out
+        found = np.diff(self.post_at)[ids[hits]]
+        hits, found = hits[found > 0], found[found > 0]
+        post = V.ragged(self.post_at[ids[hits]], found)
+        number, start = self.post_template[post], np.repeat(hits, found) - self.post_place[post]
+        row = np.searchsorted(row_at, np.repeat(hits, found), "right") - 1
+        if not len(number):
+            return number, row, start, np.zeros(0)
+        size = self.size[number]
+        first = np.cumsum(size) - size
+        own = V.ragged(self.begin[number], size)
+        place = V.ragged(start, size)
+        inside = (place >= np.repeat(row_at[row], size)) & (place < np.repeat(row_at[row + 1], size))
+        agrees = inside & (ids[np.clip(place, 0, len(ids) - 1)] == self.ids[own])
+        score = np.add.reduceat(agrees * self.share[own], first)
+        good = np.where(self.whole[number], np.logical_and.reduceat(agrees, first), score >= self.threshold[number])
+        good &= np.logical_and.reduceat(agrees | ~self.is_key[own], first)
+        order = np.flatnonzero(good)
+        order = order[np.lexsort((start[order], row[order], number[order]))]
+        return number[order], row[order], (start - row_at[row])[order], np.minimum(score[order], 1.0)
+
+
+def _key_places(t: Template) -> np.ndarray:
+    """True for words of a template that belong to a key phrase (its first occurrence there)."""
+    words, out = t.text.split(), np.zeros(len(t.text.split()), bool)
+    for key in (k.split() for k in t.keys):
+        p = next(p for p in range(len(words)) if words[p : p + len(key)] == key)
+        out[p : p + len(key)] = True
+    return out
 
 
 HIT = T.ArrayType(T.StructType([T.StructField("template", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("score", T.DoubleType())]))
@@ -171,10 +183,8 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES) -> DataFrame:
                 low, s, e, at = V.folded_words(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 ids = _ids(V.span_hashes(low, s, e), ix.known, ix.number) if len(s) else np.zeros(0, np.int64)
                 hits: list[list] = [[] for _ in range(b - a)]
-                for number, rows, starts, scores in ix.matches(ids, at):
-                    t, words = ix.entries[number][:2]
-                    for r, x, y in zip(rows.tolist(), starts.tolist(), scores.tolist(), strict=True):
-                        hits[r].append({"template": number, "label": t.label, "start": x, "n_words": len(words), "score": y})
+                for number, r, x, y in zip(*(c.tolist() for c in ix.matches(ids, at)), strict=True):
+                    hits[r].append({"template": number, "label": ix.templates[number].label, "start": x, "n_words": int(ix.size[number]), "score": y})
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(np.diff(at), pa.int64()), pa.array(hits, kind)], [*batch.schema.names, "n_words", "hits"])
 
     return df.mapInArrow(work, schema)
@@ -192,24 +202,19 @@ def digest(scanned: DataFrame, key: str = "doc_id", n_base: int = len(BASE)) ->
 
 
 def oracle(templates=TEMPLATES, n_base: int = len(BASE)) -> str:
-    """The same as SQL over `documents`."""
+    """The same as SQL over `documents`: every start at which any word of a template agrees is scored."""
     rows = []
     for n, t in enumerate(templates):
-        words = t.text.split()
-        keys = set()
-        for k in (k.split() for k in t.keys):
-            at = next(p for p in range(len(words)) if words[p : p + len(k)] == k)
-            keys |= set(range(at, at + len(k)))
-        rows += [f"({n}, '{t.label}', {p}, '{w}', {p in keys}, {t.whole}, {t.threshold}, {t.anchors})" for p, w in enumerate(words)]
+        rows += [f"({n}, '{t.label}', {p}, '{w}', {bool(k)}, {t.whole}, {t.threshold})" for p, (w, k) in enumerate(zip(t.text.split(), _key_places(t), strict=True))]
     return rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-     t AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(n, label, pos, word, is_key, whole, threshold, anchors)),
+     t AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(n, label, pos, word, is_key, whole, threshold)),
      p AS (SELECT doc_id, i - 1 AS pos, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) WHERE ws[i] IN (SELECT word FROM t)),
      f AS (SELECT word, count(DISTINCT doc_id) AS df FROM p GROUP BY word),
      x AS (SELECT t.*, greatest(ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 0.5)), 0.001) AS idf FROM t LEFT JOIN f USING (word)),
-     y AS (SELECT *, idf / sum(idf) OVER (PARTITION BY n) AS share, row_number() OVER (PARTITION BY n ORDER BY idf DESC, pos) <= anchors AS anchor FROM x),
-     c AS (SELECT DISTINCT doc_id, n, p.pos - y.pos AS start FROM p JOIN y USING (word) WHERE anchor),
+     y AS (SELECT *, idf / sum(idf) OVER (PARTITION BY n) AS share FROM x),
+     c AS (SELECT DISTINCT doc_id, n, p.pos - y.pos AS start FROM p JOIN y USING (word)),
      m AS (SELECT c.doc_id, c.n, c.start, label, whole, threshold, sum(CASE WHEN p.word IS NOT NULL THEN share ELSE 0 END) AS score,
                   bool_and(p.word IS NOT NULL) AS every, bool_and(p.word IS NOT NULL OR NOT is_key) AS keys
            FROM c JOIN y USING (n) LEFT JOIN p ON p.doc_id = c.doc_id AND p.pos = c.start + y.pos AND p.word = y.word

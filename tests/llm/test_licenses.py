@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from strandline.llm import licenses
@@ -46,3 +48,47 @@ def test_key_phrase_is_mandatory(spark):
     df = spark.createDataFrame([(1, "released under the mit license"), (2, "released under the bsd license"), (3, "it was licensed under the apache license version 2 0")], "doc_id long, text string")
     out = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(df)).collect()}
     assert out == {1: "mit", 2: "", 3: "apache-2.0"}
+
+
+def unanchored(texts, templates=licenses.TEMPLATES):
+    """Labels of every start of every template, by plain loops."""
+    docs = [WORD.findall(t.lower()) for t in texts]
+    idf = lambda w: max(1e-3, math.log((len(docs) + 1) / (sum(w in d for d in docs) + 0.5)))
+    out = []
+    for d in docs:
+        labels = set()
+        for t in templates:
+            words = t.text.split()
+            weight = [idf(w) for w in words]
+            for start in range(-len(words), len(d)):
+                agrees = [0 <= start + p < len(d) and d[start + p] == w for p, w in enumerate(words)]
+                if not any(agrees):
+                    continue
+                keys = []
+                for k in (k.split() for k in t.keys):
+                    p = next(p for p in range(len(words)) if words[p : p + len(k)] == k)
+                    keys += agrees[p : p + len(k)]
+                score = sum(w for w, a in zip(weight, agrees, strict=True) if a) / sum(weight)
+                if all(keys) and (all(agrees) if t.whole else score >= t.threshold):
+                    labels.add(t.label)
+        out.append(",".join(sorted(labels)))
+    return out
+
+
+def test_near_copies_against_all_starts(spark):
+    rng = random.Random(5)
+    texts = ["permission is hereby granted free of charge to any person getting a copy of this software and related help files", "charge person copy software hereby granted free any", "obtaining documentation associated"]
+    for _ in range(300):
+        words = rng.choice(licenses.TEMPLATES).text.split()
+        for _ in range(rng.randint(0, 8)):
+            k = rng.randrange(len(words))
+            if rng.random() < 0.7:
+                words[k] = rng.choice(["thing", "the", "license", "obtaining", "public"])
+            elif len(words) > 1:
+                del words[k]
+        if rng.random() < 0.3:
+            words = words[rng.randrange(len(words)) :]
+        texts.append(" ".join(["so"] * rng.randint(0, 3) + words + ["end"] * rng.randint(0, 3)))
+    out = licenses.digest(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert [r.labels for r in sorted(out, key=lambda r: r.doc_id)] == unanchored(texts)
+    assert "mit" in {r.doc_id: r.labels for r in out}[0]
