@@ -1,16 +1,24 @@
 """Nearest neighbours by a block matrix join.
 
 Vectors are scaled to length one and rounded to int8; each keeps its scale and the length of its
-rounding error. Candidates and queries are packed into blocks, and every block of candidates meets
-every block of queries in one tile: a product of integer matrices (exact in float32) gives all cosines
-of the tile, and the error lengths bound how far each can be off. Pairs whose upper bound reaches the
-k-th best lower bound survive and are computed anew in double precision from the original values. A
-worker keeps a heap of k results per query over its tiles; the heaps are merged per query.
-
-Blocks of queries are dealt to `shards` and not broadcast; a tile holds two blocks, whatever the size
-of the table. Vectors that are null, zero, of another dimension than most or that hold null or
-non-finite components take no part. Rows with a null identifier take no part. Of repeated identifiers
-every row is a candidate of its own. Queries with fewer candidates than k get all of them.
+rounding error. Candidates and queries are packed into blocks with their codes, and every block of
+candidates meets every block of queries in one tile: a product of the code matrices gives all cosines of
+the tile, and the error lengths bound how far each can be off. The product is taken in float32 over
+slices of 1,024 components, in which sums of int8 products are exact, and slices add up in double
+precision. Pairs whose upper bound reaches the k-th best lower bound survive and are computed anew in
+double precision from the original values. A worker keeps a heap of k results per query over its tiles;
+the heaps are merged per query.
+
+Blocks are dealt to a grid of shards, each block of queries to one row of it and each block of candidates
+to one column, so that both sides are copied about as much; nothing is broadcast, and a tile holds two
+blocks, whatever the size of the table.
+
+Vectors that are null, empty, zero, of another dimension than most or that hold null or non-finite
+components take no part, nor do rows with a null identifier. A query is an identifier: rows that share
+one ask together, and the result is the k best pairs of one of these rows and a row of another
+identifier; as a candidate every row counts on its own. Ties go to the smaller identifier. Queries with
+fewer candidates than k get all of them; an empty table gives an empty table. Extra columns, whatever
+their names, are ignored. A vector of very many components makes blocks of fewer rows.
 """
 
 from __future__ import annotations
@@ -21,7 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUANTUM = 127
-BLOCK = "shard int, block long, ids binary, vectors binary, is_query boolean"
+#: Products of int8 codes add up exactly in float32 over so many components: 1,024 x 127 x 127 < 2^24.
+SLICE, BLOCK_BYTES = 1024, 8 << 20
+BLOCK = "shard int, block long, ids binary, vectors binary, codes binary, bounds binary"
 BEST = "query_id long, vec_id long, score double"
 
 
@@ -40,8 +50,8 @@ def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack(dim: int, block_rows: int, queries: bool, shards: int):
-    """Rows into blocks; blocks of queries go to every shard, each block of candidates to one."""
+def _pack(dim: int, block_rows: int, shards):
+    """Rows into blocks; `shards` takes a block's number and gives the shards that it goes to."""
 
     def work(batches):
         ids, vecs, n, number = [], [], 0, 0
@@ -51,9 +61,11 @@ def _pack(dim: int, block_rows: int, queries: bool, shards: int):
             nonlocal ids, vecs, n, number
             a, v = np.concatenate(ids), np.concatenate(vecs)
             for k in range(0, len(a), block_rows):
-                one = (number, a[k : k + block_rows].tobytes(), v[k : k + block_rows].tobytes())
-                for s in range(shards) if queries else [(number + part) % shards]:
-                    yield pa.RecordBatch.from_pylist([{"shard": s, "block": part << 32 | one[0], "ids": one[1], "vectors": one[2], "is_query": queries}], schema=SCHEMA)
+                x = v[k : k + block_rows]
+                code, bounds = quantised(x)
+                one = (a[k : k + block_rows].tobytes(), x.tobytes(), code.tobytes(), bounds.tobytes())
+                for s in shards(number + part):
+                    yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, (s, part << 32 | number, *one), strict=True))], schema=SCHEMA)
                 number += 1
             ids, vecs, n = [], [], 0
 
@@ -72,26 +84,39 @@ def _pack(dim: int, block_rows: int, queries: bool, shards: int):
     return work
 
 
-SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("is_query", pa.bool_())])
+SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("bounds", pa.binary())])
+
+
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """int8 codes of the unit vectors; scale, error length and length of what the codes stand for."""
+    safe = x / np.abs(x).max(1, keepdims=True)  # squares of very small or large components stay finite
+    unit = safe / np.sqrt((safe * safe).sum(1, keepdims=True))
+    scale = np.abs(unit).max(1) / QUANTUM
+    code = np.rint(unit / scale[:, None]).astype(np.int8)
+    back = code * scale[:, None]
+    error = np.sqrt(((unit - back) ** 2).sum(1)) + 1e-12
+    return code, np.stack((scale, error, np.sqrt((back * back).sum(1))))
 
 
 class Side:
-    """A block: original vectors, their lengths, int8 codes and error bounds."""
+    """A block: original vectors, codes, and their bounds."""
 
-    def __init__(self, ids: bytes, vectors: bytes, dim: int):
+    def __init__(self, ids, vectors, codes, bounds, dim: int):
         self.ids = np.frombuffer(ids, np.int64)
         self.x = np.frombuffer(vectors, np.float64).reshape(-1, dim)
-        top = np.abs(self.x).max(1, keepdims=True)
-        safe = self.x / top  # squares of very small or large components stay finite
-        unit = safe / np.sqrt((safe * safe).sum(1, keepdims=True))
-        self.scale = np.abs(unit).max(1) / QUANTUM
-        self.code = np.rint(unit / self.scale[:, None]).astype(np.int8)
-        back = self.code * self.scale[:, None]
-        self.error = np.sqrt(((unit - back) ** 2).sum(1)) + 1e-12
-        self.size = np.sqrt((back * back).sum(1))
-        self.norm = np.sqrt(dot(self.x, self.x))
-        bad = ~np.isfinite(self.norm) | (self.norm < 1e-150)
-        self.plain = ~bad
+        self.code = np.frombuffer(codes, np.int8).reshape(-1, dim)
+        self.scale, self.error, self.size = np.frombuffer(bounds, np.float64).reshape(3, -1)
+        with np.errstate(over="ignore"):
+            self.norm = np.sqrt(dot(self.x, self.x))
+        self.plain = np.isfinite(self.norm) & (self.norm >= 1e-150)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a b' of int8 matrices, exactly."""
+    out = np.zeros((len(a), len(b)))
+    for k in range(0, a.shape[1], SLICE):
+        out += a[:, k : k + SLICE].astype(np.float32) @ b[:, k : k + SLICE].astype(np.float32).T
+    return out
 
 
 def cosines(q: Side, c: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -111,11 +136,10 @@ def cosines(q: Side, c: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def tile(q: Side, c: Side, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, cosine) of pairs that may be among the k best, above `floor`."""
-    code = c.code.astype(np.float32).T
     found = []
     for a in range(0, len(q.ids), 256):
         b = slice(a, a + 256)
-        near = (q.code[b].astype(np.float32) @ code) * (q.scale[b, None] * c.scale)
+        near = products(q.code[b], c.code) * (q.scale[b, None] * c.scale)
         slack = q.size[b, None] * c.error + q.error[b, None] * (c.size + c.error) + 1e-9
         own = q.ids[b, None] == c.ids
         low = np.where(own, -np.inf, near - slack)
@@ -142,17 +166,21 @@ def nearest(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: st
     `is_query` takes the column of identifiers and returns a condition."""
     spark = df.sparkSession
     good = usable(df, key, vector)
-    dims = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dims = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("id"))).alias("asked")).orderBy(F.desc("n"), "d").first()
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = dims["d"]
-    shards = shards or max(8, min(4096, -(-dims["count"] // (8 * block_rows))))
+    block_rows = max(64, min(block_rows, BLOCK_BYTES // (8 * dim)))
+    shards = shards or max(8, -(-dims["n"] // (8 * block_rows)))
+    # Columns and rows of the grid: candidates over `across`, queries over `down` shards.
+    across = max(1, min(shards, round((shards * dims["n"] / max(1, dims["asked"])) ** 0.5)))
+    down = -(-shards // across)
     good = good.where(F.size("v") == dim).withColumn("part", F.spark_partition_id().cast("long"))
-    cand = good.mapInArrow(_pack(dim, block_rows, False, shards), BLOCK)
-    asked = good.where(is_query(F.col("id"))).repartition(max(1, min(64, shards // 8)), "id").withColumn("part", F.spark_partition_id().cast("long"))
-    asked = asked.mapInArrow(_pack(dim, block_rows // 4, True, shards), BLOCK)
-    right = asked.select("shard", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("block").alias("q_block"))
-    tiles = cand.select("shard", "ids", "vectors").join(right.hint("merge"), "shard").select("q_block", "q_ids", "q_vectors", "ids", "vectors")
+    cand = good.mapInArrow(_pack(dim, block_rows, lambda k: [k % across + across * y for y in range(down)]), BLOCK)
+    asked = good.where(is_query(F.col("id"))).repartition(max(1, min(1024, dims["asked"] // block_rows)), "id").withColumn("part", F.spark_partition_id().cast("long"))
+    asked = asked.mapInArrow(_pack(dim, max(16, block_rows // 4), lambda k: [k % down * across + x for x in range(across)]), BLOCK)
+    right = asked.select("shard", *(F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vectors", "codes", "bounds")))
+    tiles = cand.join(right.hint("merge"), "shard").select(*(f"q_{c}" for c in ("block", "ids", "vectors", "codes", "bounds")), "ids", "vectors", "codes", "bounds")
 
     def work(batches):
         heaps: dict[int, tuple] = {}
@@ -167,11 +195,10 @@ def nearest(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: st
         for batch in batches:
             for r in range(batch.num_rows):
                 number = batch.column(0)[r].as_py()
-                q = Side(batch.column(1)[r].as_buffer(), batch.column(2)[r].as_buffer(), dim)
-                c = Side(batch.column(3)[r].as_buffer(), batch.column(4)[r].as_buffer(), dim)
+                q, c = (Side(*(batch.column(x)[r].as_buffer() for x in range(y, y + 4)), dim) for y in (1, 5))
                 floor = np.full(len(q.ids), -np.inf)
                 old = heaps.get(number)
-                if old:
+                if old and len(old[1]):
                     full = np.bincount(old[1], minlength=len(q.ids)) == k
                     last = np.flatnonzero(np.append(old[1][1:] != old[1][:-1], True))
                     floor[old[1][last]] = old[3][last]

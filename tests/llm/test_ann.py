@@ -46,3 +46,24 @@ def test_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0])] + [(k, [2.0, 1.0]) for k in (9, 7, 8, 3, 4, 5, 6)], "vec_id long, embedding array<double>")
     out = ann.nearest(df, lambda i: i == 0).orderBy("rank").collect()
     assert [r.vec_id for r in out] == [3, 4, 5, 6, 7]
+
+
+def test_repeated_identifiers(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.2, 1.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = [(r.query_id, r.vec_id, round(r.score, 12)) for r in ann.nearest(df, lambda i: i % 50 == 0).orderBy("query_id", "rank").collect()]
+    pairs = sorted((-np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y), j) for i, x in rows if i == 50 for j, y in rows if j != 50)
+    assert out == [(50, j, round(-s, 12)) for s, j in pairs[:5]]
+
+
+def test_many_components_stay_exact(spark):
+    rng = np.random.default_rng(8)
+    x = rng.choice([-1.0, 1.0], size=(120, 4096))
+    x[1] = x[0]
+    x[1, :7] *= -1
+    x[2:40] = x[1]  # ties that a product rounded to float32 would part
+    a, b = (rng.integers(-127, 128, (5, 4096)).astype(np.int8) for _ in range(2))
+    assert np.array_equal(ann.products(a, b), a.astype(np.int64) @ b.astype(np.int64).T)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.nearest(df, lambda i: i == 0, block_rows=64).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [1, 2, 3, 4, 5]
