@@ -16,18 +16,18 @@ def _mark(edges: DataFrame):
 def components(edges: DataFrame, tmp: Scratch, rounds: int = 100) -> DataFrame:
     """(id, root) of every end of `edges` (a, b); root is the smallest id of the component.
 
-    Every round at least merges what meets at a node; minima are aggregated before they are shuffled,
-    so a node with very many neighbours is no hot key."""
+    Every round at least merges what meets at a node. Minima are aggregated before they are shuffled and
+    saved before they are joined, so that adaptive execution can split a node with very many neighbours."""
     edges = tmp.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = tmp.save(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        tmp.drop(edges)
+        least = tmp.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = tmp.save(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        lower = tmp.save(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
+        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = tmp.save(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        tmp.drop(edges, least, large, lower)
         edges, before, mark = new, mark, _mark(new)
         if mark == before:
             break

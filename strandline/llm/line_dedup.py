@@ -7,11 +7,14 @@ and place. Chunks meet by a digest without their text; only those whose digest r
 byte by byte.
 
 The text moves once, to meet its document's repeated chunks. Counts are aggregated before they are
-shuffled, so a chunk that a third of all documents hold costs a row per task.
+shuffled and saved before they meet the chunks again, so a chunk that a third of all documents hold costs
+a row per task, and adaptive execution can split its join.
 
 Null texts stay null and hold no chunk; empty texts stay empty. Chunks of white space alone are kept.
-Rows with the same identifier and text count as one document and are treated alike; rows without an
-identifier come last in the order. Extra columns are passed on; `n_chars` is brought up to date.
+Very long texts are split whole, in one array of their lines. Rows with the same identifier and text count
+as one document and are treated alike; rows without an identifier come last in the order, and ties among
+them go by text. An empty table gives an empty table. Extra columns are passed on, whatever their names;
+with `report`, columns named removed_chunks and removed_lines are replaced. `n_chars` is brought up to date.
 """
 
 from __future__ import annotations
@@ -58,38 +61,51 @@ def chunks_of(lines: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Co
     return F.element_at(F.transform(F.array(lines), cut), 1)
 
 
+REPORT = ("removed_chunks", "removed_lines")
+
+
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, report: bool = False) -> DataFrame:
     """`df` with repeated chunks taken out of `text`; with `report`, also removed_chunks and removed_lines."""
     tmp = Scratch(df.sparkSession, "line-dedup")
-    columns = df.columns
-    row = {"_id": F.col(key), "_sha": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))}
-    multi = F.filter(chunks_of(lines_of(F.col(text)), window, divisor), lambda c: (c["n_lines"] > 1) & (F.trim(F.translate(c["body"], "\n\t\r", "   ")) != ""))
-    places = df.where(F.col(text).contains("\n")).select(*(c.alias(n) for n, c in row.items()), F.explode(multi).alias("c"))
-    places = places.select("_id", "_sha", F.col("c.no").alias("no"), F.md5(F.col("c.body").cast("binary")).alias("h")).distinct()
-    places = tmp.save(places, "places")
-    repeated = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    listed = places.join(repeated, "h").groupBy("_id", "_sha").agg(F.collect_set("no").alias("_nos"))
-    docs = df.withColumns(row)
-    listed = listed.select(F.col("_id").alias("_i"), F.col("_sha").alias("_s"), "_nos")
-    held = tmp.save(docs.join(listed, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left").drop("_i", "_s"), "held")
-    some = held.where("_nos IS NOT NULL")
-    both = some.select("_id", "_sha", F.explode(F.filter(chunks_of(lines_of(F.col(text)), window, divisor), lambda c: F.array_contains(F.col("_nos"), c["no"]))).alias("c"))
-    both = both.select("_id", "_sha", F.col("c.no").alias("no"), F.col("c.body").alias("body")).distinct()
+    # The caller's columns travel in one struct, so that none of their names can meet one of ours.
+    carried = [c for c in df.columns if c != text]
+    docs = df.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.withColumn("sha", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    all_chunks = chunks_of(lines_of(F.col("text")), window, divisor)
+    multi = F.filter(all_chunks, lambda c: (c["n_lines"] > 1) & (F.trim(F.translate(c["body"], "\n\t\r", "   ")) != ""))
+    places = docs.where(F.col("text").contains("\n")).select("id", "sha", F.explode(multi).alias("c"))
+    places = tmp.save(places.select("id", "sha", F.col("c.no").alias("no"), F.md5(F.col("c.body").cast("binary")).alias("h")).distinct(), "places")
+    repeated = tmp.save(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
+    listed = places.join(repeated, "h").groupBy("id", "sha").agg(F.collect_set("no").alias("nos"))
+    held = tmp.save(_beside(docs, tmp.save(listed, "listed"), "nos"), "held")
+    tmp.drop(places)
+    some = held.where("nos IS NOT NULL")
+    both = some.select("id", "sha", F.explode(F.filter(all_chunks, lambda c: F.array_contains("nos", c["no"]))).alias("c"))
+    both = tmp.save(both.select("id", "sha", F.col("c.no").alias("no"), F.col("c.body").alias("body")).distinct(), "both")
     # Byte comparison: occurrences are grouped by the chunk itself.
-    first = both.groupBy("body").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha", "no")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    is_first = F.col("f._id").eqNullSafe(F.col("_id")) & (F.col("f._sha") == F.col("_sha")) & (F.col("f.no") == F.col("no"))
-    gone = both.join(first, "body").where(~is_first).groupBy("_id", "_sha").agg(F.collect_set("no").alias("_gone"))
-    gone = gone.select(F.col("_id").alias("_i"), F.col("_sha").alias("_s"), "_gone")
-    some = some.join(gone, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left").drop("_i", "_s")
-    all_chunks = chunks_of(lines_of(F.col(text)), window, divisor)
-    kept = F.array_join(F.transform(F.filter(all_chunks, lambda c: ~F.array_contains(F.col("_gone"), c["no"])), lambda c: c["body"]), "\n")
-    lost = F.aggregate(F.filter(all_chunks, lambda c: F.array_contains(F.col("_gone"), c["no"])), F.lit(0), lambda a, c: a + c["n_lines"])
-    some = some.withColumns({"removed_chunks": F.coalesce(F.size("_gone"), F.lit(0)), "removed_lines": F.when(F.col("_gone").isNull(), 0).otherwise(lost), text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)})
-    rest = held.where("_nos IS NULL").withColumns({"removed_chunks": F.lit(0), "removed_lines": F.lit(0)})
-    out = rest.select(*columns, "removed_chunks", "removed_lines").unionByName(some.select(*columns, "removed_chunks", "removed_lines"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
-    return out if report else out.select(*columns)
+    first = both.groupBy("body").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha", "no")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    is_first = F.col("f.id").eqNullSafe(F.col("id")) & (F.col("f.sha") == F.col("sha")) & (F.col("f.no") == F.col("no"))
+    gone = both.join(tmp.save(first, "first"), "body").where(~is_first).groupBy("id", "sha").agg(F.collect_set("no").alias("gone"))
+    some = _beside(some, tmp.save(gone, "gone"), "gone")
+    kept = F.array_join(F.transform(F.filter(all_chunks, lambda c: ~F.array_contains("gone", c["no"])), lambda c: c["body"]), "\n")
+    lost = F.aggregate(F.filter(all_chunks, lambda c: F.array_contains("gone", c["no"])), F.lit(0), lambda a, c: a + c["n_lines"])
+    none = F.col("gone").isNull()
+    some = some.select("row", F.when(none, F.col("text")).otherwise(kept).alias("text"), F.when(none, 0).otherwise(F.size("gone")).alias(REPORT[0]), F.when(none, 0).otherwise(lost).alias(REPORT[1]))
+    out = held.where("nos IS NULL").select("row", "text", *(F.lit(0).alias(c) for c in REPORT)).unionByName(some)
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("text")
+        return F.length("text").cast(df.schema[c].dataType) if c == "n_chars" else F.col("row").getField(c)
+
+    told = [F.col(c) for c in REPORT] if report else []
+    return out.select(*(column(c).alias(c) for c in df.columns if not (report and c in REPORT)), *told)
+
+
+def _beside(docs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """`docs` with `column` of the row of `table` with the same identifier (null too) and digest."""
+    table = table.select(F.col("id").alias("i"), F.col("sha").alias("s"), column)
+    return docs.join(table, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s")), "left").drop("i", "s")
 
 
 ORACLE = """

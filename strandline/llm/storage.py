@@ -12,10 +12,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. A temporary one only where that is unset and the master is
+    local; elsewhere each executor would write to a disk of its own, so an unset folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="strandline-")
@@ -24,7 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Written tables of one query. `save` cuts the lineage: a lost executor costs a reread, not a
-    recomputation. `drop` frees a table that later ones no longer read; the rest goes at exit."""
+    recomputation. `drop` frees a table that later ones no longer read; the rest goes at exit.
+
+    Aggregates are saved before they are joined to the rows that they come from: adaptive execution splits a
+    hot key of a join whose sides come straight from an exchange, but not where an aggregate stands between."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -46,7 +52,9 @@ class Scratch:
     def drop(self, *saved: DataFrame) -> None:
         for df in saved:
             self._delete(df._scratch_path)  # type: ignore[attr-defined]
-        self.spark.sparkContext._jvm.System.gc()  # shuffle files of finished steps go with their plans
+        # Spark deletes the shuffle files of a finished write once the driver's collector has found its plan
+        # unused, and asks for a collection every 30 minutes only; the next step needs the disk sooner.
+        self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm

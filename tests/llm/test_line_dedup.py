@@ -33,3 +33,14 @@ def test_rows_alike_and_without_id(spark):
     out = line_dedup.dedup_lines(df).collect()
     assert sorted((r.doc_id is None, r.text) for r in out) == [(False, "a\nb"), (False, "a\nb"), (True, ""), (True, "c\nd")]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    names = ["_nos", "_gone", "_sha", "_id", "nos", "gone", "sha", "id", "row", "h", "body", "c", "n", "f", "i", "s", "a.b", "removed_lines"]
+    rows = [(k, "a\nb", 3, *(f"{n}{k}" for n in names)) for k in range(3)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "n_chars", *names])
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == df.columns
+    assert sorted(out.drop("text", "n_chars").collect()) == sorted(df.drop("text", "n_chars").collect())
+    told = line_dedup.dedup_lines(df, report=True)
+    assert sorted((r.doc_id, r.text, r.n_chars, r.removed_lines, r["a.b"]) for r in told.collect()) == [(0, "a\nb", 3, 0, "a.b0"), (1, "", 0, 2, "a.b1"), (2, "", 0, 2, "a.b2")]
