@@ -10,14 +10,21 @@ tiles of two blocks. Buckets of one end. Comparison of embedded sets keeps what
 threshold by five standard deviations and joins it to candidate components. Inside a component every
 pair of sets is then counted exactly, by the shingles themselves, again in tiles.
 
-Nothing quadratic is written: tiles return sums and spanning edges. Links between copies are not
-expanded; `n_links` counts them. Texts of fewer than `size` words are one shingle of all words; null
-texts and texts without words have no shingle, no link and a class of their own. Rows without an
-identifier take part and come last in a class. Extra columns are ignored.
+Links between copies are not expanded; `n_links` counts them. That number asks for every pair of a
+component, so the pairs are compared, in tiles of bounded bytes and rows; a set travels as its shingle
+hashes, once for every block of its component (a component of n sets: n / 2,048 times at most for short
+texts), and a tile returns sums and spanning edges, never pairs. In the search, where only connection
+counts, a tile first unites what is near a few pivots and compares the rest alone.
+
+Texts of fewer than `size` words are one shingle of all words; null texts, empty ones and texts without
+words have no shingle, no link and a class of their own. Very long texts are taken whole. Repeated rows
+and ties: every row counts as a document, equal sets are linked to each other. Rows without an identifier
+take part and come last in a class. An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -30,7 +37,9 @@ from strandline.llm.components import components
 from strandline.llm.storage import Scratch
 
 WIDTH, BRANCHES, CHUNK = 64, 2, 1 << 20
-SMALL, BLOCK, DEPTH = 256, 2048, 8
+SMALL, BLOCK, DEPTH = 256, 4096, 8
+#: Most rows and bytes of shingles in a block where links are counted; a token of over COMMON sets of a tile is one of a matrix.
+ROWS, BYTES, COMMON = 2048, 4 << 20, 64
 _ODD = V.mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | V.U64(1)
 
 
@@ -79,7 +88,7 @@ def embedded(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs_needed(threshold: float, recall: float, depth: int = 3) -> int:
+def runs_needed(threshold: float, recall: float, depth: int = DEPTH) -> int:
     """Runs after which a pair at the threshold is together in one bucket with this probability."""
     lost = (1 - threshold) ** BRANCHES
     for _ in range(depth - 1):
@@ -143,6 +152,25 @@ def _near_pairs(sig: np.ndarray, side_a: np.ndarray, side_b: np.ndarray, least:
     return a[a != b], b[a != b]
 
 
+def _near_labels(sig: np.ndarray, first: np.ndarray, second: np.ndarray, least: int, pivots: int = 8) -> np.ndarray:
+    """Smallest index connected to each index by near pairs of (first, second)."""
+    n = len(sig)
+    label = np.arange(n)
+    for k in range(pivots):
+        side, other = (second, first) if k % 2 else (first, second)
+        big = np.bincount(label).argmax()
+        out = side[label[side] != big]
+        if not len(out):
+            break
+        a, b = _near_pairs(sig, out[:1], other, least)
+        label = _labels(n, np.concatenate((a, np.arange(n))), np.concatenate((b, label)))
+    big = np.bincount(label).argmax()
+    # Pairs inside the largest component need no comparison.
+    parts = [_near_pairs(sig, x, y, least) for x, y in ((first[label[first] != big], second), (first[label[first] == big], second[label[second] != big])) if len(x) and len(y)]
+    a, b = (np.concatenate([np.arange(n) if c == 0 else label, *(p[c] for p in parts)]) for c in (0, 1))
+    return _labels(n, a, b)
+
+
 def _candidate_edges(threshold: float):
     least = max(1, int((threshold - 5 * math.sqrt(threshold * (1 - threshold) / WIDTH)) * WIDTH))
 
@@ -156,8 +184,7 @@ def _candidate_edges(threshold: float):
             low = np.asarray(t.column("low"))
             first = np.flatnonzero(low)
             second = np.flatnonzero(~low)
-            a, b = _near_pairs(sig, first, second if len(second) else first, least)
-            label = _labels(n, a, b)
+            label = _near_labels(sig, first, second if len(second) else first, least)
             away = label != np.arange(n)
             if away.any():
                 yield pa.RecordBatch.from_arrays([pa.array(uid[away]), pa.array(uid[label[away]])], ["a", "b"])
@@ -165,16 +192,47 @@ def _candidate_edges(threshold: float):
     return work
 
 
-def _tiles(df: DataFrame, key: str, n: str, block: int) -> DataFrame:
-    """Rows of groups of over `block` rows, once for every pair of blocks that they belong to."""
-    blocks = F.ceil(F.col(n) / block).cast("int")
+def _tiles(df: DataFrame, key: str, blocks) -> DataFrame:
+    """Rows of groups, once for every pair of the group's `blocks` that they belong to."""
+    blocks = blocks.cast("int")
     own = F.pmod(F.xxhash64("uid"), blocks).cast("int")
     df = df.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     t = df.withColumns({"t1": F.least("_own", "_other"), "t2": F.greatest("_own", "_other"), "low": F.col("_own") <= F.col("_other")})
     return t.drop("_own", "_other").repartition(key, "t1", "t2").sortWithinPartitions(key, "t1", "t2", "uid")
 
 
-def _counted(threshold: float, size: int):
+def _shared(token: np.ndarray, at: np.ndarray, rows: np.ndarray, n: int):
+    """For each batch of `rows`: the batch and its matrix of numbers of tokens shared with all n sets."""
+    row = np.repeat(np.arange(n), np.diff(at))
+    sets = np.bincount(token) if len(token) else np.zeros(0, np.int64)
+    common = np.flatnonzero(sets > COMMON)
+    number = np.full(len(sets), -1)
+    number[common] = np.arange(len(common))
+    column = number[token]
+    tables = []
+    for k in range(0, len(common), 2048):
+        table = np.zeros((n, min(2048, len(common) - k)), np.uint8)
+        own = (column >= k) & (column < k + 2048)
+        table[row[own], column[own] - k] = 1
+        tables.append(table)
+    order = np.argsort(token, kind="stable")
+    posting, begin = row[order], np.searchsorted(token[order], np.arange(len(sets) + 1))
+    for k in range(0, len(rows), 256):
+        part = rows[k : k + 256]
+        out = np.zeros((len(part), n), np.float32)
+        for table in tables:
+            out += table[part].astype(np.float32) @ table.astype(np.float32).T
+        size = at[part + 1] - at[part]
+        mine = token[V.ragged(at[part], size)]
+        which = np.repeat(np.arange(len(part)), size)
+        few = column[V.ragged(at[part], size)] < 0
+        mine, which = mine[few], which[few]
+        many = begin[mine + 1] - begin[mine]
+        met = np.repeat(which, many) * n + posting[V.ragged(begin[mine], many)]
+        yield part, out + np.bincount(met, minlength=len(part) * n).reshape(len(part), n)
+
+
+def _counted(threshold: float):
     """Exact links inside tiles: uid, links by class size, a spanning edge."""
 
     def work(batches):
@@ -183,33 +241,22 @@ def _counted(threshold: float, size: int):
             t = t.take(pa.array(first))
             n = t.num_rows
             low, members = np.asarray(t.column("low")), np.asarray(t.column("members"))
-            data, off = V.column_bytes(t.column("text"))
-            parts = [shingles(data[off[a] : off[b]], off[a : b + 1] - off[a], size) for a, b in V.chunks(off, CHUNK)]
-            count = np.concatenate([np.diff(x) for _, x in parts])
-            at = np.concatenate(([0], np.cumsum(count)))
-            token = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)[1]
-            row = np.repeat(np.arange(n), count)
-            order = np.argsort(token, kind="stable")
-            posting, begin = row[order], np.searchsorted(token[order], np.arange(token.max() + 2 if len(token) else 1))
+            data, off = V.column_bytes(t.column("ids").combine_chunks())
+            at = off // 8
+            token = np.unique(np.frombuffer(data.tobytes(), np.uint64), return_inverse=True)[1]
+            count = np.diff(at)
             split = not low.all()
-            links = np.zeros(n, np.int64)
-            pa_, pb_ = [], []
-            for i in np.flatnonzero(low):
-                mine = token[at[i] : at[i + 1]]
-                got = posting[V.ragged(begin[mine], begin[mine + 1] - begin[mine])]
-                shared = np.bincount(got, minlength=n)
-                union = count[i] + count - shared
-                near = (shared > 0) & (shared >= threshold * union - 1e-9)
-                near[i] = False
+            links, label = np.zeros(n, np.int64), np.arange(n)
+            for part, shared in _shared(token, at, np.flatnonzero(low), n):
+                near = (shared > 0) & (shared >= threshold * (count[part][:, None] + count - shared) - 1e-9)
+                near[np.arange(len(part)), part] = False
                 if split:
                     near &= ~low
-                j = np.flatnonzero(near)
-                links[i] += members[j].sum()
+                links[part] += near @ members
                 if split:
-                    links[j] += members[i]
-                pa_.append(np.full(len(j), i))
-                pb_.append(j)
-            label = _labels(n, np.concatenate(pa_), np.concatenate(pb_))
+                    links += members[part] @ near
+                i, j = np.nonzero(near)
+                label = _labels(n, np.concatenate((part[i], np.arange(n))), np.concatenate((j, label)))
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(links), pa.array(uid[label])], ["uid", "links", "root"])
 
     return work
@@ -227,36 +274,44 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
             for a, b in V.chunks(off, CHUNK):
                 h, at = shingles(data[off[a] : off[b]], off[a : b + 1] - off[a], size)
                 sig, n = embedded(h, at), np.diff(at)
-                sums = []
-                for salt in (0, 1):
-                    acc = np.concatenate((np.zeros(1, np.uint64), np.cumsum(V.mix(h + V.U64(salt)))))
-                    sums.append((acc[at[1:]] - acc[at[:-1]]).view(np.int64))
+                raw, ends = h.tobytes(), (at * 8).tolist()
+                digest = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), WIDTH).cast(pa.list_(pa.int32()))],
-                    ["id", "uid", "th", "n", "c1", "c2", "sig"],
+                    [*(batch.column(k).slice(a, b - a) for k in (1, 2, 3)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), WIDTH).cast(pa.list_(pa.int32()))],
+                    ["id", "uid", "th", "n", "same", "sig"],
                 )
 
+    def hashes(batches):
+        for batch in batches:
+            data, off = V.column_bytes(batch.column(4))
+            for a, b in V.chunks(off, CHUNK):
+                h, at = shingles(data[off[a] : off[b]], off[a : b + 1] - off[a], size)
+                ids = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((at * 8).astype(np.int64).tobytes()), pa.py_buffer(h.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(4)), ids.cast(pa.binary())], ["root", "blocks", "uid", "members", "ids"])
+
     source = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
-    sets = tmp.save(source.mapInArrow(embed, "id long, uid long, th long, n long, c1 long, c2 long, sig array<int>"), "sets")
-    # Equal sets: sums of two mixes of all shingles, and their number.
-    alike = ["n", "c1", "c2"]
-    groups = sets.where("n > 0").groupBy(*alike).agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("members"))
-    reps = tmp.save(sets.join(groups.select(F.col("rep").alias("uid"), "members"), "uid").select("uid", "id", "th", "sig", "members"), "reps")
+    sets = tmp.save(source.mapInArrow(embed, "id long, uid long, th long, n long, same binary, sig array<int>"), "sets")
+    # Equal sets: a digest of all shingles, and their number.
+    alike = ["n", "same"]
+    groups = tmp.save(sets.where("n > 0").groupBy(*alike).agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("members")), "groups")
+    reps = tmp.save(sets.join(groups.select(F.col("rep").alias("uid"), "members"), "uid").select("uid", "id", "th", "n", "sig", "members"), "reps")
     edges = _search(reps, tmp, threshold, recall)
-    comp = tmp.save(components(edges, tmp).select(F.col("id").alias("uid"), "root"), "components")
-    comp = comp.join(comp.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    asked = comp.join(reps.select("uid", "id", "th", "members"), "uid")
+    comp = components(edges, tmp).select(F.col("id").alias("uid"), "root")
+    asked = tmp.save(comp.join(reps.select("uid", "id", "th", "n", "members"), "uid"), "asked")
+    blocks = F.greatest(F.ceil(F.sum("n") * 8 / BYTES), F.ceil(F.count(F.lit(1)) / ROWS))
+    asked = asked.join(tmp.save(asked.groupBy("root").agg(blocks.alias("blocks")), "sizes"), "root")
     texts = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = texts.withColumn("th", F.xxhash64("text")).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "text")
-    found = asked.join(texts, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))).select("root", "size", "uid", "members", "text")
-    tiled = _tiles(found, "root", "size", BLOCK // 2).select("root", "t1", "t2", "low", "uid", "members", "text")
-    exact = tmp.save(tiled.mapInArrow(_counted(threshold, size), "uid long, links long, root long"), "exact")
+    found = asked.join(texts, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))).select("root", "blocks", "uid", "members", "text")
+    found = found.mapInArrow(hashes, "root long, blocks long, uid long, members long, ids binary")
+    tiled = _tiles(found, "root", F.col("blocks")).select("root", "t1", "t2", "low", "uid", "members", "ids")
+    exact = tmp.save(tiled.mapInArrow(_counted(threshold), "uid long, links long, root long"), "exact")
     linked = components(exact.select(F.col("uid").alias("a"), F.col("root").alias("b")), tmp)
     told = groups.join(exact.groupBy(F.col("uid").alias("rep")).agg(F.sum("links").alias("links")), "rep", "left").join(linked.select(F.col("id").alias("rep"), "root"), "rep", "left")
     told = tmp.save(told.select(*alike, F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links")), "told")
     rows = sets.where("n > 0").select("id", "uid", "th", *alike).join(told, alike).select("id", "uid", "th", "n", "root", "n_links")
     rows = tmp.save(rows.unionByName(sets.where("n = 0").select("id", "uid", "th", "n", F.col("uid").alias("root"), F.lit(0).cast("long").alias("n_links"))), "rows")
-    heads = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("head"))
+    heads = tmp.save(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("head")), "heads")
     return rows.join(heads, "root").select(
         F.col("id").alias(key), F.col("head.id").alias("class_id"), "n_links", F.col("n").alias("n_shingles"), *([F.col("th").alias("text_hash")] * with_hash), (F.col("uid") == F.col("head.uid")).alias("kept"),
     )
@@ -272,14 +327,14 @@ def _search(reps: DataFrame, tmp: Scratch, threshold: float, recall: float) -> D
         place = F.pmod(F.xxhash64("path", "j"), F.lit(WIDTH)) if level else (F.col("path") * BRANCHES + F.col("j")) * 5 % WIDTH
         split = rows.select("uid", "sig", "path", F.col("n").alias("before"), F.explode(F.array(*(F.lit(k) for k in range(BRANCHES)))).alias("j")).withColumn("place", place.cast("int"))
         split = split.select("uid", "before", F.xxhash64("path", "place", F.get("sig", F.col("place"))).alias("path"))
-        sizes = split.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = tmp.save(split.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{level}")
         shared = tmp.save(split.join(sizes, "path"), f"level{level}")
         small = F.col("n") <= SMALL
         ends = small if not level else small | (F.col("n") * 2 > F.col("before"))
         if level == DEPTH - 1:
             ends = F.lit(True)
         leaf = shared.where(ends).join(reps.select("uid", "sig"), "uid").select("path", "n", "uid", "sig")
-        tiled = _tiles(leaf, "path", "n", BLOCK).select("path", "t1", "t2", "low", "uid", "sig")
+        tiled = _tiles(leaf, "path", F.ceil(F.col("n") / BLOCK)).select("path", "t1", "t2", "low", "uid", "sig")
         got = tmp.save(tiled.mapInArrow(_candidate_edges(threshold), "a long, b long").distinct(), f"edges{level}")
         found = got if found is None else found.unionByName(got)
         more = shared.where(~ends)

@@ -2,6 +2,9 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
+import numpy as np
+
 from strandline.llm import ngram_join
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -63,6 +66,8 @@ def test_against_brute_force(spark):
 def test_splitting_and_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "ROWS", 5)
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
     rows = data()
     out = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.class_id, r.n_links, r.n_shingles) for r in out} == brute(rows)
@@ -73,3 +78,29 @@ def test_rows_alike_without_id_and_empty(spark):
     out = ngram_join.classes(df).collect()
     assert sorted((r.class_id is None, r.n_links, r.kept) for r in out) == [(False, 2, False), (False, 2, False), (False, 2, True), (True, 0, True)]
     assert ngram_join.classes(df.limit(0)).count() == 0
+
+
+def test_no_link_is_lost_on_a_whole_table(spark):
+    """Recall is 1 on 10,000 documents: all links that SQL counts from common shingles."""
+    sf = "/root/testdata/sf0.1"
+    out = ngram_join.classes(spark.read.parquet(f"{sf}/documents.parquet")).selectExpr("doc_id", "n_links").where("n_links > 0").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    links = ngram_join.ORACLE.split("     reach AS")[0].rstrip().rstrip(",") + " SELECT a, count(*) FROM e GROUP BY a"
+    assert {r.doc_id: r.n_links for r in out} == dict(con.execute(links).fetchall())
+
+
+def test_kernels_against_brute_force(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON", 5)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.choice(np.concatenate((np.arange(12), np.arange(100, 400))), rng.integers(0, 40))) for _ in range(300)]
+    at, token = np.cumsum([0, *map(len, sets)]), np.concatenate(sets)
+    rows = np.arange(0, 300, 2)
+    for part, shared in ngram_join._shared(token, at, rows, 300):
+        assert [[len(np.intersect1d(sets[i], y)) for y in sets] for i in part[:20]] == shared[:20].tolist()
+    sig = rng.integers(0, 3, (200, ngram_join.WIDTH)).astype(np.int32)
+    sig[50:120] = sig[7]
+    sig[60:90, :20] = 9
+    for first, second in ((np.arange(200), np.arange(200)), (np.arange(0, 200, 2), np.arange(1, 200, 2))):
+        a, b = ngram_join._near_pairs(sig, first, second, 30)
+        assert ngram_join._near_labels(sig, first, second, 30).tolist() == ngram_join._labels(200, a, b).tolist()
