@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -36,6 +37,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._tables: list[str] = []
         atexit.register(self._clean)
 
     def path(self, name: str = "t") -> str:
@@ -49,6 +51,22 @@ class Scratch:
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
+    def save_bucketed(self, df: DataFrame, key: str, text: str, bytes_each: int = 48 << 20) -> DataFrame:
+        """Saved in buckets by `key`, of about `bytes_each`: joins on that key read the buckets and move the
+        other side only. The size is that of the files that one table scan expects, else measured by `text`."""
+        plan = df._jdf.queryExecution().optimizedPlan()
+        size = int(str(plan.stats().sizeInBytes()))
+        if plan.collectLeaves().size() > 1 or size >= 1 << 60:
+            size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        n = max(self.spark.sparkContext.defaultParallelism, min(100_000, -(-size // bytes_each)))
+        path, table = self.path("bucketed"), f"t{uuid.uuid4().hex}"
+        df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+        self._tables.append(table)
+        out = self.spark.table(table)
+        out._scratch_path = path  # type: ignore[attr-defined]
+        self.drop()
+        return out
+
     def drop(self, *saved: DataFrame) -> None:
         for df in saved:
             self._delete(df._scratch_path)  # type: ignore[attr-defined]
@@ -63,6 +81,8 @@ class Scratch:
 
     def _clean(self) -> None:
         try:
+            for table in self._tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             self._delete(self.root)
         except Exception:  # the JVM has ended
             pass

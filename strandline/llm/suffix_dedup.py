@@ -1,19 +1,23 @@
 """Removal of byte strings of `length` bytes that start more than once in the corpus.
 
 Distribution. Every window of `length` bytes is known by the smallest hash of the 32-byte strings in
-it; equal windows agree in it. Neighbouring windows with the same minimum form a run, the bytes under
-which are its context. Runs whose minimum occurs once are dropped, by counts aggregated before they
-are shuffled. Contexts that are equal as a whole are collapsed to one with a count. A minimum with very
-many runs is split again by further hashes, alike in all documents, so that no group is unbounded.
+it; equal windows agree in it. Neighbouring windows with the same minimum form a run (of `LONGEST` windows
+at most, so that low-complexity text gives equal pieces), the bytes under which are its context. Runs whose
+minimum occurs once are dropped, by counts aggregated before they are shuffled. Contexts whose bytes are
+equal are collapsed to one with a count. A minimum with very many bytes is split again by further hashes,
+alike in all documents, so that its contexts spread over groups. Texts are written once in buckets by row;
+runs and results come to them there, so that a text moves once.
 
 Inside a block of groups, a Burrows-Wheeler transform of the contexts is searched by threshold-bounded
 interval expansion: from the boundaries between suffixes that share exactly l bytes, breadth-first
 backward extension derives those that share l + 1, by increasing l, and stops at `length`. Suffixes
 that no boundary parts by then are equal in their first `length` bytes. Only intervals in which a
-boundary was found are visited again.
+boundary was found are visited again. Every context of a minimum that occurs twice goes this way.
 
-Windows never cross documents. Null texts count as empty; texts shorter than `length` lose nothing.
-Rows with the same identifier and text are separate documents. Extra columns are ignored.
+Windows never cross documents. Null and empty texts and texts shorter than `length` lose nothing; very
+long texts are taken whole. Repeated rows, rows with the same identifier and text too, are separate
+documents that lose what they share. An empty table gives an empty table. Extra columns, whatever their
+names, are ignored, but for those named in `carry`.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from strandline.llm import vectext as V
 from strandline.llm.storage import Scratch
 
 GRAM, CHUNK, BLOCK = 32, 1 << 20, 3 << 17
-#: Runs of one minimum from which it is split again, and by about how much a split divides.
-HOT, DIVIDES = 20_000, 64
+#: Bytes under one minimum from which it is split again, and by about how much a split divides.
+HOT, DIVIDES = 6 << 20, 64
+#: Windows of a run.
+LONGEST = 4096
 STOP = 0xFF  # no byte of UTF-8
 
 
@@ -82,6 +88,10 @@ def window_runs(data: np.ndarray, off: np.ndarray, length: int, seed: int = 0):
     stop = valid.copy()
     stop[:-1] &= start[1:] | ~valid[1:]
     b = np.flatnonzero(stop)
+    if len(a) and (b - a).max() >= LONGEST:
+        pieces = (b - a) // LONGEST + 1
+        step = V.ragged(np.zeros(len(a), np.int64), pieces) * LONGEST
+        a, b = np.repeat(a, pieces) + step, np.minimum(np.repeat(a, pieces) + step + LONGEST - 1, np.repeat(b, pieces))
     top = np.zeros(len(h), np.uint64)
     padded = np.concatenate((np.zeros(w - 1, np.uint64), np.where(valid, low, 0), np.zeros(w - 1, np.uint64)))
     top[: len(low) + w - 1] = _slide(padded, w, np.maximum)[: len(h)]
@@ -193,18 +203,16 @@ def _spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(data, off, rows, lists, length: int):
-    """Arrays of the contexts of chosen runs: (row, minimum, start, windows, bytes flat, sizes)."""
-    row, m, first, last, n = rows, *lists
-    place = off[row] + first
+    """Arrays of the contexts of chosen runs: (row, minimum, start, bytes flat, sizes)."""
+    row, (m, first, last, total) = rows, lists
     size = last - first + length
-    flat = data[V.ragged(place, size)]
-    hot = n > HOT
+    hot = total > HOT
     if hot.any():
-        out = [(row[~hot], m[~hot], first[~hot], (last - first + 1)[~hot])]
-        stops = np.concatenate(([0], np.cumsum(size)))
+        out = [(row[~hot], m[~hot], first[~hot], last[~hot])]
         for k in np.flatnonzero(hot).tolist():
             pieces = [(int(m[k]), 0, int(last[k] - first[k]))]
-            body, many, seed = flat[stops[k] : stops[k + 1]], int(n[k]), 1
+            at = off[row[k]] + first[k]
+            body, many, seed = data[at : at + size[k]], int(total[k]), 1
             while many > HOT:
                 finer = []
                 for key, a, b in pieces:
@@ -215,154 +223,135 @@ def _contexts(data, off, rows, lists, length: int):
                 pieces, many, seed = finer, many // DIVIDES, seed + 1
             got = np.array([(a, b) for _, a, b in pieces], np.int64)
             keys = np.array([q & (2**64 - 1) for q, _, _ in pieces], np.uint64).view(np.int64)
-            out.append((np.full(len(got), row[k]), keys, first[k] + got[:, 0], got[:, 1] - got[:, 0] + 1))
-        row, m, first, windows = (np.concatenate(c) for c in zip(*out, strict=True))
-        size = windows + length - 1
-        flat = data[V.ragged(off[row] + first, size)]
-        return row, m, first, windows, flat, size
-    return row, m, first, last - first + 1, flat, size
+            out.append((np.full(len(got), row[k]), keys, first[k] + got[:, 0], first[k] + got[:, 1]))
+        row, m, first, last = (np.concatenate(c) for c in zip(*out, strict=True))
+        size = last - first + length
+    return row, m, first, data[V.ragged(off[row] + first, size)], size
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: key, n_bytes, n_removed, n_spans, kept_sha256, what is left if asked for,
-    and the columns named in `carry`."""
-    tmp = Scratch(df.sparkSession, "suffix-dedup")
-    kind = df.schema[key].dataType.simpleString()
-    more = [f"c{k}" for k in range(len(carry))]
-    base = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(c).alias(x) for c, x in zip(carry, more, strict=True)))
-    base = base.withColumn("th", F.xxhash64("text")).select("id", "text", "th", *more)
-
-    def find(batches):
+def _find(length: int):
+    def work(batches):
         for batch in batches:
             data, off = V.column_bytes(batch.column(1))
             for a, b in V.chunks(off, CHUNK):
-                part, inner = data[off[a] : off[b]], off[a : b + 1] - off[a]
-                row, m, first, last, twice = window_runs(part, inner, length)
-                dg = V.span_hashes(part, inner[row] + first, inner[row] + last + length) if len(row) else m
-                at = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(m.view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(dg.view(np.int64)), pa.array(twice)], ["id", "th", "m", "first", "last", "dg", "twice"])
-
-    runs = tmp.save(base.select("id", "text", "th").where(F.octet_length("text") >= length).mapInArrow(find, f"id {kind}, th long, m long, first int, last int, dg long, twice boolean"), "runs")
-    # Where all contexts of a minimum are equal, and there are several, they repeat as a whole (n = 0).
-    often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min("dg").alias("lo"), F.max("dg").alias("hi")).where("n > 1 OR twice")
-    often = often.select("m", F.when((F.col("n") > 1) & (F.col("lo") == F.col("hi")), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n"))
-    lists = runs.select("id", "th", "m", "first", "last").join(often, "m").groupBy("id", "th").agg(F.collect_set(F.struct("m", "first", "last", "n")).alias("runs"))
-    # Saved on its own, so that the shuffles of all runs are gone before texts move.
-    lists = tmp.save(lists.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "runs"), "lists")
-    tmp.drop(runs)
-    joined = base.join(lists, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left")
-    sha = F.when(F.col("runs").isNull(), F.sha2("text", 256))
-    held = joined.select("id", "th", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"), (F.col("text") if with_text else F.when(F.col("runs").isNotNull(), F.col("text"))).alias("text"), "runs", *more)
-    held = tmp.save(held, "held")
-    tmp.drop(lists)
-    some = held.where("runs IS NOT NULL")
-
-    def cut(bodies: bool):
-        def work(batches):
-            for batch in batches:
-                data, off = V.column_bytes(batch.column(2))
-                lists_ = batch.column(3)
-                at = np.asarray(lists_.offsets)
-                fields = [np.asarray(lists_.values.field(k)) for k in range(4)]
-                for a, b in V.chunks(off, CHUNK):
-                    x, y = at[a], at[b]
-                    rows = np.repeat(np.arange(a, b), np.diff(at[a : b + 1]))
-                    mixed = fields[3][x:y] > 0
-                    row, m, first, windows, flat, size = _contexts(data, off, rows[mixed], [f[x:y][mixed].astype(np.int64) for f in fields], length)
-                    ends = np.concatenate(([0], np.cumsum(size)))
-                    dg = V.span_hashes(flat, ends[:-1], ends[1:]).view(np.int64) if len(row) else np.zeros(0, np.int64)
-                    if bodies:
-                        body = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-                        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(dg), body], ["m", "dg", "body"])
-                    else:
-                        k = pa.array(row)
-                        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(dg), batch.column(0).take(k), batch.column(1).take(k), pa.array(first, pa.int32())], ["m", "dg", "id", "th", "first"])
-
-        return work
-
-    def search(batches):
-        held_: list = []
-        total = 0
-
-        def flush():
-            nonlocal held_, total
-            t = pa.Table.from_batches(held_)
-            held_, total = [], 0
-            body = t.column("body").combine_chunks()
-            data, off = V.column_bytes(body.cast(pa.binary()))
-            size = np.diff(off)
-            many = np.asarray(t.column("n")) > 1
-            m = np.asarray(t.column("m"))
-            edge = np.concatenate(([True], m[1:] != m[:-1], [True]))
-            # One context that stands alone and occurs more than once repeats as a whole.
-            alone = edge[:-1] & edge[1:] & many
-            part = V.ragged(off[:-1][~alone], size[~alone])
-            where = np.arange(len(part)) + np.repeat(np.arange(int((~alone).sum())), size[~alone])
-            joined_ = np.full(len(part) + int((~alone).sum()), STOP, np.uint8)
-            joined_[where] = data[part]
-            hit = np.repeat(many, size)
-            if len(part):
-                hit[part] |= repeated_places(joined_, length)[where]
-            last = np.repeat(off[1:], size) - np.arange(len(data)) >= length
-            a, b = V.runs(hit & last, off)
-            owner = np.searchsorted(off, a, "right") - 1
-            pick = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([t.column("m").combine_chunks().take(pick), t.column("dg").combine_chunks().take(pick), pa.array(a - off[owner], pa.int32()), pa.array(b - off[owner], pa.int32())], ["m", "dg", "a", "b"])
+                row, m, first, last, twice = window_runs(data[off[a] : off[b]], off[a : b + 1] - off[a], length)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(m.view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(twice)], ["uid", "m", "first", "last", "twice"])
+
+    return work
 
+
+def _cut(length: int, bodies: bool):
+    """The contexts of a row's runs: (m, dg, body), or where they stand: (m, dg, uid, first)."""
+
+    def work(batches):
         for batch in batches:
+            data, off = V.column_bytes(batch.column(1))
+            lists = batch.column(2)
+            at = np.asarray(lists.offsets)
+            fields = [np.asarray(lists.values.field(k)).astype(np.int64) for k in range(4)]
+            for a, b in V.chunks(off, CHUNK):
+                x, y = at[a], at[b]
+                row, m, first, flat, size = _contexts(data, off, np.repeat(np.arange(a, b), np.diff(at[a : b + 1])), [f[x:y] for f in fields], length)
+                ends = np.concatenate(([0], np.cumsum(size)))
+                raw, cuts = flat.tobytes(), ends.tolist()
+                dg = pa.array([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+                if bodies:
+                    body = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                    yield pa.RecordBatch.from_arrays([pa.array(m), dg, body], ["m", "dg", "body"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(m), dg, batch.column(0).take(pa.array(row)), pa.array(first, pa.int32())], ["m", "dg", "uid", "first"])
+
+    return work
+
+
+def _repeats(t: pa.Table, length: int) -> pa.RecordBatch:
+    """(m, dg, a, b): the starts a to b - 1 of a context's repeated strings, over a block of whole groups."""
+    body = t.column("body").combine_chunks()
+    data, off = V.column_bytes(body)
+    size = np.diff(off)
+    where = np.arange(len(data)) + np.repeat(np.arange(len(size)), size)
+    text = np.full(len(data) + len(size), STOP, np.uint8)
+    text[where] = data
+    # A context that was collapsed repeats as a whole; the transform finds what different ones share.
+    hit = np.repeat(np.asarray(t.column("n")) > 1, size) | repeated_places(text, length)[where]
+    inside = np.repeat(off[1:], size) - np.arange(len(data)) >= length
+    a, b = V.runs(hit & inside, off)
+    owner = np.searchsorted(off, a, "right") - 1
+    pick = pa.array(owner)
+    return pa.RecordBatch.from_arrays([t.column("m").combine_chunks().take(pick), t.column("dg").combine_chunks().take(pick), pa.array(a - off[owner], pa.int32()), pa.array(b - off[owner], pa.int32())], ["m", "dg", "a", "b"])
+
+
+def _search(length: int):
+    """Blocks of whole groups of a partition in order of m."""
+    names = ["m", "dg", "body", "n"]
+
+    def work(batches):
+        held, total, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             m = np.asarray(batch.column(0))
             off = V.column_bytes(batch.column(2))[1]
-            cuts = np.flatnonzero(m[1:] != m[:-1]) + 1
+            # Places where another minimum begins; a group may go on in the next batch.
+            begins = np.flatnonzero(np.concatenate(([last is not None and m[0] != last], m[1:] != m[:-1])))
             begin = 0
-            for c in [*cuts.tolist(), len(m)]:
-                # A group's rows may go on in the next batch: flush only where another minimum begins.
-                if total + off[c] - off[begin] > BLOCK and c < len(m):
-                    held_.append(pa.RecordBatch.from_arrays(batch.slice(begin, c - begin).columns, ["m", "dg", "body", "n"]))
-                    yield from flush()
-                    begin = c
-            if begin < len(m):
-                if held_ and begin == 0 and total > BLOCK and held_[-1].column(0)[-1].as_py() != m[0]:
-                    yield from flush()
-                held_.append(pa.RecordBatch.from_arrays(batch.slice(begin).columns, ["m", "dg", "body", "n"]))
-                total += int(off[-1] - off[begin])
-        if held_:
-            yield from flush()
-
-    places = tmp.save(some.select("id", "th", "text", "runs").mapInArrow(cut(False), f"m long, dg long, id {kind}, th long, first int"), "places")
-    bodies = some.select("id", "th", "text", "runs").mapInArrow(cut(True), "m long, dg long, body binary")
-    bodies = bodies.groupBy("m", "dg", "body").agg(F.count(F.lit(1)).alias("n"))
-    blocks = bodies.repartition("m").sortWithinPartitions("m", "dg")
-    found = tmp.save(blocks.mapInArrow(search, "m long, dg long, a int, b int"), "found")
-    hits = places.join(found, ["m", "dg"]).select("id", "th", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-    hits = hits.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "spans")
-    marked = some.select("id", "th", "text", "runs", *more).join(hits, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").select("id", "text", "spans", F.filter("runs", lambda r: r["n"] == 0).alias("whole"), *more)
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
-
-    def apply(batches):
+            for c in begins.tolist():
+                if total + off[c] - off[begin] > BLOCK:
+                    held.append(pa.RecordBatch.from_arrays(batch.slice(begin, c - begin).columns, names))
+                    yield _repeats(pa.Table.from_batches(held), length)
+                    held, total, begin = [], 0, c
+            held.append(pa.RecordBatch.from_arrays(batch.slice(begin).columns, names))
+            total += int(off[-1] - off[begin])
+            last = m[-1]
+        if held:
+            yield _repeats(pa.Table.from_batches(held), length)
+
+    return work
+
+
+def _apply(length: int, names: list[str]):
+    def work(batches):
         for batch in batches:
-            spans = batch.column(2)
-            out: list[list] = [[] for _ in names[1:]]
-            texts = batch.column(1).cast(pa.binary())
-            for k in range(batch.num_rows):
-                raw = np.frombuffer(texts[k].as_buffer(), np.uint8)
+            out: list[list] = [[] for _ in range(5)]
+            texts, spans = batch.column(1).cast(pa.binary()), batch.column(2)
+            for raw, own in zip(texts, spans, strict=True):
+                raw = np.frombuffer(raw.as_buffer(), np.uint8)
                 edge = np.zeros(len(raw) + 1, np.int32)
-                own = spans[k]
                 if own.is_valid:
-                    v = own.values
-                    np.add.at(edge, np.asarray(v.field(0)), 1)
-                    np.add.at(edge, np.asarray(v.field(1)) + length - 1, -1)
-                v = batch.column(3)[k].values
-                np.add.at(edge, np.asarray(v.field(1)), 1)
-                np.add.at(edge, np.asarray(v.field(2)) + length, -1)
+                    np.add.at(edge, np.asarray(own.values.field(0)), 1)
+                    np.add.at(edge, np.asarray(own.values.field(1)) + length - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = raw[~gone].tobytes()
-                row = [len(raw), int(gone.sum()), len(_spans(gone)[0]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")]
-                for c, x in zip(out, row, strict=False):
+                for c, x in zip(out, (len(raw), int(gone.sum()), len(_spans(gone)[0]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:]), *batch.columns[4:]], [*names, *more])
+            told = [*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *told[: 5 if "kept" in names else 4], *batch.columns[3:]], names)
 
-    done = marked.mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + "".join(f", {x} {base.schema[x].dataType.simpleString()}" for x in more))
-    zero = F.lit(0).cast("long")
-    rest = held.where("runs IS NULL").select("id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), *([F.col("text").alias("kept")] * with_text), *more)
-    return done.unionByName(rest).withColumnsRenamed({"id": key, **dict(zip(more, carry, strict=True))})
+    return work
 
+
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: key, n_bytes, n_removed, n_spans, kept_sha256, what is left if asked for,
+    and the columns named in `carry`."""
+    tmp = Scratch(df.sparkSession, "suffix-dedup")
+    kind = df.schema[key].dataType.simpleString()
+    more = [f"c{k}" for k in range(len(carry))]
+    base = df.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(x) for c, x in zip(carry, more, strict=True)))
+    texts = tmp.save_bucketed(base, "uid", "text")
+    runs = tmp.save(texts.select("uid", "text").where(F.octet_length("text") >= length).mapInArrow(_find(length), "uid long, m long, first int, last int, twice boolean"), "runs")
+    size = (F.col("last") - F.col("first") + length).cast("long")
+    often = runs.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total"), F.max("twice").alias("twice")).where("n > 1 OR twice").select("m", "total")
+    listed = runs.select("uid", "m", "first", "last").join(tmp.save(often, "often"), "m").groupBy("uid").agg(F.collect_list(F.struct("m", "first", "last", "total")).alias("runs"))
+    lists = tmp.save(listed, "lists")
+    tmp.drop(runs)
+    some = texts.select("uid", "text").join(lists, "uid").select("uid", "text", "runs")
+    places = tmp.save(some.mapInArrow(_cut(length, False), "m long, dg binary, uid long, first int"), "places")
+    bodies = some.mapInArrow(_cut(length, True), "m long, dg binary, body binary").groupBy("m", "dg", "body").agg(F.count(F.lit(1)).alias("n"))
+    found = tmp.save(bodies.repartition("m").sortWithinPartitions("m", "dg").mapInArrow(_search(length), "m long, dg binary, a int, b int"), "found")
+    hits = places.join(found, ["m", "dg"]).select("uid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    hits = tmp.save(hits.groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "hits")
+    tmp.drop(lists, places, found)
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text + more
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text + "".join(f", {x} {base.schema[x].dataType.simpleString()}" for x in more)
+    marked = texts.join(hits, "uid", "left").select("id", "text", "spans", *more)
+    return marked.mapInArrow(_apply(length, names), schema).withColumnsRenamed({"id": key, **dict(zip(more, carry, strict=True))})
