@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from strandline.llm import vectext as V
 from strandline.llm.storage import Scratch
 
-GRAM, CHUNK, BLOCK = 32, 1 << 20, 3 << 17
+GRAM, CHUNK, BLOCK = 32, 1 << 20, 1 << 17
 #: Bytes under one minimum from which it is split again, and by about how much a split divides.
 HOT, DIVIDES = 6 << 20, 64
 #: Windows of a run.
