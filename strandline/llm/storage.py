@@ -46,12 +46,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
-    def save_bucketed(self, df: DataFrame, key: str, text: str, bytes_each: int = 48 << 20) -> DataFrame:
+    def save_bucketed(self, df: DataFrame, key: str, text: str, bytes_each: int = 16 << 20) -> DataFrame:
         """Saved in buckets by `key`, of about `bytes_each`: joins on that key read the buckets and move the
         other side only. The size is that of the files that one table scan expects, else measured by `text`."""
         plan = df._jdf.queryExecution().optimizedPlan()
@@ -60,7 +60,7 @@ class Scratch:
             size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
         n = max(self.spark.sparkContext.defaultParallelism, min(100_000, -(-size // bytes_each)))
         path, table = self.path("bucketed"), f"t{uuid.uuid4().hex}"
-        df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+        df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(table)
         self._tables.append(table)
         out = self.spark.table(table)
         out._scratch_path = path  # type: ignore[attr-defined]
