@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_LAST: list[Scratch] = []
+_NOW: list[list[Scratch]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[key]
 
 
+@contextmanager
+def stage_of_pipeline(docs: DataFrame) -> Iterator[None]:
+    """Tables opened inside are freed when the next stage begins, which reads a written copy of this one's
+    result. If `docs` still reads them, they stay."""
+    files = docs.inputFiles() if _LAST else []
+    for scratch in _LAST:
+        if not any(scratch.root in f for f in files):
+            scratch.free()
+    _LAST.clear()
+    _NOW.append(_LAST)
+    try:
+        yield
+    finally:
+        _NOW.pop()
+
+
 class Scratch:
     """Written tables of one query. `save` cuts the lineage: a lost executor costs a reread, not a
     recomputation. `drop` frees a table that later ones no longer read; the rest goes at exit.
@@ -38,6 +58,8 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._tables: list[str] = []
+        if _NOW:
+            _NOW[-1].append(self)
         atexit.register(self._clean)
 
     def path(self, name: str = "t") -> str:
@@ -74,6 +96,12 @@ class Scratch:
         # unused, and asks for a collection every 30 minutes only; the next step needs the disk sooner.
         self.spark.sparkContext._jvm.System.gc()
 
+    def free(self) -> None:
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables.clear()
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -81,8 +109,6 @@ class Scratch:
 
     def _clean(self) -> None:
         try:
-            for table in self._tables:
-                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-            self._delete(self.root)
+            self.free()
         except Exception:  # the JVM has ended
             pass
