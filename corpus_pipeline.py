@@ -7,30 +7,50 @@ suffix_dedup  bytes under 200-byte strings that start more than once go
 packing       what is left, as pieces of training sequences
 
 A null text counts as empty (its score is the base rate); an emptied document stays, with an empty text.
-A byte string cut in the middle of a character leaves the rest of that character out.
+A byte string cut in the middle of a character leaves the rest of that character out. Very long texts go
+through whole. Repeated rows: near duplicates keep one row of those alike in identifier and text; the other
+stages treat every row. Null identifiers come last where one of several stays. Columns beyond those of
+`documents`, whatever their names, are not carried; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, line_dedup, ngram_join, packing, suffix_dedup, toxicity
-from strandline.llm.storage import Scratch
+from strandline.llm.storage import Scratch, stage_of_pipeline
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Frees the intermediate tables of the stage before, once its written result is what comes in."""
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_of_pipeline(docs):
+            return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score below 0.5; learned from the labelled rows outside the held-out fifth."""
     model = toxicity.train_on_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), model).where("score < 0.5").drop("score")
 
 
+@stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs.select(*COLUMNS))
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row per class. Rows alike in identifier and text are one class, of which one stays."""
     kept = ngram_join.classes(docs, with_hash=True).where("kept").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
@@ -38,11 +58,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "_t"]).drop("_t")
 
 
+@stage
 def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(docs.select(*COLUMNS), with_text=True, carry=COLUMNS[2:4])
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, bpe.public_path("word_bpe_49k.json"))
 
