@@ -9,8 +9,11 @@ and stitches those that cross blocks. Blocks are small rows, so the scan moves n
 A text may hold the end identifier itself, as the string of a special token. Inside a text it is written
 as the first id beyond the vocabulary and counts as one token, so an end identifier always ends a document.
 
-Empty documents count 0 tokens. Ids behind the last separator of a stream form an unended document,
-which is returned with ended = false. An empty block is allowed anywhere.
+Null and empty documents count 0 tokens. Very long texts go through whole; their tokens cross blocks.
+Ids behind the last separator of a stream form an unended document, which is returned with ended = false.
+An empty block is allowed anywhere, an empty table gives an empty table. Repeated rows are documents of
+their own, known by their place in the stream, so ties need no rule. Extra columns, whatever their names,
+are ignored. A scan that finds another number of documents in a stream than were written is an error.
 """
 
 from __future__ import annotations
@@ -128,5 +131,8 @@ def count_documents(df: DataFrame, tokenizer_path: str, end_id: int, folder: str
     _, dtype = layout(tokenizer_path, end_id)
     if not owners.head(1):
         return owners.select(key, F.lit(0).cast("long").alias("n_tokens"))
-    found = scan(read_blocks(spark, folder), end_id, dtype)
-    return owners.join(found, ["stream", "ordinal"]).select(key, "n_tokens")
+    found = scan(read_blocks(spark, folder), end_id, dtype).select(F.col("stream").alias("s"), F.col("ordinal").alias("o"), "n_tokens")
+    both = owners.join(found, (F.col("stream") == F.col("s")) & (F.col("ordinal") == F.col("o")), "full")
+    lone = F.col("stream").isNull() | F.col("s").isNull()
+    told = F.when(lone, F.raise_error(F.lit("streams and documents differ"))).otherwise(F.col("n_tokens"))
+    return both.select(F.col(f"`{key}`"), told.cast("long").alias("n_tokens"))
