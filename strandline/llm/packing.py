@@ -6,7 +6,14 @@ is placed next. When none fits, one is cut so that the sequence becomes full. Wh
 of a partition is cut into sequences whose lengths are powers of two, so that nothing is padded.
 
 A partition is packed as it is read, without a shuffle; at most `pool` examples wait at a time.
-Null texts count as empty; an empty example is its end token. Repeated rows are packed each.
+Null texts count as empty; an empty example is its end token. Very long texts are cut into pieces, none
+is lost; whole stretches of `seq_len` tokens without a prompt become sequences at once. Ties of the dot
+product go to the first place of the pool. Repeated rows are packed each.
+An empty table gives an empty table. Extra columns, whatever their names, are ignored; a key column may
+not be named like one of the result's.
+
+Without prompts every token bears loss, so the loss limit binds only where it is set below `seq_len`, and
+two of the three demands are in effect in a packing of plain documents.
 """
 
 from __future__ import annotations
@@ -23,6 +30,10 @@ from strandline.llm import bpe
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
+def names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 class Packer:
     """Places examples (key, ids, number of leading ids without loss); `done` gets finished pieces."""
 
@@ -120,12 +131,14 @@ def pack(
     """One row per piece: key, start and length in its document, CRC-32 of its ids, the document's
     tokens, sequence_id, offset there, loss-bearing tokens, and the ids if asked for. `prompt` names a
     column whose tokens come first and carry no loss."""
+    if key in names_of(PIECE):
+        raise ValueError(f"a key column can't be named {key}")
     cols = [F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")]
     if prompt:
         cols.append(F.coalesce(F.col(prompt), F.lit("")).alias("prompt"))
     cols.append(F.spark_partition_id().cast("long").alias("part"))
     kind = df.schema[key].dataType.simpleString()
-    names = [key, *(x.split()[0] for x in PIECE.split(", "))] + ["ids"] * with_ids
+    names = [key, *names_of(PIECE)] + ["ids"] * with_ids
 
     def table(rows, part):
         out = list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
