@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the session's checkpoint folder (spark.checkpoint.dir) and read from there; a temporary
-    folder is set only where none is named."""
-    sc = df.sparkSession.sparkContext
+    folder is set only where none is named and the master is local, else an unset folder is an error."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
     return df.checkpoint()
