@@ -2,58 +2,70 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions import kernels as K
+from strandline.functions import profile
 from strandline.functions.symbols import count_of, gc_pct
-from strandline.operators import fractal, graphs, spectra, stats, windows
+from strandline.operators import graphs, stats, windows
 from strandline.plans.config import Config
 from strandline.sources.shared import checkpointed
 
 KEY = ["organism", "replicate", "start", "end", "source"]
 
 
+IDENTITY = ["organism", "accession", "organism_type", "source", "replicate", "start", "end"]
+
+
 def build(wins: DataFrame, cfg: Config) -> DataFrame:
     """Identity columns, length_bp and a double column for every feature of the enabled groups.
 
-    Rows are known by one hash key, so that every relational group is an equi-join on a long. Exploded
-    places never leave their stage but as per-key counts. Windows are checkpointed first: every group
-    reads them, and controls are drawn once."""
-    wins = checkpointed(wins.withColumn("name", F.xxhash64(*KEY)))
+    A window is bounded, so all its figures come from one Arrow pass over its sequence and nothing is
+    shuffled. Only the distance to the mean of the observed windows asks for a second look: the pass also
+    gives each window's pair shares, the features (not the sequences) are checkpointed, and 16 means come
+    back to them."""
     seq = F.col("sequence")
-    identity = ["name", *KEY[:1], "accession", "organism_type", "source", "replicate", "start", "end"]
     base = [F.length(seq).cast("long").alias("length_bp")]
     if cfg.enabled("basic"):
         base += [gc_pct(seq).alias("gc_pct"), *(count_of(seq, b).cast("double").alias(f"{b.lower()}_count") for b in "ACGT")]
+    table = wins.select(*IDENTITY, *base, "sequence")
+    keep = [c for c in table.columns if c != "sequence"]
+    chosen = [(names, fn) for g, (names, fn) in profile.groups(cfg).items() if cfg.enabled(g)]
     kernels = [g for g in windows.GROUPS if cfg.enabled(g)]
-    out = wins.select(*identity, *base)
-    parts = []
-    if kernels:
-        parts.append(windows.kernel_features(wins, kernels, cfg, ["name"]))
-    w = wins.select("name", "sequence")
-    if cfg.enabled("basic"):
-        parts.append(spectra.rho_summary(w).select("name", "dinu_rho_dev"))
-    if cfg.enabled("complexity"):
-        parts.append(fractal.box_dimension(w))
-    if cfg.enabled("kmer"):
-        parts.append(spectra.kmer_entropy(w, cfg.jaccard_k).select("name", F.col("entropy_norm").alias("kmer_entropy_norm"), F.col("occupancy").alias("kmer_occupancy")))
-        parts.append(spectra.patch_inconsistency(w))
-        parts.append(spectra.fisher_to_uniform(w))
-        own = spectra.fisher_to_centroid(wins.where("source = 'observed'").select("name", "sequence"))
-        parts.append(own.withColumnRenamed("fisher_to_centroid", "fisher_to_observed_centroid"))
-    if cfg.enabled("graph"):
-        parts.append(spectra.kmer_entropy(w, cfg.graph_k).select("name", F.col("occupancy").alias("debruijn_k4_occupancy")))
-    if cfg.enabled("fft"):
-        parts.append(spectra.phase3(w))
-    if cfg.enabled("skew"):
-        parts.append(spectra.gc_skew(w))
-    if cfg.enabled("dependency"):
-        mi = spectra.mutual_information(w, cfg.dependency_lags)
-        lags = mi.groupBy("name").agg(*(F.max(F.when(F.col("lag") == lag, F.col("mi"))).alias(f"mi_lag{lag}") for lag in cfg.dependency_lags))
-        parts += [lags, spectra.dependency_summary(mi)]
-    return reduce(lambda a, b: a.join(b, "name", "left"), parts, out).drop("name")
+    names = [n for g in kernels for n in windows.GROUPS[g][0]] + [n for part, _ in chosen for n in part]
+    pairs = cfg.enabled("kmer")
+    schema = ", ".join([f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} double" for n in names] + ["pairs array<double>"] * pairs)
+
+    def work(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            rows, shares = [], []
+            for s in pdf.sequence.fillna(""):
+                a = K.encode(s, drop=False)
+                row = {k: v for g in kernels for k, v in windows.GROUPS[g][1](s, cfg).items()}
+                for _, fn in chosen:
+                    row.update(fn(a))
+                rows.append(row)
+                shares.append(profile.shares(profile.counts(a, 2)))
+            out = pd.DataFrame(rows, columns=names, dtype=float, index=pdf.index)
+            out = pd.concat([pdf[keep], out.where(np.isfinite(out))], axis=1)
+            yield out.assign(pairs=shares) if pairs else out
+
+    feats = table.mapInPandas(work, schema)
+    if not pairs:
+        return feats
+    feats = checkpointed(feats)
+    mean = feats.where("source = 'observed'").select(F.posexplode("pairs").alias("i", "p")).groupBy("i").agg(F.avg("p").alias("p"))
+    mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("centre"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    centre = F.transform("centre", lambda x: x / total(F.col("centre")))
+    inner = total(F.zip_with("pairs", centre, lambda p, q: F.sqrt(p * q))) / F.sqrt((total(F.col("pairs")) + 1e-15) * (total(centre) + 1e-15))
+    distance = F.when(F.col("source") == "observed", 2 * F.acos(F.greatest(F.lit(0.0), F.least(F.lit(1.0), inner))))
+    return feats.crossJoin(F.broadcast(mean)).withColumn("fisher_to_observed_centroid", distance).drop("pairs", "centre")
 
 
 def hypothesis(feats: DataFrame, cfg: Config) -> DataFrame:
