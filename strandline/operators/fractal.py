@@ -33,15 +33,23 @@ def _slope(boxes: DataFrame, keep, least: int, at_least: int) -> DataFrame:
     return ok.groupBy(*keep).agg(F.when(F.count(F.lit(1)) >= least, F.regr_slope(F.log(F.col("n").cast("double")), x)).alias("dim"))
 
 
+def _halved(smallest: DataFrame, keep) -> DataFrame:
+    """keep..., e, bx, by: the cells of boxes of 2^3 (distinct: last, bx, by) and of all sizes below 2^last.
+    Cells of a size come from the distinct ones of 2^3, not from places, so few rows are exploded."""
+    size = F.pow(F.lit(2.0), F.col("e") - 3)
+    cut = lambda c: (F.col(c) / size).cast("long").alias(c)  # noqa: E731  towards zero, as the cells themselves
+    return smallest.withColumn("e", F.explode(F.sequence(F.lit(3), F.col("last") - 1))).select(*keep, "e", cut("bx"), cut("by")).distinct()
+
+
 def box_dimension(df: DataFrame, keep: tuple[str, ...] = ("name",)) -> DataFrame:
     """Box-counting dimension of the purine and strong/weak walk; NULL below 500 symbols."""
     d = df.where(F.length("sequence") >= 500)
     w = walk(d, {"x": signal(F.col("base"), "purine"), "y": signal(F.col("base"), "keto")}, keep)
     low = w.groupBy(*keep).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.count(F.lit(1)).alias("len"))
     last = F.greatest(F.lit(4), F.floor(F.log2(F.col("len").cast("double"))).cast("int") - 2)
-    boxes = w.join(low, list(keep)).where(last - 3 >= 3).withColumn("e", F.explode(F.sequence(F.lit(3), last - 1)))
-    size = F.pow(F.lit(2.0), F.col("e"))
-    cells = boxes.select(*keep, "e", F.floor((F.col("x") - F.col("x0")) / size).alias("bx"), F.floor((F.col("y") - F.col("y0")) / size).alias("by")).distinct()
+    at = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / 8).alias(f"b{c}")
+    smallest = w.join(low, list(keep)).where(last - 3 >= 3).select(*keep, last.alias("last"), at("x"), at("y")).distinct()
+    cells = _halved(smallest, keep)
     n = cells.groupBy(*keep, "e").agg(F.count(F.lit(1)).alias("n"))
     return df.select(*keep).join(_slope(n, keep, 3, 2).withColumnRenamed("dim", "chaos_walk_box_dim_proxy"), list(keep), "left")
 
@@ -52,9 +60,8 @@ def walk_dimension(df: DataFrame) -> DataFrame:
     w = walk(p, {"x": signal(F.col("base"), "purine"), "y": F.when(F.col("base").isin("A", "T"), 1.0).otherwise(-1.0)})
     n = w.groupBy("name").agg(F.count(F.lit(1)).alias("len"))
     last = F.floor(F.log2(F.col("len").cast("double"))).cast("int") - 2
-    boxes = w.join(n, "name").where(last > 3).withColumn("e", F.explode(F.sequence(F.lit(3), last - 1)))
-    size = F.pow(F.lit(2.0), F.col("e"))
-    cells = boxes.select("name", "e", (F.col("x") / size).cast("long").alias("bx"), (F.col("y") / size).cast("long").alias("by")).distinct()
+    at = lambda c: (F.col(c) / 8).cast("long").alias(f"b{c}")
+    cells = _halved(w.join(n, "name").where(last > 3).select("name", last.alias("last"), at("x"), at("y")).distinct(), ("name",))
     got = _slope(cells.groupBy("name", "e").agg(F.count(F.lit(1)).alias("n")), ("name",), 1, 1)
     return df.select("name").join(got.select("name", F.round("dim", 4).alias("fractal_dim")), "name", "left")
 

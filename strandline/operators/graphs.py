@@ -26,8 +26,8 @@ def stats(e: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
     return both.select(*keep, "nodes", "edges", "total_weight", (v / 4 ** (k - 1)).alias("node_occupancy"), (F.col("edges") / F.lit(float(4**k))).alias("edge_occupancy"), F.coalesce(F.col("edges") / F.nullif(v * (v - 1), F.lit(0.0)), F.lit(0.0)).alias("density"))
 
 
-def matrix(e: DataFrame, most: int = 4**6) -> tuple[list[str], np.ndarray]:
-    """Nodes and weight matrix on the driver, for graphs of a proven size: 4^(k-1) nodes."""
+def matrix(e: DataFrame, most: int = 4**7) -> tuple[list[str], np.ndarray]:
+    """Nodes and weight matrix on the driver, for graphs of a proven size: 4^(k-1) nodes, 4,096 for k = 7."""
     rows = e.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"over {most} edges: use the DataFrame forms")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import kernels as K
+from strandline.functions import profile
 from strandline.functions.symbols import count_of
 from strandline.operators import tiles as T
+from strandline.sources.shared import checkpointed
 
 LAGS = (1, 2, 3, 6, 9, 12, 30, 100, 300, 1000, 3000, 10000)
 
@@ -67,24 +72,69 @@ def fisher_to_centroid(df: DataFrame, k: int = 2, keep: tuple[str, ...] = ("name
     return v.join(F.broadcast(mean), "kmer").groupBy(*keep).agg(fisher_rao(F.col("p"), F.col("q")).alias("fisher_to_centroid"))
 
 
+def _pair_tiles(vectors: DataFrame, schema: str, compare, block: int = 512) -> DataFrame:
+    """What `compare(x, y)` gives, as columns, for the pairs a < b of names: the rows (name, v) are dealt to
+    blocks, and each pair of blocks meets in one group of two blocks' vectors, so no word is a hot key. All
+    pairs are the result; a vector is sent once for every block. `compare` gives a mask and columns."""
+    vectors = checkpointed(vectors)
+    blocks = max(1, -(-vectors.count() // block))
+    own = F.pmod(F.xxhash64("name"), F.lit(blocks))
+    rows = vectors.select("name", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    rows = rows.select("name", "v", "own", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"))
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.t1.iloc[0] == pdf.t2.iloc[0]
+        x = pdf if one else pdf[pdf.own == pdf.t1]
+        y = pdf if one else pdf[pdf.own == pdf.t2]
+        mask, columns = compare(x.v.to_list(), y.v.to_list())
+        a, b = x.name.to_numpy(object)[:, None], y.name.to_numpy(object)[None, :]
+        i, j = np.nonzero(mask & (a < b if one else a != b))
+        a, b = x.name.to_numpy(object)[i], y.name.to_numpy(object)[j]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), **{n: c[i, j] for n, c in columns.items()}})
+
+    return rows.groupBy("t1", "t2").applyInPandas(tile, "a string, b string, " + schema)
+
+
+def _vectors(df: DataFrame, make) -> DataFrame:
+    """name and the bytes that `make` gives for a sequence's codes."""
+
+    def work(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"name": pdf.name, "v": [make(K.encode(s, drop=False)).tobytes() for s in pdf.sequence.fillna("")]})
+
+    return df.select("name", "sequence").mapInPandas(work, "name string, v binary")
+
+
 def fisher_matrix(df: DataFrame, k: int = 3) -> DataFrame:
-    """a, b, distance for a < b over the names: the pairs meet at shared words only."""
-    counts = T.kmer_counts(df, k)
-    total = F.sum("cnt").over(Window.partitionBy("name"))
-    p = counts.select("name", "kmer", (F.col("cnt") / total).alias("p"))
-    a, b = p.select(F.col("name").alias("a"), "kmer", F.col("p").alias("x")), p.select(F.col("name").alias("b"), "kmer", F.col("p").alias("y"))
-    near = a.join(b, "kmer").where("a < b").groupBy("a", "b").agg(F.sum(F.sqrt(F.col("x") * F.col("y"))).alias("s"))
-    return near.select("a", "b", (2 * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s"))))).alias("distance"))
+    """a, b, distance for a < b over the names, for pairs with a common word."""
+
+    def roots(a: np.ndarray) -> np.ndarray:
+        n = profile.counts(a, k)
+        return np.sqrt(n / max(1, n.sum()))
+
+    def compare(x, y):
+        s = np.stack([np.frombuffer(v) for v in x]) @ np.stack([np.frombuffer(v) for v in y]).T
+        return s > 0, {"distance": 2 * np.arccos(np.clip(s, -1, 1))}
+
+    return _pair_tiles(_vectors(df, roots), "distance double", compare)
 
 
 def jaccard(df: DataFrame, k: int = 7) -> DataFrame:
-    """a, b, shared, jaccard for a < b, pairs without a shared word left out (their value is 0)."""
-    words = T.kmers(df, k).select("name", "kmer").distinct()
-    n = words.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    a, b = words.select(F.col("name").alias("a"), "kmer"), words.select(F.col("name").alias("b"), "kmer")
-    both = a.join(b, "kmer").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    both = both.join(n.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
-    return both.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+    """a, b, shared, jaccard for a < b, pairs without a shared word left out (their value is 0). A sequence
+    is a set of bits, one for each of the 4^k words."""
+    if k > 10:
+        raise ValueError("sets of bits are meant for words of at most 10 symbols")
+
+    def compare(x, y):
+        p, q = (np.stack([np.unpackbits(np.frombuffer(v, np.uint8)) for v in z]) for z in (x, y))
+        shared = np.zeros((len(p), len(q)), np.int64)
+        for a in range(0, p.shape[1], 1 << 14):
+            shared += (p[:, a : a + (1 << 14)].astype(np.float32) @ q[:, a : a + (1 << 14)].astype(np.float32).T).astype(np.int64)
+        union = p.sum(1, dtype=np.int64)[:, None] + q.sum(1, dtype=np.int64) - shared
+        return shared > 0, {"shared": shared, "jaccard": shared / np.maximum(union, 1)}
+
+    block = max(8, min(512, (1 << 24) // 4**k * 8))
+    return _pair_tiles(_vectors(df, lambda a: np.packbits(profile.counts(a, k) > 0)), "shared long, jaccard double", compare, block)
 
 
 def dinucleotide_rho(df: DataFrame, keep: tuple[str, ...] = ("name",)) -> DataFrame:
@@ -174,17 +224,16 @@ def degree_entropy(df: DataFrame, window: int = 60) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, lags: tuple[int, ...] = LAGS, keep: tuple[str, ...] = ("name",)) -> DataFrame:
-    """keep..., lag, mi in bits for every lag below the length. Pairs are counted inside chunks that
-    overlap by the lag, so no sequence is sorted or joined with itself."""
-    rows = None
-    for lag in lags:
-        c = T.chunks(df.where((F.length("sequence") > lag) & (F.length("sequence") >= 4)), lag, keep=keep)
-        n = F.least(F.length("chunk") - lag, F.lit(T.CHUNK))
-        c = c.where(F.length("chunk") > lag)
-        near, far = F.substring(F.col("chunk"), F.lit(1), n), F.substring(F.col("chunk"), F.lit(lag + 1), n)
-        pairs = c.select(*keep, F.explode(F.arrays_zip(F.split(near, "").alias("a"), F.split(far, "").alias("b"))).alias("z"))
-        got = pairs.where("z.a <> ''").groupBy(*keep, F.lit(lag).alias("lag"), F.col("z.a").alias("a"), F.col("z.b").alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
-        rows = got if rows is None else rows.unionByName(got)
+    """keep..., lag, mi in bits for every lag below the length. Each chunk meets the bytes that lie a lag
+    further on, for all lags in one scan, so no sequence is sorted or joined with itself."""
+    raw = F.col("sequence").cast("binary")
+    n = F.length(raw)
+    at = F.sequence(F.lit(0), n - 1, F.lit(T.CHUNK))
+    slots = F.flatten(F.transform(F.array(*map(F.lit, lags)), lambda lag: F.transform(F.filter(at, lambda b: b + lag < n), lambda b: F.struct(
+        lag.alias("lag"), F.substring(raw, b + 1, F.least(F.lit(T.CHUNK), n - lag - b)).cast("string").alias("near"), F.substring(raw, b + lag + 1, F.lit(T.CHUNK)).cast("string").alias("far")))))
+    both = df.where(F.length("sequence") >= 4).select(*keep, F.inline(slots))
+    pairs = both.select(*keep, "lag", F.explode(F.arrays_zip(F.split("near", "").alias("a"), F.split("far", "").alias("b"))).alias("z")).where("z.a <> ''")
+    rows = pairs.groupBy(*keep, "lag", F.col("z.a").alias("a"), F.col("z.b").alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
     key = [*keep, "lag"]
     c = F.col("cnt").cast("double")
     n = F.sum(c).over(Window.partitionBy(*key))

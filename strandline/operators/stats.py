@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.symbols import finite, stable_seed
+from strandline.sources.shared import checkpointed
 
 IDENTITY = ("organism", "accession", "organism_type", "source", "replicate", "start", "end")
 
@@ -71,8 +72,8 @@ def sign_flip_p(deltas: np.ndarray, permutations: int, seed: int) -> float | Non
 
 
 def permutation_tests(pairs: DataFrame, permutations: int = 999, seed: int = 42) -> DataFrame:
-    """feature, control, paired_permutation_p. A group holds one number per pair of windows; sums of
-    flipped deltas would do for any size, the generator's order asks for the group as a whole."""
+    """feature, control, paired_permutation_p. A group holds one number per pair of windows and is drawn for
+    as a whole, in the generator's order; permutation_sums does for groups of any size."""
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         f, c = pdf.feature.iloc[0], pdf.control.iloc[0]
@@ -84,14 +85,49 @@ def permutation_tests(pairs: DataFrame, permutations: int = 999, seed: int = 42)
     return d.groupBy("feature", "control").applyInPandas(test, "feature string, control string, paired_permutation_p double")
 
 
+def permutation_sums(pairs: DataFrame, permutations: int = 999, seed: int = 42) -> DataFrame:
+    """The same test for groups of any size: the sign of a pair in a permutation is a bit of a hash of its
+    key, so each task adds up its own flipped deltas and only the sums (one per permutation) move."""
+    keys = [c for c in pairs.columns if c not in ("feature", "control", "o", "c")]
+    mark = F.xxhash64(F.lit(seed), "feature", "control", *keys)
+    d = pairs.select("feature", "control", mark.alias("h"), finite(F.col("o") - F.col("c")).alias("d")).where("d IS NOT NULL")
+
+    def part(batches):
+        for pdf in batches:
+            for (f, c), own in pdf.groupby(["feature", "control"], sort=False):
+                x, flips = own.d.to_numpy(float), np.arange(permutations, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                sums = np.zeros(permutations)
+                for k in range(0, len(x), 4096):
+                    h = own.h.to_numpy(np.int64)[k : k + 4096].view(np.uint64)[:, None] + flips
+                    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+                    sums += x[k : k + 4096] @ np.where(h >> np.uint64(63), -1.0, 1.0)
+                yield pd.DataFrame({"feature": f, "control": c, "n": len(x), "k": np.arange(-1, permutations), "s": np.append(x.sum(), sums)})
+
+    sums = d.mapInPandas(part, "feature string, control string, n long, k int, s double").groupBy("feature", "control", "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    own = F.max(F.when(F.col("k") == -1, F.abs("s"))).over(Window.partitionBy("feature", "control"))
+    hits = F.sum(F.when((F.col("k") >= 0) & (F.abs("s") >= F.col("own")), 1).otherwise(0))
+    p = F.when(F.max("n") < 2, None).when(F.max("own") == 0, 1.0).otherwise((hits + 1) / (permutations + 1))
+    return sums.withColumn("own", own).groupBy("feature", "control").agg(p.alias("paired_permutation_p"))
+
+
 def benjamini_hochberg(df: DataFrame, p: str, ties: list[str], q: str = "p_fdr_bh") -> DataFrame:
-    """Adjusted p-values over all rows; a missing p counts as a test and gets 1. `df` has a row per test."""
+    """Adjusted p-values over all rows; a missing p counts as a test and gets 1. `df` has a row per test.
+
+    Rows are dealt by ranges of p. A rank is one inside a range plus the rows before the range, and a
+    minimum of all that follow is one inside a range and one over the ranges behind: a row per range."""
     order = [F.col(p).asc_nulls_last(), *ties]
-    whole = Window.orderBy(*order)
-    ranked = df.withColumn("_rn", F.row_number().over(whole)).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_m"))))
-    raw = F.coalesce(F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_rn")), F.lit(1.0))
-    least = F.min(raw).over(Window.orderBy("_rn").rowsBetween(0, Window.unboundedFollowing))
-    return ranked.withColumn(q, F.when(F.col(p).isNull(), 1.0).otherwise(least)).drop("_rn", "_m")
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ranges = Window.orderBy("_part")
+    size = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    size = size.select("_part", (F.sum("_n").over(ranges) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_m"))
+    inner = Window.partitionBy("_part")
+    rank = F.row_number().over(inner.orderBy(*order)) + F.col("_before")
+    raw = F.coalesce(F.least(F.lit(1.0), F.col(p) * F.col("_m") / rank), F.lit(1.0))
+    local = dealt.join(F.broadcast(size), "_part").withColumn("_raw", raw).withColumn("_least", F.min("_raw").over(inner.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)))
+    local = checkpointed(local)
+    behind = local.groupBy("_part").agg(F.min("_raw").alias("_low")).select("_part", F.min("_low").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
+    out = local.join(F.broadcast(behind), "_part")
+    return out.withColumn(q, F.when(F.col(p).isNull(), 1.0).otherwise(F.least("_least", "_behind"))).drop("_part", "_before", "_m", "_raw", "_least", "_behind")
 
 
 def unpaired_stats(values: DataFrame, source: str = "source", observed: str = "observed") -> DataFrame:

@@ -27,9 +27,12 @@ def tiles(df: DataFrame, size: Column | int, step: Column | int | None = None, s
 
 
 def chunks(df: DataFrame, overlap: int, seq: str = "sequence", keep: tuple[str, ...] = ("name",)) -> DataFrame:
-    at = F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(CHUNK))
-    out = df.where(F.length(seq) > 0).select(*keep, F.col(seq).alias("_s"), F.explode(at).alias("base"))
-    return out.select(*keep, "base", F.substring("_s", F.col("base") + 1, F.lit(CHUNK + overlap)).alias("chunk"))
+    """keep..., base, chunk. Pieces are sliced from bytes (symbols are single ones), each found at once, and
+    exploded alone, so that no row carries the whole string."""
+    raw = F.col(seq).cast("binary")
+    at = F.sequence(F.lit(0), F.greatest(F.length(raw) - 1, F.lit(0)), F.lit(CHUNK))
+    pieces = F.transform(at, lambda b: F.struct(b.alias("base"), F.substring(raw, b + 1, F.lit(CHUNK + overlap)).cast("string").alias("chunk")))
+    return df.where(F.length(seq) > 0).select(*keep, F.inline(pieces))
 
 
 def kmers(df: DataFrame, k: int, seq: str = "sequence", keep: tuple[str, ...] = ("name",)) -> DataFrame:

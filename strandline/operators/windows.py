@@ -35,23 +35,30 @@ def spans(n: int, window: int, count: int, least: int, rng: random.Random) -> li
 
 
 def observed(df: DataFrame, window: int = 200_000, count: int = 8, least: int = 1000, seed: int = 42, shared_rng: bool = False) -> DataFrame:
-    """Windows of (name, accession, organism_type, sequence). By default every record has a generator
-    of its own, so records are independent; `shared_rng` hands one generator on from record to record
-    in order of name, which needs the names and lengths (not the sequences) on the driver."""
+    """Windows of (name, accession, organism_type, sequence). By default every record has a generator of its
+    own, seeded by its name; only names and lengths go to Python, and records of one name get windows each
+    of their own. `shared_rng` hands one generator on from record to record in order of name, which needs
+    the names and lengths (not the sequences) on the driver, and names that don't repeat."""
+    kind = "array<struct<start: bigint, end: bigint>>"
     if shared_rng:
-        rng, rows = random.Random(seed), []
+        rng, rows, last = random.Random(seed), [], None
         for r in df.select("name", F.length("sequence").alias("n")).orderBy("name").toLocalIterator():
-            rows += [(r.name, k, a, b) for k, (a, b) in enumerate(spans(r.n, window, count, least, rng))]
-        cut = df.sparkSession.createDataFrame(rows, "name string, replicate int, start long, end long")
+            if rows and r.name == last:
+                raise ValueError(f"repeated name: {r.name}")
+            last = r.name
+            rows.append((r.name, spans(r.n, window, count, least, rng)))
+        df = df.join(df.sparkSession.createDataFrame(rows, f"name string, places {kind}"), "name")
     else:
-        def plan(batches: Iterator[pd.DataFrame]):
-            for pdf in batches:
-                rows = [(name, k, a, b) for name, n in zip(pdf.name, pdf.n, strict=True) for k, (a, b) in enumerate(spans(int(n), window, count, least, random.Random(stable_seed(seed, name))))]
-                yield pd.DataFrame(rows, columns=["name", "replicate", "start", "end"])
-
-        cut = df.select("name", F.length("sequence").alias("n")).mapInPandas(plan, "name string, replicate int, start long, end long")
-    piece = F.substring(F.col("sequence"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    return df.join(cut, "name").select(F.col("name").alias("organism"), "accession", "organism_type", F.lit("observed").alias("source"), "replicate", "start", "end", piece.alias("sequence"))
+
+        @F.pandas_udf(kind)
+        def plan(names: pd.Series, lengths: pd.Series) -> pd.Series:
+            return pd.Series([[{"start": a, "end": b} for a, b in spans(int(n), window, count, least, random.Random(stable_seed(seed, name)))] for name, n in zip(names, lengths, strict=True)])
+
+        df = df.withColumn("places", plan("name", F.length("sequence")))
+    raw = F.col("sequence").cast("binary")
+    cut = F.transform("places", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.substring(raw, (w["start"] + 1).cast("int"), (w["end"] - w["start"]).cast("int")).cast("string").alias("sequence")))
+    pieces = df.select(F.col("name").alias("organism"), "accession", "organism_type", F.posexplode(cut).alias("replicate", "w"))
+    return pieces.select("organism", "accession", "organism_type", F.lit("observed").alias("source"), "replicate", "w.start", "w.end", "w.sequence")
 
 
 def even_windows(df: DataFrame, window: int, count: int, keep: tuple[str, ...] = ("name",)) -> DataFrame:

@@ -13,6 +13,7 @@ from strandline.operators import tiles as T
 from strandline.plans import battery, features
 from strandline.plans.config import Config
 from strandline.sources import records
+from strandline.sources.shared import checkpointed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -515,6 +516,12 @@ def _(spark, sf):
     return stats.permutation_tests(stats.paired(_pair_values(spark, sf), ["name", "replicate"]), Config().permutations)
 
 
+@query("permutation_sums")
+def _(spark, sf):
+    """By sums of flipped deltas, for groups of any size."""
+    return stats.permutation_sums(stats.paired(_pair_values(spark, sf), ["name", "replicate"]), Config().permutations)
+
+
 @query("unpaired_stats", with_(*_PAIRS, "o AS (SELECT feature, avg(value) AS om, var_samp(value) AS ov FROM v WHERE source = 'observed' GROUP BY feature HAVING count(*) >= 3)", "n AS (SELECT feature, source AS control, avg(value) AS nm, var_samp(value) AS nv, count(*) AS nn FROM v WHERE source <> 'observed' GROUP BY ALL HAVING count(*) >= 3)") + "SELECT n.feature, control, nm AS null_mean, sqrt(nv) AS null_sd, om - nm AS delta, (om - nm) / (sqrt((ov + nv) / 2) + 1e-15) AS cohens_d, ((SELECT count(*) FROM v WHERE v.feature = n.feature AND v.source = control AND abs(value - nm) >= abs(om - nm)) + 1) / (nn + 1) AS empirical_p_rough FROM n JOIN o USING (feature)", "null_mean null_sd delta cohens_d empirical_p_rough")
 def _(spark, sf):
     return stats.unpaired_stats(_pair_values(spark, sf))
@@ -667,13 +674,13 @@ def _(spark, sf):
 
 @query("community_logos")
 def _(spark, sf):
-    e = _edges(spark, sf)
+    e = checkpointed(_edges(spark, sf))
     return graphs.logos(e, graphs.communities(e)[0])
 
 
 @query("graph_centrality")
 def _(spark, sf):
-    e = _edges(spark, sf)
+    e = checkpointed(_edges(spark, sf))
     return graphs.betweenness(e).join(graphs.eigenvector(e), "node").withColumn("clustering_z", F.lit(graphs.clustering_z(e)))
 
 
