@@ -82,10 +82,14 @@ def _pair_tiles(vectors: DataFrame, schema: str, compare, block: int = 512) -> D
     rows = vectors.select("name", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     rows = rows.select("name", "v", "own", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"))
 
+    names = ["a", "b", *(c.split()[0] for c in schema.split(", "))]
+
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.t1.iloc[0] == pdf.t2.iloc[0]
         x = pdf if one else pdf[pdf.own == pdf.t1]
         y = pdf if one else pdf[pdf.own == pdf.t2]
+        if x.empty or y.empty:  # a block that got no rows
+            return pd.DataFrame(columns=names)
         mask, columns = compare(x.v.to_list(), y.v.to_list())
         a, b = x.name.to_numpy(object)[:, None], y.name.to_numpy(object)[None, :]
         i, j = np.nonzero(mask & (a < b if one else a != b))

@@ -128,6 +128,15 @@ def control(seq: str, kind: str, rng: random.Random, block: int = 500) -> str:
     raise ValueError(f"unknown control: {kind}")
 
 
+#: Controls beyond the built-in ones: name -> fn(sequence, rng).
+CUSTOM: dict = {}
+
+
+def register_control(name: str, fn) -> None:
+    """Adds a control. `fn(sequence, rng)` must be importable or picklable by the workers."""
+    CUSTOM[name.strip().lower().replace("-", "_")] = fn
+
+
 def control_names(names) -> list[str]:
     out = [n.strip().lower().replace("-", "_") for n in names]
     out = ["block_shuffle" if n == "blockshuffle" else n for n in out]
@@ -140,8 +149,12 @@ def with_controls(windows: DataFrame, names=("shuffle", "markov1", "revcomp"), s
     names = control_names(names)
     if not set(names) - {"revcomp"}:
         return windows.unionByName(windows.withColumns({"source": F.lit("revcomp"), "sequence": revcomp(F.col("sequence"))})) if names else windows
+    custom = {n: CUSTOM[n] for n in names if n in CUSTOM}  # travels with the function
     for n in names:
-        control("A", n, random.Random(0))
+        custom.get(n) or control("A", n, random.Random(0))
+
+    def make(seq: str, kind: str, rng: random.Random) -> str:
+        return custom[kind](seq, rng) if kind in custom else control(seq, kind, rng, block)
 
     def work(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
@@ -149,7 +162,7 @@ def with_controls(windows: DataFrame, names=("shuffle", "markov1", "revcomp"), s
             for r in pdf.itertuples(index=False):
                 rows.append(r)
                 rng = random.Random(stable_seed(seed, r.organism, r.replicate))
-                rows += [r._replace(source=n, sequence=control(r.sequence, n, rng, block)) for n in names]
+                rows += [r._replace(source=n, sequence=make(r.sequence, n, rng)) for n in names]
             yield pd.DataFrame(rows, columns=pdf.columns)
 
     # `end` is no Python name trouble here, but column order is fixed for the tuples.
@@ -167,14 +180,20 @@ GROUPS = {
 }
 
 
+def register_group(name: str, columns: tuple[str, ...], fn) -> None:
+    """Adds a feature group: `fn(sequence, config)` gives a dict of `columns`; enable it in Config.features."""
+    GROUPS[name] = (columns, fn)
+
+
 def kernel_features(df: DataFrame, groups, config, keep: list[str]) -> DataFrame:
     """keep... and the numeric features of the chosen groups, in one Arrow pass over `sequence`."""
-    names = [n for g in groups for n in GROUPS[g][0]]
+    chosen = [GROUPS[g] for g in groups]  # travels with the function
+    names = [n for columns, _ in chosen for n in columns]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} double" for n in names])
 
     def work(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
-            rows = [{k: v for g in groups for k, v in GROUPS[g][1](s or "", config).items()} for s in pdf.sequence]
+            rows = [{k: v for _, fn in chosen for k, v in fn(s or "", config).items()} for s in pdf.sequence]
             out = pd.DataFrame(rows, columns=names, dtype=float, index=pdf.index)
             yield pd.concat([pdf[keep], out.where(np.isfinite(out))], axis=1)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import kernels as K
 from strandline.functions.symbols import gc_pct
 from strandline.operators import fractal, spectra, stats, windows
+from strandline.sources.shared import checkpointed
 
 KERNELS = (
     "name string, fft_dominant_freq double, fft_amplitude_ratio double, fft_codon_power_ratio double, lz_complexity double, wavelet_dominant_scale double, wavelet_codon_ratio double, "
@@ -48,3 +49,20 @@ def gc_correlations(table: DataFrame) -> DataFrame:
     """Pearson r and p of every scalar with the GC share."""
     features = [c for c in stats.numeric_columns(table) if c not in ("gc_pct", "length_bp")]
     return stats.with_pearson_p(stats.correlations(table, "gc_pct", features))
+
+
+# Columns of the written summary, and the battery's names for them.
+SUMMARY = {
+    "name": "name", "organism_type": "organism_type", "length_bp": "length_bp", "gc_pct": "gc_pct", "fft_dom_freq": "fft_dominant_freq", "fft_codon_ratio": "fft_codon_power_ratio", "fft_amp_ratio": "fft_amplitude_ratio",
+    "fractal_dim": "fractal_dim", "lz_ratio": "lz_complexity", "wavelet_dom_scale": "wavelet_dominant_scale", "wavelet_codon": "wavelet_codon_ratio", "mfdfa_alpha": "mfdfa_alpha_mean", "mfdfa_width": "mfdfa_spectrum_width",
+    "svd_entropy_ratio": "svd_entropy_ratio", "fisher_centroid": "fisher_centroid_distance", "sheaf_h1": "h1_obstruction", "gf4_entropy": "gf4_entropy", "dinu_rho_dev": "rho_mean_deviation", "kmer_entropy_norm": "kmer_entropy_norm",
+    "gc_skew_mean": "gc_skew_mean", "gc_skew_max_abs": "gc_skew_max_abs",
+}
+
+
+def save_summary(table: DataFrame, folder: str) -> DataFrame:
+    """The 21 columns of the written summary, as CSV with a header and as JSON lines under `folder`."""
+    out = checkpointed(table.select(*(F.col(c).alias(n) for n, c in SUMMARY.items())).orderBy("name"))
+    out.write.mode("overwrite").csv(f"{folder}/summary_results_csv", header=True)
+    out.write.mode("overwrite").json(f"{folder}/summary_results_json", ignoreNullFields=False)
+    return out

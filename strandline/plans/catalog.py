@@ -3,6 +3,8 @@ since regressions differ in the last place between engines."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from strandline.operators import fractal, graphs, spectra, stats, windows
 from strandline.operators import tiles as T
 from strandline.plans import battery, features
 from strandline.plans.config import Config
-from strandline.sources import records
-from strandline.sources.shared import checkpointed
+from strandline.sources import records, sinks
+from strandline.sources.shared import checkpointed, shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -131,6 +133,67 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_type", S.to_number(text).alias("v")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_finite"), F.avg("v").alias("mean"))
 
 
+# --- files ------------------------------------------------------------------------------------------------
+
+#: A document as a FASTA record: its lines, with any line that would begin a record blanked.
+_BODY_SQL = "regexp_replace(coalesce(text, ''), '[>\\r]', ' ', 'g')"
+_FASTA_SQL = rf"""fa AS (SELECT substr(regexp_replace(regexp_replace('doc ' || doc_id || ' ' || coalesce(lang, ''), '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 80) AS name,
+  list_aggregate(list_transform(string_split({_BODY_SQL}, chr(10)), lambda x: regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), 'string_agg', '') AS raw FROM documents),
+ rec AS (SELECT name, regexp_replace(replace(upper(raw), 'U', 'T'), '[^ACGT]', '', 'g') AS sequence, length(raw) AS raw_length FROM fa)"""
+
+
+def _fasta_files(spark: SparkSession, sf_dir: str, gzipped: bool) -> str:
+    """The documents as FASTA files in the shared folder, one a partition."""
+    d = table(spark, sf_dir, "documents")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[>\r]", " ")
+    lines = d.select(F.concat(F.lit(">doc "), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit("\n"), body).alias("value"))
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    lines.write.text(path, compression="gzip" if gzipped else "none")
+    return path
+
+
+@query("fasta_records", with_(_FASTA_SQL) + f"SELECT name, {_RULES_SQL} AS organism_type, length(sequence) AS length_bp, raw_length, sha256(sequence) AS sha256 FROM rec")
+def _(spark, sf):
+    r = records.read_fasta(spark, _fasta_files(spark, sf, False), split_records=True)
+    return records.manifest(r).select("name", "organism_type", "length_bp", "raw_length", "sha256")
+
+
+@query("fasta_gzip_records", with_(_FASTA_SQL) + "SELECT name, length(sequence) AS length_bp FROM rec WHERE sequence <> ''")
+def _(spark, sf):
+    """Compressed files, loaded beside plain ones: empty sequences go."""
+    r = records.load_records(spark, [records.read_fasta(spark, _fasta_files(spark, sf, True), split_records=True)])
+    return r.select("name", F.length("sequence").cast("long").alias("length_bp"))
+
+
+_META_SQL = "md AS (SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS taxon_id, CASE n_regionkey WHEN 0 THEN 'fungi' WHEN 1 THEN 'Plant' ELSE '' END AS organism_type FROM nation)"
+
+
+@query("metadata_records", "WITH " + _META_SQL + f""" SELECT name, taxon_id, CASE organism_type WHEN 'fungi' THEN 'fungus' WHEN 'Plant' THEN 'plant' ELSE {_RULES_SQL} END AS organism_type,
+  CASE WHEN organism_type = '' THEN 2 ELSE 3 END AS n_meta FROM md UNION ALL SELECT r_name, NULL, {_RULES_SQL.replace('lower(name)', 'lower(r_name)')}, 0 FROM region WHERE r_name NOT IN (SELECT name FROM md)""")
+def _(spark, sf):
+    """A metadata CSV of nations meets records named like them, and records that it doesn't know."""
+    meta = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("taxon_id"), F.when(F.col("n_regionkey") == 0, "fungi").when(F.col("n_regionkey") == 1, "Plant").otherwise("").alias("organism_type"))
+    path = f"{shared_dir(spark)}/metadata-{uuid.uuid4().hex}"
+    meta.write.csv(path, header=True)
+    names = meta.select("name").union(table(spark, sf, "region").select("r_name").join(meta, F.col("r_name") == F.col("name"), "left_anti"))
+    recs = names.select("name", F.lit("").alias("accession"), S.organism_type(F.col("name")).alias("organism_type"), F.lit("ACGT").alias("sequence"), F.lit(4).cast("long").alias("raw_length"), F.create_map().cast("map<string,string>").alias("metadata"))
+    out = records.apply_metadata(recs, records.read_metadata(spark, path))
+    return out.select("name", F.col("metadata")["taxon_id"].alias("taxon_id"), "organism_type", F.size("metadata").alias("n_meta"))
+
+
+@query("json_rows", """SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || coalesce(CAST(user_id AS VARCHAR), 'null') || ',"whole":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE CAST(event_id % 3 AS VARCHAR) END || '}' AS json FROM events""")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    return sinks.to_json_rows(e.select("event_id", "event_type", "user_id", F.nullif(F.col("event_id") % 3, F.lit(0)).alias("whole")))
+
+
+@query("toy_graph", "SELECT CAST(16 AS BIGINT) AS nodes, CAST(64 AS BIGINT) AS edges, CAST(105000 AS BIGINT) AS symbols, CAST(12 AS BIGINT) AS n")
+def _(spark, sf):
+    """The toy corpus and its graph of words of three, of known size."""
+    toy = records.toy(spark)
+    return graphs.stats(graphs.edges(toy, 3), 3).select("nodes", "edges").crossJoin(toy.agg(F.sum(F.length("sequence")).alias("symbols"), F.count(F.lit(1)).alias("n")))
+
+
 # --- windows, tiles, controls ---------------------------------------------------------------------------
 
 
@@ -426,11 +489,11 @@ def _(spark, sf):
 # --- kernels (rows only, but for the spectrum) ------------------------------------------------------------
 
 
-@query("spectrum_tiles", with_(SEQ, "t AS (SELECT name, start // 64 AS tile, substr(sequence, start + 1, 64) AS piece FROM (SELECT name, sequence, unnest(range(0, length(sequence) - 63, 64)) AS start FROM seq))", "s AS (SELECT name, tile, unnest(range(64)) AS i, unnest(string_split(piece, '')) AS base FROM t)", f"z AS (SELECT name, tile, i, re - avg(re) OVER w AS re, im - avg(im) OVER w AS im FROM (SELECT name, tile, i, {_SIG['re']} AS re, {_SIG['im']} AS im FROM s) WINDOW w AS (PARTITION BY name, tile))", "f AS (SELECT name, tile, k, sum(re * cos(2 * pi() * i * k / 64) + im * sin(2 * pi() * i * k / 64)) AS a, sum(im * cos(2 * pi() * i * k / 64) - re * sin(2 * pi() * i * k / 64)) AS b FROM z, (SELECT unnest(range(32)) AS k) GROUP BY ALL)", "p AS (SELECT name, tile, k, CASE WHEN k = 0 THEN 0 ELSE a * a + b * b END AS p, abs(k / 64.0 - 1.0 / 3) < 0.015 AS band FROM f)") + "SELECT name, CAST(tile AS BIGINT) AS tile, max(p) / (avg(p) + 1e-15) AS fft_peak_ratio, coalesce(sum(p) FILTER (band), 0) / (sum(p) + 1e-15) AS fft_codon_band, (avg(p) FILTER (band) - avg(p) FILTER (NOT band)) / (stddev_pop(p) FILTER (NOT band) + 1e-15) AS fft_codon_z FROM p GROUP BY name, tile", "fft_peak_ratio fft_codon_band fft_codon_z")
+@query("spectrum_tiles", with_(SEQ, "t AS (SELECT name, start // 64 AS tile, substr(sequence, start + 1, 64) AS piece FROM (SELECT name, sequence, unnest(range(0, length(sequence) - 63, 64)) AS start FROM seq))", "s AS (SELECT name, tile, unnest(range(64)) AS i, unnest(string_split(piece, '')) AS base FROM t)", f"z AS (SELECT name, tile, i, re - avg(re) OVER w AS re, im - avg(im) OVER w AS im FROM (SELECT name, tile, i, {_SIG['re']} AS re, {_SIG['im']} AS im FROM s) WINDOW w AS (PARTITION BY name, tile))", "f AS (SELECT name, tile, k, sum(re * cos(2 * pi() * i * k / 64) + im * sin(2 * pi() * i * k / 64)) AS a, sum(im * cos(2 * pi() * i * k / 64) - re * sin(2 * pi() * i * k / 64)) AS b FROM z, (SELECT unnest(range(32)) AS k) GROUP BY ALL)", "p AS (SELECT name, tile, k, CASE WHEN k = 0 THEN 0 ELSE a * a + b * b END AS p, abs(k / 64.0 - 1.0 / 3) < 0.015 AS band FROM f)") + "SELECT name, CAST(tile AS BIGINT) AS tile, first(k ORDER BY round(p, 6) DESC, k) / 64.0 AS fft_peak_freq, max(p) / (avg(p) + 1e-15) AS fft_peak_ratio, coalesce(sum(p) FILTER (band), 0) / (sum(p) + 1e-15) AS fft_codon_band, (avg(p) FILTER (band) - avg(p) FILTER (NOT band)) / (stddev_pop(p) FILTER (NOT band) + 1e-15) AS fft_codon_z FROM p GROUP BY name, tile", "fft_peak_freq fft_peak_ratio fft_codon_band fft_codon_z")
 def _(spark, sf):
     t = T.tiles(seqs(spark, sf), 64).select("name", F.col("tile").cast("long").alias("tile"), F.col("piece").alias("sequence"))
     got = windows.kernel_features(t, ["fft"], Config(), ["name", "tile"])
-    return got.select("name", "tile", "fft_peak_ratio", "fft_codon_band", "fft_codon_z")
+    return got.select("name", "tile", "fft_peak_freq", "fft_peak_ratio", "fft_codon_band", "fft_codon_z")
 
 
 @query("spectral_features")

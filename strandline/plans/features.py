@@ -36,8 +36,8 @@ def build(wins: DataFrame, cfg: Config) -> DataFrame:
     table = wins.select(*IDENTITY, *base, "sequence")
     keep = [c for c in table.columns if c != "sequence"]
     chosen = [(names, fn) for g, (names, fn) in profile.groups(cfg).items() if cfg.enabled(g)]
-    kernels = [g for g in windows.GROUPS if cfg.enabled(g)]
-    names = [n for g in kernels for n in windows.GROUPS[g][0]] + [n for part, _ in chosen for n in part]
+    kernels = [windows.GROUPS[g] for g in windows.GROUPS if cfg.enabled(g)]
+    names = [n for part, _ in kernels for n in part] + [n for part, _ in chosen for n in part]
     pairs = cfg.enabled("kmer")
     schema = ", ".join([f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} double" for n in names] + ["pairs array<double>"] * pairs)
 
@@ -46,7 +46,7 @@ def build(wins: DataFrame, cfg: Config) -> DataFrame:
             rows, shares = [], []
             for s in pdf.sequence.fillna(""):
                 a = K.encode(s, drop=False)
-                row = {k: v for g in kernels for k, v in windows.GROUPS[g][1](s, cfg).items()}
+                row = {k: v for _, fn in kernels for k, v in fn(s, cfg).items()}
                 for _, fn in chosen:
                     row.update(fn(a))
                 rows.append(row)

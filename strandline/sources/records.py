@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import time
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,8 +26,22 @@ TIERS = {
 }
 LEVELS = {"core": ("core",), "full": ("core", "full"), "extra": ("core", "full", "extra"), "ultra": ("core", "full", "extra", "ultra"), "mega": tuple(TIERS)}
 
-# Twelve short repeats for unit tests.
-TOY = (("alternating", "ACGT", 2500), ("poly_a", "A", 5000), ("gc_rich", "GGCC", 2500), ("at_rich", "AATT", 2500))
+# The twelve repeats of the toy corpus, 105,000 symbols in all when joined.
+TOY = (
+    ("phiX174", "GAGTTTTATCGCTTCCATGACGCAGAAGTTAACACTTTCGGATATTTCTGATGAGTCGAAAAATTATCTT", 80),
+    ("pUC19", "GCGCGTAATCTGCTGCTTGCAAACAAAAAAACCACCGCTACCAGCGGTGGTTTGTTTGCCGGATCAAGAG", 40),
+    ("SARS-CoV-2", "ATTAAAGGTTTATACCTTCCCAGGTAACAAACCAACCAACTTTCGATCTCTTGTAGATCTGTTCTCTAAA", 370),
+    ("M13", "GTAATACGACGGCCAGTGAATTCGAGCTCGGTACCCGGGGATCCTCTAGAGTCGACCTGCAGGCATGCAA", 80),
+    ("pBR322", "GAATTCGAGCTCGGTACCCGGGGATCCTCTAGAGTCGACCTGCAGGCATGCAAGCTTGGCGTAATCATGG", 55),
+    ("SV40", "GCTTTGCATGCCTGCAGGTCTAGCTAGCTAGCTAGCTAGCTAGCTAGCTAGCTAGCTAGCTAGCTAGC", 80),
+    ("Lambda", "GCGCGTAATCTGCTGCTTGCAAACAAAAAAACCACCGCTACCAGCGGTGGTTTGTTTGCCGGATCAAGAG", 600),
+    ("PSTVd", "GCGCGTAATCTGCTGCTTGCAAACAAAAAAACCACCGCTACCAGCGGTGGTTTGTTTGCCGGATCAAGAG", 5),
+    ("Human_mtDNA", "ATTAACCCTCACTAAAGGGAGACCGTATAGTGAGTCGTATTA", 15),
+    ("T7_phage", "TAATACGACTCACTATAGGGAGACCGTATAGTGAGTCGTATTA", 120),
+    ("MS2_phage", "GCGCGTAATCTGCTGCTTGCAAACAAAAAAACCACCGCTACCAGCGGTGGTTTGTTTGCCGGATCAAGAG", 80),
+    ("Synthetic", "ATGCATGCATGCATGCATGCATGCATGCATGCATGCATGCATGCATGCATGCATGCATGCATGCATGCA", 30),
+)
+EFETCH = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/efetch.fcgi"
 
 
 def catalog(spark: SparkSession, level: str = "core") -> DataFrame:
@@ -41,6 +58,10 @@ def toy(spark: SparkSession) -> DataFrame:
     return df.select("name", F.expr("repeat(unit, times)").alias("sequence"))
 
 
+def _stripped(x):
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def read_fasta(spark: SparkSession, path: str, split_records: bool = False, keep_symbols: bool = False) -> DataFrame:
     """Records of FASTA files, gzip by suffix. All records of a file make one, named by its first header;
     `split_records` keeps them apart. `keep_symbols` skips the cleaning, except for case and U."""
@@ -49,12 +70,12 @@ def read_fasta(spark: SparkSession, path: str, split_records: bool = False, keep
     if split_records:
         raw = raw.select("accession", F.explode(F.filter(F.split("value", r"(?m)^>"), lambda p: F.trim(p) != "")).alias("p"))
         lines = F.split("p", "\n")
-        header, body = F.get(lines, F.lit(0)), F.array_join(F.transform(F.slice(lines, 2, 1 << 30), lambda x: F.trim(x)), "")
+        header, body = F.get(lines, F.lit(0)), F.array_join(F.transform(F.slice(lines, 2, 1 << 30), _stripped), "")
     else:
-        lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        lines = F.filter(F.transform(F.split("value", "\n"), _stripped), lambda x: x != "")
         header = F.substring(F.get(F.filter(lines, lambda x: x.startswith(">")), F.lit(0)), F.lit(2), F.lit(1 << 30))
         body = F.array_join(F.filter(lines, lambda x: ~x.startswith(">")), "")
-    label = F.substring(F.regexp_replace(F.coalesce(F.nullif(F.trim(header), F.lit("")), stem), r"[^A-Za-z0-9_.-]+", "_"), 1, 80)
+    label = F.substring(F.regexp_replace(F.coalesce(F.nullif(_stripped(header), F.lit("")), stem), r"[^A-Za-z0-9_.-]+", "_"), 1, 80)
     got = raw.select(label.alias("name"), "accession", body.alias("raw"))
     seq = F.replace(F.upper("raw"), F.lit("U"), F.lit("T")) if keep_symbols else clean(F.col("raw"))
     return got.select("name", "accession", organism_type(F.col("name")).alias("organism_type"), seq.alias("sequence"), F.length("raw").cast("long").alias("raw_length"), F.create_map().cast("map<string,string>").alias("metadata"))
@@ -97,13 +118,24 @@ def manifest(records: DataFrame) -> DataFrame:
     return records.select("name", "accession", "organism_type", n.cast("long").alias("length_bp"), "raw_length", retained_pct(n, F.col("raw_length")).alias("retained_pct"), F.sha2("sequence", 256).alias("sha256"))
 
 
+def entrez(email: str, api_key: str = "", timeout: float = 60.0) -> Callable[[str], str]:
+    """A fetcher of nucleotide records as FASTA text."""
+    from urllib.parse import urlencode
+    from urllib.request import urlopen
+
+    def fetch(accession: str) -> str:
+        asked = {"db": "nucleotide", "id": accession, "rettype": "fasta", "retmode": "text", "email": email} | ({"api_key": api_key} if api_key else {})
+        with urlopen(f"{EFETCH}?{urlencode(asked)}", timeout=timeout) as answer:
+            return answer.read().decode()
+
+    return fetch
+
+
 class FetchCache:
-    """FASTA payloads by accession in a folder, with provenance in one JSON file. A fetcher is given by
-    the caller and used only where the cache has no entry; without one nothing is fetched."""
+    """FASTA payloads by accession in a folder of the driver, with provenance in one JSON file. A fetcher is
+    used only where the cache has no entry; without one nothing is fetched."""
 
     def __init__(self, folder, fetch: Callable[[str], str] | None = None, retries: int = 3, backoff: float = 1.5, pause: float = 0.35, sleep=time.sleep):
-        from pathlib import Path
-
         self.folder, self.fetch, self.retries, self.backoff, self.pause, self.sleep = Path(folder), fetch, retries, backoff, pause, sleep
         self.folder.mkdir(parents=True, exist_ok=True)
         self.meta = self.folder / "fetch_metadata.json"
@@ -111,32 +143,37 @@ class FetchCache:
     def records(self) -> dict:
         try:
             return json.loads(self.meta.read_text()).get("records", {})
-        except (OSError, ValueError):
+        except (OSError, ValueError, AttributeError):
             return {}
 
+    def _download(self, accession: str) -> str | None:
+        for attempt in range(1, max(1, self.retries) + 1):
+            try:
+                text = self.fetch(accession)
+                if text.startswith(">"):
+                    return text
+            except Exception:  # whatever the fetcher meets counts as a failed attempt
+                pass
+            self.sleep(self.backoff * attempt)
+        return None
+
     def path(self, name: str, accession: str):
         """Place of the payload, or None if it is neither cached nor fetched."""
         place = self.folder / f"{accession}.fasta"
-        fresh = False
-        if not place.exists():
-            if self.fetch is None:
+        fresh = not place.exists()
+        if fresh:
+            text = self._download(accession) if self.fetch else None
+            if text is None:
                 return None
-            for attempt in range(1, self.retries + 1):
-                try:
-                    text = self.fetch(accession)
-                    if not text.lstrip().startswith(">"):
-                        raise ValueError("no FASTA")
-                    break
-                except Exception:
-                    if attempt == self.retries:
-                        return None
-                    self.sleep(self.backoff * attempt)
             place.write_text(text)
             self.sleep(self.pause)
-            fresh = True
-        known = self.records()
-        known[accession] = {"name": name, "accession": accession, "cache_path": str(place), "downloaded_this_run": fresh, "timestamp_utc": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
-        self.meta.write_text(json.dumps({"records": known}, indent=2, sort_keys=True))
+        raw = "".join(line.strip() for line in place.read_text().splitlines() if not line.startswith(">"))
+        plain = re.sub("[^ACGT]", "", raw.upper().replace("U", "T"))
+        told = {
+            "name": name, "accession": accession, "cache_path": str(place), "downloaded_this_run": fresh, "timestamp_utc": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "length_bp": len(plain),
+            "raw_length_bp": len(raw), "retained_pct": 100.0 * len(plain) / max(1, len(raw)), "sha256": hashlib.sha256(plain.encode()).hexdigest(), "source": "NCBI nucleotide efetch FASTA",
+        }
+        self.meta.write_text(json.dumps({"records": self.records() | {accession: told}}, indent=2, sort_keys=True))
         return place
 
 
