@@ -40,6 +40,8 @@ WIDTH, BRANCHES, CHUNK = 64, 2, 1 << 20
 SMALL, BLOCK, DEPTH = 256, 4096, 8
 #: Most rows and bytes of shingles in a block where links are counted; a token of over COMMON sets of a tile is one of a matrix.
 ROWS, BYTES, COMMON = 2048, 4 << 20, 64
+#: Pairs of a tile that are compared without looking for pivots first.
+FEW_PAIRS = 1 << 16
 _ODD = V.mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | V.U64(1)
 
 
@@ -155,6 +157,8 @@ def _near_pairs(sig: np.ndarray, side_a: np.ndarray, side_b: np.ndarray, least:
 def _near_labels(sig: np.ndarray, first: np.ndarray, second: np.ndarray, least: int, pivots: int = 8) -> np.ndarray:
     """Smallest index connected to each index by near pairs of (first, second)."""
     n = len(sig)
+    if len(first) * len(second) <= FEW_PAIRS:
+        return _labels(n, *_near_pairs(sig, first, second, least))
     label = np.arange(n)
     for k in range(pivots):
         side, other = (second, first) if k % 2 else (first, second)

@@ -101,6 +101,7 @@ def test_kernels_against_brute_force(monkeypatch):
     sig = rng.integers(0, 3, (200, ngram_join.WIDTH)).astype(np.int32)
     sig[50:120] = sig[7]
     sig[60:90, :20] = 9
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
     for first, second in ((np.arange(200), np.arange(200)), (np.arange(0, 200, 2), np.arange(1, 200, 2))):
         a, b = ngram_join._near_pairs(sig, first, second, 30)
         assert ngram_join._near_labels(sig, first, second, 30).tolist() == ngram_join._labels(200, a, b).tolist()
