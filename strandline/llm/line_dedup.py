@@ -103,9 +103,10 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", window:
 
 
 def _beside(docs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """`docs` with `column` of the row of `table` with the same identifier (null too) and digest."""
+    """`docs` with `column` of the row of `table` with the same identifier (null too) and digest. Always a
+    merge join: the table grows with the documents, so a broadcast would fit small inputs only."""
     table = table.select(F.col("id").alias("i"), F.col("sha").alias("s"), column)
-    return docs.join(table, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s")), "left").drop("i", "s")
+    return docs.join(table.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s")), "left").drop("i", "s")
 
 
 ORACLE = """
