@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import ann, bpe, exact_dedup, licenses, line_dedup, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from strandline.llm import ann, bpe, exact_dedup, language, licenses, line_dedup, ngram_join, packing, suffix_dedup, token_counts, toxicity, vector_codes
 from strandline.llm.storage import Scratch
 
 
@@ -60,6 +60,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.public_path("word_bpe_49k.json"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -71,6 +79,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op11_language": op11_language,
+    "op12_vector_codes": op12_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_nearest": ann.ORACLE,
     "op7_licenses": licenses.oracle(),
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
