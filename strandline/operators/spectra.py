@@ -64,9 +64,14 @@ def fisher_to_uniform(df: DataFrame, k: int = 2, keep: tuple[str, ...] = ("name"
     return v.groupBy(*keep).agg(fisher_rao(F.col("p"), F.lit(1.0 / 4**k)).alias("fisher_to_uniform"))
 
 
-def fisher_to_centroid(df: DataFrame, k: int = 2, keep: tuple[str, ...] = ("name",)) -> DataFrame:
-    """Distance of each key to the renormalised mean vector; the centroid has 4^k rows."""
+def fisher_to_centroid(df: DataFrame, k: int = 2, keep: tuple[str, ...] = ("name",), by: tuple[str, ...] = ()) -> DataFrame:
+    """Distance of each key to the renormalised mean vector; the centroid has 4^k rows. With `by`, columns of
+    `keep`, a key is held against the mean of its own group; there may be many groups, so nothing is broadcast."""
     v = kmer_vectors(df, k, keep)
+    if by:
+        mean = v.groupBy(*by, "kmer").agg(F.avg("p").alias("q"))
+        mean = mean.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy(*by)))
+        return v.join(mean, [*by, "kmer"]).groupBy(*keep).agg(fisher_rao(F.col("p"), F.col("q")).alias("fisher_to_centroid"))
     mean = v.groupBy("kmer").agg(F.avg("p").alias("q"))
     mean = mean.crossJoin(F.broadcast(mean.agg(F.sum("q").alias("t")))).select("kmer", (F.col("q") / F.col("t")).alias("q"))
     return v.join(F.broadcast(mean), "kmer").groupBy(*keep).agg(fisher_rao(F.col("p"), F.col("q")).alias("fisher_to_centroid"))
