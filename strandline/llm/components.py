@@ -13,14 +13,16 @@ def _mark(edges: DataFrame):
     return r.n, r.h
 
 
-def components(edges: DataFrame, tmp: Scratch, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, tmp: Scratch) -> DataFrame:
     """(id, root) of every end of `edges` (a, b); root is the smallest id of the component.
 
     Every round at least merges what meets at a node. Minima are aggregated before they are shuffled and
-    saved before they are joined, so that adaptive execution can split a node with very many neighbours."""
+    saved before they are joined, so that adaptive execution can split a node with very many neighbours.
+    Rounds go on until one changes nothing. An edge with a null end or between equal ones is none; repeated
+    edges count once; no edges give no rows."""
     edges = tmp.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(edges)
-    for _ in range(rounds):
+    before, mark = None, _mark(edges)
+    while mark != before:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = tmp.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = tmp.save(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
@@ -29,7 +31,5 @@ def components(edges: DataFrame, tmp: Scratch, rounds: int = 100) -> DataFrame:
         new = tmp.save(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
         tmp.drop(edges, least, large, lower)
         edges, before, mark = new, mark, _mark(new)
-        if mark == before:
-            break
     roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("root"))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots.join(edges.select(F.col("a").alias("id")), "id", "left_anti"))

@@ -91,11 +91,15 @@ def embedded(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def runs_needed(threshold: float, recall: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold is together in one bucket with this probability."""
+    """Runs after which a pair at the threshold is together in one bucket with this probability. A run begins at
+    tokens of its own, so a recall that asks for more runs than there are tokens is an error."""
     lost = (1 - threshold) ** BRANCHES
     for _ in range(depth - 1):
         lost = (1 - threshold * (1 - lost)) ** BRANCHES
-    return max(1, min(WIDTH // BRANCHES, math.ceil(math.log(1 - recall) / math.log(lost))))
+    runs = max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
+    if runs > WIDTH // BRANCHES:
+        raise ValueError(f"a recall of {recall} at a similarity of {threshold} asks for {runs} runs; there are tokens for {WIDTH // BRANCHES}")
+    return runs
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

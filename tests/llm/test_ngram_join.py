@@ -4,8 +4,11 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
 from strandline.llm import ngram_join
+from strandline.llm.components import components
+from strandline.llm.storage import Scratch
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -105,3 +108,20 @@ def test_kernels_against_brute_force(monkeypatch):
     for first, second in ((np.arange(200), np.arange(200)), (np.arange(0, 200, 2), np.arange(1, 200, 2))):
         a, b = ngram_join._near_pairs(sig, first, second, 30)
         assert ngram_join._near_labels(sig, first, second, 30).tolist() == ngram_join._labels(200, a, b).tolist()
+
+
+def test_runs_are_as_many_as_the_recall_asks():
+    assert [ngram_join.runs_needed(t, 0.9999) for t in (0.8, 0.6, 0.5)] == [4, 11, 26]
+    with pytest.raises(ValueError):
+        ngram_join.runs_needed(0.3, 0.9999)
+
+
+def test_components_of_a_long_path(spark):
+    rng = random.Random(2)
+    name = list(range(3000))
+    rng.shuffle(name)
+    edges = [(name[k], name[k + 1]) for k in range(2999) if k % 1000 != 999] + [(5, 5), (None, 3)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "path")).collect()}
+    for k in range(0, 3000, 1000):
+        assert {got[x] for x in name[k : k + 1000]} == {min(name[k : k + 1000])}
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "none")).count() == 0
