@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from strandline.llm import vectext as V
+from strandline.llm.storage import by_position
 
 NONE = np.int32(2**31 - 1)
 FEW = 12
@@ -79,11 +80,12 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         back = {c: b for b, c in enumerate(symbols)}
         pieces = [b""] * self.size
+        # Without a decoder the library joins the vocabulary's own strings by blanks.
+        self.spaced = spec["decoder"] is None
         for text, i in vocab.items():
-            word = text[: -len(self.suffix)] if self.suffix and text.endswith(self.suffix) else text
-            pieces[i] = bytes(back[c] for c in word)
+            pieces[i] = f"{text} ".encode() if self.spaced else bytes(back[c] for c in text)
         for text, i in self.special.items():
-            pieces[i] = text.encode()
+            pieces[i] = f"{text} ".encode() if self.spaced else text.encode()
         self.piece_len = np.array([len(p) for p in pieces], np.int64)
         self.piece_at = np.cumsum(self.piece_len) - self.piece_len
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
@@ -369,6 +371,8 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> list[byte
     size = v.piece_len[ids]
     at = np.concatenate(([0], np.cumsum(size)))[offsets].tolist()
     data = v.piece_bytes[V.ragged(v.piece_at[ids], size)].tobytes()
+    if v.spaced:
+        return [data[a : max(a, b - 1)] for a, b in zip(at, at[1:], strict=False)]
     return [data[a:b].decode("utf-8", "replace").encode() for a, b in zip(at, at[1:], strict=False)]
 
 
@@ -386,29 +390,31 @@ def encoded(batches: Iterable[pa.RecordBatch], text: str, path: str, buffer: int
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Every row with its token ids in a new column `ids`; a column of that name is replaced."""
     df = df.drop(ids)
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    inner, column = by_position(df), f"c{df.columns.index(text)}"
+    schema = T.StructType([*inner.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
     def work(batches):
-        for rows, flat, off in encoded(batches, text, tokenizer_path):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32()))], [*rows.schema.names, ids])
+        for rows, flat, off in encoded(batches, column, tokenizer_path):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32()))], schema.names)
 
-    return df.mapInArrow(work, schema)
+    return inner.mapInArrow(work, schema).toDF(*df.columns, ids)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Every row with the text of its ids in a new column; null ids give an empty text."""
     df = df.drop(text)
-    schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType(), False)])
+    inner, column = by_position(df), df.columns.index(ids)
+    schema = T.StructType([*inner.schema.fields, T.StructField("text", T.StringType(), False)])
 
     def work(batches):
         v = vocabulary(tokenizer_path)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
+            lists = batch.column(column)
             size = np.asarray(lists.value_lengths().fill_null(0))
             out = decode_ids(np.asarray(lists.flatten(), np.int64), np.concatenate(([0], np.cumsum(size, dtype=np.int64))), v)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.decode() for x in out], pa.string())], [*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.decode() for x in out], pa.string())], schema.names)
 
-    return df.mapInArrow(work, schema)
+    return inner.mapInArrow(work, schema).toDF(*df.columns, text)
 
 
 def round_trip_digests(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import vectext as V
+from strandline.llm.storage import by_position
 
 BITS, ORDERS, ROWS, SLICE = 15, (1, 2, 3, 4), 32, 1 << 18
 MAX_ROWS, MAX_SLOTS, MAX_LANGUAGES = 8192, 4096, 1024
@@ -220,11 +221,12 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 def predict(df: DataFrame, model: Model, text: str = "text", close: float = 0.05) -> DataFrame:
     """Every row with lang_pred, score and ambiguous."""
     results = ("lang_pred", "score", "ambiguous")
-    kept = [f for f in df.schema.fields if f.name not in results]
-    # Names by position inside: any name of the caller's will do, repeated ones apart.
-    inner = df.select(*(F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(kept)), F.when(has_letter(F.col(f"`{text}`")), F.lower(F.col(f"`{text}`"))).alias("t"))
+    df = df.drop(*results)
+    inner, t = by_position(df), F.col(f"c{df.columns.index(text)}")
+    kept = inner.schema.fields
+    inner = inner.withColumn("t", F.when(has_letter(t), F.lower(t)))
     told = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(kept)), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
     def work(batches):
         m = told.value
@@ -247,8 +249,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", close: float = 0.05
                 best[lost], score[lost], tied[lost] = len(m.languages), 0.0, False
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score), pa.array(tied)], schema.names)
 
-    out = inner.mapInArrow(work, schema)
-    return out.select(*(F.col(f"c{k}").alias(f.name) for k, f in enumerate(kept)), *results)
+    return inner.mapInArrow(work, schema).toDF(*df.columns, *results)
 
 
 def decide(margin: np.ndarray, m: Model, close: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

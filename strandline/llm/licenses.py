@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import vectext as V
+from strandline.llm.storage import by_position
 
 CHUNK = 1 << 20
 
@@ -172,22 +173,23 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES) -> DataFrame:
     """Every row with `n_words` and `hits`: template number, label, first word (from 0), length, score."""
     df = df.drop("n_words", "hits")
     index = df.sparkSession.sparkContext.broadcast(Index(templates, *document_frequencies(df, text, templates)))
-    schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType(), False), T.StructField("hits", HIT, False)])
+    inner, column = by_position(df), df.columns.index(text)
+    schema = T.StructType([*inner.schema.fields, T.StructField("n_words", T.LongType(), False), T.StructField("hits", HIT, False)])
     kind = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("start", pa.int64()), ("n_words", pa.int32()), ("score", pa.float64())]))
 
     def work(batches):
         ix = index.value
         for batch in batches:
-            data, off = V.column_bytes(batch.column(batch.schema.get_field_index(text)))
+            data, off = V.column_bytes(batch.column(column))
             for a, b in V.chunks(off, CHUNK):
                 low, s, e, at = V.folded_words(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 ids = _ids(V.span_hashes(low, s, e), ix.known, ix.number) if len(s) else np.zeros(0, np.int64)
                 hits: list[list] = [[] for _ in range(b - a)]
                 for number, r, x, y in zip(*(c.tolist() for c in ix.matches(ids, at)), strict=True):
                     hits[r].append({"template": number, "label": ix.templates[number].label, "start": x, "n_words": int(ix.size[number]), "score": y})
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(np.diff(at), pa.int64()), pa.array(hits, kind)], [*batch.schema.names, "n_words", "hits"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(np.diff(at), pa.int64()), pa.array(hits, kind)], schema.names)
 
-    return df.mapInArrow(work, schema)
+    return inner.mapInArrow(work, schema).toDF(*df.columns, "n_words", "hits")
 
 
 def digest(scanned: DataFrame, key: str = "doc_id", n_base: int = len(BASE)) -> DataFrame:

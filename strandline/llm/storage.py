@@ -30,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[key]
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ...: the caller's names may hold dots or occur twice."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 @contextmanager
 def stage_of_pipeline(docs: DataFrame) -> Iterator[None]:
     """Tables opened inside are freed when the next stage begins, which reads a written copy of this one's

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import vectext as V
+from strandline.llm.storage import by_position
 
 BITS, SKIP, CHUNK, HEADS = 22, 2, 1 << 20, (4, 5)
 
@@ -126,14 +127,15 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str
     """Every row with its probability of label 1."""
     df = df.drop(name)
     told = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType(), False)])
+    inner, column = by_position(df), df.columns.index(text)
+    schema = T.StructType([*inner.schema.fields, T.StructField("p", T.DoubleType(), False)])
 
     def work(batches):
         slots, weights, bias = told.value
         dense = np.zeros(1 << bits, np.float32)
         dense[slots] = weights
         for batch in batches:
-            data, off = V.column_bytes(batch.column(batch.schema.get_field_index(text)))
+            data, off = V.column_bytes(batch.column(column))
             out = [np.zeros(0)]
             for a, b in V.chunks(off, CHUNK):
                 k, row = features(data[off[a] : off[b]], off[a : b + 1] - off[a], bits)
@@ -141,9 +143,9 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str
                 both = np.unique(row[hit] << bits | k[hit])
                 out.append(np.bincount(both >> bits, weights=dense[both & ((1 << bits) - 1)], minlength=b - a))
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(out) + bias, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], schema.names)
 
-    return df.mapInArrow(work, schema)
+    return inner.mapInArrow(work, schema).toDF(*df.columns, name)
 
 
 def held_out(key: Column) -> Column:

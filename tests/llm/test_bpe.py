@@ -66,3 +66,19 @@ def test_two_words_with_one_hash(monkeypatch):
         ids, off = enc.encode(part)
         assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == [tk.encode(t, add_special_tokens=False).ids for t in part]
     assert enc.salt == 2
+
+
+def test_decode_as_the_library(spark):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):  # one with a decoder, one without
+        path = bpe.public_path(name)
+        tk = Tokenizer.from_file(path)
+        rows = [(k, tk.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts())] + [(-1, None)]
+        out = bpe.decode(spark.createDataFrame(rows, "`a.b` long, ids array<int>"), path).collect()
+        assert {r["a.b"]: r.decoded for r in out} == {k: tk.decode(i or [], skip_special_tokens=False) for k, i in rows}
+
+
+def test_names_with_dots(spark):
+    path = bpe.public_path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, `a.b` string")
+    out = bpe.decode(bpe.encode(df, path), path)
+    assert out.columns == ["doc_id", "text", "a.b", "ids", "decoded"] and out.first().decoded == "a b"

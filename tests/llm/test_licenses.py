@@ -92,3 +92,9 @@ def test_near_copies_against_all_starts(spark):
     out = licenses.digest(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
     assert [r.labels for r in sorted(out, key=lambda r: r.doc_id)] == unanchored(texts)
     assert "mit" in {r.doc_id: r.labels for r in out}[0]
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "all rights reserved", "x", 2)], "doc_id long, text string, `a.b` string, hits int")
+    out = licenses.scan(df)
+    assert out.columns == ["doc_id", "text", "a.b", "n_words", "hits"] and out.first().n_words == 3

@@ -101,3 +101,9 @@ def test_scores_against_a_sum(spark):
         total = sum(float(table.get(s, 0.0)) for s in plain_slots(t or "", toxicity.BITS)) - 0.25
         assert abs(out[k] - 1 / (1 + math.exp(-total))) < 1e-9
     assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "some words", "x")], "doc_id long, text string, `a.b` string")
+    out = toxicity.score(df, (np.zeros(0, np.int32), np.zeros(0), 0.0))
+    assert out.columns == ["doc_id", "text", "a.b", "score"] and out.first().score == 0.5
