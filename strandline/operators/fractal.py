@@ -1,30 +1,91 @@
-"""Walks, box counts and detrended fluctuation as relational aggregates.
+"""Walks, box counts and detrended fluctuation from chunks of symbols.
 
-Places are numbered by chunk, and running sums add a chunk's offset to a sum inside the chunk, so the
-window functions sort chunks of bounded length and one row per chunk, never whole sequences."""
+A sequence is cut into chunks of bounded length. A chunk is one row: the walk inside it is summed there, in
+an Arrow batch; only a chunk's totals are added up along the sequence, by a window over one row a chunk. What
+leaves a chunk are its distinct cells or its segments' variances, never a row a symbol, except from `walk`."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
-from strandline.functions.symbols import adaptive_length, signal
+from strandline.functions.symbols import adaptive_length
 from strandline.operators import tiles as T
 
+CHUNK = 1 << 14
+#: Steps of A, C, G, T and of any other symbol.
+PURINE, KETO, WEAK = (1, -1, 1, -1, -1), (-1, 1, 1, -1, 0), (1, -1, -1, 1, -1)
 
-def walk(df: DataFrame, steps: dict[str, Column], keep: tuple[str, ...] = ("name",)) -> DataFrame:
-    """keep..., pos and the running sum of every step; `steps` are expressions of the column `base`."""
-    c = T.chunks(df, 0, keep=keep)
-    s = c.select(*keep, F.col("base").alias("chunk_at"), F.posexplode(F.split("chunk", "")).alias("i", "base")).where("base <> ''")
-    s = s.select(*keep, "chunk_at", "i", *(e.alias(n) for n, e in steps.items()))
-    inner = Window.partitionBy(*keep, "chunk_at").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*keep).orderBy("chunk_at").rowsBetween(Window.unboundedPreceding, -1)
-    sums = s.groupBy(*keep, "chunk_at").agg(*(F.sum(n).alias(n) for n in steps))
-    sums = sums.select(*keep, "chunk_at", *(F.coalesce(F.sum(n).over(outer), F.lit(0.0)).alias(f"_{n}") for n in steps))
-    local = s.select(*keep, "chunk_at", "i", *(F.sum(n).over(inner).alias(n) for n in steps))
-    return local.join(sums, [*keep, "chunk_at"]).select(*keep, (F.col("chunk_at") + F.col("i")).cast("long").alias("pos"), *((F.col(n) + F.col(f"_{n}")).alias(n) for n in steps))
+
+def _table(step: tuple[int, ...]) -> np.ndarray:
+    out = np.full(256, step[4], np.int64)
+    out[list(b"ACGT")] = step[:4]
+    return out
+
+
+def _mapped(rows: DataFrame, keep: tuple[str, ...], steps: dict[str, tuple[int, ...]], schema: str, work) -> DataFrame:
+    """keep... and the columns that `work` gives for each chunk: it takes the chunk's place, its walks and the
+    rest of its row. `rows` has keep..., base, chunk, and for each step where its walk begins."""
+    tables = {n: _table(s) for n, s in steps.items()}
+    out = ST.StructType([*(rows.schema[k] for k in keep), *ST._parse_datatype_string(schema).fields])
+    types = [f.dataType for f in out.fields[len(keep) :]]
+    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+    def run(batches):
+        for batch in batches:
+            base, chunk = (batch.column(batch.schema.get_field_index(c)) for c in ("base", "chunk"))
+            begin = {n: np.asarray(batch.column(batch.schema.get_field_index(n))) for n in steps if n in batch.schema.names}
+            for r in range(batch.num_rows):
+                symbols = np.frombuffer(chunk[r].as_buffer(), np.uint8)
+                walks = [np.cumsum(t[symbols]) + (begin[n][r] if n in begin else 0) for n, t in tables.items()]
+                columns = work(base[r].as_py(), walks, lambda c, batch=batch, r=r: batch.column(batch.schema.get_field_index(c))[r].as_py())
+                if not len(columns[0]):
+                    continue
+                same = pa.array(np.full(len(columns[0]), r))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(same) for k in range(len(keep))), *(pa.array(c, kinds[t.simpleString()]) for c, t in zip(columns, types, strict=True))], out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def walk_chunks(df: DataFrame, steps: dict[str, tuple[int, ...]], keep: tuple[str, ...] = ("name",), extra: tuple[str, ...] = ()) -> DataFrame:
+    """keep..., base, chunk, and for each step its sum before the chunk (under its own name) and the least value of
+    its walk along the whole sequence (`<step>_low`). `extra` are further columns of `df`."""
+    c = T.chunks(df, 0, keep=(*keep, *extra), size=CHUNK).select(*keep, "base", "chunk", *extra)
+    totals = ", ".join(f"{n}_sum long, {n}_min long" for n in steps)
+    sums = _mapped(c.select(*keep, "base", "chunk"), (*keep, "base"), steps, totals, lambda base, walks, _: [x for w in walks for x in ([w[-1]], [w.min()])])
+    before = Window.partitionBy(*keep).orderBy("base").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("*", *(F.coalesce(F.sum(f"{n}_sum").over(before), F.lit(0)).alias(n) for n in steps))
+    sums = sums.select(*keep, "base", *steps, *(F.min(F.col(n) + F.col(f"{n}_min")).over(Window.partitionBy(*keep)).alias(f"{n}_low") for n in steps))
+    return c.join(sums, [*keep, "base"])
+
+
+def walk(df: DataFrame, steps: dict[str, tuple[int, ...]], keep: tuple[str, ...] = ("name",)) -> DataFrame:
+    """keep..., pos and the running sum of every step: a row a symbol."""
+    schema = ", ".join(("pos long", *(f"{n} long" for n in steps)))
+    return _mapped(walk_chunks(df, steps, keep), keep, steps, schema, lambda base, walks, _: [np.arange(base, base + len(walks[0])), *walks])
+
+
+def _cells(df: DataFrame, steps: dict[str, tuple[int, ...]], keep: tuple[str, ...], shifted: bool) -> DataFrame:
+    """keep..., last, bx, by: distinct boxes of 2^3 that the walk of two steps meets, for sequences whose `last`
+    exceeds 3. Boxes begin at the walk's least values, or are cut towards zero."""
+    x, y = steps
+
+    def work(base, walks, row):
+        if shifted:
+            cut = [(w - row(f"{n}_low")) // 8 for n, w in zip(steps, walks, strict=True)]
+        else:
+            cut = [np.sign(w) * (np.abs(w) // 8) for w in walks]
+        both = np.unique(np.stack(cut), axis=1)
+        return list(both)
+
+    rows = walk_chunks(df.where("last > 3"), steps, (*keep, "last"))
+    return _mapped(rows, (*keep, "last"), steps, "bx long, by long", work).distinct()
 
 
 def _slope(boxes: DataFrame, keep, least: int, at_least: int) -> DataFrame:
@@ -43,25 +104,19 @@ def _halved(smallest: DataFrame, keep) -> DataFrame:
 
 def box_dimension(df: DataFrame, keep: tuple[str, ...] = ("name",)) -> DataFrame:
     """Box-counting dimension of the purine and strong/weak walk; NULL below 500 symbols."""
-    d = df.where(F.length("sequence") >= 500)
-    w = walk(d, {"x": signal(F.col("base"), "purine"), "y": signal(F.col("base"), "keto")}, keep)
-    low = w.groupBy(*keep).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.count(F.lit(1)).alias("len"))
-    last = F.greatest(F.lit(4), F.floor(F.log2(F.col("len").cast("double"))).cast("int") - 2)
-    at = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / 8).alias(f"b{c}")
-    smallest = w.join(low, list(keep)).where(last - 3 >= 3).select(*keep, last.alias("last"), at("x"), at("y")).distinct()
-    cells = _halved(smallest, keep)
-    n = cells.groupBy(*keep, "e").agg(F.count(F.lit(1)).alias("n"))
+    last = F.greatest(F.lit(4), F.floor(F.log2(F.length("sequence").cast("double"))).cast("int") - 2)
+    d = df.where(F.length("sequence") >= 500).withColumn("last", last).where("last >= 6")
+    n = _halved(_cells(d, {"x": PURINE, "y": KETO}, keep, True), keep).groupBy(*keep, "e").agg(F.count(F.lit(1)).alias("n"))
     return df.select(*keep).join(_slope(n, keep, 3, 2).withColumnRenamed("dim", "chaos_walk_box_dim_proxy"), list(keep), "left")
 
 
-def walk_dimension(df: DataFrame) -> DataFrame:
-    """The same over an adaptive prefix, with boxes cut towards zero and no shift of the walk."""
-    p = df.where(F.length("sequence") >= 500).select("name", F.substring(F.col("sequence"), F.lit(1), adaptive_length(F.col("sequence"))).alias("sequence"))
-    w = walk(p, {"x": signal(F.col("base"), "purine"), "y": F.when(F.col("base").isin("A", "T"), 1.0).otherwise(-1.0)})
-    n = w.groupBy("name").agg(F.count(F.lit(1)).alias("len"))
-    last = F.floor(F.log2(F.col("len").cast("double"))).cast("int") - 2
-    at = lambda c: (F.col(c) / 8).cast("long").alias(f"b{c}")
-    cells = _halved(w.join(n, "name").where(last > 3).select("name", last.alias("last"), at("x"), at("y")).distinct(), ("name",))
+def walk_dimension(df: DataFrame, most: int = 200_000, whole: bool = False) -> DataFrame:
+    """The same over an adaptive prefix of `most` symbols at most, or the whole sequence, with boxes cut towards
+    zero and no shift of the walk."""
+    p = df.where(F.length("sequence") >= 500)
+    p = p if whole else p.withColumn("sequence", F.substring(F.col("sequence"), F.lit(1), adaptive_length(F.col("sequence"), most)))
+    p = p.withColumn("last", F.floor(F.log2(F.length("sequence").cast("double"))).cast("int") - 2)
+    cells = _halved(_cells(p, {"x": PURINE, "y": WEAK}, ("name",), False), ("name",))
     got = _slope(cells.groupBy("name", "e").agg(F.count(F.lit(1)).alias("n")), ("name",), 1, 1)
     return df.select("name").join(got.select("name", F.round("dim", 4).alias("fractal_dim")), "name", "left")
 
@@ -72,21 +127,100 @@ def log_scales(n: int) -> list[int]:
     return sorted({int(math.pow(10, high if i == 9 else low + i * ((high - low) / 9))) for i in range(10)})
 
 
+def scales_of(length: Column) -> Column:
+    """`log_scales` of each length."""
+
+    def scales(n: pd.Series) -> pd.Series:
+        return n.map(log_scales)
+
+    return F.pandas_udf(scales, "array<int>")(length)
+
+
+def _variance(n: Column, sx: Column, sxx: Column, stx: Column) -> Column:
+    """Variance around the straight line of n values at 0, 1, ..., n - 1, from exact sums of whole numbers.
+
+    With q near the slope, n^2 var = (n syy - q^2 stt - 2 q r) - r^2 / stt, where r = sty - q stt: whole numbers
+    of 38 digits but for the last term, so that a straight segment of slope q has variance 0."""
+    n, sx, sxx, stx = (c.cast("decimal(38,0)") for c in (n, sx, sxx, stx))
+    whole = lambda c: F.floor(c).cast("decimal(38,0)")
+    st, stt = whole(n * (n - 1) / 2), whole(n * n * (n * n - 1) / 12)
+    syy, sty = n * sxx - sx * sx, n * stx - st * sx
+    q = F.rint(sty.cast("double") / F.nullif(stt, F.lit(0)).cast("double")).cast("decimal(38,0)")
+    r = sty - q * stt
+    rest = (syy - q * q * stt - q * r * 2).cast("double") - r.cast("double") * r.cast("double") / F.nullif(stt, F.lit(0)).cast("double")
+    return F.greatest(F.coalesce(rest, F.lit(0.0)), F.lit(0.0)) / (n * n).cast("double")
+
+
 def fluctuation(walk: DataFrame, scales: Column, keep: tuple[str, ...] = ("name",)) -> DataFrame:
-    """keep..., scale, seg, var: variance around the straight line of every whole segment.
+    """keep..., scale, seg, var: variance around the straight line of every whole segment, for a walk of any
+    whole numbers given as rows (keep..., pos, len, x); `scales` is an array.
 
-    `walk` has keep..., pos, len and x in whole numbers; `scales` is an array. The straight lines that make a
-    profile of a walk vanish with a segment's own, so the walk itself is taken: its sums are exact, and a
-    straight segment has variance 0. One pass: sums per (key, scale, segment)."""
+    The straight lines that make a profile of a walk vanish with a segment's own, so the walk itself is taken.
+    For walks of symbols `segment_variances` moves far fewer rows."""
     s = walk.withColumn("scale", F.explode(scales)).where(F.col("len") >= F.col("scale"))
     s = s.withColumn("seg", F.floor(F.col("pos") / F.col("scale"))).where((F.col("seg") + 1) * F.col("scale") <= F.col("len"))
-    x, t = F.col("x").cast("long"), F.col("pos") % F.col("scale")
+    x, t = F.col("x").cast("decimal(19,0)"), (F.col("pos") % F.col("scale")).cast("decimal(10,0)")
     sums = s.groupBy(*keep, "scale", "seg").agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(t * x).alias("stx"))
-    n, sx, sxx, stx = (F.col(c).cast("decimal(20,0)") for c in ("scale", "sx", "sxx", "stx"))
-    k = F.col("scale").cast("long")
-    st, stt = (F.floor(v).cast("decimal(20,0)") for v in (n * (n - 1) / 2, n * n * (n * n - 1) / 12))
-    syy, sty = n * sxx - sx * sx, n * stx - st * sx
-    return sums.select(*keep, "scale", "seg", ((syy * stt - sty * sty).cast("double") / (stt.cast("double") * k * k)).alias("var"))
+    return sums.select(*keep, "scale", "seg", _variance(*(F.col(c) for c in ("scale", "sx", "sxx", "stx"))).alias("var"))
+
+
+def _inside(base: int, x: np.ndarray, length: int, scale: int) -> list[np.ndarray]:
+    """seg and var of the segments of a scale that lie whole in a chunk; as `_variance`, in 64 bits, which sums
+    of a chunk's length fit once they are centred."""
+    a = -(-base // scale)
+    b = min(base + len(x), length) // scale
+    if b <= a:
+        return [np.zeros(0, np.int64), np.zeros(0)]
+    y = x[a * scale - base : b * scale - base].reshape(-1, scale)
+    y = y - y[:, :1]
+    t = np.arange(scale)
+    st, stt = scale * (scale - 1) // 2, scale * scale * (scale * scale - 1) // 12
+    sx = y.sum(1)
+    syy, sty = scale * (y * y).sum(1) - sx * sx, scale * (y @ t) - st * sx
+    q = np.rint(sty / max(stt, 1)).astype(np.int64)
+    r = sty - q * stt
+    rest = (syy - q * q * stt - 2 * q * r) - r.astype(np.float64) ** 2 / max(stt, 1)
+    return [np.arange(a, b), np.maximum(rest, 0) / scale**2]
+
+
+def _across(base: int, x: np.ndarray, length: int, scale: int) -> list[tuple[int, ...]]:
+    """seg, n, value at its begin, and sums of the pieces of segments that reach beyond a chunk."""
+    out = []
+    end = min(base + len(x), length // scale * scale)
+    for seg in sorted({base // scale, (end - 1) // scale}) if end > base else []:
+        a, b = max(base, seg * scale), min(end, (seg + 1) * scale)
+        if (seg * scale >= base and (seg + 1) * scale <= base + len(x)) or b <= a:
+            continue
+        y, t = x[a - base : b - base], np.arange(a - seg * scale, b - seg * scale)
+        c = int(y[0])
+        y = y - c
+        out.append((seg, b - a, c, int(y.sum()), int((y * y).sum()), int((y * t).sum()), int(t.sum())))
+    return out
+
+
+def segment_variances(df: DataFrame, scales: str, step: tuple[int, ...] = PURINE, keep: tuple[str, ...] = ("name",)) -> DataFrame:
+    """keep..., scale, seg, var of the walk of a step, as `fluctuation`; `scales` is an array column of `df`.
+
+    Segments whole in a chunk are finished there. Of one that reaches over chunks, a row of sums a chunk is
+    added up: two rows a scale and chunk at most. All sums are exact."""
+    rows = walk_chunks(df.withColumn("_n", F.length("sequence")), {"x": step}, keep, (scales, "_n"))
+
+    def inside(base, walks, row):
+        n = row("_n")
+        got = [(s, *_inside(base, walks[0], n, s)) for s in row(scales) if s <= n]
+        empty = np.zeros(0, np.int64)
+        return [np.concatenate([empty, *(np.full(len(g), s) for s, g, _ in got)]), np.concatenate([empty, *(g for _, g, _ in got)]), np.concatenate([np.zeros(0), *(v for _, _, v in got)])]
+
+    def across(base, walks, row):
+        n = row("_n")
+        got = [(s, *p) for s in row(scales) if s <= n for p in _across(base, walks[0], n, s)]
+        return [np.array(c, np.int64) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 8
+
+    whole = _mapped(rows, keep, {"x": step}, "scale int, seg long, var double", inside)
+    parts = _mapped(rows, keep, {"x": step}, "scale int, seg long, n long, c long, s1 long, s2 long, st long, t long", across)
+    n, c, s1, s2, st, t = (F.col(k).cast("decimal(19,0)") for k in ("n", "c", "s1", "s2", "st", "t"))
+    sums = parts.groupBy(*keep, "scale", "seg").agg(F.sum(s1 + n * c).alias("sx"), F.sum(s2 + c * s1 * 2 + n * c * c).alias("sxx"), F.sum(st + c * t).alias("stx"))
+    return whole.unionByName(sums.select(*keep, "scale", "seg", _variance(*(F.col(k) for k in ("scale", "sx", "sxx", "stx"))).alias("var")))
 
 
 def generalised_hurst(var: DataFrame, qs: list[float], floor: float, keep: tuple[str, ...] = ("name",)) -> DataFrame:

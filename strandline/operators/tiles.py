@@ -26,12 +26,12 @@ def tiles(df: DataFrame, size: Column | int, step: Column | int | None = None, s
     return out.select(*keep, "tile", F.col("start").cast("long").alias("start"), F.substring("_s", F.col("start") + 1, F.col("_w")).alias("piece"))
 
 
-def chunks(df: DataFrame, overlap: int, seq: str = "sequence", keep: tuple[str, ...] = ("name",)) -> DataFrame:
+def chunks(df: DataFrame, overlap: int, seq: str = "sequence", keep: tuple[str, ...] = ("name",), size: int = CHUNK) -> DataFrame:
     """keep..., base, chunk. Pieces are sliced from bytes (symbols are single ones), each found at once, and
     exploded alone, so that no row carries the whole string."""
     raw = F.col(seq).cast("binary")
-    at = F.sequence(F.lit(0), F.greatest(F.length(raw) - 1, F.lit(0)), F.lit(CHUNK))
-    pieces = F.transform(at, lambda b: F.struct(b.alias("base"), F.substring(raw, b + 1, F.lit(CHUNK + overlap)).cast("string").alias("chunk")))
+    at = F.sequence(F.lit(0), F.greatest(F.length(raw) - 1, F.lit(0)), F.lit(size))
+    pieces = F.transform(at, lambda b: F.struct(b.alias("base"), F.substring(raw, b + 1, F.lit(size + overlap)).cast("string").alias("chunk")))
     return df.where(F.length(seq) > 0).select(*keep, F.inline(pieces))
 
 

@@ -441,8 +441,8 @@ _WALK = "wk AS (SELECT name, pos, sum(CASE WHEN base IN ('A', 'G') THEN 1 ELSE -
 
 @query("running_walk", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym")) + "SELECT name, CAST(max(x) AS DOUBLE) AS top, CAST(min(y) AS DOUBLE) AS low, CAST(sum(x * y) AS DOUBLE) AS moment FROM wk GROUP BY name", "top low moment")
 def _(spark, sf):
-    w = fractal.walk(seqs(spark, sf), {"x": S.signal(F.col("base"), "purine"), "y": S.signal(F.col("base"), "keto")})
-    return w.groupBy("name").agg(F.max("x").alias("top"), F.min("y").alias("low"), F.sum(F.col("x") * F.col("y")).alias("moment"))
+    w = fractal.walk(seqs(spark, sf), {"x": fractal.PURINE, "y": fractal.KETO})
+    return w.groupBy("name").agg(F.max("x").cast("double").alias("top"), F.min("y").cast("double").alias("low"), F.sum(F.col("x") * F.col("y")).cast("double").alias("moment"))
 
 
 @query("box_dimension", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym"), "b AS (SELECT DISTINCT name, e, floor((x - x0) / pow(2, e)) AS bx, floor((y - y0) / pow(2, e)) AS yb FROM (SELECT *, min(x) OVER (PARTITION BY name) AS x0, min(y) OVER (PARTITION BY name) AS y0, greatest(4, CAST(floor(log2(len)) AS INTEGER) - 2) AS top FROM wk WHERE len >= 500), (SELECT unnest(range(3, 30)) AS e) WHERE e < top AND top - 3 >= 3)", "n AS (SELECT name, e, count(*) AS n FROM b GROUP BY ALL HAVING count(*) > 1)") + "SELECT seq.name, CASE WHEN count(n) >= 3 THEN regr_slope(ln(n), ln(1 / pow(2, e))) END AS chaos_walk_box_dim_proxy FROM seq LEFT JOIN n USING (name) GROUP BY seq.name", "chaos_walk_box_dim_proxy")
@@ -459,12 +459,12 @@ _SCALES = [16, 24, 36, 54, 80, 120]
 
 
 def _purine_walk(df: DataFrame) -> DataFrame:
-    return fractal.walk(df.withColumn("len", F.length("sequence").cast("long")), {"x": S.signal(F.col("base"), "purine")}, ("name", "len"))
+    return fractal.walk(df.withColumn("len", F.length("sequence").cast("long")), {"x": fractal.PURINE}, ("name", "len"))
 
 
 @query("fluctuation_hurst", with_(SEQ, SYM, _WALK.format("'C', 'G'", "sym"), "pf AS (SELECT name, pos, len, x - last_value(x) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / len * (pos + 1) AS y FROM wk)", f"v AS (SELECT name, scale, pos // scale AS seg, sqrt(greatest(0, regr_syy(y, (pos % scale)::DOUBLE) - pow(regr_sxy(y, (pos % scale)::DOUBLE), 2) / regr_sxx(y, (pos % scale)::DOUBLE)) / count(*)) + 1e-12 AS r FROM pf, (SELECT unnest({_SCALES}) AS scale) WHERE (pos // scale + 1) * scale <= len GROUP BY name, scale, pos // scale)", "f AS (SELECT name, scale, q, CASE WHEN q = 0 THEN exp(avg(ln(r))) ELSE pow(avg(pow(r, q)), 1.0 / nullif(q, 0)) END AS f FROM v, (SELECT unnest([2.0, 4.0]) AS q) GROUP BY name, scale, q)") + "SELECT name, CAST(q AS DOUBLE) AS q, CASE WHEN count(*) >= 4 THEN regr_slope(ln(f), ln(scale)) END AS h FROM f GROUP BY name, q", "q h")
 def _(spark, sf):
-    v = fractal.fluctuation(_purine_walk(seqs(spark, sf)), F.array(*map(F.lit, _SCALES)))
+    v = fractal.segment_variances(seqs(spark, sf).withColumn("scales", F.array(*map(F.lit, _SCALES))), "scales")
     return fractal.generalised_hurst(v, [2, 4], 1e-12)
 
 
@@ -481,8 +481,7 @@ _LINES = ("pu AS (SELECT name, pos, len, CAST(x AS HUGEINT) AS x FROM wk WHERE l
 def _(spark, sf):
     """All orders over scales that follow the record's length; NULL below 4,096 symbols."""
     s, qs = seqs(spark, sf), [-4.0, -2.0, 0.0, 2.0, 4.0]
-    scales = s.select("name", F.length("sequence").cast("int").alias("n")).where("n >= 4096").select("name", F.udf(fractal.log_scales, "array<int>")("n").alias("scales"))
-    v = fractal.fluctuation(_purine_walk(s.where(F.length("sequence") >= 4096)).join(scales, "name"), F.col("scales"))
+    v = fractal.segment_variances(s.where(F.length("sequence") >= 4096).withColumn("scales", fractal.scales_of(F.length("sequence"))), "scales")
     return s.select("name", F.explode(F.array(*map(F.lit, qs))).alias("q")).join(fractal.generalised_hurst(v, qs, 1e-12), ["name", "q"], "left")
 
 
