@@ -14,7 +14,7 @@ from strandline.operators import fractal, graphs, spectra, stats, windows
 from strandline.operators import tiles as T
 from strandline.plans import battery, features
 from strandline.plans.config import Config
-from strandline.sources import records, sinks
+from strandline.sources import fasta, records, sinks
 from strandline.sources.shared import checkpointed, shared_dir
 
 QUERIES: dict = {}
@@ -137,8 +137,8 @@ def _(spark, sf):
 
 #: A document as a FASTA record: its lines, with any line that would begin a record blanked.
 _BODY_SQL = "regexp_replace(coalesce(text, ''), '[>\\r]', ' ', 'g')"
-_FASTA_SQL = rf"""fa AS (SELECT substr(regexp_replace(regexp_replace('doc ' || doc_id || ' ' || coalesce(lang, ''), '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 80) AS name,
-  list_aggregate(list_transform(string_split({_BODY_SQL}, chr(10)), lambda x: regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), 'string_agg', '') AS raw FROM documents),
+_RAW_SQL = rf"list_aggregate(list_transform(string_split({_BODY_SQL}, chr(10)), lambda x: regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), 'string_agg', '') AS raw"
+_FASTA_SQL = rf"""fa AS (SELECT substr(regexp_replace(regexp_replace('doc ' || doc_id || ' ' || coalesce(lang, ''), '^\s+|\s+$', '', 'g'), '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 80) AS name, {_RAW_SQL} FROM documents),
  rec AS (SELECT name, regexp_replace(replace(upper(raw), 'U', 'T'), '[^ACGT]', '', 'g') AS sequence, length(raw) AS raw_length FROM fa)"""
 
 
@@ -165,6 +165,24 @@ def _(spark, sf):
     return r.select("name", F.length("sequence").cast("long").alias("length_bp"))
 
 
+#: A record a language and source, its documents on lines of their own: records that reach over many ranges.
+_GROUP_SQL = f"g AS (SELECT name, regexp_replace(replace(upper(string_agg(raw, '' ORDER BY doc_id)), 'U', 'T'), '[^ACGT]', '', 'g') AS s FROM (SELECT doc_id, lang || '_' || source AS name, {_RAW_SQL} FROM documents) GROUP BY name)"
+
+
+@query("fasta_pieces", with_(_GROUP_SQL, "p AS (SELECT name, unnest(range(length(s))) AS pos, unnest(string_split(s, '')) AS base FROM g)") + "SELECT name, count(*) AS n, CAST(sum(pos * (instr('ACGT', base) - 1)) AS BIGINT) AS moment FROM p GROUP BY name")
+def _(spark, sf):
+    """Records of many documents, as pieces with their places; no row holds a record."""
+    d = table(spark, sf, "documents").withColumn("name", F.concat("lang", F.lit("_"), "source"))
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "[>\r]", " ")
+    lines = d.select("name", "doc_id", body.alias("value")).unionByName(d.select("name").distinct().select("name", F.lit(-1).cast("long").alias("doc_id"), F.concat(F.lit(">"), "name").alias("value")))
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    lines.repartitionByRange(4, "name").sortWithinPartitions("name", "doc_id").select("value").write.text(path)
+    rows = checkpointed(fasta.pieces(spark, path))
+    at = fasta.placed(rows).join(fasta.names(rows), ["path", "record"])
+    s = at.select("name", "base", F.posexplode(F.split("body", "")).alias("i", "symbol")).where("symbol <> ''")
+    return s.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("base") + F.col("i")) * (F.instr(F.lit("ACGT"), F.col("symbol")) - 1)).alias("moment"))
+
+
 _META_SQL = "md AS (SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS taxon_id, CASE n_regionkey WHEN 0 THEN 'fungi' WHEN 1 THEN 'Plant' ELSE '' END AS organism_type FROM nation)"
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.symbols import clean, organism_type, retained_pct
+from strandline.sources import fasta
 
 RECORD = "name string, accession string, organism_type string, sequence string, raw_length long, metadata map<string,string>"
 
@@ -58,27 +59,10 @@ def toy(spark: SparkSession) -> DataFrame:
     return df.select("name", F.expr("repeat(unit, times)").alias("sequence"))
 
 
-def _stripped(x):
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
-
-
-def read_fasta(spark: SparkSession, path: str, split_records: bool = False, keep_symbols: bool = False) -> DataFrame:
-    """Records of FASTA files, gzip by suffix. All records of a file make one, named by its first header;
-    `split_records` keeps them apart. `keep_symbols` skips the cleaning, except for case and U."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("accession"), F.regexp_replace("value", "\r", "").alias("value"))
-    stem = F.regexp_replace(F.regexp_replace("accession", r"\.gz$", ""), r"\.[^.]*$", "")
-    if split_records:
-        raw = raw.select("accession", F.explode(F.filter(F.split("value", r"(?m)^>"), lambda p: F.trim(p) != "")).alias("p"))
-        lines = F.split("p", "\n")
-        header, body = F.get(lines, F.lit(0)), F.array_join(F.transform(F.slice(lines, 2, 1 << 30), _stripped), "")
-    else:
-        lines = F.filter(F.transform(F.split("value", "\n"), _stripped), lambda x: x != "")
-        header = F.substring(F.get(F.filter(lines, lambda x: x.startswith(">")), F.lit(0)), F.lit(2), F.lit(1 << 30))
-        body = F.array_join(F.filter(lines, lambda x: ~x.startswith(">")), "")
-    label = F.substring(F.regexp_replace(F.coalesce(F.nullif(_stripped(header), F.lit("")), stem), r"[^A-Za-z0-9_.-]+", "_"), 1, 80)
-    got = raw.select(label.alias("name"), "accession", body.alias("raw"))
-    seq = F.replace(F.upper("raw"), F.lit("U"), F.lit("T")) if keep_symbols else clean(F.col("raw"))
-    return got.select("name", "accession", organism_type(F.col("name")).alias("organism_type"), seq.alias("sequence"), F.length("raw").cast("long").alias("raw_length"), F.create_map().cast("map<string,string>").alias("metadata"))
+def read_fasta(spark: SparkSession, path: str | list[str], split_records: bool = False, keep_symbols: bool = False) -> DataFrame:
+    """Records of FASTA files of any size, gzip by suffix. All records of a file make one, named by its first
+    header; `split_records` keeps them apart. `keep_symbols` skips the cleaning, except for case and U."""
+    return fasta.records(spark, path, split_records, keep_symbols)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
