@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandline.operators import graphs, windows
 from strandline.plans import battery, features
 from strandline.plans.config import FAST, GROUPS, Config
-from strandline.sources import records, sinks
+from strandline.sources import cache, records, sinks
 
 
 def parse(argv=None) -> argparse.Namespace:
@@ -97,13 +97,20 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
     frames = [read(f) for f in a.fasta]
     if a.cache and not a.no_bundled:
         level = next((x for x in reversed(records.LEVELS) if getattr(a, x, False)), "core")
-        fetch = records.entrez(a.email, a.ncbi_api_key) if a.email and not a.no_fetch else None
-        cache = records.FetchCache(a.cache, fetch, a.ncbi_retries, a.ncbi_backoff)
         bundle = records.catalog(spark, level)
         if a.diverse_eukaryotes:
             bundle = bundle.unionByName(records.catalog(spark, "mega").where(F.col("name").isin(*records.TIERS["diverse"]))).dropDuplicates(["name"])
-        found = [p for r in bundle.orderBy("tier", "name").collect() if (p := cache.path(r.name, r.accession))]
-        frames += [read(str(p)) for p in found]
+        named = {r.accession: r.name for r in bundle.collect()}  # at most the catalogue's rows
+        cache.register(spark)
+        asked = spark.read.format("sequence_cache").options(path=a.cache, accessions=",".join(named), partitions=4, retries=a.ncbi_retries, backoff=a.ncbi_backoff)
+        if a.email and not a.no_fetch:
+            asked = asked.options(email=a.email, api_key=a.ncbi_api_key)
+        # Written by Spark before anything else reads it, so that nothing is fetched twice.
+        told = asked.load().drop("sequence").withColumn("catalog_name", F.create_map(*(F.lit(x) for kv in named.items() for x in kv))[F.col("accession")])
+        told.write.mode("overwrite").json(str(out / "fetch_metadata"))
+        found = [r.cache_path for r in spark.read.schema(told.schema).json(str(out / "fetch_metadata")).where("error IS NULL").orderBy("accession").collect()]
+        log.info("%d of %d accessions found in %s", len(found), len(named), a.cache)
+        frames += [read(found)] if found else []
     if not frames:
         log.error("no sequences")
         return 2

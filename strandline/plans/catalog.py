@@ -14,7 +14,7 @@ from strandline.operators import fractal, graphs, spectra, stats, windows
 from strandline.operators import tiles as T
 from strandline.plans import battery, features
 from strandline.plans.config import Config
-from strandline.sources import fasta, records, sinks
+from strandline.sources import cache, fasta, records, sinks
 from strandline.sources.shared import checkpointed, shared_dir
 
 QUERIES: dict = {}
@@ -199,6 +199,18 @@ def _(spark, sf):
     return out.select("name", F.col("metadata")["taxon_id"].alias("taxon_id"), "organism_type", F.size("metadata").alias("n_meta"))
 
 
+@query("cached_sequences", with_(SEQ) + "SELECT name AS accession, organism_type AS name, length(sequence) AS length_bp, length(sequence) AS raw_length, 100.0 AS retained_pct, sha256(sequence) AS sha256, false AS downloaded_this_run, CAST(NULL AS VARCHAR) AS error FROM seq UNION ALL SELECT 'absent', NULL, NULL, NULL, NULL, NULL, false, 'not in the cache'", "retained_pct")
+def _(spark, sf):
+    """Records stored as payloads of a cache, and read back with one accession that it lacks."""
+    cache.register(spark)
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    stored = seqs(spark, sf).select(F.col("name").alias("accession"), F.col("organism_type").alias("name"), "sequence")
+    stored.write.format("sequence_cache").option("path", path).mode("append").save()
+    found = spark.read.format("sequence_cache").option("path", path).load()
+    absent = spark.read.format("sequence_cache").option("path", path).option("accessions", "absent").load()
+    return found.unionByName(absent).select("accession", "name", "length_bp", "raw_length", "retained_pct", "sha256", "downloaded_this_run", "error")
+
+
 @query("json_rows", """SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || coalesce(CAST(user_id AS VARCHAR), 'null') || ',"whole":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE CAST(event_id % 3 AS VARCHAR) END || '}' AS json FROM events""")
 def _(spark, sf):
     e = table(spark, sf, "events")
