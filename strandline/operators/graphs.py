@@ -73,22 +73,62 @@ def pagerank_frame(e: DataFrame, damping: float = 0.85, rounds: int = 20) -> Dat
     return ranks.select("node", "rank")
 
 
-def closure(w: np.ndarray) -> np.ndarray:
-    """Who reaches whom, by squaring."""
-    r = (w > 0) | np.eye(len(w), dtype=bool)
+def _least_reaching(nodes: DataFrame, e: DataFrame) -> DataFrame:
+    """node, colour: the smallest node from which each node is reached. Only what became smaller is handed on."""
+    colours = checkpointed(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")))
     while True:
-        new = (r.astype(np.float32) @ r.astype(np.float32)) > 0
-        if (new == r).all():
-            return r
-        r = new
+        got = e.join(colours.where("fresh").select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
+        new = colours.join(got, "node", "left").select("node", F.least("colour", "c").alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("fresh"))
+        colours = checkpointed(new)
+        if not colours.where("fresh").head(1):
+            return colours.select("node", "colour")
+
+
+def _reaching(roots: DataFrame, e: DataFrame) -> DataFrame:
+    """node, colour of all nodes from which the root of their colour is reached by edges of that colour."""
+    found = fresh = checkpointed(roots)
+    while fresh.head(1):
+        step = e.join(fresh.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+        fresh = checkpointed(step.join(found, "node", "left_anti"))
+        found = checkpointed(found.unionByName(fresh))
+    return found
 
 
 def strong_components(e: DataFrame) -> DataFrame:
-    """node, component (the smallest node that it reaches and that reaches it)."""
-    names, w = matrix(e)
-    r = closure(w) if len(names) else np.zeros((0, 0), bool)
-    both = r & r.T
-    return e.sparkSession.createDataFrame([(n, names[int(both[k].argmax())]) for k, n in enumerate(names)], "node string, component string")
+    """node, component: the smallest node of those that reach it and that it reaches.
+
+    Nodes without an edge in or out are components of their own and are trimmed, until none is left. Then each node
+    takes the colour of the smallest node that reaches it; a node of its own colour is the smallest of its component,
+    which is what reaches it backwards inside the colour. What is found goes, and so do edges between
+    colours; the rest begins anew. All steps are joins of edge and node tables; rounds follow the longest of the
+    shortest ways. Self-loops change nothing."""
+    out = None
+    nodes = checkpointed(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    e = checkpointed(e.where("src <> dst").select("src", "dst").distinct())
+
+    def settled(part: DataFrame) -> DataFrame:
+        return part if out is None else out.unionByName(part)
+
+    while nodes.head(1):
+        while True:
+            inner = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
+            ends = checkpointed(nodes.join(inner, "node", "left_anti"))
+            if not ends.head(1):
+                break
+            out = settled(ends.select("node", F.col("node").alias("component")))
+            nodes = checkpointed(nodes.join(ends, "node", "left_anti"))
+            e = checkpointed(e.join(ends, F.col("src") == F.col("node"), "left_anti").join(ends, F.col("dst") == F.col("node"), "left_anti"))
+        if not nodes.head(1):
+            break
+        colours = _least_reaching(nodes, e)
+        own = e.join(colours.select(F.col("node").alias("src"), "colour"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("c")), "dst")
+        own = checkpointed(own.where("colour = c").select("src", "dst", "colour"))
+        found = _reaching(colours.where("node = colour"), own)
+        out = settled(found.select("node", F.col("colour").alias("component")))
+        nodes = checkpointed(nodes.join(found, "node", "left_anti"))
+        kept = own.join(found, F.col("src") == F.col("node"), "left_anti").join(found, F.col("dst") == F.col("node"), "left_anti")
+        e = checkpointed(kept.select("src", "dst"))
+    return out if out is not None else nodes.select("node", F.col("node").alias("component"))
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -148,27 +188,42 @@ def communities(e: DataFrame, weighted: bool = True) -> tuple[DataFrame, float]:
     return e.sparkSession.createDataFrame(rows, "node string, community int"), score
 
 
-def betweenness(e: DataFrame) -> DataFrame:
-    """node, betweenness: shares of shortest directed paths through a node, by counts per distance."""
-    names, w = matrix(e)
-    n = len(names)
-    a = (w > 0) & ~np.eye(n, dtype=bool)
-    score = np.zeros(n)
-    for s in range(n):
-        dist, paths = np.full(n, -1), np.zeros(n)
-        dist[s], paths[s], layers, at = 0, 1, [], np.array([s])
-        while len(at):
-            layers.append(at)
-            reach = paths[at] @ a[at]
-            at = np.flatnonzero((reach > 0) & (dist < 0))
-            dist[at], paths[at] = len(layers), reach[at]
-        share = np.zeros(n)
-        for up, down in zip(layers[-2::-1], layers[:0:-1], strict=True):
-            share[up] += paths[up] * (a[np.ix_(up, down)] @ ((1 + share[down]) / paths[down]))
-        score += np.where(np.arange(n) == s, 0, share)
-    if n > 2:
-        score /= (n - 1) * (n - 2)
-    return e.sparkSession.createDataFrame(list(zip(names, score.tolist(), strict=True)), "node string, betweenness double")
+def betweenness(e: DataFrame, sources: int = 1024) -> DataFrame:
+    """node, betweenness: shares of shortest directed paths through a node.
+
+    All sources of a block of about `sources` go on together, a level at a time: the nodes that a level reaches
+    first, with the number of shortest paths to them. Shares are then pushed back from the farthest level. A
+    block has a row for each source and node that it reaches; with every source in turn the work is that of
+    nodes times edges, and the blocks bound what is held at once."""
+    nodes = checkpointed(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    e = checkpointed(e.where("src <> dst").select("src", "dst").distinct())
+    n = nodes.count()
+    blocks = max(1, -(-n // sources))
+    total = None
+    for b in range(blocks):
+        start = nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b)
+        levels = [checkpointed(start.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
+        seen = levels[0].select("s", "node")
+        while levels[-1].head(1):
+            step = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            levels.append(checkpointed(step.join(seen, ["s", "node"], "left_anti")))
+            seen = seen.unionByName(levels[-1].select("s", "node"))
+        shares = []
+        behind = None
+        for level in reversed(levels[1:-1]):
+            level = level.withColumn("share", F.lit(0.0)) if behind is None else level.join(behind, ["s", "node"], "left").select("s", "node", "paths", F.coalesce("share", F.lit(0.0)).alias("share"))
+            level = checkpointed(level)
+            shares.append(level.select("node", "share"))
+            # Every node before this level hands its paths on; only those of the level before are its sources.
+            before = levels[len(levels) - 2 - len(shares)].select("s", F.col("node").alias("src"), F.col("paths").alias("p"))
+            pushed = level.join(e, F.col("node") == F.col("dst")).select("s", "src", ((F.lit(1.0) + F.col("share")) / F.col("paths")).alias("x"))
+            behind = pushed.join(before, ["s", "src"]).groupBy("s", F.col("src").alias("node")).agg(F.sum(F.col("p") * F.col("x")).alias("share"))
+        for part in shares:
+            part = checkpointed(part.groupBy("node").agg(F.sum("share").alias("share")))
+            total = part if total is None else total.unionByName(part)
+    scale = F.lit(1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0)
+    got = nodes if total is None else nodes.join(total.groupBy("node").agg(F.sum("share").alias("share")), "node", "left")
+    return got.select("node", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness")) if total is not None else got.select("node", F.lit(0.0).alias("betweenness"))
 
 
 def eigenvector(e: DataFrame, rounds: int = 1000, tol: float = 1e-6) -> DataFrame:

@@ -743,6 +743,27 @@ def _(spark, sf):
     return graphs.strong_components(_edges(spark, sf))
 
 
+#: The component of the node of most edges by its reach both ways; of the rest, who reaches whom.
+_SCC9 = "WITH RECURSIVE " + ",\n".join((SEQ, f"e AS (SELECT DISTINCT substr(kmer, 1, 8) AS src, substr(kmer, 2, 8) AS dst FROM ({kmer_sql(9)}))", "nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e)", "hub AS (SELECT node FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node ORDER BY count(*) DESC, node LIMIT 1)",
+    "fw AS (SELECT node FROM hub UNION SELECT e.dst FROM fw JOIN e ON fw.node = e.src)", "bw AS (SELECT node FROM hub UNION SELECT e.src FROM bw JOIN e ON bw.node = e.dst)", "big AS (SELECT node FROM fw INTERSECT SELECT node FROM bw)",
+    "rest AS (SELECT src, dst FROM e WHERE src NOT IN (SELECT node FROM big) AND dst NOT IN (SELECT node FROM big))", "r AS (SELECT src AS a, dst AS b FROM rest UNION SELECT r.a, rest.dst FROM r JOIN rest ON r.b = rest.src)"))
+
+
+@query("strong_components_9", _SCC9 + "\nSELECT node, (SELECT min(node) FROM big) AS component FROM big UNION ALL SELECT node, least(node, coalesce(c, node)) FROM nd LEFT JOIN (SELECT x.a, min(x.b) AS c FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) m ON m.a = nd.node WHERE node NOT IN (SELECT node FROM big)")
+def _(spark, sf):
+    return graphs.strong_components(graphs.edges(seqs(spark, sf), 9))
+
+
+#: Walks of each length; the shortest are the paths. Twenty steps are more than any two of 64 nodes of full words lie apart.
+_BTW = "WITH RECURSIVE " + ",\n".join((SEQ, _E, "nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e)", "x AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst)", "wk AS (SELECT node AS s, node AS v, 0 AS d, 1.0::DOUBLE AS c FROM nd UNION ALL SELECT s, dst, d + 1, sum(c) FROM wk JOIN x ON wk.v = x.src WHERE d < 20 GROUP BY s, dst, d + 1)",
+    "sp AS (SELECT s, v, min(d) AS d, arg_min(c, d) AS c FROM wk GROUP BY s, v)", "t AS (SELECT p.v AS node, sum(p.c * q.c / o.c) AS b FROM sp p JOIN sp q ON p.v = q.s JOIN sp o ON o.s = p.s AND o.v = q.v AND o.d = p.d + q.d WHERE p.s <> p.v AND q.s <> q.v AND p.s <> q.v GROUP BY p.v)"))
+
+
+@query("graph_betweenness", _BTW + "\nSELECT node, coalesce(b, 0) / ((SELECT count(*) - 1 FROM nd) * (SELECT count(*) - 2 FROM nd)) AS betweenness FROM nd LEFT JOIN t USING (node)", "betweenness")
+def _(spark, sf):
+    return graphs.betweenness(_edges(spark, sf))
+
+
 @query("node_degrees", with_(SEQ, _E, "d AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e)") + "SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i + o) AS BIGINT) AS degree FROM d GROUP BY node")
 def _(spark, sf):
     return graphs.degrees(_edges(spark, sf))
