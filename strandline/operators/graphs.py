@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import tiles as T
-from strandline.sources.shared import checkpointed
+from strandline.sources.shared import checkpointed, saved
 
 
 def edges(df: DataFrame, k: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -40,20 +40,30 @@ def matrix(e: DataFrame, most: int = 4**7) -> tuple[list[str], np.ndarray]:
 
 
 def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
-    """node, rank. Graphs of k-mers are of bounded size and iterate as a matrix on the driver; a larger
-    one iterates as joins, see pagerank_frame."""
-    names, w = matrix(e)
-    n = len(names)
-    out = w.sum(1)
-    step = np.divide(w, out[:, None], out=np.zeros_like(w), where=out[:, None] > 0)
-    x = np.full(n, 1 / n) if n else np.zeros(0)
-    for _ in range(rounds if n else 0):
-        new = damping * (x @ step + x[out == 0].sum() / n) + (1 - damping) / n
-        done = np.abs(new - x).sum() < n * tol
-        x = new
-        if done:
-            break
-    return e.sparkSession.createDataFrame(list(zip(names, x.tolist(), strict=True)), "node string, rank double")
+    """node, rank, by joins and sums. Stops once a round moves the ranks by less than `tol` a node in all, which
+    is looked at where ranks are written: every fifth round, or every round in a graph with nodes without a way
+    out, whose rank all nodes share."""
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    nodes = saved(nodes.join(e.select(F.col("src").alias("node"), F.lit(False).alias("sink")).distinct(), "node", "left").select("node", F.coalesce("sink", F.lit(True)).alias("sink")))
+    told = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_if("sink").alias("sinks")).first()
+    n, every = max(1, told.n), 1 if told.sinks else 5
+    flow = saved(e.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("share")))
+    ranks = nodes.select("node", "sink", F.lit(1 / n).alias("rank"), F.lit(None).cast("double").alias("was"))
+    for k in range(1, rounds + 1):
+        got = flow.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("come"))
+        lost = 0.0
+        if told.sinks:
+            lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()[0]
+        new = F.lit(damping) * (F.coalesce("come", F.lit(0.0)) + F.lit(lost / n)) + F.lit((1 - damping) / n)
+        # The former rank is only looked at where ranks are written, so that a round reads them once.
+        write = k % every == 0 or k == rounds
+        before = ranks if write else nodes.withColumn("rank", F.lit(None).cast("double"))
+        ranks = before.select("node", "sink", F.col("rank").alias("was")).join(got, "node", "left").select("node", "sink", new.alias("rank"), "was")
+        if write:
+            ranks = saved(ranks)
+            if tol > 0 and (ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < n * tol:
+                break
+    return ranks.select("node", "rank")
 
 
 def pagerank_frame(e: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
@@ -75,22 +85,22 @@ def pagerank_frame(e: DataFrame, damping: float = 0.85, rounds: int = 20) -> Dat
 
 def _least_reaching(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """node, colour: the smallest node from which each node is reached. Only what became smaller is handed on."""
-    colours = checkpointed(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")))
+    colours = saved(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")))
     while True:
         got = e.join(colours.where("fresh").select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
         new = colours.join(got, "node", "left").select("node", F.least("colour", "c").alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("fresh"))
-        colours = checkpointed(new)
+        colours = saved(new)
         if not colours.where("fresh").head(1):
             return colours.select("node", "colour")
 
 
 def _reaching(roots: DataFrame, e: DataFrame) -> DataFrame:
     """node, colour of all nodes from which the root of their colour is reached by edges of that colour."""
-    found = fresh = checkpointed(roots)
+    found = fresh = saved(roots)
     while fresh.head(1):
         step = e.join(fresh.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-        fresh = checkpointed(step.join(found, "node", "left_anti"))
-        found = checkpointed(found.unionByName(fresh))
+        fresh = saved(step.join(found, "node", "left_anti"))
+        found = saved(found.unionByName(fresh))
     return found
 
 
@@ -103,8 +113,8 @@ def strong_components(e: DataFrame) -> DataFrame:
     colours; the rest begins anew. All steps are joins of edge and node tables; rounds follow the longest of the
     shortest ways. Self-loops change nothing."""
     out = None
-    nodes = checkpointed(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    e = checkpointed(e.where("src <> dst").select("src", "dst").distinct())
+    nodes = saved(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    e = saved(e.where("src <> dst").select("src", "dst").distinct())
 
     def settled(part: DataFrame) -> DataFrame:
         return part if out is None else out.unionByName(part)
@@ -112,22 +122,22 @@ def strong_components(e: DataFrame) -> DataFrame:
     while nodes.head(1):
         while True:
             inner = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
-            ends = checkpointed(nodes.join(inner, "node", "left_anti"))
+            ends = saved(nodes.join(inner, "node", "left_anti"))
             if not ends.head(1):
                 break
             out = settled(ends.select("node", F.col("node").alias("component")))
-            nodes = checkpointed(nodes.join(ends, "node", "left_anti"))
-            e = checkpointed(e.join(ends, F.col("src") == F.col("node"), "left_anti").join(ends, F.col("dst") == F.col("node"), "left_anti"))
+            nodes = saved(nodes.join(ends, "node", "left_anti"))
+            e = saved(e.join(ends, F.col("src") == F.col("node"), "left_anti").join(ends, F.col("dst") == F.col("node"), "left_anti"))
         if not nodes.head(1):
             break
         colours = _least_reaching(nodes, e)
         own = e.join(colours.select(F.col("node").alias("src"), "colour"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("c")), "dst")
-        own = checkpointed(own.where("colour = c").select("src", "dst", "colour"))
+        own = saved(own.where("colour = c").select("src", "dst", "colour"))
         found = _reaching(colours.where("node = colour"), own)
         out = settled(found.select("node", F.col("colour").alias("component")))
-        nodes = checkpointed(nodes.join(found, "node", "left_anti"))
+        nodes = saved(nodes.join(found, "node", "left_anti"))
         kept = own.join(found, F.col("src") == F.col("node"), "left_anti").join(found, F.col("dst") == F.col("node"), "left_anti")
-        e = checkpointed(kept.select("src", "dst"))
+        e = saved(kept.select("src", "dst"))
     return out if out is not None else nodes.select("node", F.col("node").alias("component"))
 
 
@@ -154,6 +164,57 @@ def clustering(e: DataFrame) -> DataFrame:
     return loops.select("node", d.alias("degree"), t_.alias("triangles"), F.when(d > 1, 2.0 * t_ / (d * (d - 1))).otherwise(0.0).alias("coefficient"))
 
 
+def undirected(e: DataFrame, weighted: bool = True) -> DataFrame:
+    """a, b, w for a <= b: of a pair of edges between two nodes, the one from the larger node counts."""
+    w = F.coalesce(F.max(F.when(F.col("src") >= F.col("dst"), F.col("weight"))), F.max("weight")) if weighted else F.lit(1)
+    return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(w.cast("decimal(19,0)").alias("w"))
+
+
+def communities_frame(e: DataFrame, weighted: bool = True, one_pair: bool = False) -> tuple[DataFrame, float]:
+    """(node, community, by its smallest node) by merging pairs that add modularity, and the modularity.
+
+    A round merges every pair of communities that are each other's best, or with `one_pair` the best of all
+    alone, as greedy merging does (a round for each merge: for small graphs). Then edges between communities are
+    contracted to one each. Gains are whole numbers, m2 w - k k, so ties are ties: they go to the smaller names.
+    No round is without the best pair, and rounds end when no pair adds anything."""
+    u = saved(undirected(e, weighted))
+    ends = u.select(F.col("a").alias("c"), "w").union(u.select(F.col("b").alias("c"), "w"))
+    degree = saved(ends.groupBy("c").agg(F.sum("w").cast("decimal(25,0)").alias("k")))
+    parts = degree.select(F.col("c").alias("node"), F.col("c").alias("community"))
+    m2 = degree.agg(F.sum("k")).first()[0]
+    if not m2:
+        return parts, 0.0
+    link = saved(u.where("a <> b").select("a", "b", F.col("w").cast("decimal(25,0)").alias("w")))
+    while True:
+        at = lambda c: degree.select(F.col("c").alias(c), F.col("k").alias(f"k{c}"))
+        gain = F.col("w") * F.lit(m2).cast("decimal(25,0)") - F.col("ka") * F.col("kb")
+        gains = link.join(at("a"), "a").join(at("b"), "b").select(F.struct((-gain).alias("loss"), "a", "b").alias("pair")).where("pair.loss < 0")
+        if one_pair:
+            merged = gains.agg(F.min("pair").alias("pair")).where("pair IS NOT NULL")
+        else:
+            best = gains.select(F.explode(F.array("pair.a", "pair.b")).alias("c"), "pair").groupBy("c").agg(F.min("pair").alias("pair"))
+            merged = best.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        merged = saved(merged.select(F.col("pair.b").alias("old"), F.col("pair.a").alias("new")))
+        if not merged.head(1):
+            break
+        now = lambda df, c: df.join(merged, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
+        degree = saved(now(degree, "c").groupBy("c").agg(F.sum("k").cast("decimal(25,0)").alias("k")))
+        joined = now(now(link, "a"), "b").where("a <> b")
+        link = saved(joined.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").cast("decimal(25,0)").alias("w")))
+        parts = saved(now(parts, "community"))
+    return parts, modularity(u, parts)
+
+
+def modularity(u: DataFrame, parts: DataFrame) -> float:
+    """Of a partition (node, community) of an undirected graph (a, b, w)."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+    both = u.join(of("a"), "a").join(of("b"), "b")
+    ends = both.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), (F.col("ca") == F.col("cb")).alias("inside")), F.struct(F.col("cb").alias("c"), (F.col("ca") == F.col("cb")).alias("inside")))).alias("z"), F.col("w").cast("double").alias("w"))
+    sums = ends.groupBy("z.c").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("z.inside"), F.col("w")).otherwise(0.0)).alias("i"))
+    total = sums.agg(F.sum("k").alias("m2"), F.sum("i").alias("i"), F.sum(F.col("k") * F.col("k")).alias("kk")).first()
+    return float(total.i / total.m2 - total.kk / total.m2**2) if total.m2 else 0.0
+
+
 def _undirected(w: np.ndarray, weighted: bool) -> np.ndarray:
     """A reciprocal edge overwrites the first and does not add to it."""
     low = np.tril(w, -1)
@@ -195,31 +256,31 @@ def betweenness(e: DataFrame, sources: int = 1024) -> DataFrame:
     first, with the number of shortest paths to them. Shares are then pushed back from the farthest level. A
     block has a row for each source and node that it reaches; with every source in turn the work is that of
     nodes times edges, and the blocks bound what is held at once."""
-    nodes = checkpointed(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    e = checkpointed(e.where("src <> dst").select("src", "dst").distinct())
+    nodes = saved(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    e = saved(e.where("src <> dst").select("src", "dst").distinct())
     n = nodes.count()
     blocks = max(1, -(-n // sources))
     total = None
     for b in range(blocks):
         start = nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b)
-        levels = [checkpointed(start.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
+        levels = [saved(start.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
         seen = levels[0].select("s", "node")
         while levels[-1].head(1):
             step = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-            levels.append(checkpointed(step.join(seen, ["s", "node"], "left_anti")))
+            levels.append(saved(step.join(seen, ["s", "node"], "left_anti")))
             seen = seen.unionByName(levels[-1].select("s", "node"))
         shares = []
         behind = None
         for level in reversed(levels[1:-1]):
             level = level.withColumn("share", F.lit(0.0)) if behind is None else level.join(behind, ["s", "node"], "left").select("s", "node", "paths", F.coalesce("share", F.lit(0.0)).alias("share"))
-            level = checkpointed(level)
+            level = saved(level)
             shares.append(level.select("node", "share"))
             # Every node before this level hands its paths on; only those of the level before are its sources.
             before = levels[len(levels) - 2 - len(shares)].select("s", F.col("node").alias("src"), F.col("paths").alias("p"))
             pushed = level.join(e, F.col("node") == F.col("dst")).select("s", "src", ((F.lit(1.0) + F.col("share")) / F.col("paths")).alias("x"))
             behind = pushed.join(before, ["s", "src"]).groupBy("s", F.col("src").alias("node")).agg(F.sum(F.col("p") * F.col("x")).alias("share"))
         for part in shares:
-            part = checkpointed(part.groupBy("node").agg(F.sum("share").alias("share")))
+            part = saved(part.groupBy("node").agg(F.sum("share").alias("share")))
             total = part if total is None else total.unionByName(part)
     scale = F.lit(1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0)
     got = nodes if total is None else nodes.join(total.groupBy("node").agg(F.sum("share").alias("share")), "node", "left")

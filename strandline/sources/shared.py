@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Written as a Parquet table of the shared folder and read from there; the table goes when the process ends.
+
+    For steps that are repeated: Spark hands a checkpoint the size that it reckoned for its plan, which grows with
+    every join, until reckoning takes longer than joining. A table has the size of its files."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the JVM has ended
+        pass
