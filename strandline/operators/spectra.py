@@ -128,22 +128,65 @@ def fisher_matrix(df: DataFrame, k: int = 3) -> DataFrame:
     return _pair_tiles(_vectors(df, roots), "distance double", compare)
 
 
+def _shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Common elements of every two rows of two 0/1 matrices."""
+    shared = np.zeros((len(p), len(q)), np.int64)
+    for a in range(0, p.shape[1], 1 << 14):
+        shared += (p[:, a : a + (1 << 14)].astype(np.float32) @ q[:, a : a + (1 << 14)].astype(np.float32).T).astype(np.int64)
+    return shared
+
+
+def _word_set(a: np.ndarray, k: int) -> np.ndarray:
+    """Distinct words of a sequence as numbers: up to 31 symbols in base 4, longer ones by a hash of 64 bits."""
+    n = len(a) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, odd = np.zeros(n, np.uint64), np.zeros(n, bool)
+    base = np.uint64(4 if k <= 31 else 0x9E3779B97F4A7C15)
+    for j in range(k):
+        part = a[j : j + n]
+        out = out * base + (part + np.uint64(k > 31))
+        odd |= part > 3
+    return np.unique(out[~odd])
+
+
 def jaccard(df: DataFrame, k: int = 7) -> DataFrame:
-    """a, b, shared, jaccard for a < b, pairs without a shared word left out (their value is 0). A sequence
-    is a set of bits, one for each of the 4^k words."""
-    if k > 10:
-        raise ValueError("sets of bits are meant for words of at most 10 symbols")
+    """a, b, shared, jaccard for a < b, pairs without a shared word left out (their value is 0). Up to ten symbols
+    a sequence is a set of bits, one for each of the 4^k words; beyond, it is the list of its words, and a tile
+    numbers the words that two of its sequences have in common."""
+    schema = "shared long, jaccard double"
 
-    def compare(x, y):
+    def result(shared, x, y):
+        return shared > 0, {"shared": shared, "jaccard": shared / np.maximum(x[:, None] + y - shared, 1)}
+
+    def bits(x, y):
         p, q = (np.stack([np.unpackbits(np.frombuffer(v, np.uint8)) for v in z]) for z in (x, y))
-        shared = np.zeros((len(p), len(q)), np.int64)
-        for a in range(0, p.shape[1], 1 << 14):
-            shared += (p[:, a : a + (1 << 14)].astype(np.float32) @ q[:, a : a + (1 << 14)].astype(np.float32).T).astype(np.int64)
-        union = p.sum(1, dtype=np.int64)[:, None] + q.sum(1, dtype=np.int64) - shared
-        return shared > 0, {"shared": shared, "jaccard": shared / np.maximum(union, 1)}
-
-    block = max(8, min(512, (1 << 24) // 4**k * 8))
-    return _pair_tiles(_vectors(df, lambda a: np.packbits(profile.counts(a, k) > 0)), "shared long, jaccard double", compare, block)
+        return result(_shared(p, q), p.sum(1, dtype=np.int64), q.sum(1, dtype=np.int64))
+
+    def lists(x, y):
+        words = [[np.frombuffer(v, np.uint64) for v in z] for z in (x, y)]
+        sizes = [np.array([len(w) for w in z], np.int64) for z in words]
+        one, two = (np.concatenate(z) for z in words)
+        both = np.intersect1d(one, two)
+        shared = np.zeros((len(x), len(y)), np.int64)
+        for a in range(0, len(both), 1 << 14):
+            part = both[a : a + (1 << 14)]
+            tables = []
+            for z in words:
+                table = np.zeros((len(z), len(part)), np.uint8)
+                for r, w in enumerate(z):
+                    near = w[np.searchsorted(w, part[0]) : np.searchsorted(w, part[-1], "right")]
+                    place = np.searchsorted(part, near)
+                    table[r, place[part[place] == near]] = 1
+                tables.append(table)
+            shared += _shared(*tables)
+        return result(shared, *sizes)
+
+    if k <= 10:
+        block = max(8, min(512, (1 << 24) // 4**k * 8))
+        return _pair_tiles(_vectors(df, lambda a: np.packbits(profile.counts(a, k) > 0)), schema, bits, block)
+    longest = df.agg(F.max(F.length("sequence"))).first()[0] or 1
+    return _pair_tiles(_vectors(df, lambda a: _word_set(a, k)), schema, lists, max(1, min(512, (1 << 26) // (8 * longest))))
 
 
 def dinucleotide_rho(df: DataFrame, keep: tuple[str, ...] = ("name",)) -> DataFrame:

@@ -106,7 +106,7 @@ def permutation_sums(pairs: DataFrame, permutations: int = 999, seed: int = 42)
     sums = d.mapInPandas(part, "feature string, control string, n long, k int, s double").groupBy("feature", "control", "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     own = F.max(F.when(F.col("k") == -1, F.abs("s"))).over(Window.partitionBy("feature", "control"))
     hits = F.sum(F.when((F.col("k") >= 0) & (F.abs("s") >= F.col("own")), 1).otherwise(0))
-    p = F.when(F.max("n") < 2, None).when(F.max("own") == 0, 1.0).otherwise((hits + 1) / (permutations + 1))
+    p = F.when(F.max("n") < 2, None).when(F.max("own") == 0, 1.0).otherwise((hits + 1) / (permutations + 1) if permutations > 0 else F.lit(None).cast("double"))
     return sums.withColumn("own", own).groupBy("feature", "control").agg(p.alias("paired_permutation_p"))
 
 
@@ -156,11 +156,63 @@ def correlations(df: DataFrame, target: str, features: list[str], least: int = 4
 
 
 def correlation_matrix(df: DataFrame, features: list[str], more_than: int = 3) -> DataFrame:
-    """a, b, n, r for all ordered pairs: one pass and one row, whatever the number of rows."""
-    cols = {c: finite(F.col(c).cast("double")) for c in features}
-    both = lambda a, b: cols[a].isNotNull() & cols[b].isNotNull()
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(F.when(both(a, b), 1)).alias("n"), pearson(cols[a], cols[b]).alias("r")) for a in features for b in features]
-    return df.agg(F.array(*cells).alias("m")).select(F.inline("m")).where(F.col("n") > more_than)
+    """a, b, n, r for all ordered pairs, each over the rows that have both.
+
+    A batch of rows is a matrix, and its sums for all pairs are four products with the mask of present values; only
+    these move, one row a pair and task. Values are taken from their column's mean first, so that no digits are
+    lost to it."""
+    k = len(features)
+    x = df.select(*(finite(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(features)))
+    mean = x.agg(*(F.avg(c) for c in x.columns)).first()
+    centre = np.array([v or 0.0 for v in mean])
+
+    def work(batches):
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - centre
+            has = np.isfinite(v)
+            v, m = np.where(has, v, 0.0), has.astype(float)
+            total += [m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v]
+        i, j = np.divmod(np.arange(k * k), k)
+        yield pd.DataFrame(dict(zip(("i", "j", "n", "sa", "sb", "saa", "sbb", "sab"), (i, j, *total.reshape(6, -1)), strict=True)))
+
+    def batched(batches):
+        import pyarrow as pa
+
+        for out in work(batches):
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    sums = x.mapInArrow(batched, "i long, j long, n double, sa double, sb double, saa double, sbb double, sab double").groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
+    n = F.col("n")
+    va, vb = n * F.col("saa") - F.col("sa") * F.col("sa"), n * F.col("sbb") - F.col("sb") * F.col("sb")
+    # A constant column leaves nothing but rounding.
+    flat = (va <= 1e-12 * n * F.col("saa")) | (vb <= 1e-12 * n * F.col("sbb"))
+    r = F.when(~flat, (n * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(va) / F.sqrt(vb))
+    names = F.array(*map(F.lit, features))
+    return sums.where(n > more_than).select(F.get(names, F.col("i").cast("int")).alias("a"), F.get(names, F.col("j").cast("int")).alias("b"), n.cast("long").alias("n"), r.alias("r"))
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, qs: list[float]) -> DataFrame:
+    """group, q, value: exact quantiles with linear interpolation, of several groups and shares in one pass.
+
+    Equal values are counted first, so that a frequent one is one row. Distinct values are dealt to ranges of
+    (group, value); a range's counts say which ranks lie in it, and only ranks that are asked for are looked up,
+    each in its range. A task holds a range, never a group. NULL and NaN take no part."""
+    held = df.select(F.col(group).alias("g"), finite(F.col(value).cast("double")).alias("v")).where("v IS NOT NULL").groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    # The range is written beside the rows, since a second deal need not be cut alike.
+    dealt = checkpointed(held.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("g", "part").agg(F.sum("c").alias("n"))
+    order = Window.partitionBy("g").orderBy("part")
+    sizes = checkpointed(sizes.select("g", "part", "n", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("g")).alias("total")))
+    at = F.explode(F.array(*(F.lit(float(q)) for q in qs))).alias("q")
+    asked = sizes.groupBy("g").agg(F.max("total").alias("total")).select("g", "total", at).withColumn("place", F.col("q") * (F.col("total") - 1))
+    asked = asked.select("g", "q", "place", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank"))
+    ranks = asked.join(sizes, "g").where("before <= rank AND rank < before + n").select("g", "part", "q", "place", "rank", "before")
+    inner = Window.partitionBy("part", "g").orderBy("v")
+    rows = dealt.withColumn("upto", F.sum("c").over(inner))
+    found = rows.join(ranks, ["g", "part"]).where((F.col("before") + F.col("upto") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("upto")))
+    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    return found.groupBy("g", "q").agg((low + (high - low) * (F.max("place") - F.floor(F.max("place")))).alias("value")).select(F.col("g").alias(group), "q", "value")
 
 
 def pearson_p(r: float, n: int) -> float | None:

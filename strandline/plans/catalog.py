@@ -371,6 +371,12 @@ def _(spark, sf):
     return spectra.jaccard(seqs(spark, sf), 7)
 
 
+@query("kmer_jaccard_14", _jaccard_sql(14), "jaccard")
+def _(spark, sf):
+    """Words too long for sets of bits."""
+    return spectra.jaccard(seqs(spark, sf), 14)
+
+
 @query("kmer_jaccard_k4", _jaccard_sql(4), "jaccard")
 def _(spark, sf):
     return spectra.jaccard(seqs(spark, sf), 4)
@@ -695,7 +701,8 @@ def _(spark, sf):
 
 @query("percentiles", "SELECT event_type, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.05) AS p5 FROM events GROUP BY event_type", "p10 p5")
 def _(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", 0.1).alias("p10"), F.percentile("value", 0.05).alias("p5"))
+    q = stats.exact_quantiles(table(spark, sf, "events"), "event_type", "value", [0.1, 0.05])
+    return q.groupBy("event_type").agg(F.max(F.when(F.col("q") == 0.1, F.col("value"))).alias("p10"), F.max(F.when(F.col("q") == 0.05, F.col("value"))).alias("p5"))
 
 
 @query("steps_and_ranks", "SELECT user_id, event_id, value - lag(value) OVER w AS step, CAST(row_number() OVER w AS INTEGER) - 1 AS replicate, value / (avg(value) OVER (PARTITION BY user_id) + 0.123) AS relative FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", "step relative")

@@ -71,7 +71,7 @@ def build(wins: DataFrame, cfg: Config) -> DataFrame:
 def hypothesis(feats: DataFrame, cfg: Config) -> DataFrame:
     """Paired statistics, permutation p-values and adjusted p-values by feature and control."""
     pairs = stats.paired(stats.long_form(feats, KEY), [k for k in KEY if k != "source"])
-    tested = stats.paired_stats(pairs).join(stats.permutation_tests(pairs, cfg.permutations, cfg.seed), ["feature", "control"])
+    tested = stats.paired_stats(pairs).join(stats.permutation_sums(pairs, cfg.permutations, cfg.seed), ["feature", "control"])
     return stats.benjamini_hochberg(tested, "paired_permutation_p", ["feature", "control"])
 
 
