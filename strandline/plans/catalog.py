@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import kernels as K
 from strandline.functions import symbols as S
-from strandline.operators import fractal, graphs, spectra, spectrum, stats, windows
+from strandline.operators import fractal, gram, graphs, spectra, spectrum, stats, wavelets, windows
 from strandline.operators import tiles as T
 from strandline.plans import battery, features
 from strandline.plans.config import Config
@@ -570,12 +570,50 @@ def _(spark, sf):
 
 @query("hankel_entropy")
 def _(spark, sf):
-    return windows.per_record(seqs(spark, sf), "name string, adaptive double, fixed double", lambda s: {"adaptive": K.hankel_entropy(s), "fixed": K.hankel_entropy(s, 256, 128, 8000, False)})
+    """Over an adaptive prefix and over the first 8,000 symbols, a window a row."""
+    d = seqs(spark, sf)
+    fixed = gram.trajectory_entropy(d, 256, 128, 8000, False).withColumnRenamed("hankel_entropy", "fixed")
+    return gram.trajectory_entropy(d).withColumnRenamed("hankel_entropy", "adaptive").join(fixed, "name")
+
+
+_GRAM = ("x AS (SELECT name, pos // 64 AS row, pos % 64 AS col, CAST(instr('ACGT', base) - 1 AS BIGINT) AS v, count(*) OVER (PARTITION BY name) // 64 AS rows FROM sym)", "y AS (SELECT * FROM x WHERE row < rows AND rows >= 8)",
+    "s AS (SELECT name, col, CAST(sum(v) AS DOUBLE) AS s, CAST(any_value(rows) AS DOUBLE) AS n FROM y GROUP BY ALL)", "g AS (SELECT a.name, a.col AS i, b.col AS j, CAST(sum(a.v * b.v) AS DOUBLE) AS g FROM y a JOIN y b USING (name, row) GROUP BY ALL)",
+    "c AS (SELECT g.name, i, j, g - p.s * q.s / p.n AS c FROM g JOIN s p ON p.name = g.name AND p.col = i JOIN s q ON q.name = g.name AND q.col = j)")
+
+
+@query("row_entropy", with_(SEQ, SYM, *_GRAM) + "SELECT seq.name, trace, squares FROM seq LEFT JOIN (SELECT name, sum(c) FILTER (i = j) AS trace, sum(c * c) / pow(any_value(t), 2) AS squares FROM c JOIN (SELECT name, sum(c) AS t FROM c WHERE i = j GROUP BY name) USING (name) GROUP BY name) USING (name)", "trace squares")
+def _(spark, sf):
+    """Sum of the eigenvalues of whole records' rows, and of their squares over its square."""
+    return gram.row_entropy(seqs(spark, sf)).select("name", "trace", (F.col("squares") / (F.col("trace") * F.col("trace"))).alias("squares"))
+
+
+@query("row_entropy_ratio")
+def _(spark, sf):
+    return gram.row_entropy(seqs(spark, sf)).select("name", "svd_entropy_ratio")
 
 
 @query("wavelet")
 def _(spark, sf):
-    return windows.per_record(seqs(spark, sf), "name string, dominant_scale_bp long, codon_scale_ratio double, helix_scale_ratio double, fixed_scale_bp long", lambda s: {**K.wavelet(s), "fixed_scale_bp": K.wavelet_old(s)})
+    d = seqs(spark, sf)
+    return wavelets.dominant(d).join(wavelets.dominant_old(d), "name")
+
+
+@query("wavelet_whole")
+def _(spark, sf):
+    """The same over whole records."""
+    return wavelets.dominant(seqs(spark, sf), whole=True)
+
+
+_WAVE = ("m AS (SELECT name, pos, v - avg(v) OVER (PARTITION BY name) AS x, count(*) OVER (PARTITION BY name) AS n FROM (SELECT name, pos, CASE WHEN base IN ('A', 'G') THEN 1.0 ELSE -1.0 END AS v FROM sym))",
+    "t AS (SELECT t, exp(-t * t / 18.0) / (pow(pi(), 0.25) * sqrt(3)) AS w, t / 3.0 AS u FROM (SELECT unnest(range(-12, 13)) AS t))", "c AS (SELECT m.name, m.pos - t.t AS place, any_value(m.n) AS n, sum(x * w * cos(6 * u)) AS re, sum(x * w * sin(6 * u)) AS im FROM m CROSS JOIN t GROUP BY ALL)")
+
+
+@query("wavelet_power", with_(SEQ, SYM, *_WAVE) + "SELECT name, sum(re * re + im * im) / any_value(n) AS power FROM c WHERE place >= 0 AND place < n GROUP BY name", "power")
+def _(spark, sf):
+    """Power a symbol at the width of three, over whole records."""
+    d = seqs(spark, sf).select("name", "sequence", F.length("sequence").alias("n"))
+    p = wavelets.powers(d, wavelets.PURINE, [3])
+    return p.join(d.select("name", "n"), "name").select("name", (F.col("power") / F.col("n")).alias("power"))
 
 
 @query("homology")
