@@ -35,6 +35,7 @@ def parse(argv=None) -> argparse.Namespace:
     p.add_argument("--out", default="out")
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--shared-rng", action="store_true", help="one generator for the windows of all records")
+    p.add_argument("--counter-draws", action="store_true", help="controls by keyed draws of places")
     p.add_argument("--window", type=int, default=200_000)
     p.add_argument("--windows-per-genome", type=int, default=8)
     p.add_argument("--min-window", type=int, default=1000)
@@ -124,7 +125,7 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
         battery.save_summary(table, str(out))
         sinks.write_csv(battery.pairwise(recs, a.jaccard_k), str(out / "pairs"))
         return 0
-    wins = windows.with_controls(windows.observed(recs, cfg.window, cfg.windows_per_genome, cfg.min_window, cfg.seed, cfg.shared_rng), cfg.controls, cfg.seed, cfg.block_size)
+    wins = windows.with_controls(windows.observed(recs, cfg.window, cfg.windows_per_genome, cfg.min_window, cfg.seed, cfg.shared_rng), cfg.controls, cfg.seed, cfg.block_size, a.counter_draws)
     feats = features.build(wins, cfg)
     sinks.write_csv(feats, str(out / "features"))
     feats = spark.read.csv(str(out / "features"), header=True, schema=feats.select(*sinks.ordered(feats).columns).schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from bisect import bisect
 from collections.abc import Iterator
@@ -128,6 +129,92 @@ def control(seq: str, kind: str, rng: random.Random, block: int = 500) -> str:
     raise ValueError(f"unknown control: {kind}")
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers that spreads every bit."""
+    h = h ^ (h >> np.uint32(16))
+    h = h * np.uint32(0x85EBCA6B)
+    h = h ^ (h >> np.uint32(13))
+    h = h * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
+def draws(places: np.ndarray, *parts: object) -> np.ndarray:
+    """A 32-bit number for each place, keyed by `parts`: any place's draw is known without those before it, and any
+    engine that has MD5 and whole numbers gets the same."""
+    key = np.uint32(int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16))
+    return _mix(_mix(places.astype(np.uint32)) + key)
+
+
+def _below(drawn: np.ndarray, total) -> np.ndarray:
+    """Numbers below `total` from 32-bit draws."""
+    return (drawn.astype(np.uint64) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
+
+
+def _chain(a: np.ndarray, order: int, drawn: np.ndarray) -> np.ndarray:
+    """A Markov surrogate of the codes `a`: the start word by its count plus one among the words that occur, each
+    step by the counts after its word plus one each. A place's draw turns every word into the next one, a map of
+    4^order words; chunks compose their maps side by side, their starts follow from the maps, and then all chunks
+    are filled at once: no step waits for more than a chunk's length."""
+    n, words = len(a), 4**order
+    w = np.zeros(n - order + 1, np.int64)
+    for j in range(order):
+        w = w * 4 + a[j : j + n - order + 1]
+    times = np.bincount(w, minlength=words)
+    times[times > 0] += 1
+    state = int(np.searchsorted(np.cumsum(times), _below(drawn[:1], times.sum())[0], "right"))
+    weight = np.cumsum(1 + np.bincount(w[:-1] * 4 + a[order:], minlength=words * 4).reshape(words, 4), axis=1).astype(np.uint64)
+    steps = drawn[order:].astype(np.uint64)
+    size = max(1, int(np.sqrt(len(steps))))
+    chunks = -(-len(steps) // size)
+    grid = np.zeros((chunks, size), np.uint64)
+    grid.ravel()[: len(steps)] = steps
+
+    def following(words_now: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = weight[words_now]
+        at = r * own[..., 3] >> np.uint64(32)
+        base = (at >= own[..., 0]).astype(np.int64) + (at >= own[..., 1]) + (at >= own[..., 2])
+        return words_now % (words // 4) * 4 + base, base
+
+    maps = np.broadcast_to(np.arange(words), (chunks, words))
+    for k in range(size):
+        maps, _ = following(maps, grid[:, k : k + 1])
+    start = np.empty(chunks, np.int64)
+    for c in range(chunks):
+        start[c], state = state, int(maps[c, state])
+    out, now = np.empty((chunks, size), np.int64), start
+    for k in range(size):
+        now, out[:, k] = following(now, grid[:, k])
+    first = [int(start[0]) // 4**j % 4 for j in reversed(range(order))] if chunks else [state // 4**j % 4 for j in reversed(range(order))]
+    return np.concatenate((first, out.ravel()[: len(steps)])).astype(np.int64)
+
+
+LETTERS = np.frombuffer(b"ACGT", np.uint8)
+
+
+def counter_control(seq: str, kind: str, block: int, *parts: object) -> str:
+    """A control by keyed draws of places. Surrogates are of the symbols A, C, G and T alone."""
+    n = len(seq)
+    match kind:
+        case "revcomp":
+            return seq.translate(str.maketrans("ACGTacgt", "TGCAtgca"))[::-1].upper()
+        case "shuffle":
+            raw = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
+            return raw[np.argsort(draws(np.arange(n), *parts, kind), kind="stable")].tobytes().decode("latin-1")
+        case "block_shuffle":
+            if n <= block:
+                return seq
+            order = np.argsort(draws(np.arange(-(-n // block)), *parts, kind), kind="stable")
+            return "".join(seq[b * block : (b + 1) * block] for b in order.tolist())
+        case _ if kind in ("markov0", "markov1", "markov2", "markov3"):
+            a, order = K.encode(seq).astype(np.int64), int(kind[-1])
+            drawn = draws(np.arange(len(a)), *parts, kind)
+            if order == 0 or len(a) <= order:
+                sums = np.cumsum(np.bincount(a, minlength=4))
+                return LETTERS[np.searchsorted(sums, _below(drawn, sums[-1]), "right")].tobytes().decode() if len(a) else ""
+            return LETTERS[_chain(a, order, drawn)].tobytes().decode()
+    raise ValueError(f"unknown control: {kind}")
+
+
 #: Controls beyond the built-in ones: name -> fn(sequence, rng).
 CUSTOM: dict = {}
 
@@ -143,9 +230,10 @@ def control_names(names) -> list[str]:
     return list(dict.fromkeys(n for n in out if n not in ("", "none", "observed")))
 
 
-def with_controls(windows: DataFrame, names=("shuffle", "markov1", "revcomp"), seed: int = 42, block: int = 500) -> DataFrame:
-    """Observed windows and their controls. One generator per window serves its controls in order.
-    Reverse complements alone stay in the JVM."""
+def with_controls(windows: DataFrame, names=("shuffle", "markov1", "revcomp"), seed: int = 42, block: int = 500, counter: bool = False) -> DataFrame:
+    """Observed windows and their controls. One generator per window serves its controls in order; with `counter`
+    every place of a control has a draw of its own, keyed by seed, window and kind, so that a control does not
+    depend on which others are made. Reverse complements alone stay in the JVM."""
     names = control_names(names)
     if not set(names) - {"revcomp"}:
         return windows.unionByName(windows.withColumns({"source": F.lit("revcomp"), "sequence": revcomp(F.col("sequence"))})) if names else windows
@@ -162,7 +250,7 @@ def with_controls(windows: DataFrame, names=("shuffle", "markov1", "revcomp"), s
             for r in pdf.itertuples(index=False):
                 rows.append(r)
                 rng = random.Random(stable_seed(seed, r.organism, r.replicate))
-                rows += [r._replace(source=n, sequence=make(r.sequence, n, rng)) for n in names]
+                rows += [r._replace(source=n, sequence=make(r.sequence, n, rng) if n in custom or not counter else counter_control(r.sequence, n, block, seed, r.organism, r.replicate)) for n in names]
             yield pd.DataFrame(rows, columns=pdf.columns)
 
     # `end` is no Python name trouble here, but column order is fixed for the tuples.

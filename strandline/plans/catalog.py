@@ -279,6 +279,46 @@ def _(spark, sf):
     return windows.even_windows(seqs(spark, sf), WIN, 8)
 
 
+def _mixed(start: str, table: str, name: str, keep: str) -> list[str]:
+    """CTEs that spread the bits of a 32-bit expression, ending in `name` with the column h."""
+    steps = [f"xor(h, h >> 16)", "CAST(CAST(h AS HUGEINT) * 2246822507 % 4294967296 AS BIGINT)", "xor(h, h >> 13)", "CAST(CAST(h AS HUGEINT) * 3266489909 % 4294967296 AS BIGINT)", "xor(h, h >> 16)"]
+    out = [f"{name}0 AS (SELECT {keep}, CAST(({start}) % 4294967296 AS BIGINT) AS h FROM {table})"]
+    out += [f"{name}{k + 1 if k < 4 else ''} AS {'MATERIALIZED ' if k == 4 else ''}(SELECT {keep}, {e} AS h FROM {name}{k})" for k, e in enumerate(steps)]
+    return out
+
+
+_PICK = "CASE WHEN {0} < {1}[1] THEN 'A' WHEN {0} < {1}[2] THEN 'C' WHEN {0} < {1}[3] THEN 'G' ELSE 'T' END"
+_AT = "(CAST({0} AS HUGEINT) * {1} >> 32)"
+_DRAWN = (SEQ, _EVEN.replace("ev AS (", "ev AS MATERIALIZED ("), *_mixed("pos", f"(SELECT unnest(range({WIN})) AS pos)", "pm", "pos"),
+    "ks AS (SELECT name, replicate, sequence, source, CAST('0x' || substr(md5('42|' || name || '|' || replicate || '|' || source), 1, 8) AS BIGINT) AS key FROM ev, (SELECT unnest(['shuffle', 'block_shuffle', 'markov0', 'markov1', 'markov2', 'markov3']) AS source))",
+    *_mixed("h + key", "(SELECT name, replicate, source, pos, h, key FROM ks JOIN pm ON pos < length(sequence))", "dr", "name, replicate, source, pos"),
+    "cn AS (SELECT name, replicate, [a, a + c, a + c + g, n] AS w FROM (SELECT name, replicate, length(sequence) AS n, " + ", ".join(f"length(sequence) - length(replace(sequence, '{b}', '')) AS {b.lower()}" for b in "ACG") + " FROM ev))",
+    # Words of each order: their counts, and what follows them.
+    "wd AS (SELECT name, replicate, k, substr(sequence, CAST(i AS BIGINT), k) AS word, substr(sequence, CAST(i AS BIGINT) + k, 1) AS base FROM (SELECT name, replicate, sequence, k, unnest(range(1, length(sequence) - k + 2)) AS i FROM ev, (SELECT unnest([1, 2, 3]) AS k) WHERE length(sequence) > k))",
+    "wc AS (SELECT name, replicate, k, word, count(*) + 1 AS times, [1 + count(*) FILTER (base = 'A'), 2 + count(*) FILTER (base IN ('A', 'C')), 3 + count(*) FILTER (base IN ('A', 'C', 'G')), 4 + count(*) FILTER (base <> '')] AS w FROM wd GROUP BY ALL)",
+    "sw AS (SELECT *, sum(times) OVER (PARTITION BY name, replicate, k ORDER BY word) AS upto, sum(times) OVER (PARTITION BY name, replicate, k) AS total FROM wc)",
+    f"st AS (SELECT sw.name, sw.replicate, sw.k, arg_min(word, upto) AS word FROM sw JOIN dr ON dr.name = sw.name AND dr.replicate = sw.replicate AND dr.source = 'markov' || sw.k AND dr.pos = 0 WHERE upto > {_AT.format('h', 'total')} GROUP BY ALL)",
+    "mp AS (SELECT name, replicate, k, map(list(word ORDER BY word), list(w ORDER BY word)) AS m FROM wc GROUP BY ALL)",
+    "dl AS (SELECT name, replicate, source, list(CAST(h AS VARCHAR) ORDER BY pos) AS l FROM dr GROUP BY ALL)",
+    f"""mk AS (SELECT st.name, st.replicate, dl.source, list_reduce(list_prepend(st.word, l[st.k + 1:]), lambda acc, x: acc || {_PICK.format(_AT.format('CAST(x AS BIGINT)', 'coalesce(m[right(acc, st.k)], [1, 2, 3, 4])[4]'), 'coalesce(m[right(acc, st.k)], [1, 2, 3, 4])')}) AS s
+        FROM st JOIN mp USING (name, replicate, k) JOIN dl ON dl.name = st.name AND dl.replicate = st.replicate AND dl.source = 'markov' || st.k)""")
+
+
+@query("control_symbols", with_(*_DRAWN) + f"""SELECT name AS organism, CAST(replicate AS INTEGER) AS replicate, source, sha256(s) AS sha256 FROM (
+  SELECT name, replicate, 'observed' AS source, sequence AS s FROM ev UNION ALL SELECT name, replicate, 'revcomp', translate(reverse(sequence), 'ACGT', 'TGCA') FROM ev
+  UNION ALL SELECT name, replicate, source, string_agg(substr(sequence, pos + 1, 1), '' ORDER BY h, pos) FROM dr JOIN ev USING (name, replicate) WHERE source = 'shuffle' GROUP BY ALL
+  UNION ALL SELECT name, replicate, source, string_agg(substr(sequence, pos * 500 + 1, 500), '' ORDER BY h, pos) FROM dr JOIN ev USING (name, replicate) WHERE source = 'block_shuffle' AND pos * 500 < length(sequence) AND length(sequence) > 500 GROUP BY ALL
+  UNION ALL SELECT name, replicate, 'block_shuffle', sequence FROM ev WHERE length(sequence) <= 500
+  UNION ALL SELECT name, replicate, source, string_agg({_PICK.format(_AT.format('h', 'w[4]'), 'w')}, '' ORDER BY pos) FROM dr JOIN cn USING (name, replicate) WHERE source = 'markov0' GROUP BY name, replicate, source
+  UNION ALL SELECT name, replicate, source, s FROM mk
+  UNION ALL SELECT name, replicate, source, string_agg({_PICK.format(_AT.format('h', 'w[4]'), 'w')}, '' ORDER BY pos) FROM dr JOIN cn USING (name, replicate) JOIN ev USING (name, replicate) WHERE source LIKE 'markov%' AND source <> 'markov0' AND length(sequence) <= CAST(right(source, 1) AS INTEGER) GROUP BY name, replicate, source)""")
+def _(spark, sf):
+    """Every symbol of every control of evenly spaced windows, by keyed draws of places."""
+    w = windows.even_windows(seqs(spark, sf), WIN, 8, ("name", "accession", "organism_type"))
+    w = w.select(F.col("name").alias("organism"), "accession", "organism_type", F.lit("observed").alias("source"), F.col("replicate").cast("int").alias("replicate"), "start", "end", "sequence")
+    return windows.with_controls(w, _KINDS[1:], counter=True).select("organism", "replicate", "source", F.sha2("sequence", 256).alias("sha256"))
+
+
 @query("skew_tiles", with_(SEQ) + "SELECT name, start // w AS tile, start, substr(sequence, start + 1, w) AS piece FROM (SELECT name, sequence, w, unnest(range(0, length(sequence) - w + 1, w)) AS start FROM (SELECT *, greatest(100, length(sequence) // 32) AS w FROM seq))")
 def _(spark, sf):
     return T.tiles(seqs(spark, sf), T.skew_size(F.length("sequence")), T.skew_size(F.length("sequence"))).withColumn("tile", F.col("tile").cast("long"))
