@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from strandline.functions import kernels as K
 from strandline.functions import profile
@@ -284,13 +286,31 @@ def mutual_information(df: DataFrame, lags: tuple[int, ...] = LAGS, keep: tuple[
     slots = F.flatten(F.transform(F.array(*map(F.lit, lags)), lambda lag: F.transform(F.filter(at, lambda b: b + lag < n), lambda b: F.struct(
         lag.alias("lag"), F.substring(raw, b + 1, F.least(F.lit(T.CHUNK), n - lag - b)).cast("string").alias("near"), F.substring(raw, b + lag + 1, F.lit(T.CHUNK)).cast("string").alias("far")))))
     both = df.where(F.length("sequence") >= 4).select(*keep, F.inline(slots))
-    pairs = both.select(*keep, "lag", F.explode(F.arrays_zip(F.split("near", "").alias("a"), F.split("far", "").alias("b"))).alias("z")).where("z.a <> ''")
-    rows = pairs.groupBy(*keep, "lag", F.col("z.a").alias("a"), F.col("z.b").alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
+
+    def joint(batches):
+        # Joint counts of a chunk at a lag in one step: a row for each pair of symbols that occurs.
+        for batch in batches:
+            rows, a, b, n = [], [], [], []
+            for r, (near, far) in enumerate(zip(batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep) + 2).to_pylist(), strict=True)):
+                x, y = (np.frombuffer(z.encode("latin-1", "replace"), np.uint8).astype(np.int64) for z in (near, far))
+                m = min(len(x), len(y))
+                found = np.bincount(x[:m] << 8 | y[:m], minlength=1)
+                k = np.flatnonzero(found)
+                rows.append(np.full(len(k), r))
+                a.append(k >> 8)
+                b.append(k & 255)
+                n.append(found[k])
+            if rows:
+                at, *columns = (np.concatenate(z).astype(np.int64) for z in (rows, a, b, n))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in range(len(keep) + 1)), *map(pa.array, columns)], [*batch.schema.names[: len(keep) + 1], "a", "b", "n"])
+
+    schema = ST.StructType([*both.select(*keep, "lag").schema.fields, *(ST.StructField(c, ST.LongType()) for c in "abn")])
+    rows = both.select(*keep, "lag", "near", "far").mapInArrow(joint, schema).groupBy(*keep, "lag", "a", "b").agg(F.sum("n").alias("cnt"))
     key = [*keep, "lag"]
     c = F.col("cnt").cast("double")
     n = F.sum(c).over(Window.partitionBy(*key))
-    pa, pb = F.sum(c).over(Window.partitionBy(*key, "a")), F.sum(c).over(Window.partitionBy(*key, "b"))
-    return rows.select(*key, (c / n * F.log2(c * n / (pa * pb))).alias("t")).groupBy(*key).agg(F.sum("t").alias("mi"))
+    of_a, of_b = F.sum(c).over(Window.partitionBy(*key, "a")), F.sum(c).over(Window.partitionBy(*key, "b"))
+    return rows.select(*key, (c / n * F.log2(c * n / (of_a * of_b))).alias("t")).groupBy(*key).agg(F.sum("t").alias("mi"))
 
 
 def dependency_summary(mi: DataFrame, keep: tuple[str, ...] = ("name",)) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import kernels as K
 from strandline.functions import symbols as S
-from strandline.operators import fractal, gram, graphs, spectra, spectrum, stats, wavelets, windows
+from strandline.operators import fractal, gram, graphs, sketches, spectra, spectrum, stats, wavelets, windows
 from strandline.operators import tiles as T
 from strandline.plans import battery, features
 from strandline.plans.config import Config
@@ -576,6 +576,32 @@ def _(spark, sf):
     return windows.kernel_features(seqs(spark, sf), list(windows.GROUPS), Config(), ["name"])
 
 
+def _sketch_sql() -> tuple[str, ...]:
+    """Slots and signs go into the SQL as values: the stable hash is none of its functions."""
+    rows = ", ".join(f"({k}, '{w}', {slot}, {sign})" for k in sketches.KS for w, slot, sign in sketches.words(k, 512, 101 + k))
+    each = " UNION ALL ".join(f"SELECT *, {k} AS k FROM ({kmer_sql(k, 'gb', 'name, block')})" for k in sketches.KS)
+    return (
+        SEQ, f"wt AS (SELECT * FROM (VALUES {rows}) AS v(k, kmer, slot, sign))",
+        "b AS (SELECT name, sequence, n, w, list_filter(list_transform(range(0, n, w), lambda s: substr(sequence, s + 1, w)), lambda p: length(p) >= 32) AS cut FROM (SELECT *, length(sequence) AS n, greatest(64, length(sequence) // 4) AS w FROM seq WHERE length(sequence) >= 96))",
+        "c AS (SELECT name, CASE WHEN len(cut) < 2 THEN [substr(sequence, 1, n // 2), substr(sequence, n // 2 + 1, n)] ELSE cut END AS l FROM b)", "gb AS (SELECT name, unnest(range(len(l))) AS block, unnest(l) AS sequence FROM c)",
+        f"u AS (SELECT name, block, k, slot, sum(sign)::DOUBLE AS v FROM ({each}) JOIN wt USING (k, kmer) GROUP BY ALL HAVING sum(sign) <> 0)", "u1 AS (SELECT name, block, k, slot, v / sqrt(sum(v * v) OVER (PARTITION BY name, block, k)) AS v FROM u)",
+        "x AS MATERIALIZED (SELECT name, block, k, slot, v / sqrt(sum(v * v) OVER (PARTITION BY name, block)) AS v FROM u1)", "nb AS (SELECT name, len(l) AS n FROM c)", "ms AS (SELECT x.name, k, slot, sum(v) / any_value(n) AS m FROM x JOIN nb USING (name) GROUP BY ALL)",
+        "ce AS (SELECT name, sqrt(sum(m * m)) AS norm, -sum(m * m / t * log2(m * m / t)) / 11 AS e FROM (SELECT *, sum(m * m) OVER (PARTITION BY name) AS t FROM ms WHERE m <> 0) GROUP BY name)",
+        # Distances slot by slot, with zeros written out.
+        "fr AS (SELECT name, avg(d) AS far FROM (SELECT g.name, g.block, sqrt(sum(pow(coalesce(v, 0) - m, 2))) AS d FROM (SELECT name, block FROM gb) g JOIN ms ON ms.name = g.name LEFT JOIN x ON x.name = g.name AND x.block = g.block AND x.k = ms.k AND x.slot = ms.slot GROUP BY ALL) GROUP BY name)",
+        "dr AS (SELECT name, avg(d) AS drift, stddev_pop(d) AS sd FROM (SELECT g.name, g.block, sqrt(sum(pow(coalesce(p.v, 0) - coalesce(q.v, 0), 2))) AS d FROM (SELECT name, block FROM gb WHERE block > 0) g JOIN ms ON ms.name = g.name LEFT JOIN x p ON p.name = g.name AND p.block = g.block AND p.k = ms.k AND p.slot = ms.slot LEFT JOIN x q ON q.name = g.name AND q.block = g.block - 1 AND q.k = ms.k AND q.slot = ms.slot GROUP BY ALL) GROUP BY name)",
+    )
+
+
+_GRAMMAR = "grammar_embedding_norm grammar_embedding_entropy grammar_block_drift_mean grammar_block_drift_sd grammar_centroid_distance grammar_block_count"
+
+
+@query("grammar_figures", with_(*_sketch_sql()) + "SELECT seq.name, norm AS grammar_embedding_norm, e AS grammar_embedding_entropy, drift AS grammar_block_drift_mean, sd AS grammar_block_drift_sd, far AS grammar_centroid_distance, n::DOUBLE AS grammar_block_count FROM seq LEFT JOIN nb USING (name) LEFT JOIN ce USING (name) LEFT JOIN fr USING (name) LEFT JOIN dr USING (name)", _GRAMMAR)
+def _(spark, sf):
+    """Word sketches of whole records' blocks, by joins."""
+    return sketches.grammar(seqs(spark, sf))
+
+
 @query("prefix_spectrum")
 def _(spark, sf):
     return windows.per_record(seqs(spark, sf), "name string, dominant_freq double, amplitude_ratio double, codon_power_ratio double", K.prefix_spectrum)
