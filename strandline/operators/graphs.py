@@ -83,6 +83,23 @@ def pagerank_frame(e: DataFrame, damping: float = 0.85, rounds: int = 20) -> Dat
     return ranks.select("node", "rank")
 
 
+def weak_components(e: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of a graph whose edges count both ways, by large and small stars: every
+    node hands its neighbours on to the smallest of them, until a round changes nothing."""
+    edges = saved(e.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    mark = before = None
+    while mark is None or mark != before:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = saved(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        lower = saved(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = saved(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
+        told = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        before, mark = mark, (told.n, told.h)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+
+
 def _least_reaching(nodes: DataFrame, e: DataFrame) -> DataFrame:
     """node, colour: the smallest node from which each node is reached. Only what became smaller is handed on."""
     colours = saved(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")))

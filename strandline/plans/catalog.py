@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import kernels as K
 from strandline.functions import symbols as S
-from strandline.operators import fractal, gram, graphs, sketches, spectra, spectrum, stats, wavelets, windows
+from strandline.operators import fractal, gram, graphs, near, sketches, spectra, spectrum, stats, wavelets, windows
 from strandline.operators import tiles as T
 from strandline.plans import battery, features
 from strandline.plans.config import Config
@@ -238,19 +238,26 @@ def _(spark, sf):
     return windows.with_controls(_windows(spark, sf), ("shuffle", "markov0", "markov1", "markov2", "markov3", "block-shuffle", "revcomp"))
 
 
-_INV = f"SELECT name, CASE WHEN length(sequence) <= {WIN} THEN sequence ELSE substr(sequence, 1, {WIN}) END AS s FROM seq"
+def _even(spark, sf) -> DataFrame:
+    """Evenly spaced windows of records, whose places SQL can tell."""
+    w = windows.even_windows(seqs(spark, sf), WIN, 8, ("name", "accession", "organism_type"))
+    return w.select(F.col("name").alias("organism"), "accession", "organism_type", F.lit("observed").alias("source"), F.col("replicate").cast("int").alias("replicate"), "start", "end", "sequence")
+
+
+_EVEN = f"""ev AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY start) - 1 AS replicate, start, least(start + {WIN}, length(sequence)) AS "end", substr(sequence, start + 1, {WIN}) AS sequence
+  FROM (SELECT DISTINCT name, sequence, CAST(floor(i * greatest(length(sequence) - {WIN}, 0) / 7.0) AS BIGINT) AS start FROM seq, (SELECT unnest(range(8)) AS i)))"""
 
 
-@query("control_composition", with_(SEQ) + f"SELECT name AS organism, source, {', '.join(f'length(s) - length(replace(s, {chr(39)}{b}{chr(39)}, {chr(39)}{chr(39)})) AS {b.lower()}' for b in 'ACGT')} FROM ({_INV}), (SELECT unnest(['observed', 'shuffle', 'block_shuffle']) AS source)")
+@query("control_composition", with_(SEQ, _EVEN) + f"SELECT name AS organism, CAST(replicate AS INTEGER) AS replicate, source, {', '.join(f'length(sequence) - length(replace(sequence, {chr(39)}{b}{chr(39)}, {chr(39)}{chr(39)})) AS {b.lower()}' for b in 'ACGT')} FROM ev, (SELECT unnest(['observed', 'shuffle', 'block_shuffle']) AS source)")
 def _(spark, sf):
-    w = windows.with_controls(windows.observed(seqs(spark, sf), WIN, 8, 100).where("replicate = 0"), ("shuffle", "block_shuffle"))
-    return w.select("organism", "source", *(S.count_of(F.col("sequence"), b).alias(b.lower()) for b in "ACGT"))
+    w = windows.with_controls(_even(spark, sf), ("shuffle", "block_shuffle"))
+    return w.select("organism", "replicate", "source", *(S.count_of(F.col("sequence"), b).alias(b.lower()) for b in "ACGT"))
 
 
-@query("control_lengths", with_(SEQ) + f"SELECT name AS organism, source, length(s) AS n, 0 AS n_odd FROM ({_INV}), (SELECT unnest(['observed', 'markov0', 'markov1', 'markov2', 'markov3']) AS source)")
+@query("control_lengths", with_(SEQ, _EVEN) + "SELECT name AS organism, CAST(replicate AS INTEGER) AS replicate, source, length(sequence) AS n, 0 AS n_odd FROM ev, (SELECT unnest(['observed', 'markov0', 'markov1', 'markov2', 'markov3']) AS source)")
 def _(spark, sf):
-    w = windows.with_controls(windows.observed(seqs(spark, sf), WIN, 8, 100).where("replicate = 0"), ("markov0", "markov1", "markov2", "markov3"))
-    return w.select("organism", "source", F.length("sequence").cast("long").alias("n"), F.length(F.regexp_replace("sequence", "[ACGT]", "")).alias("n_odd"))
+    w = windows.with_controls(_even(spark, sf), ("markov0", "markov1", "markov2", "markov3"))
+    return w.select("organism", "replicate", "source", F.length("sequence").cast("long").alias("n"), F.length(F.regexp_replace("sequence", "[ACGT]", "")).alias("n_odd"))
 
 
 _KINDS = ("observed", "shuffle", "block_shuffle", "markov0", "markov1", "markov2", "markov3", "revcomp")
@@ -270,10 +277,6 @@ def _(spark, sf):
     return marked.groupBy("organism", "source").agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.col("n").cast("long")).alias("n_symbols"), F.sum("unlike").alias("n_unlike"))
 
 
-_EVEN = f"""ev AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY start) - 1 AS replicate, start, least(start + {WIN}, length(sequence)) AS "end", substr(sequence, start + 1, {WIN}) AS sequence
-  FROM (SELECT DISTINCT name, sequence, CAST(floor(i * greatest(length(sequence) - {WIN}, 0) / 7.0) AS BIGINT) AS start FROM seq, (SELECT unnest(range(8)) AS i)))"""
-
-
 @query("even_windows", with_(SEQ, _EVEN) + 'SELECT name, CAST(replicate AS INTEGER) AS replicate, start, "end", sequence FROM ev')
 def _(spark, sf):
     return windows.even_windows(seqs(spark, sf), WIN, 8)
@@ -314,9 +317,7 @@ _DRAWN = (SEQ, _EVEN.replace("ev AS (", "ev AS MATERIALIZED ("), *_mixed("pos",
   UNION ALL SELECT name, replicate, source, string_agg({_PICK.format(_AT.format('h', 'w[4]'), 'w')}, '' ORDER BY pos) FROM dr JOIN cn USING (name, replicate) JOIN ev USING (name, replicate) WHERE source LIKE 'markov%' AND source <> 'markov0' AND length(sequence) <= CAST(right(source, 1) AS INTEGER) GROUP BY name, replicate, source)""")
 def _(spark, sf):
     """Every symbol of every control of evenly spaced windows, by keyed draws of places."""
-    w = windows.even_windows(seqs(spark, sf), WIN, 8, ("name", "accession", "organism_type"))
-    w = w.select(F.col("name").alias("organism"), "accession", "organism_type", F.lit("observed").alias("source"), F.col("replicate").cast("int").alias("replicate"), "start", "end", "sequence")
-    return windows.with_controls(w, _KINDS[1:], counter=True).select("organism", "replicate", "source", F.sha2("sequence", 256).alias("sha256"))
+    return windows.with_controls(_even(spark, sf), _KINDS[1:], counter=True).select("organism", "replicate", "source", F.sha2("sequence", 256).alias("sha256"))
 
 
 @query("skew_tiles", with_(SEQ) + "SELECT name, start // w AS tile, start, substr(sequence, start + 1, w) AS piece FROM (SELECT name, sequence, w, unnest(range(0, length(sequence) - w + 1, w)) AS start FROM (SELECT *, greatest(100, length(sequence) // 32) AS w FROM seq))")
@@ -691,6 +692,25 @@ def _(spark, sf):
     return windows.per_record(seqs(spark, sf), "name string, betti_0 long, betti_1 long, method string, coarse_betti_0 long", both)
 
 
+_NEAR = ("sm AS (SELECT name, i, CAST(round_even(i * (length(sequence) - 1) / 399.0, 0) AS BIGINT) AS pos FROM seq, (SELECT unnest(range(400)) AS i))", "pt AS MATERIALIZED (SELECT sm.name, i, x, y FROM sm JOIN wk USING (name, pos))",
+    "pd AS MATERIALIZED (SELECT p.name, p.i AS a, q.i AS b, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS d FROM pt p JOIN pt q ON p.name = q.name AND p.i <> q.i)", "ep AS (SELECT name, quantile_cont(d, 0.1) AS eps FROM pd WHERE d > 0 GROUP BY name)")
+
+
+@query("near_points", with_(SEQ, SYM, _WALK.format("'A', 'T'", "sym"), *_NEAR) + "SELECT seq.name, any_value(eps) AS epsilon, count(*) FILTER (a < b AND d > 0 AND d < eps) AS edges FROM seq LEFT JOIN pd USING (name) LEFT JOIN ep USING (name) GROUP BY seq.name", "epsilon")
+def _(spark, sf):
+    """Near points of sampled walks by a grid."""
+    d = seqs(spark, sf)
+    at = graphs.saved(near.sampled(d))
+    eps = near.epsilon(at)
+    pairs = near.near_pairs(at, eps).groupBy("name").agg(F.count(F.lit(1)).alias("edges"))
+    return d.select("name").join(eps.withColumnRenamed("eps", "epsilon"), "name", "left").join(pairs, "name", "left").select("name", "epsilon", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+@query("near_components")
+def _(spark, sf):
+    return near.homology(seqs(spark, sf))
+
+
 @query("multifractal")
 def _(spark, sf):
     def both(s):
