@@ -111,14 +111,20 @@ def _catalog_sql() -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{a}', {t}, '{S.NAMED_TYPES[n]}')" for n, (a, t) in rows.items()) + ") AS v(name, accession, tier, organism_type)"
 
 
-@query("accession_catalog", _catalog_sql())
+@query("accession_catalog", f"WITH c AS (SELECT *, row_number() OVER (ORDER BY tier, name) AS place FROM ({_catalog_sql()})), d AS (SELECT source, count(*) AS documents, row_number() OVER (ORDER BY source) AS place FROM documents GROUP BY source) SELECT source, documents, name, accession, tier, organism_type FROM d JOIN c USING (place)")
 def _(spark, sf):
-    return records.catalog(spark, "mega")
+    """The sources of the documents, in order, beside the catalogue's entries in order."""
+    c = records.catalog(spark, "mega").withColumn("place", F.row_number().over(Window.orderBy("tier", "name")))
+    d = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents")).withColumn("place", F.row_number().over(Window.orderBy("source")))
+    return d.join(F.broadcast(c), "place").select("source", "documents", "name", "accession", "tier", "organism_type")  # the catalogue has 47 rows
 
 
-@query("all_kmers", "SELECT CAST(a.i * 64 + b.i * 16 + c.i * 4 + d.i AS BIGINT) AS code, substr('ACGT', a.i + 1, 1) || substr('ACGT', b.i + 1, 1) || substr('ACGT', c.i + 1, 1) || substr('ACGT', d.i + 1, 1) AS kmer FROM (SELECT unnest(range(4)) AS i) a, (SELECT unnest(range(4)) AS i) b, (SELECT unnest(range(4)) AS i) c, (SELECT unnest(range(4)) AS i) d")
+@query("all_kmers", with_(SEQ) + f"SELECT CAST(a.i * 64 + b.i * 16 + c.i * 4 + d.i AS BIGINT) AS code, substr('ACGT', a.i + 1, 1) || substr('ACGT', b.i + 1, 1) || substr('ACGT', c.i + 1, 1) || substr('ACGT', d.i + 1, 1) AS kmer, coalesce(n, 0) AS records FROM (SELECT unnest(range(4)) AS i) a, (SELECT unnest(range(4)) AS i) b, (SELECT unnest(range(4)) AS i) c, (SELECT unnest(range(4)) AS i) d LEFT JOIN (SELECT kmer AS w, count(DISTINCT name) AS n FROM ({kmer_sql(4)}) GROUP BY kmer) ON w = substr('ACGT', a.i + 1, 1) || substr('ACGT', b.i + 1, 1) || substr('ACGT', c.i + 1, 1) || substr('ACGT', d.i + 1, 1)")
 def _(spark, sf):
-    return spark.range(256).select(F.col("id").alias("code"), S.code_to_kmer(F.col("id"), 4).alias("kmer"))
+    """All words of four by their code, and how many records have each."""
+    words = spark.range(256).select(F.col("id").alias("code"), S.code_to_kmer(F.col("id"), 4).alias("kmer"))
+    n = T.kmer_counts(seqs(spark, sf), 4).groupBy("kmer").agg(F.count(F.lit(1)).alias("records"))
+    return words.join(n, "kmer", "left").select("code", "kmer", F.coalesce("records", F.lit(0)).alias("records"))
 
 
 @query("adaptive_prefix", with_(SEQ) + "SELECT name, least(200000, length(sequence) // 10) AS prefix_length, sha256(substr(sequence, 1, least(200000, length(sequence) // 10))) AS prefix_sha FROM seq")
@@ -217,11 +223,17 @@ def _(spark, sf):
     return sinks.to_json_rows(e.select("event_id", "event_type", "user_id", F.nullif(F.col("event_id") % 3, F.lit(0)).alias("whole")))
 
 
-@query("toy_graph", "SELECT CAST(16 AS BIGINT) AS nodes, CAST(64 AS BIGINT) AS edges, CAST(105000 AS BIGINT) AS symbols, CAST(12 AS BIGINT) AS n")
+_TOY_SQL = "toy AS (SELECT name, repeat(unit, times) AS sequence FROM (VALUES " + ", ".join(f"('{n}', '{u}', {t})" for n, u, t in records.TOY) + f") AS v(name, unit, times)), te AS (SELECT DISTINCT kmer FROM ({kmer_sql(3, 'toy')}))"
+
+
+@query("toy_graph", with_(SEQ, _TOY_SQL) + f"SELECT (SELECT count(*) FROM (SELECT substr(kmer, 1, 2) FROM te UNION SELECT substr(kmer, 2, 2) FROM te)) AS nodes, (SELECT count(*) FROM te) AS edges, (SELECT CAST(sum(length(sequence)) AS BIGINT) FROM toy) AS symbols, (SELECT count(*) FROM toy) AS n, name AS record, count(*) FILTER (kmer IN (SELECT kmer FROM te)) AS shared FROM (SELECT DISTINCT name, kmer FROM ({kmer_sql(3)})) GROUP BY name")
 def _(spark, sf):
-    """The toy corpus and its graph of words of three, of known size."""
+    """The toy corpus and its graph of words of three, and how many of its edges each record has."""
     toy = records.toy(spark)
-    return graphs.stats(graphs.edges(toy, 3), 3).select("nodes", "edges").crossJoin(toy.agg(F.sum(F.length("sequence")).alias("symbols"), F.count(F.lit(1)).alias("n")))
+    own = graphs.edges(toy, 3)
+    sizes = graphs.stats(own, 3).select("nodes", "edges").crossJoin(toy.agg(F.sum(F.length("sequence")).alias("symbols"), F.count(F.lit(1)).alias("n")))
+    e = graphs.edges(seqs(spark, sf), 3, ("name",)).join(F.broadcast(own.select("src", "dst", F.lit(1).alias("own"))), ["src", "dst"], "left")  # 64 edges at most
+    return e.groupBy(F.col("name").alias("record")).agg(F.count("own").alias("shared")).crossJoin(F.broadcast(sizes))  # one row
 
 
 # --- windows, tiles, controls ---------------------------------------------------------------------------
