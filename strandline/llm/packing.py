@@ -13,7 +13,8 @@ An empty table gives an empty table. Extra columns, whatever their names, are ig
 not be named like one of the result's.
 
 Without prompts every token bears loss, so the loss limit binds only where it is set below `seq_len`, and
-two of the three demands are in effect in a packing of plain documents.
+two of the three demands are in effect in a packing of plain documents. `replies` makes examples of
+conversations, whose prompts carry no loss: there all three are.
 """
 
 from __future__ import annotations
@@ -167,6 +168,17 @@ def pack(
     return df.select(*cols).mapInArrow(work, f"`{key}` {kind}, {PIECE}" + ", ids array<int>" * with_ids)
 
 
+def replies(turns: DataFrame) -> DataFrame:
+    """key (conversation and turn), prompt and text of every assistant's turn of (conv_id, turn, role, text): the
+    prompt is the turn before it, empty at a conversation's begin. Turns are joined by both columns, so that a long
+    conversation is no hot key; of repeated turns before, the smallest text counts, and repeated replies stay each.
+    Rows without a conversation or turn have no turn before them."""
+    before = turns.groupBy(F.col("conv_id").alias("_c"), (F.col("turn") + 1).alias("_t")).agg(F.min("text").alias("prompt"))
+    own = turns.where("role = 'assistant'").select("conv_id", "turn", "text")
+    joined = own.join(before, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
+    return joined.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "prompt", "text")
+
+
 def _typed(batch: pa.RecordBatch, kind: str) -> pa.RecordBatch:
     want = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, batch.column(0).type)
     return pa.RecordBatch.from_arrays([batch.column(0).cast(want), *batch.columns[1:]], batch.schema.names)

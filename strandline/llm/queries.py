@@ -60,6 +60,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.public_path("word_bpe_49k.json"))
 
 
+def packed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing of operator 10 for instruction data: assistants' turns behind the turn before, under limits on
+    tokens, segments and loss-bearing tokens that all bind."""
+    examples = packing.replies(table(spark, sf_dir, "conversations"))
+    return packing.pack(examples, bpe.public_path("word_bpe_49k.json"), key="key", prompt="prompt", seq_len=2048, max_segments=8, max_loss=1536)
+
+
 def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
@@ -79,6 +86,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "packed_replies": packed_replies,
     "op11_language": op11_language,
     "op12_vector_codes": op12_vector_codes,
     "pipeline": corpus_pipeline.run,
