@@ -35,7 +35,7 @@ def _mapped(rows: DataFrame, keep: tuple[str, ...], steps: dict[str, tuple[int,
     tables = {n: _table(s) for n, s in steps.items()}
     out = ST.StructType([*(rows.schema[k] for k in keep), *ST._parse_datatype_string(schema).fields])
     types = [f.dataType for f in out.fields[len(keep) :]]
-    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
 
     def run(batches):
         for batch in batches:
@@ -71,21 +71,58 @@ def walk(df: DataFrame, steps: dict[str, tuple[int, ...]], keep: tuple[str, ...]
     return _mapped(walk_chunks(df, steps, keep), keep, steps, schema, lambda base, walks, _: [np.arange(base, base + len(walks[0])), *walks])
 
 
-def _cells(df: DataFrame, steps: dict[str, tuple[int, ...]], keep: tuple[str, ...], shifted: bool) -> DataFrame:
-    """keep..., last, bx, by: distinct boxes of 2^3 that the walk of two steps meets, for sequences whose `last`
-    exceeds 3. Boxes begin at the walk's least values, or are cut towards zero."""
+def _box_counts(df: DataFrame, steps: dict[str, tuple[int, ...]], keep: tuple[str, ...], shifted: bool) -> DataFrame:
+    """keep..., e, n: boxes of 2^e that the walk of two steps meets, for 3 <= e < `last`, a column of `df`. Boxes begin at
+    the walk's least values, or are cut towards zero.
+
+    A chunk packs its boxes of 2^3 by tiles of 64 x 64: two bytes a box and one row a tile. Boxes of up to 2^9 lie in one
+    tile, whose lists are united and halved in place; only larger ones are told apart by rows, as tiles are."""
     x, y = steps
 
-    def work(base, walks, row):
+    def packed(base, walks, row):
         if shifted:
             cut = [(w - row(f"{n}_low")) // 8 for n, w in zip(steps, walks, strict=True)]
         else:
-            cut = [np.sign(w) * (np.abs(w) // 8) for w in walks]
+            cut = [_towards_zero(w, 8) for w in walks]
         both = np.unique(np.stack(cut), axis=1)
-        return list(both)
-
-    rows = walk_chunks(df.where("last > 3"), steps, (*keep, "last"))
-    return _mapped(rows, (*keep, "last"), steps, "bx long, by long", work).distinct()
+        tile = _towards_zero(both, 64)
+        inner = both - 64 * tile + 63
+        order = np.lexsort((tile[1], tile[0]))
+        tile, code = tile[:, order], (inner[0] * 128 + inner[1])[order].astype(np.uint16)
+        first = np.flatnonzero(np.append(True, (tile[:, 1:] != tile[:, :-1]).any(0)))
+        return [tile[0, first], tile[1, first], [code[i:j].tobytes() for i, j in zip(first, [*first[1:], len(code)], strict=True)]]
+
+    rows = walk_chunks(df, steps, (*keep, "last"))
+    tiles = _mapped(rows, (*keep, "last"), steps, "tx long, ty long, boxes binary", packed)
+    tiles = tiles.groupBy(*keep, "last", "tx", "ty").agg(F.collect_list("boxes").alias("boxes"))
+    at = len(keep)
+    out = ST.StructType([*(tiles.schema[k] for k in keep), *ST._parse_datatype_string("e int, bx long, by long, n long").fields])
+
+    def halved(batches):
+        for batch in batches:
+            which, found = [], []
+            for r, (last, tx, ty, lists) in enumerate(zip(*(batch.column(at + c).to_pylist() for c in range(4)), strict=True)):
+                code = np.unique(np.frombuffer(b"".join(lists), np.uint16)).astype(np.int64)
+                bx, by = code // 128 - 63 + 64 * tx, code % 128 - 63 + 64 * ty
+                for e in range(3, last):
+                    if e <= 9:
+                        # Boxes of a tile stay in it; their pair is one number.
+                        n = len(np.unique(_towards_zero(bx, 1 << e - 3) * (1 << 32) + _towards_zero(by, 1 << e - 3)))
+                        found.append((e, 0, 0, n))
+                    else:
+                        found.append((e, *(int(_towards_zero(np.int64(t), 1 << e - 9)) for t in (tx, ty)), 1))
+                which += [r] * (last - 3)
+            if which:
+                columns = zip(*found, strict=True)
+                own = pa.array(which)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in range(at)), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], out.names)
+
+    sums = tiles.mapInArrow(halved, out).groupBy(*keep, "e", "bx", "by").agg(F.sum("n").alias("n"))
+    return sums.groupBy(*keep, "e").agg(F.when(F.col("e") <= 9, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
+
+
+def _towards_zero(v: np.ndarray, by: int) -> np.ndarray:
+    return np.sign(v) * (np.abs(v) // by)
 
 
 def _slope(boxes: DataFrame, keep, least: int, at_least: int) -> DataFrame:
@@ -94,19 +131,11 @@ def _slope(boxes: DataFrame, keep, least: int, at_least: int) -> DataFrame:
     return ok.groupBy(*keep).agg(F.when(F.count(F.lit(1)) >= least, F.regr_slope(F.log(F.col("n").cast("double")), x)).alias("dim"))
 
 
-def _halved(smallest: DataFrame, keep) -> DataFrame:
-    """keep..., e, bx, by: the cells of boxes of 2^3 (distinct: last, bx, by) and of all sizes below 2^last.
-    Cells of a size come from the distinct ones of 2^3, not from places, so few rows are exploded."""
-    size = F.pow(F.lit(2.0), F.col("e") - 3)
-    cut = lambda c: (F.col(c) / size).cast("long").alias(c)  # noqa: E731  towards zero, as the cells themselves
-    return smallest.withColumn("e", F.explode(F.sequence(F.lit(3), F.col("last") - 1))).select(*keep, "e", cut("bx"), cut("by")).distinct()
-
-
 def box_dimension(df: DataFrame, keep: tuple[str, ...] = ("name",)) -> DataFrame:
     """Box-counting dimension of the purine and strong/weak walk; NULL below 500 symbols."""
     last = F.greatest(F.lit(4), F.floor(F.log2(F.length("sequence").cast("double"))).cast("int") - 2)
     d = df.where(F.length("sequence") >= 500).withColumn("last", last).where("last >= 6")
-    n = _halved(_cells(d, {"x": PURINE, "y": KETO}, keep, True), keep).groupBy(*keep, "e").agg(F.count(F.lit(1)).alias("n"))
+    n = _box_counts(d, {"x": PURINE, "y": KETO}, keep, True)
     return df.select(*keep).join(_slope(n, keep, 3, 2).withColumnRenamed("dim", "chaos_walk_box_dim_proxy"), list(keep), "left")
 
 
@@ -116,8 +145,7 @@ def walk_dimension(df: DataFrame, most: int = 200_000, whole: bool = False) -> D
     p = df.where(F.length("sequence") >= 500)
     p = p if whole else p.withColumn("sequence", F.substring(F.col("sequence"), F.lit(1), adaptive_length(F.col("sequence"), most)))
     p = p.withColumn("last", F.floor(F.log2(F.length("sequence").cast("double"))).cast("int") - 2)
-    cells = _halved(_cells(p, {"x": PURINE, "y": WEAK}, ("name",), False), ("name",))
-    got = _slope(cells.groupBy("name", "e").agg(F.count(F.lit(1)).alias("n")), ("name",), 1, 1)
+    got = _slope(_box_counts(p.where("last > 3"), {"x": PURINE, "y": WEAK}, ("name",), False), ("name",), 1, 1)
     return df.select("name").join(got.select("name", F.round("dim", 4).alias("fractal_dim")), "name", "left")
 
 

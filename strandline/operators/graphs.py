@@ -43,6 +43,7 @@ def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 100, tol: float
     """node, rank, by joins and sums. Stops once a round moves the ranks by less than `tol` a node in all, which
     is looked at where ranks are written: every fifth round, or every round in a graph with nodes without a way
     out, whose rank all nodes share."""
+    e = saved(e.select("src", "dst", "weight"))  # words are counted once
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     nodes = saved(nodes.join(e.select(F.col("src").alias("node"), F.lit(False).alias("sink")).distinct(), "node", "left").select("node", F.coalesce("sink", F.lit(True)).alias("sink")))
     told = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_if("sink").alias("sinks")).first()
@@ -130,8 +131,9 @@ def strong_components(e: DataFrame) -> DataFrame:
     colours; the rest begins anew. All steps are joins of edge and node tables; rounds follow the longest of the
     shortest ways. Self-loops change nothing."""
     out = None
+    e = saved(e.select("src", "dst").distinct())
     nodes = saved(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    e = saved(e.where("src <> dst").select("src", "dst").distinct())
+    e = saved(e.where("src <> dst"))
 
     def settled(part: DataFrame) -> DataFrame:
         return part if out is None else out.unionByName(part)
@@ -273,8 +275,9 @@ def betweenness(e: DataFrame, sources: int = 1024) -> DataFrame:
     first, with the number of shortest paths to them. Shares are then pushed back from the farthest level. A
     block has a row for each source and node that it reaches; with every source in turn the work is that of
     nodes times edges, and the blocks bound what is held at once."""
+    e = saved(e.select("src", "dst").distinct())
     nodes = saved(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    e = saved(e.where("src <> dst").select("src", "dst").distinct())
+    e = saved(e.where("src <> dst"))
     n = nodes.count()
     blocks = max(1, -(-n // sources))
     total = None
