@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import tiles as T
-from strandline.sources.shared import checkpointed, saved
+from strandline.sources.shared import saved
 
 
 def edges(df: DataFrame, k: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,20 +68,9 @@ def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 100, tol: float
 
 
 def pagerank_frame(e: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """The same by a fixed number of joins and sums, for graphs that do not fit the driver. Every round
-    is a checkpoint, since it reads the last one twice."""
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    nodes = nodes.crossJoin(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("n"))))
-    flow = e.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("share"))
-    sinks = nodes.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(True).alias("sink"))
-    nodes = nodes.join(sinks, "node", "left")
-    ranks = nodes.withColumn("rank", 1.0 / F.col("n"))
-    for _ in range(rounds):
-        got = flow.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in_"))
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        ranks = nodes.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", "n", "sink", (damping * (F.coalesce("in_", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - damping) / F.col("n")).alias("rank"))
-        ranks = checkpointed(ranks)
-    return ranks.select("node", "rank")
+    """The same by a fixed number of rounds, whatever the ranks do. Edges are written once, so that no round counts
+    words again."""
+    return pagerank(e, damping, rounds, tol=0)
 
 
 def weak_components(e: DataFrame) -> DataFrame:

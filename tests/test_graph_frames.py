@@ -107,3 +107,17 @@ def test_communities_merge_as_the_matrix_does(spark):
         q = sum(2 * w for (a, b), w in u.items() if of[a] == of[b]) / m2 - sum((sum(k[n] for n in s) / m2) ** 2 for s in sets.values())
         assert frame_score == pytest.approx(q) and frame_score > 0.9 * score
     assert graphs.communities_frame(e.limit(0))[1] == 0.0
+
+
+def test_pagerank_reads_its_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    e = graph(spark, [(a, (a * 7 + b) % 20) for a in range(20) for b in (1, 2, 3)] + [(3, 30)])
+    ranks = graphs.pagerank_frame(e.mapInPandas(seen, e.schema), rounds=4)
+    assert abs(sum(r["rank"] for r in ranks.collect()) - 1) < 1e-9
+    assert read.value == e.count()
