@@ -56,3 +56,23 @@ def test_weak_components(spark, seed):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in graphs.weak_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert got == {x: find(x) for x in root if any(x in p and p[0] != p[1] for p in pairs)}
+
+
+def test_points_of_a_row_equal_those_of_joins(spark):
+    rng = random.Random(5)
+    recs = {f"r{n}": "".join(rng.choices("ACGT", k=n)) for n in (1, 2, 60, 500, 9000)} | {"aaa": "A" * 500, "turn": "ACGT" * 300}
+    at = near.sampled(spark.createDataFrame(list(recs.items()), "name string, sequence string"), 90).localCheckpoint()
+    for arguments in ({}, {"positive": False}, {"share": 0.03}):
+        one = {r.name: r.asDict() for r in near.figures(at, **arguments).collect()}
+        two = {r.name: r.asDict() for r in near.joined_figures(at, **arguments).collect()}
+        assert one.keys() == two.keys() == recs.keys()
+        for name, r in one.items():
+            assert {**r, "eps": 0} == {**two[name], "eps": 0}, (name, arguments)
+            assert (r["eps"] is None) == (two[name]["eps"] is None)
+            assert r["eps"] is None or r["eps"] == pytest.approx(two[name]["eps"], rel=1e-12)
+
+
+def test_points_do_not_meet_by_rows(spark):
+    df = spark.createDataFrame([("a", "ACGGT" * 300)], "name string, sequence string")
+    plan = near.homology(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # totals of chunks and the record's own row: no join of points with points
