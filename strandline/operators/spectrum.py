@@ -5,7 +5,9 @@ of a power of two m >= 2n - 1 places, and that is done in four steps: m places a
 columns, place j in row j // m2. Blocks of columns are transformed along their rows and turned by twiddle
 factors; blocks of rows along their columns, where they meet the chirp's own transform, go back the same way,
 and blocks of columns end it. Between the steps the matrix is transposed by a shuffle. The first moves
-symbols, the other two complex numbers; a block has about `BLOCK` of them, so no task holds a record."""
+symbols, the other two complex numbers; a block has about `BLOCK` of them, so no task holds a record.
+
+A record of up to `WHOLE` symbols is transformed in its own row, and nothing of it moves but its figures."""
 
 from __future__ import annotations
 
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from strandline.functions.symbols import codes
 from strandline.operators import tiles as T
+from strandline.sources.shared import saved
 
 CHUNK, BLOCK = 1 << 16, 1 << 18
+WHOLE = 1 << 20  # 16 MB of complex numbers, and a few times that while they are transformed
 SIGNAL = np.array([1, 1j, -1, -1j, 0])
 _TABLE = np.full(256, 4, np.uint8)
 _TABLE[list(b"0123")] = range(4)
@@ -95,9 +99,13 @@ def _powers(pdf: pd.DataFrame) -> tuple[str, int, np.ndarray, np.ndarray]:
     return pdf.name.iloc[0], n, k[ok], np.abs(y[ok]) ** 2
 
 
-def transformed(df: DataFrame) -> DataFrame:
-    """name, n, g, h, y: what `_powers` takes by (name, g). Records of two symbols or more; others than A, C, G, T go."""
-    digits = df.select("name", codes(F.col("sequence")).alias("sequence")).withColumn("n", F.length("sequence").cast("long")).where("n >= 2")
+def _digits(df: DataFrame) -> DataFrame:
+    """name, sequence, n: records of two symbols or more; others than A, C, G, T go."""
+    return df.select("name", codes(F.col("sequence")).alias("sequence")).withColumn("n", F.length("sequence").cast("long")).where("n >= 2")
+
+
+def transformed(digits: DataFrame) -> DataFrame:
+    """name, n, g, h, y: what `_powers` takes by (name, g)."""
     chunks = T.chunks(digits, 0, keep=("name", "n"), size=CHUNK).select("name", "n", F.col("base").cast("long").alias("base"), "chunk")
     dealt = chunks.mapInPandas(_dealt, "name string, n long, g long, first long, places binary, symbols binary")
     # Blocks of columns that no symbol falls into still have the chirp.
@@ -112,23 +120,44 @@ def _every_block(batches):
         yield pd.DataFrame(rows, columns=["name", "n", "g", "first", "places", "symbols"])
 
 
+def blocks(df: DataFrame, schema: str, work) -> DataFrame:
+    """What `work(name, n, k, power)` makes of frequencies k, 0 < k < n, and their powers: of all of a record of up to
+    `WHOLE` symbols, else of a block of columns at a time."""
+    digits = saved(_digits(df))
+
+    def own(batches):
+        for pdf in batches:
+            for name, s, n in zip(pdf.name, pdf.sequence, pdf.n, strict=True):
+                p = np.abs(np.fft.fft(SIGNAL[_TABLE[np.frombuffer(s.encode(), np.uint8)]])[1:]) ** 2
+                yield work(name, n, np.arange(1, n), p)
+
+    short = digits.where(F.col("n") <= WHOLE).select("name", "sequence", "n").mapInPandas(own, schema)
+    long = transformed(digits.where(F.col("n") > WHOLE)).groupBy("name", "n", "g").applyInPandas(lambda pdf: work(*_powers(pdf)), schema)
+    return short.unionByName(long)
+
+
 def powers(df: DataFrame) -> DataFrame:
     """name, n, k, power of every frequency k / n, 0 < k < n: a row a frequency."""
+    return blocks(df, "name string, n long, k long, power double", lambda name, n, k, p: pd.DataFrame({"name": name, "n": n, "k": k, "power": p}))
+
+
+def record_power(df: DataFrame) -> DataFrame:
+    """name, n, total (all power over n^2), first and third (power over n at the frequencies 1 / n and about 1 / 3)."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, n, k, p = _powers(pdf)
-        return pd.DataFrame({"name": name, "n": n, "k": k, "power": p})
+    def work(name, n, k, p):
+        return pd.DataFrame([(name, n, p.sum() / float(n) ** 2, p[k == 1].sum() / n, p[k == n // 3].sum() / n)], columns=["name", "n", "total", "first", "third"])
 
-    return transformed(df).groupBy("name", "n", "g").applyInPandas(work, "name string, n long, k long, power double")
+    rows = blocks(df, "name string, n long, total double, first double, third double", work)
+    return rows.groupBy("name", "n").agg(*(F.sum(c).alias(c) for c in ("total", "first", "third")))
 
 
 def record_spectrum(df: DataFrame, band: float = 0.015) -> DataFrame:
     """name, n and the figures of the frequencies below a half: the peak (of equal ones the lowest), its ratio to the
     mean, the share of the band around 1/3, its mean against mean and deviation of the others; and the dominant
     frequency of all. A block gives one row of sums. NULL below 32 symbols."""
+    df = saved(df.select("name", "sequence"))  # records are made once
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, n, k, p = _powers(pdf)
+    def work(name, n, k, p):
         low = k < n // 2
         inside = low & (np.abs(k / n - 1 / 3) < band)
         out = low & ~inside
@@ -139,7 +168,7 @@ def record_spectrum(df: DataFrame, band: float = 0.015) -> DataFrame:
         return pd.DataFrame([row])
 
     sums = "name string, n long, total double, band double, in_band long, others double, squares double, low long, top double, top_k long, all double, all_k long"
-    rows = transformed(df).groupBy("name", "n", "g").applyInPandas(work, sums)
+    rows = blocks(df, sums, work)
     rows = rows.groupBy("name", "n").agg(*(F.sum(c).alias(c) for c in ("total", "band", "in_band", "others", "squares")), *(F.max(c).alias(c) for c in ("top", "all")), F.collect_list(F.struct("top", "top_k", F.col("all"), "all_k")).alias("peaks"))
     lowest = lambda p: F.array_min(F.transform(F.filter("peaks", lambda x: x[p] >= F.col(p) * (1 - 1e-9)), lambda x: x[f"{p}_k"]))
     half = F.floor(F.col("n") / 2)

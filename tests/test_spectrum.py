@@ -56,3 +56,37 @@ def test_a_record_of_several_blocks(spark):
     got = spectrum.record_spectrum(frame(spark, recs)).first()
     for c, v in K.spectrum(s).items():
         assert got[c] == pytest.approx(v, rel=1e-6)
+
+
+def test_short_records_stay_in_their_rows_and_long_ones_do_not(spark, monkeypatch):
+    df = frame(spark, records([5, 31, 97, 1000, 6007]) | {"codon": "ACG" * 700})
+    rows = lambda d: {r.name: r.asDict() for r in d.collect()}
+    asked = (spectrum.record_power, lambda d: spectrum.record_spectrum(d).fillna(-9))
+    whole = [rows(f(df)) for f in asked]
+    monkeypatch.setattr(spectrum, "WHOLE", 500)
+    for f, one in zip(asked, whole, strict=True):
+        two = rows(f(df))
+        assert one.keys() == two.keys()
+        for name, r in one.items():
+            for c, v in r.items():
+                assert two[name][c] == (v if isinstance(v, (str, int)) else pytest.approx(v, rel=1e-6, abs=1e-9)), (name, c)
+
+
+def test_a_record_of_a_row_moves_no_symbols(spark):
+    def moved():
+        told = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(told.apply(k).totalShuffleWrite() for k in range(told.size()))
+
+    (s,) = records([200_003]).values()
+    before = moved()
+    assert len(spectrum.record_spectrum(frame(spark, {"a": s})).collect()) == len(spectrum.powers(frame(spark, {"a": s})).where("k = 1").collect()) == 1
+    assert moved() - before < len(s)
+
+
+def test_several_blocks_equal_the_row(spark, monkeypatch):
+    df = frame(spark, records([300_007]))
+    one = spectrum.record_spectrum(df).first()
+    monkeypatch.setattr(spectrum, "WHOLE", 0)
+    two = spectrum.record_spectrum(df).first()
+    for c in K.FFT:
+        assert one[c] == pytest.approx(two[c], rel=1e-6)
