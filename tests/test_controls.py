@@ -83,3 +83,22 @@ def test_a_control_does_not_depend_on_the_others(spark):
     one = {(r.replicate, r.source): r.sequence for r in windows.with_controls(df, ("markov1",), counter=True).collect()}
     many = {(r.replicate, r.source): r.sequence for r in windows.with_controls(df, ("shuffle", "markov3", "markov1", "revcomp"), counter=True).collect()}
     assert len(many) == 10 and all(many[k] == v for k, v in one.items()) and many[1, "shuffle"] == ""
+
+
+def test_controls_leave_in_slices():
+    from collections import namedtuple
+
+    row = namedtuple("row", "source sequence")
+    taken = []
+
+    def rows():
+        for k in range(100):
+            taken.append(k)
+            yield row(str(k), "A" * 1000)
+
+    frames = []
+    for f in windows.sliced(rows(), ["source", "sequence"], 5000):
+        assert len(f) == 5 and len(taken) <= 5 * (len(frames) + 1)  # no row is made before it is needed
+        frames.append(f)
+    assert [s for f in frames for s in f.source] == [str(k) for k in range(100)]
+    assert list(windows.sliced(iter(()), ["source", "sequence"])) == []
