@@ -50,3 +50,38 @@ def test_jaccard_at_any_length(spark, k):
 def test_no_permutations_no_p(spark):
     df = spark.createDataFrame([("f", "c", k, 1.0 * k, 0.5) for k in range(5)], "feature string, control string, k int, o double, c double")
     assert [r.paired_permutation_p for r in stats.permutation_sums(df, 0).collect()] == [None]
+
+
+def test_a_vector_moves_once_however_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(f"r{k:03d}", rng.bytes(20_000)) for k in range(40)], "name string, v binary").localCheckpoint()
+
+    def moved():
+        told = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(told.apply(k).totalShuffleWrite() for k in range(told.size()))
+
+    def compare(x, y):
+        return np.ones((len(x), len(y)), bool), {"same": np.array([[int(a == b) for b in y] for a in x])}
+
+    before = moved()
+    got = spectra._pair_tiles(vectors, "same long", compare, 4)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(f"r{a:03d}", f"r{b:03d}") for a in range(40) for b in range(a + 1, 40)]
+    assert moved() - before < 3 * 40 * 20_000
+
+
+def test_pairs_of_records_equal_their_two_tables(spark):
+    rng = np.random.default_rng(9)
+    recs = [(f"r{n}", "".join(rng.choice(list("ACGT"), n))) for n in (2, 3, 9, 60, 900)] + [("a", "A" * 50), ("none", "")]
+    df = spark.createDataFrame(recs, "name string, sequence string")
+    j = {(r.a, r.b): r.jaccard for r in spectra.jaccard(df, 7).collect()}
+    want = {(r.a, r.b): (j.get((r.a, r.b), 0.0), r.distance) for r in spectra.fisher_matrix(df).collect()}
+    assert {(r.a, r.b): (r.jaccard, r.fisher_rao) for r in spectra.pairs_of_records(df).collect()} == want
+
+
+def test_shared_words_by_pairs_and_by_columns():
+    rng = np.random.default_rng(3)
+    for high in (20, 3000):
+        x, y = ([np.unique(rng.integers(0, high, rng.integers(0, 60))).astype(np.uint32) for _ in range(n)] for n in (13, 9))
+        want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+        for dense, most in ((0, 50), (3, 5), (2048, 1 << 22)):
+            assert spectra._shared_words(x, y, dense, most).tolist() == want
