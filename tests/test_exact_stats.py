@@ -85,3 +85,19 @@ def test_shared_words_by_pairs_and_by_columns():
         want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
         for dense, most in ((0, 50), (3, 5), (2048, 1 << 22)):
             assert spectra._shared_words(x, y, dense, most).tolist() == want
+
+
+def test_adjusted_values_in_one_range(spark, monkeypatch):
+    plans, write = [], stats.checkpointed
+    monkeypatch.setattr(stats, "checkpointed", lambda d: (plans.append(d._jdf.queryExecution().analyzed().toString()), write(d))[1])
+    rng = np.random.default_rng(1)
+    p = [None if k % 7 == 0 else float(v) for k, v in enumerate(np.round(rng.random(500) ** 3, 2))]
+    got = {r.i: r.q for r in stats.benjamini_hochberg(spark.createDataFrame(list(enumerate(p)), "i long, p double"), "p", ["i"], "q").collect()}
+    order = sorted(range(500), key=lambda k: (p[k] is None, p[k] or 0, k))
+    low = 1.0
+    for rank in range(500, 0, -1):
+        k = order[rank - 1]
+        if p[k] is not None:
+            low = min(low, p[k] * 500 / rank)
+        assert got[k] == pytest.approx(1.0 if p[k] is None else low)
+    assert plans and not any("currentrow$(), unboundedfollowing" in x.lower() or "currentrow, unboundedfollowing" in x.lower() for x in plans)  # such a frame costs the square of a range
