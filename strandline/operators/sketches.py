@@ -2,7 +2,8 @@
 
 A word has a slot and a sign, from the stable hash; a block's sketch for a word length is the signed sum of its word
 counts by slot, scaled to length one, and its embedding is all its sketches beside each other, scaled again. Rows
-are slots that aren't zero: norms, centroids and distances come from sums of products, so no vector is built."""
+are slots that aren't zero: norms, centroids and distances come from sums of products, so no vector is built, unless
+the record is short."""
 
 from __future__ import annotations
 
@@ -13,8 +14,12 @@ from pyspark.sql import functions as F
 
 from strandline.functions import kernels as K
 from strandline.operators import tiles as T
+from strandline.operators import windows
+from strandline.sources.shared import saved
 
 KS = (3, 4, 5, 6)
+WHOLE = 1 << 20
+FIGURES = tuple(f"grammar_{c}" for c in ("embedding_norm", "embedding_entropy", "block_drift_mean", "block_drift_sd", "centroid_distance", "block_count"))
 
 
 def words(k: int, dim: int, seed: int) -> list[tuple[str, int, int]]:
@@ -46,6 +51,15 @@ def block_sketches(df: DataFrame, dim: int = 512, levels: int = 4, ks: tuple[int
 
 
 def grammar(df: DataFrame, dim: int = 512, levels: int = 4, ks: tuple[int, ...] = KS) -> DataFrame:
+    """The figures of joined_grammar. A record of up to `WHOLE` symbols is a matrix of its blocks' embeddings in its own
+    row, so that no slot moves; longer ones go by joins."""
+    df = saved(df.select("name", "sequence"))
+    short = F.coalesce(F.length("sequence") <= WHOLE, F.lit(True))
+    own = windows.per_record(df.where(short), "name string, " + ", ".join(f"{c} double" for c in FIGURES), lambda s: {c: v for c, v in K.grammar(s, dim, levels, ks).items() if c in FIGURES})
+    return own.unionByName(joined_grammar(df.where(~short), dim, levels, ks))
+
+
+def joined_grammar(df: DataFrame, dim: int = 512, levels: int = 4, ks: tuple[int, ...] = KS) -> DataFrame:
     """name and how embeddings move over the blocks: length and entropy of their mean, mean and deviation of the steps
     between blocks that follow each other, mean distance to the mean, number of blocks. NULL below 96 symbols."""
     s = block_sketches(df, dim, levels, ks)
