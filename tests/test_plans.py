@@ -108,3 +108,18 @@ def test_self_test(spark):
     from strandline.__main__ import main
 
     assert main(["--self-test"], spark) == 0
+
+
+def test_the_battery_reads_records_once(spark):
+    from strandline.plans import battery
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    df = spark.createDataFrame([(f"r{k}", "virus", "ACGTTGCA" * (200 + k)) for k in range(3)], "name string, organism_type string, sequence string")
+    assert battery.summary(df.mapInPandas(seen, df.schema), 2000).count() == 3
+    assert read.value == 3
