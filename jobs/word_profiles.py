@@ -39,7 +39,9 @@ KEYS = ("lang", "source")
 
 def word_counts(docs: DataFrame, words: list[int]) -> DataFrame:
     """lang, source, k, kmer, cnt. Counts add up inside a task first, so a group moves 4^k rows a task at most."""
-    each = [tiles.kmer_counts(docs, k, keep=KEYS).select(*KEYS, F.lit(k).alias("k"), "kmer", "cnt") for k in words]
+    short, long = [k for k in words if k <= tiles.LONGEST], [k for k in words if k > tiles.LONGEST]
+    each = [tiles.word_counts(docs, tuple(short), keep=KEYS)] if short else []
+    each += [tiles.kmer_counts(docs, k, keep=KEYS).select(*KEYS, F.lit(k).alias("k"), "kmer", "cnt") for k in long]
     return reduce(DataFrame.unionByName, each)
 
 
