@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import kernels
 from strandline.operators import fractal, graphs, windows
-from strandline.plans import catalog
+from strandline.plans import catalog, features
 
 from .conftest import SF
 
@@ -103,3 +103,13 @@ def test_default_rounds_and_effects(spark):
     assert ranks == pytest.approx(want, abs=1e-6)
     features = catalog.table(spark, SF, "orders").select("o_orderpriority").distinct().count()
     assert catalog.QUERIES["top_effects_20"](spark, SF).count() == min(20, features) > 3
+
+
+def test_feature_summary_makes_no_controls(spark, monkeypatch):
+    want = {r.organism: r for r in catalog.rounded(features.summary(catalog._features(spark, SF))).collect()}
+
+    def refuse(*_):
+        raise AssertionError("a control was made")
+
+    monkeypatch.setattr(windows, "with_controls", refuse)
+    assert {r.organism: r for r in catalog.QUERIES["feature_summary"](spark, SF).collect()} == want
