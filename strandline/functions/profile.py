@@ -8,6 +8,8 @@ import numpy as np
 
 from strandline.functions import kernels as K
 
+COMPOSITION = ("gc_pct", "a_count", "c_count", "g_count", "t_count")
+
 
 def _slope(x: np.ndarray, y: np.ndarray) -> float | None:
     x = x - x.mean()
@@ -40,6 +42,11 @@ def rho_deviation(a: np.ndarray) -> dict:
     return {"dinu_rho_dev": float(np.abs(rho - 1).mean()) if seen.any() else None}
 
 
+def composition(a: np.ndarray) -> dict:
+    n = np.bincount(a, minlength=5).tolist()
+    return dict(zip(COMPOSITION, (100.0 * (n[1] + n[2]) / max(len(a), 1), *map(float, n[:4])), strict=True))
+
+
 def word_entropy(a: np.ndarray, k: int) -> dict:
     n = counts(a, k)
     if not n.any():

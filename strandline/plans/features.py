@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from strandline.functions import kernels as K
 from strandline.functions import profile
-from strandline.functions.symbols import count_of, gc_pct
 from strandline.operators import graphs, stats, windows
 from strandline.plans.config import Config
 from strandline.sources.shared import checkpointed
@@ -30,14 +29,12 @@ def build(wins: DataFrame, cfg: Config) -> DataFrame:
     gives each window's pair shares, the features (not the sequences) are checkpointed, and 16 means come
     back to them."""
     seq = F.col("sequence")
-    base = [F.length(seq).cast("long").alias("length_bp")]
-    if cfg.enabled("basic"):
-        base += [gc_pct(seq).alias("gc_pct"), *(count_of(seq, b).cast("double").alias(f"{b.lower()}_count") for b in "ACGT")]
-    table = wins.select(*IDENTITY, *base, "sequence")
+    table = wins.select(*IDENTITY, F.length(seq).cast("long").alias("length_bp"), "sequence")
     keep = [c for c in table.columns if c != "sequence"]
     chosen = [(names, fn) for g, (names, fn) in profile.groups(cfg).items() if cfg.enabled(g)]
     kernels = [windows.GROUPS[g] for g in windows.GROUPS if cfg.enabled(g)]
-    names = [n for part, _ in kernels for n in part] + [n for part, _ in chosen for n in part]
+    base = list(profile.COMPOSITION) if cfg.enabled("basic") else []
+    names = base + [n for part, _ in kernels for n in part] + [n for part, _ in chosen for n in part]
     pairs = cfg.enabled("kmer")
     schema = ", ".join([f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} double" for n in names] + ["pairs array<double>"] * pairs)
 
@@ -46,12 +43,15 @@ def build(wins: DataFrame, cfg: Config) -> DataFrame:
             rows, shares = [], []
             for s in pdf.sequence.fillna(""):
                 a = K.encode(s, drop=False)
-                row = {k: v for _, fn in kernels for k, v in fn(s, cfg).items()}
+                row = profile.composition(a) if base else {}
+                for _, fn in kernels:
+                    row.update(fn(s, cfg))
                 for _, fn in chosen:
                     row.update(fn(a))
                 rows.append(row)
                 shares.append(profile.shares(profile.counts(a, 2)))
             out = pd.DataFrame(rows, columns=names, dtype=float, index=pdf.index)
+            out.loc[pdf.sequence.isna(), base] = np.nan
             out = pd.concat([pdf[keep], out.where(np.isfinite(out))], axis=1)
             yield out.assign(pairs=shares) if pairs else out
 
