@@ -36,3 +36,14 @@ def test_equal_names_make_no_pair_of_their_own(spark):
 def test_no_records_no_pairs(spark):
     assert spectra._pair_tiles(_vectors(spark, ["x"]).limit(0), "one long", _all).count() == 0
     assert spectra._pair_tiles(_vectors(spark, ["x"]), "one long", _all).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0, 3, 40, 10**9])
+def test_common_words_by_pairs_and_by_columns(dense):
+    rng = np.random.default_rng(5)
+    share = rng.random(4096) ** 3
+    x, y = (rng.random((n, 4096)) < share * rng.random((n, 1)) for n in (13, 9))
+    x[4] = False
+    shared, m, n = spectra._shared(*(spectra._word_rows([np.packbits(r).tobytes() for r in z]) for z in (x, y)), dense)
+    assert shared.tolist() == (x.astype(int) @ y.T.astype(int)).tolist()
+    assert m.tolist() == x.sum(1).tolist() and n.tolist() == y.sum(1).tolist()
