@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import spectra
+from strandline.plans import catalog
 
 
 def _vectors(spark, names):
@@ -47,3 +49,13 @@ def test_common_words_by_pairs_and_by_columns(dense):
     shared, m, n = spectra._shared(*(spectra._word_rows([np.packbits(r).tobytes() for r in z]) for z in (x, y)), dense)
     assert shared.tolist() == (x.astype(int) @ y.T.astype(int)).tolist()
     assert m.tolist() == x.sum(1).tolist() and n.tolist() == y.sum(1).tolist()
+
+
+def test_quick_rounding_is_rounding(spark):
+    rng = np.random.default_rng(6)
+    u = rng.integers(1, 16385, 20_000)
+    x = [*(rng.integers(0, u + 1) / u), *(rng.random(5000) * np.pi), *((rng.integers(-3_000_000, 3_000_000, 5000) + 0.5) / 1e6), *(rng.normal(size=500) * 1e9), -0.0, -1e-9, 999.9999995, 1e300, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in x], "x double")
+    assert df.where(~(catalog.quick_round(F.col("x")) + 0.0).eqNullSafe(F.round("x", 6) + 0.0)).collect() == []
+    plan = catalog.rounded(df, catalog.quick_round)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan
