@@ -59,3 +59,49 @@ def test_quick_rounding_is_rounding(spark):
     assert df.where(~(catalog.quick_round(F.col("x")) + 0.0).eqNullSafe(F.round("x", 6) + 0.0)).collect() == []
     plan = catalog.rounded(df, catalog.quick_round)._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" in plan
+
+
+def test_millionths_are_rounding(spark):
+    rng = np.random.default_rng(8)
+    u = rng.integers(1, 16385, 20_000)
+    x = [*(rng.integers(0, u + 1) / u), *(rng.random(5000) * np.pi), *((rng.integers(0, 3_000_000, 5000) + 0.5) / 1e6), 0.0, 1.0, 1e-9, 5e-7, 999.9999995]
+    got = spectra._millionths(np.array(x)) / 1e6
+    df = spark.createDataFrame(list(zip(map(float, x), got.tolist(), strict=True)), "x double, got double")
+    assert df.where(F.col("got") != F.round("x", 6)).collect() == []
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_pairs_are_dealt_once_and_equal_values_meet(whole):
+    rng = np.random.default_rng(9)
+    n = 700
+    rank = rng.permutation(2 * n)
+    low, high = (rank[:n], rank[:n]) if whole else (rank[:n], rank[n:])
+    j, f = (np.clip(rng.normal(m, s, (n, n)), 0, 3e6).astype(np.int32) for m, s in ((120_000, 40_000), (1_900_000, 30_000)))
+    before = low[:, None] < high[None]
+    at, first = spectra._dealt(before, None if whole else low[:, None] > high[None], [j.ravel(), f.ravel()])
+    a, b = np.where(first, low[at // n], high[at % n]), np.where(first, high[at % n], low[at // n])
+    assert (a < b).all()
+    want = {tuple(sorted((x, y))) for x in low.tolist() for y in high.tolist() if x != y}
+    assert len(at) == len(want) and set(zip(a.tolist(), b.tolist(), strict=True)) == want
+    kinds = [len(np.unique(z.ravel()[at])) for z in (j, f)]
+    lead, other = (z.ravel()[at] for z in ((j, f) if kinds[0] > kinds[1] else (f, j)))
+    assert len(np.unique(other[: spectra.PAGE])) <= spectra.CELL
+    assert (np.diff(lead) < 0).sum() <= 2
+
+
+def test_written_pairs_take_less_room_than_their_doubles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spectra, "LEAST_BLOCKS", 1)
+    rng = np.random.default_rng(10)
+    units = rng.choice(list("ACGT"), (2, 4000))
+    texts = []
+    for k in range(900):
+        t = units[k % 2].copy()
+        at = rng.random(4000) < rng.random() * 0.6
+        t[at] = rng.choice(list("ACGT"), at.sum())
+        texts.append("".join(t[: rng.integers(500, 4000)]))
+    docs = [(k, t, "xx", f"s{k}") for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    catalog.QUERIES["record_pairs"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    assert rows == 900 * 899 // 2
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 14 * rows
