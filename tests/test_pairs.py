@@ -105,3 +105,21 @@ def test_written_pairs_take_less_room_than_their_doubles(spark, tmp_path, monkey
     rows = spark.read.parquet(f"{tmp_path}/out").count()
     assert rows == 900 * 899 // 2
     assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 14 * rows
+
+
+@pytest.mark.parametrize(("number", "high"), [(np.uint32, 1 << 28), (np.uint32, (1 << 32) - 1), (np.uint64, (1 << 64) - 1)])
+def test_blocks_laid_out_by_word_once_meet_without_sorting_their_words(number, high, monkeypatch):
+    rng = np.random.default_rng(11)
+    words = np.unique(rng.integers(0, high, 3000, dtype=np.uint64, endpoint=True).astype(number))
+    share = rng.random(len(words)) ** 4
+    x, y = ([words[rng.random(len(words)) < share] for _ in range(n)] for n in (70, 41))
+    x[3] = x[3][:0]
+    p, q = spectra._word_lists(x), spectra._word_lists(y)
+    monkeypatch.setattr(spectra, "_word_lists", None)
+    for dense, most in ((None, 1 << 21), (0, 100), (30, 100), (10**9, 100)):
+        shared, m, n = spectra._shared_lists(p, q, number, dense, most)
+        assert shared.tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+        assert m.tolist() == list(map(len, x)) and n.tolist() == list(map(len, y))
+    none = [z[:0] for z in y]
+    monkeypatch.undo()
+    assert not spectra._shared_lists(p, spectra._word_lists(none), number)[0].any()
